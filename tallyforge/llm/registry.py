@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe
-from tallyforge.llm.common import table
+from tallyforge.llm import bpe, lines, mixing, urls
+from tallyforge.llm.common import Scratch, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -20,9 +20,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"), [3, 1, 2], 1.5, 2.0, Scratch(spark, "op2"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op4_urls": op4_urls, "op5_lines": op5_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix": mixing.ORACLE, "op4_urls": urls.ORACLE, "op5_lines": lines.ORACLE}
