@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, lines, mixing, urls
-from tallyforge.llm.common import Scratch, table
+from tallyforge.llm import bpe, langid, lines, mixing, quality, urls
+from tallyforge.llm.common import Scratch, remainder, table
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +25,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"), [3, 1, 2], 1.5, 2.0, Scratch(spark, "op2"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)
+    model = quality.train(documents, labels.select("doc_id", F.col("quality").alias("label")))
+    scored = quality.score(documents.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(table(spark, sf_dir, "pages"))
 
@@ -32,8 +41,15 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    model = langid.train(documents.filter(~held_out), Scratch(spark, "op6"))
+    return langid.identify(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op4_urls": op4_urls, "op5_lines": op5_lines}
+    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid}
 
 
 def oracle_sql() -> dict[str, str]:
