@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, langid, lines, mixing, quality, urls
+from tallyforge.llm import bpe, jaccard, langid, lines, mixing, quality, urls
 from tallyforge.llm.common import Scratch, remainder, table
 
 
@@ -48,8 +48,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), width=3, share=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid}
+    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid, "op7_jaccard": op7_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
