@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, jaccard, langid, lines, mixing, quality, urls
+from tallyforge.llm import bpe, jaccard, langid, lines, mixing, neardup, quality, topk, urls
 from tallyforge.llm.common import Scratch, remainder, table
 
 
@@ -52,9 +52,18 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), Scratch(spark, "op7"), width=3, share=90)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return topk.search(embeddings, embeddings.filter("vec_id % 100 = 0"))
+
+
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid, "op7_jaccard": op7_jaccard}
+    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid, "op7_jaccard": op7_jaccard, "op8_topk": op8_topk, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.ORACLE, "op4_urls": urls.ORACLE, "op5_lines": lines.ORACLE}
+    return {"op2_mix": mixing.ORACLE, "op4_urls": urls.ORACLE, "op5_lines": lines.ORACLE, "op8_topk": topk.ORACLE, "op10_neardup": neardup.ORACLE}
