@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import bpe, jaccard, langid, lines, mixing, neardup, quality, topk, urls
+from tallyforge.llm import bpe, jaccard, langid, lines, lm, mixing, neardup, quality, topk, urls
 from tallyforge.llm.common import Scratch, remainder, table
 
 
@@ -57,12 +57,20 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(embeddings, embeddings.filter("vec_id % 100 = 0"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 1
+    model = lm.train(documents.filter(~held_out), Scratch(spark, "op9"))
+    told = lm.score(documents, model).withColumn("held_out", held_out).withColumn("train_tokens", F.lit(model.sums["tokens"]).cast("long"))
+    return told.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid, "op7_jaccard": op7_jaccard, "op8_topk": op8_topk, "op10_neardup": op10_neardup}
+    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid, "op7_jaccard": op7_jaccard, "op8_topk": op8_topk, "op9_lm": op9_lm, "op10_neardup": op10_neardup}
 
 
 def oracle_sql() -> dict[str, str]:
