@@ -1,15 +1,274 @@
-"""Queries over the derived reconciliation world, each with its DuckDB twin."""
+"""Queries over the derived reconciliation worlds, each with its DuckDB twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.functions import scalars as X
+from tallyforge.operators import close, journey, leg_a, leg_b, triage, verify
+from tallyforge.plans import twins
+from tallyforge.sources.world import world
+
+
+class Results:
+    """What the queries of one folder share: leg A runs once, and so does every step that others read."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.world = spark, sf_dir, world(spark, sf_dir)
+        self.made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = self.world.store.cut(make(), name)
+        return self.made[name]
+
+    def leg_a(self) -> DataFrame:
+        return self.once("leg_a", lambda: leg_a.reconcile(self.world.settlements, self.world.bank_rows, self.world.store))
+
+    def leg_b(self) -> DataFrame:
+        return self.once("leg_b", lambda: leg_b.reconcile(self.world.payments, self.world.order_book))
+
+    def journeys(self) -> DataFrame:
+        return journey.journeys(self.world.order_book, self.world.payments, self.leg_a(), self.leg_b())
+
+    def dates(self) -> DataFrame:
+        return triage.close_dates(self.world.bank_rows)
+
+    def overdue(self) -> DataFrame:
+        return triage.overdue(self.world.settlements, self.leg_a(), self.dates())
+
+    def queue(self) -> DataFrame:
+        return self.once("queue", lambda: triage.queue(triage.items_from_leg_a(self.leg_a(), self.overdue()), triage.items_from_leg_b(self.leg_b(), self.world.order_book, self.world.payments)))
+
+    def actions(self) -> DataFrame:
+        """A log of operators' actions made from ``events``: each names an unpaid order's item."""
+        e = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
+        order = F.concat(F.lit("order_"), F.lpad(((F.col("user_id") * 20 + 3) % 15000).cast("string"), 14, "0"))
+        action = F.when(F.col("event_type") == "purchase", "resolve").when(F.col("event_type") == "click", "assign").when(F.col("event_type") == "error", "snooze").otherwise("note")
+        log = e.select(X.item_id(F.lit("recon_leg_b"), F.array(order)).alias("item_id"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("by"), F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("note"))
+        log = log.join(self.queue().select("item_id", "status"), "item_id")
+        return log.withColumn("status_at_action", F.when(F.col("seq") % 5 == 0, "stale").otherwise(F.col("status"))).drop("status")
+
+    def overlay(self) -> DataFrame:
+        return close.overlay(self.queue(), close.fold_actions(self.actions()))
+
+
+_results: dict[tuple[str, str], Results] = {}
+
+
+def results(spark: SparkSession, sf_dir: str) -> Results:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _results:
+        _results[key] = Results(spark, sf_dir)
+    return _results[key]
+
+
+def flat_decisions(d: DataFrame) -> DataFrame:
+    label = F.coalesce(F.get("discrepancy_breakdown", F.lit(0))["label"], F.lit(""))
+    ids = F.array_join(F.transform("candidates", lambda x: x["record_id"]), ";")
+    return d.select("world_id", "kind", "status", F.array_join("settlement_ids", ";").alias("settlement_ids"), F.array_join("bank_txn_ids", ";").alias("bank_txn_ids"), "confidence", "expected_paise", "received_paise", "discrepancy_paise", label.alias("label"), F.array_join("rules", ",").alias("rules"), ids.alias("candidates"), "pass_name")
+
+
+FLAT = "world_id, kind, status, array_to_string(sids, ';') AS settlement_ids, array_to_string(tids, ';') AS bank_txn_ids, confidence, expected_paise, received_paise, discrepancy_paise, label, rules, candidates, pass_name"
+
+
+def flat_queue(q: DataFrame) -> DataFrame:
+    return q.withColumn("record_ids", F.array_join("record_ids", ";"))
+
+
+QUEUE = "world_id, source, status, severity, money_at_risk_paise::BIGINT AS money_at_risk_paise, array_to_string(ids, ';') AS record_ids, due_date, days_overdue, item_id"
+
+Query = tuple[Callable[[Results], DataFrame], str]
+
+
+def _world() -> dict[str, Query]:
+    plain = lambda name: (lambda r: getattr(r.world, name))
+    return {
+        "world_order_book": (plain("order_book"), "SELECT * FROM order_book"),
+        "world_payments": (plain("payments"), "SELECT * EXCLUDE (k) FROM payments"),
+        "world_settlements": (plain("settlements"), "SELECT * FROM settlements"),
+        "world_bank_rows": (plain("bank_rows"), "SELECT * FROM bank_rows"),
+        "scenario_counts": (lambda r: r.world.settlements.groupBy((F.col("row_no") % 24).alias("scenario")).agg(F.count("*").alias("n")), "SELECT row_no % 24 AS scenario, count(*) AS n FROM settlements GROUP BY ALL"),
+    }
+
+
+def _scalars() -> dict[str, Query]:
+    def money(r: Results) -> DataFrame:
+        text = X.rupees(F.col("amount_paise"))
+        return r.world.order_book.select("order_id", text.alias("rupees"), X.paise(text).alias("back"), X.gst_on_fee(F.col("amount_paise")).alias("gst"), X.optional_paise(F.when(F.col("status") == "paid", text)).alias("paid"))
+
+    def dates(r: Results) -> DataFrame:
+        text = F.date_format("created", "dd/MM/yyyy")
+        return r.world.settlements.select("settlement_id", text.alias("shown"), X.bank_date(text).alias("back"), X.roll_off_sunday(F.col("created")).alias("rolled"), X.epoch_text(F.col("row_no") * 86400).alias("epoch"), X.iso_date(F.date_format("created", "yyyy-MM-dd'T'HH:mm:ss")).alias("iso"))
+
+    def references(r: Results) -> DataFrame:
+        texts = (F.col("narration"), F.col("ref_no"))
+        found = X.tokens(*texts)
+        return r.world.bank_rows.select("txn_id", F.array_join(F.array_sort(found), ";").alias("tokens"), X.full_strip(*texts).alias("strip"), X.shaped(found, *texts).alias("shaped"), F.array_join(F.array_sort(X.grams(X.full_strip(*texts), 16)), ";").alias("grams"))
+
+    def near(r: Results) -> DataFrame:
+        s = r.world.settlements
+        other = F.concat(F.substring("utr", 1, 15), F.lit("7"))
+        return s.select("settlement_id", X.near_utr(other, F.col("utr")).alias("near"), X.fragment_of(F.substring("utr", 4, 11), F.col("utr")).alias("fragment"), X.is_utr_shaped(F.col("utr")).alias("shaped"), F.levenshtein(F.reverse("utr"), F.col("utr")).alias("distance"), X.decompose(F.col("amount_paise"), F.col("amount_paise") - F.when(F.col("row_no") % 2 == 0, 2950).otherwise(X.one_percent(F.col("amount_paise")))).alias("why"))
+
+    def cells(r: Results) -> DataFrame:
+        text = F.concat(X.rupees(F.col("amount_paise")), F.when(F.col("row_no") % 3 == 0, " Cr").when(F.col("row_no") % 3 == 1, " Dr").otherwise(""))
+        cell = X.amount_cell(F.when(F.col("row_no") % 7 == 0, "INT").otherwise(text))
+        return r.world.order_book.select("order_id", cell["paise"].alias("paise"), cell["side"].alias("side"))
+
+    def signatures(r: Results) -> DataFrame:
+        return r.world.order_book.select("order_id", F.sha2(F.col("order_id").cast("binary"), 256).alias("digest"), X.item_id(F.lit("recon_leg_b"), F.array("order_id", "receipt")).alias("item_id"))
+
+    lakh = "(SELECT CASE WHEN length(w) <= 3 THEN w ELSE array_to_string(list_reverse(list_transform(range(0, (length(w) - 2) // 2), lambda i: reverse(substr(reverse(w), 4 + 2 * i, 2)))), ',') || ',' || right(w, 3) END FROM (SELECT (amount_paise // 100)::VARCHAR AS w))"
+    rupees = f"{lakh} || '.' || lpad((amount_paise % 100)::VARCHAR, 2, '0')"
+    return {
+        "scalar_money": (money, f"SELECT order_id, {rupees} AS rupees, amount_paise AS back, (amount_paise * 18 + 50) // 100 AS gst, CASE WHEN status = 'paid' THEN amount_paise ELSE 0 END AS paid FROM order_book"),
+        "scalar_dates": (dates, "SELECT settlement_id, strftime(created, '%d/%m/%Y') AS shown, created AS back, CASE WHEN isodow(created) = 7 THEN created + 1 ELSE created END AS rolled, strftime(make_timestamp(row_no * 86400 * 1000000), '%Y-%m-%dT%H:%M:%S') AS epoch, created AS iso FROM settlements"),
+        "scalar_references": (references, """SELECT b.txn_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(upper(narration), '[A-Z0-9]+'), regexp_extract_all(upper(ref_no), '[A-Z0-9]+')), lambda x: length(x) >= 10))), ';'), '') AS tokens,
+  regexp_replace(upper(concat(narration, ref_no)), '[^A-Z0-9]', '', 'g') AS strip, regexp_matches(upper(concat(narration, ' ', ref_no)), 'RAZORPAY|RZPAY|RZP') OR regexp_matches(upper(concat(narration, ' ', ref_no)), '(^|[^A-Z0-9])[A-Z]{4}[0-9]{12}($|[^A-Z0-9])') AS shaped,
+  coalesce(array_to_string(list_sort(list_distinct(list_transform(range(1, length(regexp_replace(upper(concat(narration, ref_no)), '[^A-Z0-9]', '', 'g')) - 14), lambda i: substr(regexp_replace(upper(concat(narration, ref_no)), '[^A-Z0-9]', '', 'g'), i, 16)))), ';'), '') AS grams FROM bank_rows b"""),
+        "scalar_near_references": (near, """SELECT settlement_id, hamming(substr(utr, 1, 15) || '7', utr) <= 1 AS near, contains(utr, substr(utr, 4, 11)) AS fragment, regexp_full_match(utr, '[A-Z]{4}[0-9]{12}') AS shaped, levenshtein(reverse(utr), utr)::INTEGER AS distance,
+  CASE WHEN row_no % 2 = 0 OR (amount_paise + 50) // 100 = 2950 THEN 'bank_charge' ELSE 'commission' END AS why FROM settlements"""),
+        "scalar_amount_cells": (cells, "SELECT order_id, CASE WHEN row_no % 7 <> 0 THEN amount_paise END AS paise, CASE WHEN row_no % 7 = 0 THEN NULL WHEN row_no % 3 = 0 THEN 'CR' WHEN row_no % 3 = 1 THEN 'DR' END AS side FROM order_book"),
+        "scalar_digests": (signatures, "SELECT order_id, sha256(order_id) AS digest, substr(sha1('recon_leg_b|' || order_id || '|' || receipt), 1, 12) AS item_id FROM order_book"),
+    }
+
+
+def _leg_a() -> dict[str, Query]:
+    def one(name: str) -> Query:
+        return (lambda r: flat_decisions(r.leg_a().filter(F.col("pass_name") == name))), f"SELECT {FLAT} FROM leg_a WHERE pass_name = '{name}'"
+
+    def references(r: Results) -> DataFrame:
+        s, c, _ = leg_a.prepare(r.world.settlements, r.world.bank_rows)
+        return leg_a.references(s, c).select("world_id", "sid", "tid", "net", "amount")
+
+    def fuzzy(r: Results) -> DataFrame:
+        s, c, _ = leg_a.prepare(r.world.settlements, r.world.bank_rows)
+        met = s.join(c.filter("shaped").withColumnRenamed("amount", "net"), ["world_id", "net"])
+        return met.filter(leg_a.fuzzy(F.col("found"), F.col("utr"))).select("world_id", "sid", "tid")
+
+    def degrees(r: Results) -> DataFrame:
+        s, c, _ = leg_a.prepare(r.world.settlements, r.world.bank_rows)
+        met = s.join(c.filter("shaped").withColumnRenamed("amount", "net"), ["world_id", "net"]).filter(X.in_window(F.col("created"), F.col("value_date")))
+        return met.groupBy("world_id", "sid").agg(F.count("*").alias("n"))
+
+    def residual(r: Results) -> DataFrame:
+        s, c, _ = leg_a.prepare(r.world.settlements, r.world.bank_rows)
+        own = leg_a.references(s, c).filter("amount > net").select("world_id", "tid", "sid", (F.col("amount") - F.col("net")).alias("net"), "value_date")
+        other = s.select("world_id", F.col("sid").alias("partner"), "net", F.col("created").alias("since"))
+        return own.join(other, ["world_id", "net"]).filter((F.col("sid") != F.col("partner")) & X.in_window(F.col("since"), F.col("value_date"), 13)).select("world_id", "tid", "sid", "partner")
+
+    return {
+        "leg_a": (lambda r: flat_decisions(r.leg_a()), f"SELECT {FLAT} FROM leg_a"),
+        "leg_a_pass1_exact_reference": one("pass1_exact_utr"),
+        "leg_a_pass2_damaged_reference": one("pass2_fuzzy_utr"),
+        "leg_a_pass3_merged": one("pass3_merge"),
+        "leg_a_pass4_unique_amount": one("pass4_amount_unique"),
+        "leg_a_pass5_residuals": one("pass5_residuals"),
+        "leg_a_out_of_scope": one("pass0_scope"),
+        "leg_a_status_counts": (lambda r: close.counted(r.leg_a(), "pass_name", "kind", "status", "confidence"), "SELECT pass_name, kind, status, confidence, count(*) AS n FROM leg_a GROUP BY ALL"),
+        "join_reference_containment": (references, "SELECT world_id, sid, tid, net, amount FROM refs"),
+        "join_damaged_reference": (fuzzy, """SELECT s.world_id, s.sid, c.tid FROM s JOIN c ON s.world_id = c.world_id AND s.net = c.amount AND c.shaped
+  WHERE len(list_filter(c.found, lambda t: t <> s.utr AND (contains(s.utr, t) OR (regexp_full_match(t, '[A-Z]{4}[0-9]{12}') AND length(t) = length(s.utr) AND levenshtein(t, s.utr) <= 1)))) > 0"""),
+        "join_amount_window_degrees": (degrees, "SELECT s.world_id, s.sid, count(*) AS n FROM s JOIN c ON s.world_id = c.world_id AND s.net = c.amount AND c.shaped AND c.value_date - s.created BETWEEN 0 AND 10 GROUP BY ALL"),
+        "join_residual": (residual, "SELECT r.world_id, r.tid, r.sid, x.sid AS partner FROM refs r JOIN s x ON r.world_id = x.world_id AND r.amount - r.net = x.net AND x.sid <> r.sid AND r.value_date - x.created BETWEEN 0 AND 13 WHERE r.amount > r.net"),
+        "confidence_counts": (lambda r: r.leg_a().groupBy("confidence").agg(F.count("*").alias("n"), F.sum("received_paise").alias("received_paise")), "SELECT confidence, count(*) AS n, sum(received_paise)::BIGINT AS received_paise FROM leg_a GROUP BY ALL"),
+        "leg_a_summary": (lambda r: close.leg_a_summary(r.leg_a()), f"SELECT world_id, count(*) FILTER (status NOT IN ('out_of_scope', 'non_settlement_credit')) AS in_scope, count(*) FILTER (status IN {twins.FAMILY}) AS matched, coalesce(sum(received_paise) FILTER (status IN {twins.FAMILY}), 0)::BIGINT AS matched_paise, count(*) FILTER (confidence = 'needs_review') AS needs_review, count(*) FILTER (kind = 'exception') AS exceptions FROM leg_a GROUP BY ALL"),
+        "overview": (lambda r: close.overview(r.leg_a()), f"SELECT world_id, coalesce(sum(received_paise) FILTER (status IN {twins.FAMILY}), 0)::BIGINT AS reconciled_paise, coalesce(sum(coalesce(nullif(expected_paise, 0), received_paise, 0)) FILTER (kind = 'exception' AND status <> 'non_settlement_credit'), 0)::BIGINT AS exception_paise FROM leg_a GROUP BY ALL"),
+        "verify_leg_a": (lambda r: verify.leg_a(r.world.settlements, r.world.bank_rows, r.leg_a()), "SELECT 0::BIGINT AS world_id, '' AS code, '' AS record WHERE false"),
+    }
+
+
+def _leg_b() -> dict[str, Query]:
+    def flat(r: Results) -> DataFrame:
+        return r.leg_b().select("world_id", "record_type", "record_id", "status", F.array_join("counterparty_ids", ";").alias("counterparty_ids"), F.array_join("candidates", ";").alias("candidates"))
+
+    def first(r: Results) -> DataFrame:
+        return r.world.payments.filter("status = 'captured'").groupBy("world_id", "order_id").agg(F.min_by("payment_id", F.struct("created_s", "payment_id")).alias("first"), F.count("*").alias("n"))
+
+    return {
+        "leg_b": (flat, "SELECT world_id, record_type, record_id, status, other AS counterparty_ids, candidates FROM leg_b"),
+        "leg_b_counts": (lambda r: close.counted(r.leg_b(), "record_type", "status"), "SELECT record_type, status, count(*) AS n FROM leg_b GROUP BY ALL"),
+        "first_captures": (first, "SELECT world_id, order_id, min_by(payment_id, (created_s, payment_id)) AS first, count(*) AS n FROM payments WHERE status = 'captured' GROUP BY ALL"),
+        "journeys": (lambda r: r.journeys(), "SELECT * FROM journeys"),
+        "journey_breaks": (lambda r: close.counted(r.journeys(), "world_id", "first_break", money="order_amount_paise"), "SELECT world_id, first_break, count(*) AS n, sum(order_amount_paise)::BIGINT AS total_paise FROM journeys GROUP BY ALL"),
+        "payments_per_status": (lambda r: close.counted(r.world.payments, "world_id", "status", money="amount_paise"), "SELECT world_id, status, count(*) AS n, sum(amount_paise)::BIGINT AS total_paise FROM payments GROUP BY ALL"),
+        "gross_per_month": (lambda r: r.world.settlements.groupBy(F.trunc("created", "month").alias("month")).agg(F.sum("amount_paise").alias("net_paise"), F.sum("fees_paise").alias("fees_paise"), F.sum("tax_paise").alias("tax_paise")), "SELECT date_trunc('month', created)::DATE AS month, sum(amount_paise)::BIGINT AS net_paise, sum(fees_paise)::BIGINT AS fees_paise, sum(tax_paise)::BIGINT AS tax_paise FROM settlements GROUP BY ALL"),
+    }
+
+
+def _close() -> dict[str, Query]:
+    def top(r: Results) -> DataFrame:
+        return flat_queue(triage.ordered(r.queue()).limit(25))
+
+    def before(r: Results) -> DataFrame:
+        snap = close.snapshot(r.queue(), r.dates())
+        earlier = snap.filter(F.conv(F.substring("item_id", 1, 2), 16, 10).cast("int") % 3 != 0).withColumn("money_at_risk_paise", F.col("money_at_risk_paise") + F.col("severity"))
+        return close.delta(earlier, snap.filter(F.conv(F.substring("item_id", 1, 2), 16, 10).cast("int") % 5 != 0))
+
+    def balanced(r: Results) -> DataFrame:
+        return verify.running_balance(r.world.bank_rows).select("world_id", "txn_id", "balance_paise")
+
+    def broken(r: Results) -> DataFrame:
+        rows = verify.running_balance(r.world.bank_rows).withColumn("balance_paise", F.col("balance_paise") + F.when(F.col("row_no") % 97 == 0, 1).otherwise(0))
+        return verify.balances(rows)
+
+    def sliced(r: Results) -> DataFrame:
+        day = F.lit("2025-04-15").cast("date")
+        return close.cash(close.as_of(r.world.bank_rows, "value_date", day))
+
+    snap = "SELECT q.world_id, d.close_date, q.item_id, q.severity, q.status, q.source, q.money_at_risk_paise FROM queue q JOIN dates d ON q.world_id = d.world_id"
+    cash = "SELECT world_id, count(*) AS n_rows, sum(credit_paise - debit_paise)::BIGINT AS movement_paise, min(value_date) AS first_date, max(value_date) AS close_date, (max(value_date) - min(value_date))::INTEGER AS span_days, max_by(txn_id, row_no) AS last_txn FROM bank_rows"
+    bits = "('0x' || substr(item_id, 1, 2))::INTEGER"
+    return {
+        "overdue": (lambda r: r.overdue(), "SELECT world_id, settlement_id, amount_paise, expected_date, (close_date - expected_date)::INTEGER AS days_overdue FROM overdue"),
+        "queue": (lambda r: flat_queue(r.queue()), f"SELECT {QUEUE} FROM queue"),
+        "queue_leg_a_items": (lambda r: flat_queue(r.queue().filter("source = 'recon_leg_a'")), f"SELECT {QUEUE} FROM queue WHERE source = 'recon_leg_a'"),
+        "queue_leg_b_items": (lambda r: flat_queue(r.queue().filter("source = 'recon_leg_b'")), f"SELECT {QUEUE} FROM queue WHERE source = 'recon_leg_b'"),
+        "queue_top": (top, f"SELECT {QUEUE} FROM queue ORDER BY severity, money_at_risk_paise DESC, source, status, ids[1] LIMIT 25"),
+        "queue_by_status": (lambda r: close.counted(r.queue(), "severity", "status", "source", money="money_at_risk_paise"), "SELECT severity, status, source, count(*) AS n, sum(money_at_risk_paise)::BIGINT AS total_paise FROM queue GROUP BY ALL"),
+        "queue_rollup": (lambda r: close.rollup(r.queue()), "SELECT world_id, count(*) AS n_items, min(severity) AS worst, sum(money_at_risk_paise)::BIGINT AS money_at_risk_paise, count(days_overdue) AS n_overdue FROM queue GROUP BY ALL"),
+        "cash": (lambda r: close.cash(r.world.bank_rows), f"{cash} GROUP BY ALL"),
+        "cash_as_of": (sliced, f"{cash} WHERE value_date <= DATE '2025-04-15' GROUP BY ALL"),
+        "running_balance": (balanced, "SELECT world_id, txn_id, (10000000 + sum(credit_paise - debit_paise) OVER (PARTITION BY world_id ORDER BY row_no))::BIGINT AS balance_paise FROM bank_rows"),
+        "balance_breaks": (broken, """SELECT world_id, 'balance_break' AS code, txn_id AS record FROM (SELECT *, lag(balance) OVER w AS last, coalesce(value_date - lag(value_date) OVER w, 0) AS gap FROM (SELECT *, 10000000 + sum(credit_paise - debit_paise) OVER (PARTITION BY world_id ORDER BY row_no) + CASE WHEN row_no % 97 = 0 THEN 1 ELSE 0 END AS balance FROM bank_rows)
+  WINDOW w AS (PARTITION BY world_id ORDER BY row_no)) WHERE last + credit_paise - debit_paise <> balance AND gap <= 7"""),
+        "actions_folded": (lambda r: close.fold_actions(r.actions()), "SELECT item_id, last_action, assignee, last_note, seen_status, n_actions FROM folded"),
+        "queue_overlay": (lambda r: r.overlay().select("world_id", "item_id", "status", "workflow", "assignee", "last_note", "reopened"), "SELECT world_id, item_id, status, workflow, assignee, last_note, reopened FROM overlaid"),
+        "queue_open_items": (lambda r: close.counted(r.overlay().filter("workflow <> 'resolved'"), "severity", "workflow", money="money_at_risk_paise"), "SELECT severity, workflow, count(*) AS n, sum(money_at_risk_paise)::BIGINT AS total_paise FROM overlaid WHERE workflow <> 'resolved' GROUP BY ALL"),
+        "snapshot": (lambda r: close.snapshot(r.queue(), r.dates()), snap.replace("q.money_at_risk_paise FROM", "q.money_at_risk_paise::BIGINT AS money_at_risk_paise FROM")),
+        "snapshot_delta": (before, f"""SELECT coalesce(b.world_id, n.world_id) AS world_id, coalesce(b.item_id, n.item_id) AS item_id, b.status AS status_before, b.money AS money_before, n.status AS status_now, n.money AS money_now,
+  CASE WHEN b.item_id IS NULL THEN 'new' WHEN n.item_id IS NULL THEN 'gone' ELSE 'carried' END AS change
+  FROM (SELECT world_id, item_id, status, (money_at_risk_paise + severity)::BIGINT AS money FROM queue WHERE {bits} % 3 <> 0) b FULL OUTER JOIN (SELECT world_id, item_id, status, money_at_risk_paise::BIGINT AS money FROM queue WHERE {bits} % 5 <> 0) n ON b.item_id = n.item_id AND b.world_id = n.world_id"""),
+        "verify_queue": (lambda r: verify.queue(r.queue(), r.leg_a(), r.leg_b()), "SELECT 0::BIGINT AS world_id, '' AS code, '' AS record WHERE false"),
+    }
+
+
+def registered() -> dict[str, Query]:
+    return _world() | _scalars() | _leg_a() | _leg_b() | _close()
+
+
+#: Columns of type date; results show them as ISO text, which both engines write alike.
+DATES = {
+    "world_settlements": ["created", "settled"], "world_bank_rows": ["value_date"], "scalar_dates": ["back", "rolled", "iso"], "gross_per_month": ["month"],
+    "overdue": ["expected_date"], "queue": ["due_date"], "queue_leg_a_items": ["due_date"], "queue_leg_b_items": ["due_date"], "queue_top": ["due_date"],
+    "cash": ["first_date", "close_date"], "cash_as_of": ["first_date", "close_date"], "snapshot": ["close_date"],
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def run(name: str, make: Callable[[Results], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: make(results(spark, sf_dir)).withColumns({c: F.col(c).cast("string") for c in DATES.get(name, [])})
+
+    return {name: run(name, make) for name, (make, _) in registered().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    def shown(name: str, query: str) -> str:
+        texts = ", ".join(f"{c}::VARCHAR AS {c}" for c in DATES.get(name, []))
+        return twins.sql(f"SELECT * REPLACE ({texts}) FROM ({query})" if texts else query)
+
+    return {name: shown(name, query) for name, (_, query) in registered().items() if query}
