@@ -36,7 +36,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet under ``name`` (which must be new) and read it back."""
         path = f"{self.root}/{name}"
-        writer = df.write.mode("errorifexists")
+        writer = df.write.mode("errorifexists").option("parquet.block.size", 16 << 20)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

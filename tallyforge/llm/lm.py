@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import Scratch
 
 #: Tokens that a counting task holds before it deals them out, and tokens of a scoring batch.
-HELD, BATCH = 1_500_000, 300_000
+HELD, BATCH = 800_000, 300_000
 #: Text bytes that a shard stands for, and the fewest shards.
-SHARD_BYTES, FEWEST_BITS = 48 << 20, 4
+SHARD_BYTES, FEWEST_BITS = 12 << 20, 4
 #: Remembered words a worker.
 MEMORY = 200_000
 #: Word numbers keep so many bits of the hash where bigrams are counted.
@@ -161,33 +161,46 @@ def of_counts(counts: np.ndarray) -> np.ndarray:
 
 
 def merge_pairs(frame: pd.DataFrame, folder: str, bits: int) -> pd.DataFrame:
-    """Merge a bigram shard, write it, and pass on what it knows of contexts, words and counts."""
+    """Merge a shard of bigrams, write it, and pass on what it knows of contexts, words and counts; merge a shard of words."""
     shard = int(frame["shard"].iloc[0])
-    context = np.concatenate([unpack5(x) for x in frame["a"]])
-    word = np.concatenate([unpack5(x) for x in frame["b"]])
-    times = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["c"]]).astype(np.int64)
-    keys = pair(context, word)
-    order = np.argsort(keys)
-    keys = keys[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    times = np.add.reduceat(times[order], starts)
-    keys, context, word = keys[starts], context[order[starts]], word[order[starts]]
-    keep(folder, f"pair-{shard}", keys)
-    keep(folder, f"pair-count-{shard}", np.minimum(times, 255).astype(np.uint8))
-    large = times >= 255
-    keep(folder, f"pair-large-{shard}", keys[large])
-    keep(folder, f"pair-large-count-{shard}", times[large])
-    rows = [("stats", -1, of_counts(times).astype(np.int64).tobytes(), b"", b"", b"", b"")]
-    found, total, once, twice, more = summed(context, times, (times == 1).astype(np.int64), (times == 2).astype(np.int64), (times > 2).astype(np.int64))
-    rows += cut("context", (found >> np.uint64(40 - bits)).astype(np.int64), (found, pack5), (total, whole(np.uint64)), *((x, whole(np.uint32)) for x in (once, twice, more)))
-    found, preceded = summed(word, np.ones(len(word), np.int64))
-    rows += cut("preceded", (found >> np.uint64(40 - bits)).astype(np.int64), (found, pack5), (preceded, whole(np.uint32)))
+    rows = []
+    words = frame[frame["kind"] == "word"]
+    if len(words):
+        found, times = summed(np.concatenate([np.frombuffer(x, np.uint64) for x in words["a"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in words["b"]]).astype(np.int64))
+        rows.append(("word", shard, found.tobytes(), times.tobytes(), b"", b"", b""))
+    pairs = frame[frame["kind"] == "pair"]
+    if len(pairs):
+        context = np.concatenate([unpack5(x) for x in pairs["a"]])
+        word = np.concatenate([unpack5(x) for x in pairs["b"]])
+        keys = pair(context, word)
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.add.reduceat(np.concatenate([np.frombuffer(x, np.uint32) for x in pairs["c"]]).astype(np.int64)[order], starts)
+        keys, order = keys[starts], order[starts]
+        context, word = context[order], word[order]
+        keep(folder, f"pair-{shard}", keys)
+        keep(folder, f"pair-count-{shard}", np.minimum(times, 255).astype(np.uint8))
+        large = times >= 255
+        keep(folder, f"pair-large-{shard}", keys[large])
+        keep(folder, f"pair-large-count-{shard}", times[large])
+        rows.append(("stats", -1, of_counts(times).astype(np.int64).tobytes(), b"", b"", b"", b""))
+        found, total, once, twice, more = summed(context, times, (times == 1).astype(np.int64), (times == 2).astype(np.int64), (times > 2).astype(np.int64))
+        rows += cut("context", (found >> np.uint64(40 - bits)).astype(np.int64), (found, pack5), (total, whole(np.uint64)), *((x, whole(np.uint32)) for x in (once, twice, more)))
+        found, preceded = summed(word, np.ones(len(word), np.int64))
+        rows += cut("preceded", (found >> np.uint64(40 - bits)).astype(np.int64), (found, pack5), (preceded, whole(np.uint32)))
     return pd.DataFrame(rows, columns=PARTS.names)
 
 
-def merge_words(frame: pd.DataFrame, folder: str, discounts: list[float]) -> pd.DataFrame:
-    """Merge a word shard's counts, predecessors and contexts, write them, and return its share of the sums."""
+SUMS = ["tokens", "words", "pairs", "names", "n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4"]
+
+
+def merge_words(frame: pd.DataFrame, folder: str) -> pd.DataFrame:
+    """Merge a word shard's counts, predecessors and contexts, write them, and return its share of the sums. Shard -1 holds the
+    bigram shards' counts of counts (m1 to m4)."""
     shard = int(frame["shard"].iloc[0])
+    if shard < 0:
+        return pd.DataFrame([[0] * 8 + np.sum([np.frombuffer(x, np.int64) for x in frame["a"]], 0).tolist()], columns=SUMS)
     parts = {kind: some for kind, some in frame.groupby("kind")}
 
     def joined(kind: str, column: str, read, kind_of: type) -> np.ndarray:
@@ -197,7 +210,7 @@ def merge_words(frame: pd.DataFrame, folder: str, discounts: list[float]) -> pd.
     def plain(of: type):
         return lambda x: np.frombuffer(x, of)
 
-    words, times = summed(joined("word", "a", plain(np.uint64), np.uint64), joined("word", "b", plain(np.uint32), np.int64))
+    words, times = summed(joined("word", "a", plain(np.uint64), np.uint64), joined("word", "b", plain(np.int64), np.int64))
     names, preceded = summed(joined("preceded", "a", unpack5, np.uint64), joined("preceded", "b", plain(np.uint32), np.int64))
     keep(folder, f"word-{shard}", words)
     keep(folder, f"word-count-{shard}", times)
@@ -206,18 +219,21 @@ def merge_words(frame: pd.DataFrame, folder: str, discounts: list[float]) -> pd.
     contexts, total, once, twice, more = summed(joined("context", "a", unpack5, np.uint64), joined("context", "b", plain(np.uint64), np.int64), *(joined("context", c, plain(np.uint32), np.int64) for c in "cde"))
     keep(folder, f"context-{shard}", contexts)
     keep(folder, f"context-total-{shard}", total)
-    keep(folder, f"context-spare-{shard}", (discounts[0] * once + discounts[1] * twice + discounts[2] * more) / np.maximum(total, 1))
+    for name, counts in (("once", once), ("twice", twice), ("more", more)):
+        keep(folder, f"context-{name}-{shard}", counts.astype(np.uint32))
     ones, twos, threes, fours = map(int, of_counts(preceded))
-    return pd.DataFrame({"tokens": [int(times.sum())], "words": [len(words)], "pairs": [int(preceded.sum())], "names": [len(names)], "n1": [ones], "n2": [twos], "n3": [threes], "n4": [fours]})
+    return pd.DataFrame([[int(times.sum()), len(words), int(preceded.sum()), len(names), ones, twos, threes, fours, 0, 0, 0, 0]], columns=SUMS)
 
 
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """The modified Kneser-Ney discounts of counts 1, 2, and 3 or more; where counts of counts are missing, 0.5, 1 and 1.5."""
-    if not (n1 and n2 and n3 and n4):
-        return [0.5, 1.0, 1.5]
-    y = n1 / (n1 + 2 * n2)
-    raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return [min(max(d, 0.0), k) for k, d in enumerate(raw, 1)]
+    """The modified Kneser-Ney discounts of counts 1, 2, and 3 or more; 0.5, 1 and 1.5 where the counts of counts give none that
+    are above 0 and below the count, as in tiny corpora."""
+    if n1 and n2 and n3 and n4:
+        y = n1 / (n1 + 2 * n2)
+        found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        if all(0 < d < k for k, d in enumerate(found, 1)):
+            return found
+    return [0.5, 1.0, 1.5]
 
 
 class Model:
@@ -268,8 +284,8 @@ class Model:
         lower = self.floor + (preceded - self.discount(preceded, self.low)) / max(self.sums["pairs"], 1)
         base = np.log10((times + 0.5) / (self.sums["tokens"] + 0.5 * (self.sums["words"] + 1)))
         contexts, of_context = np.unique(before(numbers) >> LOW, return_inverse=True)
-        total, spare = self.look_up(contexts, 40, "context", ["context-total", "context-spare"])
-        spare = np.where(total > 0, spare, 1.0)
+        total, *held = self.look_up(contexts, 40, "context", ["context-total", "context-once", "context-twice", "context-more"])
+        spare = np.where(total > 0, sum(d * n for d, n in zip(self.high, held, strict=True)) / np.maximum(total, 1), 1.0)
         keys = pair(contexts[of_context], names[which])
         order = np.argsort(keys)
         met = np.empty(len(keys))
@@ -297,20 +313,14 @@ def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Model:
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         return merge_pairs(frame, folder, bits)
 
-    parts = scratch.write(texts.select(text).mapInArrow(counted, SCHEMA), "parts", partition_by=["kind"])
-    known = scratch.write(parts.filter("kind = 'pair'").groupBy("shard").applyInPandas(pairs, SCHEMA), "known", partition_by=["kind"])
-    stats = [np.frombuffer(r.a, np.int64) for r in known.filter("kind = 'stats'").select("a").collect()]
-    high = discounts_of(*map(int, np.sum(stats, 0))) if stats else discounts_of(0, 0, 0, 0)
-
     def words(frame: pd.DataFrame) -> pd.DataFrame:
-        return merge_words(frame, folder, high)
-
-    dealt = parts.filter("kind = 'word'").unionByName(known.filter("kind <> 'stats'"))
-    sums = dealt.groupBy("shard").applyInPandas(words, "tokens long, words long, pairs long, names long, n1 long, n2 long, n3 long, n4 long")
-    totals = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns)).first().asDict()
-    scratch.drop("parts")
-    scratch.drop("known")
-    return Model(folder, bits, high, discounts_of(totals["n1"], totals["n2"], totals["n3"], totals["n4"]), totals)
+        return merge_words(frame, folder)
+
+    merged = texts.select(text).mapInArrow(counted, SCHEMA).groupBy("shard").applyInPandas(pairs, SCHEMA)
+    sums = merged.groupBy("shard").applyInPandas(words, ", ".join(f"{c} long" for c in SUMS))
+    totals = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS)).first().asDict()
+    high, low = (discounts_of(*(totals[f"{c}{k}"] for k in range(1, 5))) for c in "mn")
+    return Model(folder, bits, high, low, totals)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
