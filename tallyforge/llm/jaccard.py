@@ -222,15 +222,17 @@ def join_region(frame: pd.DataFrame, width: int, share: int) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[linked], "b": ids[roots[linked]]})
 
 
-def voronoi(large: DataFrame, width: int, share: int) -> DataFrame:
+def voronoi(large: DataFrame, scratch: Scratch, width: int, share: int) -> DataFrame:
     """Rows of large families (family, doc_id, text, m), each in its nearest pivot's region as native and in all others that the
     window reaches as copy: (family, region, chunk, native, doc_id, text). Pivots are chosen by a hash, one for about REGION
     documents; natives go to every chunk of their region, copies to one."""
+    large = scratch.write(large, "large")
     turn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
     pivots = large.filter(turn * F.col("m") < F.lit(1_000_000 * 2) * F.ceil(F.col("m") / REGION)).select("family", F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
     block = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.ceil(F.col("m") / 500))
-    blocks = large.select("family", F.ceil(F.col("m") / 500).alias("blocks")).distinct()
-    copied = pivots.join(blocks, "family").select("family", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "pivot", "pivot_text")
+    blocks = large.select(F.col("family").alias("of"), F.ceil(F.col("m") / 500).alias("blocks")).distinct()
+    copied = pivots.join(blocks, F.col("family") == F.col("of")).select("family", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "pivot", "pivot_text")
+    copied = scratch.write(copied, "pivots")
 
     def assign(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         right = right.sort_values("pivot", kind="stable")
@@ -276,23 +278,23 @@ def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80
     matched = usable.select("doc_id", "h1", "h2", "n").join(same, ["h1", "h2"]).filter("n = same_n AND doc_id <> first")
     copies = scratch.write(matched.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
 
-    standing = usable.join(copies.select(F.col("a").alias("doc_id")), "doc_id", "left_anti")
+    standing = usable.join(copies.select(F.col("a").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
     entries = standing.select("doc_id", F.explode("signatures").alias("signature"))
     shared = entries.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("held")).filter("held > 1")
     shared = scratch.write(shared.select("signature", "first"), "shared")
     meetings = entries.join(shared, "signature").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     families = components(meetings, scratch, "families").select(F.col("v").alias("doc_id"), F.col("root").alias("family"))
 
-    members = scratch.write(texts.join(families, "doc_id").select("family", "doc_id", "text"), "members")
+    members = scratch.write(texts.join(families.hint("merge"), "doc_id").select("family", "doc_id", "text"), "members")
     sizes = scratch.write(members.groupBy("family").agg(F.count("*").alias("m")).filter(F.col("m") > REGION), "sizes")
     small = members.join(sizes, "family", "left_anti").select("family", F.lit(0).cast("long").alias("region"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("native"), "doc_id", "text")
     large = members.join(sizes, "family")
-    regions = small if sizes.isEmpty() else small.unionByName(voronoi(large, width, share))
+    regions = small if sizes.isEmpty() else small.unionByName(voronoi(large, scratch, width, share))
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
         return join_region(frame, width, share)
 
     links = regions.groupBy("family", "region", "chunk").applyInPandas(linked, "a long, b long")
     roots = components(copies.unionByName(links), scratch, "linked")
-    told = described.select("doc_id", F.col("n").alias("n_shingles")).join(roots, F.col("doc_id") == F.col("v"), "left")
+    told = described.select("doc_id", F.col("n").alias("n_shingles")).join(roots.hint("merge"), F.col("doc_id") == F.col("v"), "left")
     return told.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
