@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
-from tallyforge.operators import close, journey, leg_a, leg_b, triage, verify
+from tallyforge.functions.grammar import money_spans
+from tallyforge.operators import baselines, close, grade, graph, journey, leg_a, leg_b, proposals, triage, verify
 from tallyforge.plans import twins
 from tallyforge.sources.world import world
 
 
+GOLDEN = """SELECT world_id, 'settlement' AS record_type, settlement_id AS record_id, CASE WHEN row_no % 24 IN (5, 6) THEN 'ambiguous_abstain' WHEN row_no % 24 = 15 THEN 'exception_missing_bank'
+  WHEN row_no % 24 = 17 THEN 'matched_split' WHEN row_no % 24 IN (18, 19, 20) THEN 'matched_with_discrepancy' WHEN row_no % 24 IN (22, 23) THEN 'matched_merged' ELSE 'matched' END AS expected,
+  CASE WHEN row_no % 24 = 15 THEN '' WHEN row_no % 24 = 17 THEN concat('BANK', lpad(cast(row_no * 4 as varchar(20)), 12, '0'), ';BANK', lpad(cast(row_no * 4 + 1 as varchar(20)), 12, '0'))
+  WHEN row_no % 24 IN (6, 23) THEN concat('BANK', lpad(cast((row_no - 1) * 4 as varchar(20)), 12, '0')) ELSE concat('BANK', lpad(cast(row_no * 4 as varchar(20)), 12, '0')) END AS counterparties,
+  concat('class_', lpad(cast(row_no % 24 as varchar(20)), 2, '0')) AS scenario FROM {settlements}"""
+
+
 class Results:
     """What the queries of one folder share: leg A runs once, and so does every step that others read."""
 
@@ -52,6 +60,28 @@ class Results:
         log = log.join(self.queue().select("item_id", "status"), "item_id")
         return log.withColumn("status_at_action", F.when(F.col("seq") % 5 == 0, "stale").otherwise(F.col("status"))).drop("status")
 
+    def golden(self) -> DataFrame:
+        """The answers that the scenario classes imply, for settlements."""
+        df = self.spark.sql(GOLDEN.format(settlements="{settlements}"), settlements=self.world.settlements)
+        return df.withColumn("counterparties", F.filter(F.split("counterparties", ";"), lambda x: x != ""))
+
+    def graded(self, name: str) -> DataFrame:
+        made = {"engine": self.leg_a, "naive": self.naive, "reference": self.reference_baseline}[name]
+        return self.once(f"graded_{name}", lambda: grade.graded(self.golden(), made()))
+
+    def naive(self) -> DataFrame:
+        return self.once("naive", lambda: baselines.naive(self.world.settlements, self.world.bank_rows, self.world.store))
+
+    def reference_baseline(self) -> DataFrame:
+        return self.once("by_reference", lambda: baselines.reference_then_amount(self.world.settlements, self.world.bank_rows, self.world.store))
+
+    def open_items(self) -> tuple[proposals.View, DataFrame, DataFrame]:
+        """What the matcher left to people: items of settlements and credits, and the records that it has claimed."""
+        view = proposals.View(self.world.settlements, self.world.bank_rows)
+        left = self.queue().filter("source = 'recon_leg_a' AND status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')")
+        done = self.leg_a().filter("kind = 'match' AND confidence <> 'needs_review'").select("world_id", F.explode(F.concat("settlement_ids", "bank_txn_ids")).alias("record_id"))
+        return view, left.select("world_id", "item_id", "record_ids"), done
+
     def overlay(self) -> DataFrame:
         return close.overlay(self.queue(), close.fold_actions(self.actions()))
 
@@ -247,8 +277,61 @@ def _close() -> dict[str, Query]:
     }
 
 
+def _evaluation() -> dict[str, Query]:
+    graded = f"""SELECT g.*, coalesce(a.status, 'unreported') AS got, coalesce(a.status = g.expected AND CASE WHEN g.expected IN {twins.FAMILY} THEN array_to_string(list_sort(a.tids), ';') = g.counterparties
+  WHEN g.expected = 'ambiguous_abstain' THEN contains(';' || a.candidates || ';', ';' || g.counterparties || ';') ELSE true END, false) AS correct,
+  coalesce(a.status IN {twins.FAMILY}, false) AS is_match, coalesce(a.status IN {twins.FAMILY} AND a.confidence IN ('exact', 'high', 'medium'), false) AS auto
+  FROM ({GOLDEN.format(settlements="settlements")}) g LEFT JOIN (SELECT sid, status, tids, candidates, confidence FROM (SELECT unnest(sids) AS sid, status, tids, candidates, confidence, pass_name FROM leg_a)
+  QUALIFY row_number() OVER (PARTITION BY sid ORDER BY pass_name, status) = 1) a ON g.record_id = a.sid"""
+    due = f"expected IN {twins.FAMILY}"
+    counts = f"""count(*) AS n_rows, count(*) FILTER ({due}) AS matchable, count(*) FILTER ({due} AND correct) AS tp, count(*) FILTER (is_match AND NOT ({due} AND correct)) AS fp, count(*) FILTER ({due} AND NOT correct) AS fn,
+  count(*) FILTER (correct) AS n_correct, count(*) FILTER (expected = 'ambiguous_abstain') AS ambiguous, count(*) FILTER (expected = 'ambiguous_abstain' AND correct) AS abstained, count(*) FILTER (auto) AS auto_resolved"""
+
+    def scenario(r: Results) -> DataFrame:
+        return grade.summary(r.graded("engine"), "scenario")
+
+    def baseline(name: str) -> Query:
+        return (lambda r: grade.summary(r.graded(name), "scenario")), ""
+
+    def linked(r: Results) -> DataFrame:
+        d = r.leg_a()
+        edges = d.select(F.explode("settlement_ids").alias("a"), "bank_txn_ids", "candidates").select("a", F.explode(F.concat("bank_txn_ids", F.transform("candidates", lambda x: x["record_id"]))).alias("b")).filter("b <> ''")
+        return graph.components(edges, r.world.store)
+
+    def solved(r: Results) -> DataFrame:
+        view, items, done = r.open_items()
+        told = proposals.solve(view, items, done, r.world.store)
+        return told.withColumns({c: F.array_join(c, ";") for c in ("settlement_ids", "bank_row_ids")})
+
+    def checked(r: Results) -> DataFrame:
+        view, items, done = r.open_items()
+        found = r.once("explanations", lambda: proposals.explanations(view, items, done))
+        return proposals.verify(view, found, done, r.world.store)
+
+    def figures(r: Results) -> DataFrame:
+        text = F.concat(F.lit("paid Rs."), X.rupees(F.col("amount_paise")), F.lit("/- fee 5% on 12/05/2025 ref A"), F.col("order_id"))
+        return r.world.order_book.select("order_id", F.array_join(F.transform(money_spans(text), lambda x: x["paise"].cast("string")), ";").alias("figures"))
+
+    edges = """SELECT x.a, y.b FROM (SELECT unnest(sids) AS a, list_concat(tids, string_split(candidates, ';')) AS bs FROM leg_a) x, LATERAL (SELECT unnest(x.bs) AS b) y WHERE y.b <> ''"""
+    return {
+        "golden": (lambda r: r.golden().withColumn("counterparties", F.array_join("counterparties", ";")), GOLDEN.format(settlements="settlements")),
+        "grade_leg_a": (lambda r: grade.summary(r.graded("engine")), f"SELECT {counts} FROM ({graded})"),
+        "grade_leg_a_by_scenario": (scenario, f"SELECT scenario, {counts} FROM ({graded}) GROUP BY ALL"),
+        "grade_scenario_and_exception_sets": (lambda r: grade.scenario_table(r.graded("engine")), f"SELECT 'scenario' AS kind, scenario AS name, count(*) AS n, count(*) FILTER (correct) AS n_correct FROM ({graded}) GROUP BY ALL UNION ALL SELECT 'exception', expected, count(*), count(*) FILTER (correct) FROM ({graded}) WHERE expected NOT IN {twins.FAMILY} GROUP BY ALL"),
+        "grade_categories": (lambda r: grade.categories(r.graded("engine")), f"SELECT scenario, count(*) FILTER (auto AND correct) AS auto_correct, count(*) FILTER (auto AND NOT correct) AS auto_wrong, count(*) FILTER (NOT auto AND expected NOT IN {twins.FAMILY}) AS rightly_left, count(*) FILTER (NOT auto AND {due}) AS wrongly_left FROM ({graded}) GROUP BY ALL"),
+        "baseline_naive": (lambda r: flat_decisions(r.naive()), ""),
+        "baseline_reference_then_amount": (lambda r: flat_decisions(r.reference_baseline()), ""),
+        "grade_baseline_naive": baseline("naive"),
+        "grade_baseline_reference": baseline("reference"),
+        "components": (linked, f"WITH RECURSIVE e AS ({edges}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, x.b FROM reach r JOIN both_ways x ON r.other = x.a) SELECT id, min(other) AS component FROM reach GROUP BY ALL"),
+        "solver": (solved, ""),
+        "verify_proposals": (checked, ""),
+        "money_figures": (figures, "SELECT order_id, amount_paise::VARCHAR AS figures FROM order_book"),
+    }
+
+
 def registered() -> dict[str, Query]:
-    return _world() | _scalars() | _leg_a() | _leg_b() | _close()
+    return _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
 
 
 #: Columns of type date; results show them as ISO text, which both engines write alike.

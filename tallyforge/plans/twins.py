@@ -159,4 +159,6 @@ def queue() -> dict[str, str]:
 def sql(query: str) -> str:
     """A query over the derived worlds and all named queries that it reaches."""
     named = tables_sql("duckdb") | leg_a() | leg_b() | journeys() | queue()
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in named.items()) + "\n" + query
+    clauses = ",\n".join(f"{n} AS ({q})" for n, q in named.items())
+    more = "WITH RECURSIVE "
+    return f"{more}{clauses},\n{query[len(more):]}" if query.startswith(more) else f"WITH {clauses}\n{query}"
