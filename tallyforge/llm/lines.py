@@ -65,7 +65,7 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Take in (h1, h2, docs, last), one row per line of the batch."""
         if any(self.levels):
-            seen = self.runs().select(*KEY)
+            seen = self.runs().select(*KEY).hint("merge")
             self.repeats.append(self._write("again", batch.join(seen, KEY, "left_semi"))[1])
             batch = batch.join(seen, KEY, "left_anti")
         self._settle(0, self._write("run", batch))
@@ -89,7 +89,7 @@ class LineRuns:
         if not self.repeats:
             return runs.filter(enough)
         again = reduce(DataFrame.unionByName, self.repeats)
-        names = again.select(*KEY).distinct()
+        names = again.select(*KEY).distinct().hint("merge")
         first = runs.join(names, KEY, "left_semi")
         total = first.unionByName(again).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
         return total.filter(enough).unionByName(runs.filter(enough).join(names, KEY, "left_anti"))
@@ -116,10 +116,10 @@ def dedup_lines(documents: DataFrame, scratch: Scratch, shortest: int = 40, leas
     and keep alike. A row without an id is not counted and loses nothing. Columns already named like the added ones are replaced.
     """
     held, frequent = frequent_lines(documents, shortest, least, scratch)
-    lost = held.join(frequent.select(*KEY, "last"), KEY).filter(F.col("doc_id") != F.col("last"))
+    lost = held.join(frequent.select(*KEY, "last").hint("merge"), KEY).filter(F.col("doc_id") != F.col("last"))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct(*KEY)).alias("lost"))
     lost = scratch.write(lost, "lost")
-    joined = documents.drop("n_lines", "n_dropped", "lost", "lost_id").join(lost, F.col("doc_id") == F.col("lost_id"), "left")
+    joined = documents.drop("n_lines", "n_dropped", "lost", "lost_id").join(lost.hint("merge"), F.col("doc_id") == F.col("lost_id"), "left")
 
     def stays(line: Column) -> Column:
         h1, h2 = hashes(line_key(line))
@@ -144,7 +144,9 @@ WITH lines AS (
   FROM documents),
 keyed AS (
   SELECT doc_id, line, pos,
-         translate(regexp_replace(regexp_replace(line, '^[ 	-]+', ''), '[ 	-]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+         translate(regexp_replace(regexp_replace(line, '^[ 	-
+]+', ''), '[ 	-
+]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM lines),
 frequent AS (
   SELECT k, max(doc_id) AS last FROM (SELECT DISTINCT k, doc_id FROM keyed WHERE length(k) >= 40) GROUP BY k HAVING count(*) >= 5),
