@@ -5,7 +5,7 @@ import sys
 import pytest
 
 ROOT = str(pathlib.Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, str(pathlib.Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
 
