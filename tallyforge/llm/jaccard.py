@@ -6,7 +6,9 @@
    part, the Jaccard distance is a metric again, and the pivots there are the contents that occur. Two linked sets differ in at
    most D shingles, so with more than D parts that hold shingles, in at least one part their distance is 0: both lie in the region
    of the same pivot. k follows from a ring of sizes; a set near the upper edge of its ring also enters the next one (the window
-   that the distance to the universe itself requires).
+   that the distance to the universe itself requires). Shingles that many documents share (found on a bounded sample; any choice
+   gives the same links) have parts of their own, which only sets without enough other shingles enter: else passages that
+   many documents quote would draw all of these into one region.
 3. Regions with a document in common are joined to families. No link leaves a family.
 4. A large family is split by pivots from its own documents. Each document belongs to its nearest pivot's region and is copied to
    every other region whose pivot is at most two radii farther, which is where the triangle inequality allows links.
@@ -28,11 +30,13 @@ from tallyforge.llm.common import Scratch
 from tallyforge.llm.components import components
 
 #: Documents of a family that one task joins; larger families are split.
-REGION = 3000
+REGION = 6000
 #: Pivots of a recursive split in a task, and the size below which a region is joined directly.
 PIVOTS, LEAF = 8, 256
 #: Ratio of the sizes of a ring.
-RING = 2**0.5
+RING = 1.25
+#: A shingle is common if so many of about so many sampled documents hold it; at most so many, the commonest, are told apart.
+HELD, SAMPLE, MOST_COMMON = 2, 8000, 500_000
 #: Remembered words a worker.
 MEMORY = 200_000
 
@@ -86,33 +90,65 @@ def ring_of(n: int) -> int:
     return int(np.floor(np.log(n) / np.log(RING) + 1e-9))
 
 
-def signatures(found: np.ndarray, share: int) -> np.ndarray:
-    """Numbers of the first regions that a set lies in: one for each part of the universe that holds shingles of it, in each ring
-    that it enters. A set with too few such parts enters the regions of empty parts too; see ``signatures_of_ring``."""
+def signatures(found: np.ndarray, share: int, common: np.ndarray) -> np.ndarray:
+    """Numbers of the first regions that a set lies in, in each ring that it enters; see ``signatures_of_ring``."""
     n = len(found)
     if 100 * n < share * (n + 1):
         return np.zeros(0, np.uint64)  # no other set can be near enough
+    is_common = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(n, bool)
     rings = range(ring_of(n), ring_of(n * 100 // share) + 1)
-    return np.concatenate([signatures_of_ring(found, ring, share) for ring in rings])
+    return np.concatenate([signatures_of_ring(found[~is_common], found[is_common], ring, share) for ring in rings])
 
 
-def signatures_of_ring(found: np.ndarray, ring: int, share: int) -> np.ndarray:
-    """Linked sets in a ring differ in at most D shingles. If either has more than D parts with shingles, one of these is the same
-    in both. If neither has, both enter the empty parts too, and one of all k > D parts is the same in both."""
-    top = int(np.ceil(RING ** (ring + 1)))
-    apart = most_apart(top, top, share)
-    k = apart + 2 + apart // 20
+def parts_of(found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the parts, of k, that hold some of the sorted shingles, and a hash of what each holds."""
+    if not len(found):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     part = ((found >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # rises with the hash, so parts are runs of the sorted set
     starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    content = np.add.reduceat(mixed(found ^ A), starts)
-    parts = part[starts]
+    return part[starts], np.add.reduceat(mixed(found ^ A), starts)
+
+
+def signatures_of_ring(rare: np.ndarray, common: np.ndarray, ring: int, share: int) -> np.ndarray:
+    """Linked sets in a ring differ in at most D shingles, so they agree in all but D parts. A set with more than D parts that hold
+    rare shingles enters the regions of these only: one of them is the same in any set linked with it, which then enters it too. Any
+    other set also enters those of its common parts, and one with D filled parts or less those of its empty parts as well: if
+    both sets are such, one of all the parts is the same in both and entered by both."""
+    top = int(np.ceil(RING ** (ring + 1)))
+    apart = most_apart(top, top, share)
+    k = apart + 2 + apart // 30
+    parts, content = parts_of(rare, k)
     if len(parts) <= apart:
-        empty = np.setdiff1d(np.arange(k, dtype=np.uint64), parts)
-        parts, content = np.append(parts, empty), np.append(content, np.zeros(len(empty), np.uint64))
+        more, held = parts_of(common, k)
+        parts, content = np.append(parts, more + np.uint64(k)), np.append(content, held)
+        if len(parts) <= apart:
+            empty = np.setdiff1d(np.arange(2 * k, dtype=np.uint64), parts)
+            parts, content = np.append(parts, empty), np.append(content, np.zeros(len(empty), np.uint64))
     return mixed(content + mixed(parts * B + np.full(1, ring, np.uint64) * C))
 
 
-def _describe(batches: Iterator[pa.RecordBatch], width: int, share: int) -> Iterator[pa.RecordBatch]:
+def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_shingles.of(t, width).astype(np.int64) for t in batch.column(0).to_pylist()]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["shingles"])
+
+
+def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles that at least HELD of about SAMPLE documents hold, chosen by a hash of doc_id. The table that
+    reaches the driver has MOST_COMMON rows at most."""
+    n = documents.count()
+    taken = documents.filter(F.pmod(F.xxhash64("doc_id", F.lit(12)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, n)))).select("text")
+
+    def listed(batches):
+        return _listed(batches, width)
+
+    counted = taken.mapInArrow(listed, "shingles array<long>").select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") >= HELD)
+    top = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toPandas()["h"]
+    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+
+
+def _describe(batches: Iterator[pa.RecordBatch], width: int, share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
@@ -122,22 +158,39 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, share: int) -> Iter
                 sizes.append(len(found))
                 h1.append(int(mixed(found).sum().astype(np.int64)) if len(found) else 0)
                 h2.append(int(mixed(found ^ C).sum().astype(np.int64)) if len(found) else 0)
-                all_signatures.append(signatures(found, share).astype(np.int64) if len(found) else np.zeros(0, np.int64))
+                all_signatures.append(signatures(found, share, common).astype(np.int64) if len(found) else np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, all_signatures)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_signatures)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "signatures"])
 
 
 class Region:
-    """Sets of a region, with the components that links have made so far."""
+    """Sets of a region, with the components that links have made so far. Shingles are numbered from the region's rarest on, and each
+    set lists its own in that order."""
 
     def __init__(self, sets: list[np.ndarray], share: int):
         self.share = share
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.starts = np.cumsum([0, *self.sizes])
-        names, self.members = np.unique(np.concatenate(sets), return_inverse=True)
-        self.mark = np.zeros(len(names), np.int64)
+        _, names, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(held), np.int64)
+        rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+        of_set = np.repeat(np.arange(len(sets)), self.sizes)
+        self.members = np.sort(of_set * len(held) + rank[names]) - of_set * len(held)
+        self.mark = np.zeros(len(held), np.int64)
         self.parent = np.arange(len(sets))
+        prefix = self.sizes - -(-share * self.sizes // 100) + 1
+        first = np.arange(len(of_set)) - self.starts[:-1][of_set] < prefix[of_set]
+        order = np.argsort(self.members[first], kind="stable")
+        self.holders = of_set[first][order]
+        self.held_from = np.searchsorted(self.members[first][order], np.arange(len(held) + 1))
+        self.prefix = prefix
+
+    def candidates(self, i: int) -> np.ndarray:
+        """The sets whose rarest shingles, as many as a linked set may lack and one more, meet those of set i. All linked ones do."""
+        own = self.members[self.starts[i] : self.starts[i] + self.prefix[i]]
+        found = [self.holders[a:b] for a, b in zip(self.held_from[own], self.held_from[own + 1], strict=True) if b - a > 1]
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -187,23 +240,20 @@ class Region:
                 self.join(inside[region], natives & np.isin(np.arange(len(natives)), inside[region[nearest[region] == k]]), depth + 1)
 
     def leaf(self, inside: np.ndarray, natives: np.ndarray, apart: np.ndarray) -> None:
-        """Compare each native with what size, pivots and components leave open."""
-        order = np.argsort(self.sizes[inside], kind="stable")
-        inside, apart = inside[order], apart[:, order]
-        sizes, radius = self.sizes[inside], 1 - self.share / 100 + 1e-9
+        """Compare each native with the candidates that size, pivots and components leave open."""
+        place = np.full(len(self.sizes), -1)
+        place[inside] = np.arange(len(inside))
+        radius = 1 - self.share / 100 + 1e-9
         for x, i in enumerate(inside):
             if not natives[i]:
                 continue
-            first = np.searchsorted(sizes * 100, sizes[x] * self.share)
-            last = np.searchsorted(sizes * self.share, sizes[x] * 100, "right")
-            others = np.arange(first, last)
-            others = others[(others > x) | ~natives[inside[others]]]
+            others = self.candidates(i)
+            others = others[(place[others] >= 0) & ((others > i) | ~natives[others]) & (others != i)]
+            others = others[(self.sizes[others] * 100 >= self.sizes[i] * self.share) & (self.sizes[others] * self.share <= self.sizes[i] * 100)]
             if len(apart) and len(others):
-                others = others[(np.abs(apart[:, others] - apart[:, x : x + 1]) <= radius).all(0)]
-            if not len(others):
-                continue
-            others = inside[others]
-            others = others[self.roots()[others] != self.root(i)]
+                others = others[(np.abs(apart[:, place[others]] - apart[:, x : x + 1]) <= radius).all(0)]
+            if len(others):
+                others = others[self.roots()[others] != self.root(i)]
             if len(others):
                 self.distances(i, others)
 
@@ -268,8 +318,10 @@ def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80
     """
     texts = documents.select("doc_id", "text")
 
+    common = documents.sparkSession.sparkContext.broadcast(common_shingles(texts, width))
+
     def describe(batches):
-        return _describe(batches, width, share)
+        return _describe(batches, width, share, common.value)
 
     described = scratch.write(texts.mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, signatures array<long>"), "described")
     usable = described.filter("n > 0 AND doc_id IS NOT NULL")

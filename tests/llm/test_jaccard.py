@@ -63,15 +63,17 @@ def test_odd_rows(spark, corpus, nothing):
     assert jaccard.link(nothing, Scratch(spark, "t"), 3, 90).collect() == []
 
 
-def test_signatures_meet():
-    """Linked sets always share a signature."""
+@pytest.mark.parametrize("part", [0, 0.3, 0.7, 0.85, 1])
+def test_signatures_meet(part):
+    """Linked sets always share a signature, whatever part of their shingles is common."""
     draw = np.random.default_rng(4)
     for share in (80, 90):
         for n in [*range(4, 60), 100, 500, 3000]:
             base = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+            common = np.sort(base[draw.random(len(base)) < part])
             for gone in range(0, n // 4 + 1, max(1, n // 40)):
                 for new in range(0, n // 4 + 1, max(1, n // 40)):
                     both = len(base) - gone
                     if gone + new and 100 * both >= share * (len(base) + new):
                         other = np.unique(np.append(draw.permutation(base)[gone:], draw.integers(0, 2**63, new).astype(np.uint64)))
-                        assert np.intersect1d(jaccard.signatures(base, share), jaccard.signatures(other, share)).size
+                        assert np.intersect1d(jaccard.signatures(base, share, common), jaccard.signatures(other, share, common)).size

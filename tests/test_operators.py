@@ -162,7 +162,7 @@ def layout(**change):
 @pytest.mark.parametrize(
     ("change", "edit", "codes"),
     [
-        ({}, {}, set()), ({"columns": {"date": 0, "narration": 1, "debit": 3, "credit": 2, "balance": 4}}, {}, {"E_BALANCE_CHAIN_BREAK", "E_CLOSING_MISMATCH"}),
+        ({}, {}, set()), ({"columns": {"date": 0, "narration": 1, "debit": 3, "credit": 2, "balance": 4}}, {}, {"E_BALANCE_CHAIN_BREAK"}),
         ({}, {(3, 4): "1,301.00 Cr"}, {"E_BALANCE_CHAIN_BREAK"}), ({"periods": [{"opening_row": 1, "closing_row": 7, "transaction_rows": [2, 4, 6]}], "noise_rows": [5, 3], "reversal_pairs": []}, {}, {"E_BALANCE_CHAIN_BREAK", "E_TRANSACTION_LIKE_NOISE"}),
         ({"noise_rows": [5, 6]}, {}, {"E_ROW_DOUBLE_CLASSIFIED"}), ({"noise_rows": []}, {}, {"E_ROW_UNCLASSIFIED"}), ({"noise_rows": [5, 99]}, {}, {"E_ROW_RANGE"}), ({"columns": {"date": 0, "narration": 1, "debit": 2, "credit": 2, "balance": 9}}, {}, {"E_COLUMN_RANGE", "E_COLUMN_COLLISION"}),
         ({"reversal_pairs": [(2, 3)]}, {}, {"E_REVERSAL_PAIR"}), ({}, {(2, 0): "2025"}, {"E_DATE_PARSE"}), ({}, {(3, 0): "31-03-2025"}, {"E_DATE_ORDER"}), ({}, {(2, 2): "1.00"}, {"E_BOTH_SIDES", "E_BALANCE_CHAIN_BREAK"}),
