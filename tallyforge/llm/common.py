@@ -32,10 +32,12 @@ class Scratch:
             base = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.written: list[str] = []
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet under ``name`` (which must be new) and read it back."""
         path = f"{self.root}/{name}"
+        self.written.append(name)
         writer = df.write.mode("errorifexists").option("parquet.block.size", 16 << 20)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -46,6 +48,13 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def tidy(self, *kept: str) -> None:
+        """Delete all tables but those whose names start with one of ``kept``."""
+        for name in self.written:
+            if not name.startswith(kept):
+                self.drop(name)
+        self.written = [name for name in self.written if name.startswith(kept)]
+
     def posix(self, name: str) -> str:
         """The folder ``name`` as a path that workers can open and map; the shared folder must be mounted for that."""
         root = self.root

@@ -9,7 +9,8 @@
    that the distance to the universe itself requires). Shingles that many documents share (found on a bounded sample; any choice
    gives the same links) have parts of their own, which only sets without enough other shingles enter: else passages that
    many documents quote would draw all of these into one region.
-3. Regions with a document in common are joined to families. No link leaves a family.
+3. Regions with a document in common are joined to families. No link leaves a family. For this, pairs of signature and set are sorted
+   by range once, so that no signature, however frequent, needs a task of its own, and equal sets count as one.
 4. A large family is split by pivots from its own documents. Each document belongs to its nearest pivot's region and is copied to
    every other region whose pivot is at most two radii farther, which is where the triangle inequality allows links.
 5. In a region the same is done recursively, and pieces that no longer shrink are joined exactly, with the distances to the pivots
@@ -149,21 +150,56 @@ def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], width: int, share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each text. Of equal sets that a task meets, one lists its signatures."""
+    seen: set[tuple[int, int]] = set()
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
             sizes, h1, h2, all_signatures = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = _shingles.of(text, width)
                 sizes.append(len(found))
                 h1.append(int(mixed(found).sum().astype(np.int64)) if len(found) else 0)
                 h2.append(int(mixed(found ^ C).sum().astype(np.int64)) if len(found) else 0)
-                all_signatures.append(signatures(found, share, common).astype(np.int64) if len(found) else np.zeros(0, np.int64))
+                if not len(found) or doc_id is None or (h1[-1], h2[-1]) in seen:
+                    all_signatures.append(np.zeros(0, np.int64))
+                    continue
+                if len(seen) >= MEMORY:
+                    seen.clear()
+                seen.add((h1[-1], h2[-1]))
+                all_signatures.append(signatures(found, share, common).astype(np.int64))
             offsets = np.cumsum([0, *map(len, all_signatures)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(all_signatures)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "signatures"])
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(signature, a, b) of a partition's sorted rows (signature, set): each set with the first that has its signature here. The
+    partition's first and last signature may go on in its neighbours; the first sets of these are told as a = b, with the signature."""
+
+    def told(signatures: list[int] | None, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        named = pa.nulls(len(a), pa.int64()) if signatures is None else pa.array(signatures, pa.int64())
+        return pa.RecordBatch.from_arrays([named, pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["signature", "a", "b"])
+
+    last = first = None
+    for batch in batches:
+        signature, sets = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        if not len(signature):
+            continue
+        starts = np.append(True, signature[1:] != signature[:-1])
+        firsts = sets[starts]
+        if last is None:
+            yield told([signature[0]], sets[:1], sets[:1])
+        elif signature[0] == last:
+            firsts[0] = first
+        heads = firsts[np.cumsum(starts) - 1]
+        linked = heads != sets
+        yield told(None, sets[linked], heads[linked])
+        last, first = signature[-1], firsts[-1]
+    if last is not None:
+        yield told([last], np.array([first]), np.array([first]))
+
+
 class Region:
     """Sets of a region, with the components that links have made so far. Shingles are numbered from the region's rarest on, and each
     set lists its own in that order."""
@@ -324,20 +360,24 @@ def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80
         return _describe(batches, width, share, common.value)
 
     described = scratch.write(texts.mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, signatures array<long>"), "described")
-    usable = described.filter("n > 0 AND doc_id IS NOT NULL")
+    order = ["signature", "a"]
+    entries = described.select(F.explode("signatures").alias("signature"), F.col("h1").alias("a")).repartitionByRange(*order).sortWithinPartitions(*order)
+    met = scratch.write(entries.mapInArrow(_meetings, "signature long, a long, b long"), "met")
+    sets = scratch.write(described.drop("signatures"), "sets")
+    scratch.drop("described")
+    ends = met.filter("a = b").select("signature", "a")
+    across = ends.join(ends.groupBy("signature").agg(F.min("a").alias("b")), "signature")
+    families = components(met.filter("a <> b").select("a", "b").unionByName(across.select("a", "b")), scratch, "families").select(F.col("v").alias("h1"), F.col("root").alias("family"))
+
+    usable = sets.filter("n > 0 AND doc_id IS NOT NULL")
     same = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
     same = scratch.write(same.select("h1", "h2", F.col("n").alias("same_n"), "first"), "same")
     matched = usable.select("doc_id", "h1", "h2", "n").join(same, ["h1", "h2"]).filter("n = same_n AND doc_id <> first")
     copies = scratch.write(matched.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
 
-    standing = usable.join(copies.select(F.col("a").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
-    entries = standing.select("doc_id", F.explode("signatures").alias("signature"))
-    shared = entries.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("held")).filter("held > 1")
-    shared = scratch.write(shared.select("signature", "first"), "shared")
-    meetings = entries.join(shared, "signature").filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    families = components(meetings, scratch, "families").select(F.col("v").alias("doc_id"), F.col("root").alias("family"))
-
-    members = scratch.write(texts.join(families.hint("merge"), "doc_id").select("family", "doc_id", "text"), "members")
+    standing = usable.select("doc_id", "h1").join(copies.select(F.col("a").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
+    placed = standing.join(families.hint("merge"), "h1").select("family", "doc_id").distinct()
+    members = scratch.write(texts.join(placed.hint("merge"), "doc_id").select("family", "doc_id", "text"), "members")
     sizes = scratch.write(members.groupBy("family").agg(F.count("*").alias("m")).filter(F.col("m") > REGION), "sizes")
     small = members.join(sizes, "family", "left_anti").select("family", F.lit(0).cast("long").alias("region"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("native"), "doc_id", "text")
     large = members.join(sizes, "family")
@@ -348,5 +388,6 @@ def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80
 
     links = regions.groupBy("family", "region", "chunk").applyInPandas(linked, "a long, b long")
     roots = components(copies.unionByName(links), scratch, "linked")
-    told = described.select("doc_id", F.col("n").alias("n_shingles")).join(roots.hint("merge"), F.col("doc_id") == F.col("v"), "left")
+    scratch.tidy("sets", "linked")
+    told = sets.select("doc_id", F.col("n").alias("n_shingles")).join(roots.hint("merge"), F.col("doc_id") == F.col("v"), "left")
     return told.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

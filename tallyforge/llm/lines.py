@@ -119,6 +119,7 @@ def dedup_lines(documents: DataFrame, scratch: Scratch, shortest: int = 40, leas
     lost = held.join(frequent.select(*KEY, "last").hint("merge"), KEY).filter(F.col("doc_id") != F.col("last"))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct(*KEY)).alias("lost"))
     lost = scratch.write(lost, "lost")
+    scratch.tidy("lost")
     joined = documents.drop("n_lines", "n_dropped", "lost", "lost_id").join(lost.hint("merge"), F.col("doc_id") == F.col("lost_id"), "left")
 
     def stays(line: Column) -> Column:
