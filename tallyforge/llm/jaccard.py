@@ -5,7 +5,7 @@
    apart. The first regions are therefore drawn in parts of the universe. Shingles are dealt into k parts by hash; restricted to a
    part, the Jaccard distance is a metric again, and the pivots there are the contents that occur. Two linked sets differ in at
    most D shingles, so with more than D parts that hold shingles, in at least one part their distance is 0: both lie in the region
-   of the same pivot. k follows from a ring of sizes; a set near the upper edge of its ring also enters the next one (the window
+   of the same pivot. k follows from a ring of sizes, so that its smallest set fills more than D parts; a set near the upper edge of its ring also enters the next one (the window
    that the distance to the universe itself requires). Shingles that many documents share (found on a bounded sample; any choice
    gives the same links) have parts of their own, which only sets without enough other shingles enter: else passages that
    many documents quote would draw all of these into one region.
@@ -20,6 +20,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -101,31 +102,43 @@ def signatures(found: np.ndarray, share: int, common: np.ndarray) -> np.ndarray:
     return np.concatenate([signatures_of_ring(found[~is_common], found[is_common], ring, share) for ring in rings])
 
 
-def parts_of(found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the parts, of k, that hold some of the sorted shingles, and a hash of what each holds."""
+@lru_cache(maxsize=1024)
+def parts_in(ring: int, share: int) -> tuple[int, int]:
+    """How much linked sets of a ring differ at most, and into how many parts they are cut: so many that the smallest set that enters
+    the ring fills more parts than that, with a margin."""
+    top, least = int(np.ceil(RING ** (ring + 1))), max(1, int(RING**ring * share / 100))
+    apart = most_apart(top, top, share)
+    wanted, k = min(apart + 1 + (apart + 1) ** 0.5, 0.93 * least), apart + 2
+    while k * (1 - np.exp(-least / k)) < wanted:
+        k += 1 + k // 50
+    return apart, k
+
+
+def parts_of(found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The numbers of the parts, of k, that hold some of the sorted shingles, a hash of what each holds, and how many."""
     if not len(found):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     part = ((found >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)  # rises with the hash, so parts are runs of the sorted set
     starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-    return part[starts], np.add.reduceat(mixed(found ^ A), starts)
+    return part[starts], np.add.reduceat(mixed(found ^ A), starts), np.diff(np.append(starts, len(found)))
 
 
 def signatures_of_ring(rare: np.ndarray, common: np.ndarray, ring: int, share: int) -> np.ndarray:
-    """Linked sets in a ring differ in at most D shingles, so they agree in all but D parts. A set with more than D parts that hold
-    rare shingles enters the regions of these only: one of them is the same in any set linked with it, which then enters it too. Any
-    other set also enters those of its common parts, and one with D filled parts or less those of its empty parts as well: if
-    both sets are such, one of all the parts is the same in both and entered by both."""
-    top = int(np.ceil(RING ** (ring + 1)))
-    apart = most_apart(top, top, share)
-    k = apart + 2 + apart // 30
-    parts, content = parts_of(rare, k)
-    if len(parts) <= apart:
-        more, held = parts_of(common, k)
-        parts, content = np.append(parts, more + np.uint64(k)), np.append(content, held)
-        if len(parts) <= apart:
-            empty = np.setdiff1d(np.arange(2 * k, dtype=np.uint64), parts)
-            parts, content = np.append(parts, empty), np.append(content, np.zeros(len(empty), np.uint64))
-    return mixed(content + mixed(parts * B + np.full(1, ring, np.uint64) * C))
+    """Linked sets in a ring differ in at most D shingles, so in at most D parts. Parts with what they hold have one order for all
+    sets: rare before common, then those that hold most. Of the first part that is the same in two linked sets, at most D filled
+    parts stand before it in either, so a set with more than D filled parts enters the regions of the first D + 1 only. A set
+    with D or less enters those of all its parts, the empty ones too: of two such sets, some part is the same in both."""
+    apart, k = parts_in(ring, share)
+    of_rare, of_common = parts_of(rare, k), parts_of(common, k)
+    parts, content, held = (np.append(x, y) for x, y in zip(of_rare, of_common, strict=True))
+    is_common = np.arange(len(parts)) >= len(of_rare[0])
+    parts = parts + is_common.astype(np.uint64) * np.uint64(k)
+    filled = len(parts)
+    if filled <= apart:
+        empty = np.setdiff1d(np.arange(2 * k, dtype=np.uint64), parts)
+        parts, content = np.append(parts, empty), np.append(content, np.zeros(len(empty), np.uint64))
+    made = mixed(content + mixed(parts * B + np.full(1, ring, np.uint64) * C))
+    return made if filled <= apart else made[np.lexsort((made, -held, is_common))[: apart + 1]]
 
 
 def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
