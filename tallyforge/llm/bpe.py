@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of each of a worker's three memories, and the longest piece that is remembered.
-MEMORY = 150_000
+MEMORY = 40_000
 LONGEST = 64
 #: Rows of an output batch, so that ids of few texts are in memory at a time.
 ROWS = 256
@@ -33,24 +33,34 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Codec:
-    """One worker's encoder and decoder."""
+class Decoder:
+    """The bytes of each id."""
 
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
         self.letters = byte_alphabet()
         of_letter = {c: b for b, c in self.letters.items()}
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.bytes_of: dict[int, bytes] = {i: bytes(map(of_letter.__getitem__, t)) for t, i in spec["model"]["vocab"].items()}
-        inside = {t[k : k + 2] for t in self.bytes_of.values() for k in range(len(t) - 1)}
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Codec(Decoder):
+    """One worker's encoder, which can also decode."""
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.library = Tokenizer.from_file(path)
+        added = self.added
+        inside = {t[k : k + 2] for i, t in self.bytes_of.items() for k in range(len(t) - 1) if i not in added.values()}
         self.forced = [bytes(bytes((a, b)) not in inside for b in range(256)) for a in range(256)]
-        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in added.items()}
-        self.added = added
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pretokens = regex.compile(PATTERN).findall
         self.unsettled = regex.compile(UNSETTLED).search
@@ -105,18 +115,15 @@ class Codec:
                 ids += known(piece) or self.pretoken(piece)
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
 
-_codecs: dict[str, Codec] = {}
+_made: dict[tuple[type, str], Decoder] = {}
 
 
-def codec(path: str) -> Codec:
-    """The worker's codec for a vocabulary file, made once a process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def made(kind: type, path: str):
+    """The worker's codec or decoder for a vocabulary file, made once a process."""
+    if (kind, path) not in _made:
+        _made[kind, path] = kind(path)
+    return _made[kind, path]
 
 
 def _mapped(df: DataFrame, source: str, target: T.StructField, each) -> DataFrame:
@@ -143,12 +150,12 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids")
     The string of an added token inside a text becomes that token, as in the library. Null and empty texts give an empty list.
     Every row is kept, repeated rows too; a column already named ``ids`` is replaced. Column names must be distinct.
     """
-    return _mapped(df, text, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), lambda x: codec(vocabulary).encode(x or ""))
+    return _mapped(df, text, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), lambda x: made(Codec, vocabulary).encode(x or ""))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``: the ids' text, special tokens kept; bytes that are not UTF-8 become U+FFFD. Null ids give an empty text."""
-    return _mapped(df, ids, T.StructField(text, T.StringType()), lambda x: codec(vocabulary).decode(x or []))
+    return _mapped(df, ids, T.StructField(text, T.StringType()), lambda x: made(Decoder, vocabulary).decode(x or []))
 
 
 def digests(documents: DataFrame, vocabulary: str) -> DataFrame:

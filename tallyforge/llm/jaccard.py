@@ -40,7 +40,7 @@ RING = 1.25
 #: A shingle is common if so many of about so many sampled documents hold it; at most so many, the commonest, are told apart.
 HELD, SAMPLE, MOST_COMMON = 2, 8000, 500_000
 #: Remembered words a worker.
-MEMORY = 200_000
+MEMORY = 50_000
 
 A, B, C, M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 

@@ -26,7 +26,7 @@ SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 ORDER = 4
 COST, EPOCHS, SMOOTHING = 0.1, 12, 1.0
 #: Remembered words a worker.
-MEMORY = 200_000
+MEMORY = 50_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
