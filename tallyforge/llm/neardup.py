@@ -1,98 +1,77 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by exact comparison in blocks.
 
-Equal vectors of a label meet by hash; one row stands for each. In every pass the standing vectors get the signs of ``BITS``
-random projections, concatenated to a number, and are sorted by label and number; each is compared with the next ``WINDOW`` in that
-order. Verified pairs of all passes are united into components. Within a component all vectors are then compared, in blocks,
-so that every link between its members is counted, however large a group of copies is.
+Equal vectors of a label meet by hash; one row stands for each. The standing vectors of a label and width are dealt into blocks by
+hash, and every pair of blocks is compared in a task of its own, so that every link is found and counted, whatever the shape of a
+group. A task passes on no links, only each vector's count and the smallest vector that links of the two blocks connect it to;
+these edges are united into components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Scratch
 from tallyforge.llm.components import components
 
-PASSES, BITS, WINDOW = 12, 63, 24
-#: Rows of a block when a component's links are counted.
+#: Rows of a block.
 BLOCK = 1000
 
 
-def directions(width: int, number: int) -> np.ndarray:
-    return np.random.default_rng(1000 + number).standard_normal((width, BITS))
-
-
-def keys(vectors: np.ndarray, number: int) -> np.ndarray:
-    signs = vectors @ directions(vectors.shape[1], number) > 0
-    return signs @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-
-
 def matrix(frame: pd.DataFrame) -> np.ndarray:
     found = np.stack(frame["embedding"].to_list()).astype(np.float64)
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each vector and pass: width, label, pass, key, vec_id, embedding."""
-    for batch in batches:
-        frame = batch.to_pandas()
-        for width, some in frame.groupby(frame["embedding"].map(len)):
-            vectors = matrix(some)
-            for number in range(PASSES):
-                made = {"width": width, "label": some["label"], "pass": number, "key": keys(vectors, number), "vec_id": some["vec_id"], "embedding": some["embedding"]}
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(made), KEYED, preserve_index=False)
-
-
-KEYED = pa.schema([("width", pa.int32()), ("label", pa.int32()), ("pass", pa.int32()), ("key", pa.int64()), ("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
-
-
-def _windows(batches: Iterator[pa.RecordBatch], least: float, window: int) -> Iterator[pa.RecordBatch]:
-    """(a, b) that unite the verified pairs of sorted rows. The last rows of a batch are seen again with the next batch."""
-    tail: pd.DataFrame | None = None
-    for batch in batches:
-        frame = batch.to_pandas()
-        if tail is not None:
-            frame = pd.concat([tail, frame], ignore_index=True)
-        tail = frame.tail(window)
-        for _, some in frame.groupby(["width", "label", "pass"], sort=False):
-            vectors, ids = matrix(some), some["vec_id"].to_numpy()
-            parent = np.arange(len(ids))
-            for step in range(1, min(window, len(ids) - 1) + 1):
-                near = np.flatnonzero(np.einsum("ij,ij->i", vectors[:-step], vectors[step:]) >= least)
-                for i in near:
-                    a, b = i, i + step
-                    while parent[a] != a:
-                        a = parent[a]
-                    while parent[b] != b:
-                        b = parent[b]
-                    parent[max(a, b)] = min(a, b)
-            linked = np.flatnonzero(parent != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[parent[linked]])], ["a", "b"])
-
-
-def _counts(frame: pd.DataFrame, least: float) -> pd.DataFrame:
+def _lowest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest id that links of a (left x right) matrix connect each id to, its own included."""
+    of_left, of_right = left.copy(), right.copy()
+    open_left, open_right = near.any(axis=1), near.any(axis=0)
+    for first in np.flatnonzero(open_left):
+        if not open_left[first]:
+            continue
+        rows, columns, new = [], [], np.array([first])
+        while len(new):
+            open_left[new] = False
+            rows.append(new)
+            met = np.flatnonzero(near[new].any(axis=0) & open_right)
+            open_right[met] = False
+            columns.append(met)
+            new = np.flatnonzero(near[:, met].any(axis=1) & open_left)
+        rows, columns = np.concatenate(rows), np.concatenate(columns)
+        of_left[rows] = of_right[columns] = min(left[rows].min(), right[columns].min())
+    return of_left, of_right
+
+
+def _met(frame: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links of two blocks, or of one with itself: vec_id, the copies near it, and the smallest id it is connected to."""
     left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+    alone = frame["i"].iloc[0] == frame["j"].iloc[0]
+    if alone:
+        right = left
     if not len(left) or not len(right):
-        return pd.DataFrame({"vec_id": left["vec_id"], "near": 0})
+        return pd.DataFrame({"vec_id": [], "near": [], "root": []})
     near = matrix(left) @ matrix(right).T >= least
-    own = left["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()[None, :]
-    return pd.DataFrame({"vec_id": left["vec_id"], "near": (near | own) @ right["copies"].to_numpy()})
-
-
-def near_duplicates(embeddings: DataFrame, scratch: Scratch, least: float = 0.98, window: int = WINDOW) -> DataFrame:
+    if alone:
+        np.fill_diagonal(near, True)
+    of_left, of_right = _lowest(near, left["vec_id"].to_numpy(), right["vec_id"].to_numpy())
+    told = pd.DataFrame({"vec_id": left["vec_id"], "near": near @ right["copies"].to_numpy(), "root": of_left})
+    if not alone:
+        told = pd.concat([told, pd.DataFrame({"vec_id": right["vec_id"], "near": left["copies"].to_numpy() @ near, "root": of_right})])
+    else:
+        told["root"] = np.minimum(of_left, of_right)
+    return told[told["near"] > 0]
+
+
+def near_duplicates(embeddings: DataFrame, scratch: Scratch, least: float = 0.98) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``embeddings`` (vec_id, embedding, label).
 
     Vectors link if they have the same label, not null, and a cosine of at least ``least``. component_id is the smallest vec_id that
     links reach, its own included; kept says that this is the row's own. Vectors that are null, empty, zero, or hold null or non-finite
     components, and rows with a null label, link with nothing. Each row counts as a vector, also where rows repeat an id. A null
-    id has no links and a null component_id, and is not kept. A pair that no pass brings within a window stays unfound
-    unless other links connect it; measured recall is in the README.
+    id has no links and a null component_id, and is not kept.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = embeddings.select("vec_id", "embedding", F.col("label").cast("int").alias("label"))
@@ -106,30 +85,22 @@ def near_duplicates(embeddings: DataFrame, scratch: Scratch, least: float = 0.98
     standing = named.filter("vec_id = first").groupBy("vec_id").agg(F.max("copies").alias("copies"))
     vectors = scratch.write(usable.groupBy("vec_id").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding")).join(standing, "vec_id"), "vectors")
 
-    def keyed(batches):
-        return _keyed(batches)
-
-    def windows(batches):
-        return _windows(batches, least, window)
-
-    schema = "width int, label int, pass int, key long, vec_id long, embedding array<float>"
-    spread = vectors.select("vec_id", "label", "embedding").mapInArrow(keyed, schema)
-    order = ["width", "label", "pass", "key", "vec_id"]
-    linked = spread.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(windows, "a long, b long")
-    roots = components(linked, scratch)
-
-    members = scratch.write(vectors.join(roots, F.col("vec_id") == F.col("v")).select("root", "vec_id", "embedding", "copies"), "members")
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    sized = members.join(scratch.write(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = sized.select("root", F.col("block").alias("i"), every.alias("j"), F.lit(0).alias("side"), "vec_id", "embedding", "copies")
-    right = sized.select("root", every.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "vec_id", "embedding", "copies")
-
-    def counts(frame: pd.DataFrame) -> pd.DataFrame:
-        return _counts(frame, least)
-
-    near = left.unionByName(right).groupBy("root", "i", "j").applyInPandas(counts, "vec_id long, near long").groupBy("vec_id").agg(F.sum("near").alias("near"))
-    told = near.join(roots, F.col("vec_id") == F.col("v")).select(F.col("vec_id").alias("first"), "near", "root")
+    whole = ["label", "width"]
+    sized = vectors.withColumn("width", F.size("embedding"))
+    sizes = scratch.write(sized.groupBy(*whole).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes")
+    sized = sized.join(sizes, whole).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    later, earlier = F.explode(F.sequence("block", F.col("blocks") - 1)), F.explode(F.sequence(F.lit(0).cast("long"), F.col("block") - 1))
+    left = sized.select(*whole, F.col("block").alias("i"), later.alias("j"), F.lit(0).alias("side"), "vec_id", "embedding", "copies")
+    right = sized.filter("block > 0").select(*whole, earlier.alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "vec_id", "embedding", "copies")
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        return _met(frame, least)
+
+    met = left.unionByName(right).groupBy(*whole, "i", "j").applyInPandas(meet, "vec_id long, near long, root long")
+    met = scratch.write(met, "met")
+    near = met.groupBy("vec_id").agg(F.sum("near").alias("near"))
+    roots = components(met.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
+    told = near.join(roots, F.col("vec_id") == F.col("v"), "left").select(F.col("vec_id").alias("first"), "near", "root")
     told = named.join(told, "first", "left").select(F.col("vec_id").alias("id"), (F.coalesce("near", "copies") - 1).alias("links"), F.coalesce("root", "first").alias("component"))
     told = told.groupBy("id").agg(F.max("links").alias("links"), F.min("component").alias("component"))
     component = F.coalesce("component", "vec_id")

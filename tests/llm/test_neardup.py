@@ -52,3 +52,22 @@ def test_null_ids_and_empty_table(spark):
     got = sorted((tuple(r) for r in neardup.near_duplicates(df, Scratch(spark, "t")).collect()), key=str)
     assert got == [(5, 0, 5, True), (None, 0, None, False)]
     assert neardup.near_duplicates(df.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def test_copies_near_one_base_only(spark):
+    """Copies at cosine 0.983 of one base are far from each other; only the base links them."""
+    draw = np.random.default_rng(5)
+    base = draw.standard_normal(64)
+    base /= np.linalg.norm(base)
+    off = draw.standard_normal((3000, 64))
+    off -= np.outer(off @ base, base)
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    copies = 0.983 * base + np.sqrt(1 - 0.983**2) * off
+    rows = [(0, base.tolist(), 1)] + [(1 + k, v.tolist(), 1 if k < 2500 else 2) for k, v in enumerate(copies)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(df, Scratch(spark, "t")).collect()}
+    held = np.array([v for _, v, lab in rows if lab == 1], np.float32).astype(float)
+    held /= np.linalg.norm(held, axis=1, keepdims=True)
+    links = (held @ held.T >= 0.98).sum(axis=1) - 1
+    assert links[0] == 2500 and np.median(links[1:]) < 10
+    assert [got[i] for i in range(2501)] == [(n, 0) for n in links]
