@@ -15,14 +15,14 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.common import Scratch
 
-#: Sample bounds: characters a language, of all languages together, of one document, and documents read a language.
-LETTERS, ALL_LETTERS, PIECE, DOCUMENTS = 30_000, 300_000, 600, 150
+#: Sample bounds: documents read a language, and pieces of a document and their characters. No bound depends on the number of languages.
+DOCUMENTS, PIECES, PIECE = 150, 6, 100
 #: Distinct letters told apart; rarer ones match nothing.
 ALPHABET = 56
 SEGMENT = 256
@@ -160,8 +160,17 @@ class Model:
         return languages, scores
 
 
-def _build(frame: pd.DataFrame, alphabet: Alphabet, most: int) -> pd.DataFrame:
-    text = " ".join(frame.sort_values("turn", kind="stable")["piece"])[:most]
+def pieces(text: Column, turn: Column) -> Column:
+    """The text whole if it is no longer than all pieces together, else one piece of each of its ``PIECES`` equal stretches, by a hash."""
+    share = lambda k: F.pmod(F.xxhash64(turn, k), F.lit(1_000_000)) / F.lit(1_000_000)
+    number = F.ceil(F.length(text) / PIECE)
+    at = lambda k: F.floor((k + share(k)) * number / PIECES) * PIECE + 1
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: text.substr(at(k).cast("int"), F.lit(PIECE)))
+    return F.when(F.length(text) <= PIECES * PIECE, text).otherwise(F.array_join(drawn, " "))
+
+
+def _build(frame: pd.DataFrame, alphabet: Alphabet) -> pd.DataFrame:
+    text = " ".join(frame.sort_values("turn", kind="stable")["piece"])
     codes = alphabet.codes(text)
     table = automaton(codes.tolist(), alphabet.width)
     return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "letters": [len(codes)], "states": [len(table)], "arcs": [table.tobytes()]})
@@ -170,21 +179,20 @@ def _build(frame: pd.DataFrame, alphabet: Alphabet, most: int) -> pd.DataFrame:
 def train(labelled: DataFrame, scratch: Scratch) -> Model:
     """Learn from (doc_id, text, lang); rows with a null text or lang are left out.
 
-    The sample is bounded: of each language about ``DOCUMENTS`` documents, chosen by a hash, a piece of each, and ``LETTERS``
-    characters in all (fewer if there are more than ten languages). There is one row per language in what reaches the driver.
+    The sample is bounded: of each language about ``DOCUMENTS`` documents, chosen by a hash, and of each document its letters if
+    they are few, else pieces from all over it. All that is drawn is used. There is one row per language in what reaches the driver.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     turn = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(6))
     drawn = rows.join(F.broadcast(counts), "lang").filter(F.pmod(turn, F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * DOCUMENTS))
-    piece = F.substring(F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " ")), 1, PIECE)
-    sample = scratch.write(drawn.select("lang", turn.alias("turn"), piece.alias("piece")), "sample")
-    languages = [r.lang for r in sample.select("lang").distinct().collect()]
+    words = drawn.select("lang", turn.alias("turn"), F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " ")).alias("words"))
+    sample = scratch.write(words.select("lang", "turn", pieces(F.col("words"), F.col("turn")).alias("piece")), "sample")
     letters = sample.select(F.explode(F.split("piece", "")).alias("c")).filter("c <> '' AND c <> ' '").groupBy("c").count()
     alphabet = Alphabet("".join(sorted(r.c for r in letters.orderBy(F.desc("count"), "c").limit(ALPHABET).collect())))
-    most = min(LETTERS, ALL_LETTERS // max(1, len(languages)))
+
     def build(frame: pd.DataFrame) -> pd.DataFrame:
-        return _build(frame, alphabet, most)
+        return _build(frame, alphabet)
 
     built = sample.groupBy("lang").applyInPandas(build, "lang string, letters long, states long, arcs binary").collect()
     return Model(alphabet, [Parser(r.lang, r.letters, np.frombuffer(r.arcs, np.int32).reshape(r.states, alphabet.width), alphabet) for r in built])

@@ -41,3 +41,25 @@ def test_languages(spark, corpus, nothing):
     empty = langid.train(nothing, Scratch(spark, "t"))
     assert {r.lang_pred for r in langid.identify(corpus, empty).collect()} == {"und"}
     assert langid.identify(nothing, model).collect() == []
+
+
+def prose(stem, seed, n):
+    draw = np.random.default_rng(seed)
+    return " ".join(f"{stem}{'abcdefgh'[draw.integers(8)]}{'ijklm'[draw.integers(5)]}{stem}" for _ in range(n))
+
+
+def test_training_reads_beyond_the_start(spark):
+    """Each language's texts open with a notice in the other."""
+    rows = [(i, prose("zu", i, 150) + " " + prose("no", 100 + i, 1500), "no") for i in range(15)] + [(50 + i, prose("no", i, 150) + " " + prose("zu", 100 + i, 1500), "zu") for i in range(15)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Scratch(spark, "t"))
+    assert model.predict([prose("no", 999, 100), prose("zu", 998, 100)])[0] == ["no", "zu"]
+
+
+def test_a_language_learns_alike_among_few_and_many(spark):
+    rows = [(100 * k + i, prose("no", 100 * k + i, 150), f"l{k:02}") for k in range(14) for i in range(60)]
+    learned = []
+    for most in (2, 14):
+        labelled = spark.createDataFrame([r for r in rows if r[2] < f"l{most:02}"], "doc_id long, text string, lang string")
+        learned.append({p.language: p.log_letters for p in langid.train(labelled, Scratch(spark, "t")).parsers})
+    assert len(learned[1]) == 14 and learned[0] == {k: learned[1][k] for k in learned[0]}
+    assert min(learned[1].values()) > np.log2(31_000)
