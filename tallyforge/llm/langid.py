@@ -9,6 +9,7 @@ an automaton together and a very long text costs no more than many short ones.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from functools import partial
 
@@ -23,15 +24,13 @@ from tallyforge.llm.common import Scratch
 
 #: Sample bounds: documents read a language, and pieces of a document and their characters. No bound depends on the number of languages.
 DOCUMENTS, PIECES, PIECE = 150, 6, 100
-#: Distinct letters told apart; rarer ones match nothing.
-ALPHABET = 56
 SEGMENT = 256
 #: Segments that step together.
 LANES = 8192
 
 
 def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions (states x width, -1 for none) of the suffix automaton of a sequence."""
+    """The suffix automaton of a sequence, packed."""
     following: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -57,15 +56,31 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.full((len(following), width), -1, np.int32)
+    return _packed(following, width)
+
+
+def _packed(following: list[dict[int, int]], width: int) -> np.ndarray:
+    """Arcs in one array, so that memory grows with the arcs and not with the alphabet. A state is a number of its own; its arc for
+    a code stands at state + code, as the state (upper 32 bits) and the one it leads to (lower). The root is 0. Unused slots hold -1."""
+    size = sum(map(len, following)) * 3 // 2 + 2
+    base, used, taken = [0] * len(following), bytearray(size), bytearray(size + width)
+    draw = random.Random(0).random
+    for state in [0, *sorted(range(1, len(following)), key=lambda x: -len(following[x]))]:
+        codes, at = following[state], 0
+        while used[at] or any(taken[at + c] for c in codes):
+            at = int(draw() * size)
+        base[state], used[at] = at, 1
+        for c in codes:
+            taken[at + c] = 1
+    slots = np.full(size + width, -1, np.int64)
     for state, arcs in enumerate(following):
         for c, to in arcs.items():
-            table[state, c] = to
-    return table
+            slots[base[state] + c] = base[state] << 32 | base[to]
+    return slots
 
 
 class Alphabet:
-    """Codes: 0 for a run of non-letters, 1 to n for the alphabet's letters, n + 1 for other letters, n + 2 for padding."""
+    """Codes: 0 for a run of non-letters, 1 to n for the letters of all samples, n + 1 for letters of none, n + 2 for padding."""
 
     def __init__(self, letters: str):
         self.letters = letters
@@ -79,7 +94,7 @@ class Alphabet:
     def table(self) -> np.ndarray:
         if self._table is None:
             code = {c: i for i, c in enumerate(self.letters, 1)}
-            self._table = np.zeros(0x110000, np.uint8)
+            self._table = np.zeros(0x110000, np.int32)
             for point in range(0x110000):
                 if (c := chr(point)).isalpha():
                     self._table[point] = code.get(c.lower(), self.other)
@@ -96,26 +111,23 @@ class Alphabet:
 
 
 class Parser:
-    """One language's automaton with steps that never fail: a missing arc leads to where the root would go, and is marked."""
+    """One language's automaton with steps that never fail: a missing arc leads to where the root would go, and counts."""
 
-    def __init__(self, language: str, letters: int, table: np.ndarray, alphabet: Alphabet):
-        self.language, self.log_letters = language, float(np.log2(max(letters, 2)))
-        table = table.copy()
-        root = np.where(table[0] >= 0, table[0], 0)
-        steps = np.where(table >= 0, table * alphabet.width, ~(root * alphabet.width)[None, :]).astype(np.int32)
-        steps[:, alphabet.padding] = np.arange(len(table), dtype=np.int32) * alphabet.width
-        self.steps = steps.ravel()
+    def __init__(self, language: str, letters: int, slots: np.ndarray, alphabet: Alphabet):
+        self.language, self.log_letters, self.padding = language, float(np.log2(max(letters, 2))), alphabet.padding
+        self.slots = slots
+        root = slots[: alphabet.width]
+        self.root = np.where(root >> 32 == 0, root & 0xFFFFFFFF, 0)
 
     def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane of (SEGMENT x lanes) codes."""
-        state = np.zeros(lanes.shape[1], np.int32)
-        count = np.ones(lanes.shape[1], np.int32)
+        """Phrases of each lane of (SEGMENT x lanes) codes. Padding stands at the end only and has no arcs."""
+        state = np.zeros(lanes.shape[1], np.int64)
+        count = 1 - (lanes == self.padding).sum(axis=0, dtype=np.int32)
         for row in lanes:
-            state += row
-            step = self.steps.take(state)
-            missed = step >> 31
-            count -= missed
-            state = step ^ missed
+            arc = self.slots.take(state + row)
+            missed = arc >> 32 != state
+            count += missed
+            state = np.where(missed, self.root.take(row), arc & 0xFFFFFFFF)
         return count
 
 
@@ -169,11 +181,15 @@ def pieces(text: Column, turn: Column) -> Column:
     return F.when(F.length(text) <= PIECES * PIECE, text).otherwise(F.array_join(drawn, " "))
 
 
+def _letters(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"letters": ["".join(sorted(c for c in set().union(*frame["piece"]) if c.isalpha()))]})
+
+
 def _build(frame: pd.DataFrame, alphabet: Alphabet) -> pd.DataFrame:
     text = " ".join(frame.sort_values("turn", kind="stable")["piece"])
     codes = alphabet.codes(text)
     table = automaton(codes.tolist(), alphabet.width)
-    return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "letters": [len(codes)], "states": [len(table)], "arcs": [table.tobytes()]})
+    return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "letters": [len(codes)], "arcs": [table.tobytes()]})
 
 
 def train(labelled: DataFrame, scratch: Scratch) -> Model:
@@ -188,14 +204,14 @@ def train(labelled: DataFrame, scratch: Scratch) -> Model:
     drawn = rows.join(F.broadcast(counts), "lang").filter(F.pmod(turn, F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * DOCUMENTS))
     words = drawn.select("lang", turn.alias("turn"), F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " ")).alias("words"))
     sample = scratch.write(words.select("lang", "turn", pieces(F.col("words"), F.col("turn")).alias("piece")), "sample")
-    letters = sample.select(F.explode(F.split("piece", "")).alias("c")).filter("c <> '' AND c <> ' '").groupBy("c").count()
-    alphabet = Alphabet("".join(sorted(r.c for r in letters.orderBy(F.desc("count"), "c").limit(ALPHABET).collect())))
+    spelled = sample.groupBy("lang").applyInPandas(_letters, "letters string").collect()
+    alphabet = Alphabet("".join(sorted(set().union(*(r.letters for r in spelled)))))
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         return _build(frame, alphabet)
 
-    built = sample.groupBy("lang").applyInPandas(build, "lang string, letters long, states long, arcs binary").collect()
-    return Model(alphabet, [Parser(r.lang, r.letters, np.frombuffer(r.arcs, np.int32).reshape(r.states, alphabet.width), alphabet) for r in built])
+    built = sample.groupBy("lang").applyInPandas(build, "lang string, letters long, arcs binary").collect()
+    return Model(alphabet, [Parser(r.lang, r.letters, np.frombuffer(r.arcs, np.int64), alphabet) for r in built])
 
 
 def _predictions(batches: Iterator[pa.RecordBatch], position: int, model) -> Iterator[pa.RecordBatch]:

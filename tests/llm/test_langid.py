@@ -63,3 +63,14 @@ def test_a_language_learns_alike_among_few_and_many(spark):
         learned.append({p.language: p.log_letters for p in langid.train(labelled, Scratch(spark, "t")).parsers})
     assert len(learned[1]) == 14 and learned[0] == {k: learned[1][k] for k in learned[0]}
     assert min(learned[1].values()) > np.log2(31_000)
+
+
+def test_every_letter_has_its_own_code(spark):
+    """Two languages of one wide script, each with hundreds of letters and none in common."""
+    draw = np.random.default_rng(8)
+    text = lambda first, n: "".join(chr(0x4E00 + first + k) for k in draw.integers(0, 400, n))
+    rows = [(i, text(0, 500), "aa") for i in range(12)] + [(50 + i, text(1000, 500), "zz") for i in range(12)]
+    rows += [(100 + i, prose("no", i, 600), "no") for i in range(30)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), Scratch(spark, "t"))
+    assert len(model.alphabet.letters) > 800
+    assert model.predict([text(0, 80), text(1000, 80), prose("no", 999, 40)])[0] == ["aa", "zz", "no"]
