@@ -148,6 +148,18 @@ def test_solver(spark, view):
     assert got["twins"][0] in ("abstain", "exception") and got["nothing"][0] == "exception"
 
 
+def test_solver_abstains_if_cut_off_without_a_hit(spark):
+    """Sums of even amounts never make an odd one, and there are too many to look at all."""
+    s = [(0, k, f"setl_{k}", 100_000 + 2 * k, f"UTIB25090000{k:04}", DAY) for k in range(70)]
+    c = [(0, 0, "t1", DAY + datetime.timedelta(2), "RZP payout", "", 500_301), (0, 1, "t2", DAY + datetime.timedelta(2), "RZP payout", "", 7)]
+    settlements = spark.createDataFrame(s, "world_id long, row_no long, settlement_id string, amount_paise long, utr string, created date")
+    rows = spark.createDataFrame(c, "world_id long, row_no long, txn_id string, value_date date, narration string, ref_no string, credit_paise long")
+    items = spark.createDataFrame([(0, "cut", ["t1"]), (0, "whole", ["t2"])], "world_id long, item_id string, record_ids array<string>")
+    view, none = proposals.View(settlements, rows), spark.createDataFrame([], CLAIMED)
+    assert {r.item_id: r.verdict for r in proposals.solve(view, items, none, Store(spark)).collect()} == {"cut": "abstain", "whole": "exception"}
+    assert proposals.explanations(view, items, none).count() == 0
+
+
 GRID = [
     ["Date", "Narration", "Dr", "Cr", "Balance"], ["", "OPENING", "", "", "1,000.00 Cr"], ["01-04-2025", "NEFT/ABC123/x", "", "500.00", "1,500.00 Cr"], ["02-04-2025", "NEFT/ABC124/y", "200.00", "", "1,300.00 Cr"],
     ["02-04-2025", "REV/ABC124/y", "", "200.00", "1,500.00 Cr"], ["", "page 1", "", "", ""], ["03-04-2025", "UPI", "1,600.00", "", "100.00 Dr"], ["", "CLOSING", "", "", "100.00 Dr"],
