@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -43,15 +45,39 @@ def test_empty_table(spark):
     assert bpe.digests(df, PATH).collect() == []
 
 
-def test_settled_characters_split_alike():
-    """On every character that the fast path takes, the pattern splits as the library does."""
-    codec = bpe.Codec(PATH)
-    settled = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not codec.unsettled(chr(c))]
-    for i in range(0, len(settled), 2048):
-        text = "".join(f"a{c}1{c}!{c} " for c in settled[i : i + 2048])
-        assert codec.pretokens(text) == [text[a:b] for _, (a, b) in codec.library.pre_tokenizer.pre_tokenize_str(text)]
+def alike(texts):
+    codec, library = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    ids, counts = codec.encode(texts)
+    pieces = np.split(ids, np.cumsum(counts)[:-1])
+    assert [p.tolist() for p in pieces] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert codec.decode(ids, counts) == [library.decode(p.tolist(), skip_special_tokens=False) for p in pieces]
+
+
+def test_every_character_splits_as_in_the_library():
+    settled = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    alike(["".join(f"a{c}1{c}!{c} " for c in settled[i : i + 64]) for i in range(0, len(settled), 64 * 7)])
+
+
+def test_random_mixes():
+    draw = random.Random(1)
+    parts = ["'", "s", "t", "re", "ve", "ll", "d", "'S", " ", "  ", "\n", "\t", "a", "é", "1", "!", "漢", "🙂", "\x1c", "\x85", "\xa0", "\u3000", "<|endoftext|>", "\u200b", "\u0301"]
+    alike(["".join(draw.choice(parts) for _ in range(draw.randint(0, 14))) for _ in range(5000)])
+
+
+def test_a_very_long_text_of_distinct_words():
+    alike([" ".join(f"w{k * 7919 % 1000003}x" for k in range(150_000)), "", "end"])
+
+
+def test_a_full_pool_starts_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "POOL", 50)
+    codec, library = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    for k in range(20):
+        text = f"some{k} words{k * k} that differ{k} and others"
+        assert codec.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_forced_cuts_never_split_a_token():
     codec = bpe.Codec(PATH)
-    assert all(codec.fragments(t) == [t] for i, t in codec.bytes_of.items() if i not in codec.added.values())
+    for i, token in codec.bytes_of.items():
+        if i not in codec.added.values():
+            assert not any(codec.forced[a << 8 | b] for a, b in zip(token, token[1:], strict=False))
