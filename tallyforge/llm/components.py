@@ -1,12 +1,16 @@
 """Connected components by contraction, for graphs of any size.
 
-Each round every vertex picks the smallest among itself and its neighbours, edges are renamed to the picks, and loops and repeats
-go. A component shrinks in every round until it is its smallest vertex. The picks of all rounds, applied from the last to the
-first, name each vertex's component. Rounds are written to the shared folder, so no plan grows with their number.
+Each round every vertex picks one among itself and its neighbours, the first in an order that a hash draws anew for the round; edges
+are renamed to the picks, and loops and repeats go. Whatever the shape of a component and the order of its ids, a round leaves a
+fixed share of its vertices on average, so rounds grow with the logarithm of its size. The picks of all rounds, applied from the last
+to the first, name each vertex's component, which then takes the smallest id in it. Rounds are written to the shared folder, so no
+plan grows with their number.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +25,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     rounds: list[DataFrame] = []
     edges = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges-0")
     while True:
-        both = edges.select(F.col("a").alias("v"), F.col("b").alias("pick")).unionByName(edges.select(F.col("b").alias("v"), F.col("b").alias("pick")))
         k = len(rounds) + 1
-        picks = scratch.write(both.groupBy("v").agg(F.min("pick").alias("pick")), f"{name}-picks-{k}")
+        ways = [edges.select(F.col(x).alias("v"), F.col(y).alias("pick")) for x, y in ("ab", "aa", "ba", "bb")]
+        first = F.min_by("pick", F.struct(F.xxhash64("pick", F.lit(k)), "pick"))
+        picks = scratch.write(reduce(DataFrame.unionByName, ways).groupBy("v").agg(first.alias("pick")), f"{name}-picks-{k}")
         if not rounds and picks.isEmpty():
             return picks.select("v", F.col("pick").alias("root"))
         rounds.append(picks)
@@ -38,4 +43,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     for picks in reversed(rounds[:-1]):
         later = named.select(F.col("v").alias("pick"), "root")
         named = picks.join(later, "pick", "left").select("v", F.coalesce("root", "pick").alias("root"))
-    return scratch.write(named, name)
+    named = scratch.write(named, f"{name}-named")
+    least = named.groupBy("root").agg(F.min("v").alias("least"))
+    return scratch.write(named.join(least, "root").select("v", F.col("least").alias("root")), name)

@@ -39,7 +39,7 @@ PIVOTS, LEAF = 8, 256
 RING = 1.25
 #: A shingle is common if so many of about so many sampled documents hold it; at most so many, the commonest, are told apart.
 HELD, SAMPLE, MOST_COMMON = 2, 8000, 500_000
-#: Remembered words a worker.
+#: Words that a task remembers.
 MEMORY = 50_000
 
 A, B, C, M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
@@ -80,8 +80,6 @@ class Shingles:
         return np.unique(total)
 
 
-_shingles = Shingles()
-
 
 def most_apart(a: int, b: int, share: int) -> int:
     """The largest symmetric difference of linked sets of at most a and b shingles, linked at ``share`` percent."""
@@ -142,8 +140,9 @@ def signatures_of_ring(rare: np.ndarray, common: np.ndarray, ring: int, share: i
 
 
 def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    shingles = Shingles()
     for batch in batches:
-        found = [_shingles.of(t, width).astype(np.int64) for t in batch.column(0).to_pylist()]
+        found = [shingles.of(t, width).astype(np.int64) for t in batch.column(0).to_pylist()]
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))], ["shingles"])
 
@@ -165,12 +164,13 @@ def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch], width: int, share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each text. Of equal sets that a task meets, one lists its signatures."""
     seen: set[tuple[int, int]] = set()
+    shingles = Shingles()
     for whole in batches:
         for start in range(0, whole.num_rows, 1000):
             batch = whole.slice(start, 1000)
             sizes, h1, h2, all_signatures = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = _shingles.of(text, width)
+                found = shingles.of(text, width)
                 sizes.append(len(found))
                 h1.append(int(mixed(found).sum().astype(np.int64)) if len(found) else 0)
                 h2.append(int(mixed(found ^ C).sum().astype(np.int64)) if len(found) else 0)
@@ -314,7 +314,8 @@ def join_region(frame: pd.DataFrame, width: int, share: int) -> pd.DataFrame:
     ids, natives = frame["doc_id"].to_numpy(), frame["native"].to_numpy()
     if len(ids) < 2:
         return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-    region = Region([_shingles.of(t, width) for t in frame["text"]], share)
+    shingles = Shingles()
+    region = Region([shingles.of(t, width) for t in frame["text"]], share)
     region.join(np.arange(len(ids)), natives)
     roots = region.roots()
     linked = roots != np.arange(len(ids))
@@ -338,7 +339,8 @@ def voronoi(large: DataFrame, scratch: Scratch, width: int, share: int) -> DataF
         out = []
         if not len(left):
             return pd.DataFrame(columns=["family", "region", "native", "doc_id", "text", "m"])
-        sets = [_shingles.of(t, width) for t in [*right["pivot_text"], *left["text"]]]
+        shingles = Shingles()
+        sets = [shingles.of(t, width) for t in [*right["pivot_text"], *left["text"]]]
         region, p = Region(sets, share), len(right)
         others = np.arange(p, len(sets))
         apart = np.array([region.distances(i, others) for i in range(p)]) if p else np.zeros((1, len(left)))

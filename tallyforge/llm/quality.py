@@ -25,8 +25,8 @@ WORD_BITS, SHAPE_BITS = 17, 16
 SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 ORDER = 4
 COST, EPOCHS, SMOOTHING = 0.1, 12, 1.0
-#: Remembered words a worker.
-MEMORY = 50_000
+#: Words that a task remembers, and rows that it scores together.
+MEMORY, ROWS = 50_000, 500
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,9 +75,6 @@ class Features:
         return np.unique(np.concatenate(found))
 
 
-_features = Features()
-
-
 def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Of each feature: log of its share among the good rows' features over that among the bad rows'."""
     counts = np.full((2, SIZE), SMOOTHING)
@@ -160,8 +157,9 @@ class Model:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    features = Features()
     for batch in batches:
-        made = pa.array([_features.of(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+        made = pa.array([features.of(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["doc_id", "label", "row"])
 
 
@@ -185,9 +183,12 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> M
 
 
 def _scores(batches: Iterator[pa.RecordBatch], position: int, model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = pa.array([model.value.score(_features.of(t)) for t in batch.column(position).to_pylist()], pa.float64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "score"])
+    features = Features()
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            made = pa.array([model.value.score(features.of(t)) for t in batch.column(position).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, "score"])
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

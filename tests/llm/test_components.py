@@ -26,3 +26,11 @@ def test_like_union_find(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([(1, 1)], "a long, b long"), Scratch(spark, "t")).collect() == []
+
+
+def test_a_long_ascending_chain_takes_few_rounds(spark):
+    scratch = Scratch(spark, "t")
+    edges = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    got = components(edges, scratch).collect()
+    assert len(got) == 3001 and {r.root for r in got} == {0}
+    assert sum("picks" in name for name in scratch.written) < 30
