@@ -1,8 +1,8 @@
 """Exact Jaccard join of shingle sets in metric space: pivots, Voronoi regions and triangle-inequality windows.
 
 1. Sets that are equal meet by their hash; one document stands for each.
-2. Unrelated texts are at distance 1 from one another and from any pivot, so pivots drawn from the documents alone cannot tell them
-   apart. The first regions are therefore drawn in parts of the universe. Shingles are dealt into k parts by hash; restricted to a
+2. Unrelated texts are at distance 1 from one another and from any pivot, so documents as pivots cannot tell them apart. The first
+   regions are therefore drawn in parts of the universe. Shingles are dealt into k parts by hash; restricted to a
    part, the Jaccard distance is a metric again, and the pivots there are the contents that occur. Two linked sets differ in at
    most D shingles, so with more than D parts that hold shingles, in at least one part their distance is 0: both lie in the region
    of the same pivot. k follows from a ring of sizes, so that its smallest set fills more than D parts; a set near the upper edge of its ring also enters the next one (the window
@@ -11,16 +11,19 @@
    many documents quote would draw all of these into one region.
 3. Regions with a document in common are joined to families. No link leaves a family. For this, pairs of signature and set are sorted
    by range once, so that no signature, however frequent, needs a task of its own, and equal sets count as one.
-4. A large family is split by pivots from its own documents. Each document belongs to its nearest pivot's region and is copied to
-   every other region whose pivot is at most two radii farther, which is where the triangle inequality allows links.
-5. In a region the same is done recursively, and pieces that no longer shrink are joined exactly, with the distances to the pivots
-   as a filter. Documents that links already connect are not compared again, as only the components are asked for.
+4. A family is split by pivots from its own documents: the most central one, and others. What links with a pivot is
+   connected and not compared among itself, so a group of m copies near one of them takes about m comparisons. Each document belongs to
+   its nearest pivot's region and is copied to every other within twice the radius, which is where the triangle inequality allows links.
+5. Regions are split recursively. Families that a task can hold are split there (``regions.py``). Larger ones are split by Spark,
+   block by block. Where that no longer helps, documents with too many shingles of their own to link at all go, and the rest
+   is joined in pairs of chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import tee
 
 import numpy as np
 import pandas as pd
@@ -30,11 +33,14 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Scratch
 from tallyforge.llm.components import components
-
-#: Documents of a family that one task joins; larger families are split.
-REGION = 6000
-#: Pivots of a recursive split in a task, and the size below which a region is joined directly.
-PIVOTS, LEAF = 8, 256
+from tallyforge.llm.regions import connected, voronoi
+
+#: Weight of what one task joins: a document weighs 1, and 1 more for each so many characters. Larger regions are split.
+CHUNK, CHARACTERS = 250, 4000
+#: Documents whose common shingles tell a large region's centre, and pivots drawn by a hash beside the central one.
+SAMPLED, DRAWN = 64, 8
+#: A large region goes on being split if it keeps no more than this share of what it was cut from.
+SHRUNK = 0.75
 #: Ratio of the sizes of a ring.
 RING = 1.25
 #: A shingle is common if so many of about so many sampled documents hold it; at most so many, the commonest, are told apart.
@@ -213,149 +219,167 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told([last], np.array([first]), np.array([first]))
 
 
-class Region:
-    """Sets of a region, with the components that links have made so far. Shingles are numbered from the region's rarest on, and each
-    set lists its own in that order."""
-
-    def __init__(self, sets: list[np.ndarray], share: int):
-        self.share = share
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.starts = np.cumsum([0, *self.sizes])
-        _, names, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        rank = np.empty(len(held), np.int64)
-        rank[np.argsort(held, kind="stable")] = np.arange(len(held))
-        of_set = np.repeat(np.arange(len(sets)), self.sizes)
-        self.members = np.sort(of_set * len(held) + rank[names]) - of_set * len(held)
-        self.mark = np.zeros(len(held), np.int64)
-        self.parent = np.arange(len(sets))
-        prefix = self.sizes - -(-share * self.sizes // 100) + 1
-        first = np.arange(len(of_set)) - self.starts[:-1][of_set] < prefix[of_set]
-        order = np.argsort(self.members[first], kind="stable")
-        self.holders = of_set[first][order]
-        self.held_from = np.searchsorted(self.members[first][order], np.arange(len(held) + 1))
-        self.prefix = prefix
-
-    def candidates(self, i: int) -> np.ndarray:
-        """The sets whose rarest shingles, as many as a linked set may lack and one more, meet those of set i. All linked ones do."""
-        own = self.members[self.starts[i] : self.starts[i] + self.prefix[i]]
-        found = [self.holders[a:b] for a, b in zip(self.held_from[own], self.held_from[own + 1], strict=True) if b - a > 1]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def roots(self) -> np.ndarray:
-        while True:
-            up = self.parent[self.parent]
-            if (up == self.parent).all():
-                return up
-            self.parent = up
-
-    def common(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of set i with others."""
-        own = self.members[self.starts[i] : self.starts[i + 1]]
-        self.mark[own] = 1
-        lengths = self.sizes[others]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1]) + np.repeat(self.starts[others] - np.append(0, ends[:-1]), lengths)
-        found = np.add.reduceat(self.mark[self.members[at]], np.append(0, ends[:-1]))
-        self.mark[own] = 0
-        return found
-
-    def distances(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Jaccard distances of set i to others; those near enough are linked."""
-        both = self.common(i, others)
-        union = self.sizes[i] + self.sizes[others] - both
-        for j in others[100 * both >= self.share * union]:
-            self.parent[self.root(j)] = self.root(i)
-        return 1 - both / union
-
-    def join(self, inside: np.ndarray, natives: np.ndarray, depth: int = 0) -> None:
-        """Link what is near in ``inside``, as far as one of a pair is native."""
-        radius = 1 - self.share / 100 + 1e-9
-        if len(inside) <= LEAF or depth >= 3:
-            return self.leaf(inside, natives, np.zeros((0, len(inside))))
-        pivots = inside[:: max(1, len(inside) // PIVOTS)][:PIVOTS]
-        apart = np.array([self.distances(p, inside) for p in pivots])
-        nearest = apart.argmin(0)
-        regions = [np.flatnonzero(apart[k] <= apart.min(0) + 2 * radius) for k in range(len(pivots))]
-        if sum(map(len, regions)) > 1.5 * len(inside):
-            return self.leaf(inside, natives, apart)
-        for k, region in enumerate(regions):
-            if len(region):
-                self.join(inside[region], natives & np.isin(np.arange(len(natives)), inside[region[nearest[region] == k]]), depth + 1)
-
-    def leaf(self, inside: np.ndarray, natives: np.ndarray, apart: np.ndarray) -> None:
-        """Compare each native with the candidates that size, pivots and components leave open."""
-        place = np.full(len(self.sizes), -1)
-        place[inside] = np.arange(len(inside))
-        radius = 1 - self.share / 100 + 1e-9
-        for x, i in enumerate(inside):
-            if not natives[i]:
-                continue
-            others = self.candidates(i)
-            others = others[(place[others] >= 0) & ((others > i) | ~natives[others]) & (others != i)]
-            others = others[(self.sizes[others] * 100 >= self.sizes[i] * self.share) & (self.sizes[others] * self.share <= self.sizes[i] * 100)]
-            if len(apart) and len(others):
-                others = others[(np.abs(apart[:, place[others]] - apart[:, x : x + 1]) <= radius).all(0)]
-            if len(others):
-                others = others[self.roots()[others] != self.root(i)]
-            if len(others):
-                self.distances(i, others)
-
-
-def join_region(frame: pd.DataFrame, width: int, share: int) -> pd.DataFrame:
-    """(a, b): links that connect the documents of a region that belong together; natives are compared with all, copies not with
-    one another."""
-    frame = frame.sort_values("doc_id", kind="stable")
-    ids, natives = frame["doc_id"].to_numpy(), frame["native"].to_numpy()
-    if len(ids) < 2:
-        return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+def distance_to(pivot: np.ndarray, sets: list[np.ndarray], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard distances of sets to a pivot, and whether they link with it."""
+    sizes = np.array(list(map(len, sets)))
+    data = np.concatenate(sets)
+    held = pivot[np.minimum(np.searchsorted(pivot, data), len(pivot) - 1)] == data
+    both = np.add.reduceat(held.astype(np.int64), np.cumsum(sizes) - sizes)
+    union = len(pivot) + sizes - both
+    return 1 - both / union, 100 * both >= share * union
+
+
+def join_packed(frame: pd.DataFrame, width: int, share: int) -> pd.DataFrame:
+    """(a, b): links that connect the documents of each region of a pack that belong together."""
+    shingles, links = Shingles(), [pd.DataFrame({"a": [], "b": []}, dtype=np.int64)]
+    for _, some in frame.sort_values("doc_id", kind="stable").groupby("region"):
+        ids = some["doc_id"].to_numpy()
+        roots = connected([shingles.of(t, width) for t in some["text"]], some["native"].to_numpy(), share, some["near"].to_numpy())
+        linked = roots != np.arange(len(ids))
+        links.append(pd.DataFrame({"a": ids[linked], "b": ids[roots[linked]]}))
+    return pd.concat(links)
+
+
+def packed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Regions of ``rows`` dealt into packs of about CHUNK together. ``sizes`` has the regions' weights, CHUNK each at most."""
+    packs = max(1, -(-(sizes.agg(F.sum("m")).first()[0] or 0) // CHUNK))
+    return rows.withColumn("pack", F.pmod(F.xxhash64("region"), F.lit(packs)))
+
+
+def core(frame: pd.DataFrame, width: int) -> pd.DataFrame:
+    """The shingles that at least half of some sampled documents of a region hold."""
     shingles = Shingles()
-    region = Region([shingles.of(t, width) for t in frame["text"]], share)
-    region.join(np.arange(len(ids)), natives)
-    roots = region.roots()
-    linked = roots != np.arange(len(ids))
-    return pd.DataFrame({"a": ids[linked], "b": ids[roots[linked]]})
-
-
-def voronoi(large: DataFrame, scratch: Scratch, width: int, share: int) -> DataFrame:
-    """Rows of large families (family, doc_id, text, m), each in its nearest pivot's region as native and in all others that the
-    window reaches as copy: (family, region, chunk, native, doc_id, text). Pivots are chosen by a hash, one for about REGION
-    documents; natives go to every chunk of their region, copies to one."""
-    large = scratch.write(large, "large")
-    turn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
-    pivots = large.filter(turn * F.col("m") < F.lit(1_000_000 * 2) * F.ceil(F.col("m") / REGION)).select("family", F.col("doc_id").alias("pivot"), F.col("text").alias("pivot_text"))
-    block = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.ceil(F.col("m") / 500))
-    blocks = large.select(F.col("family").alias("of"), F.ceil(F.col("m") / 500).alias("blocks")).distinct()
-    copied = pivots.join(blocks, F.col("family") == F.col("of")).select("family", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), "pivot", "pivot_text")
-    copied = scratch.write(copied, "pivots")
-
-    def assign(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("pivot", kind="stable")
-        out = []
-        if not len(left):
-            return pd.DataFrame(columns=["family", "region", "native", "doc_id", "text", "m"])
+    names, held = np.unique(np.concatenate([shingles.of(t, width) for t in frame["text"]]), return_counts=True)
+    return pd.DataFrame({"region": [frame["region"].iloc[0]], "core": [names[2 * held >= len(frame)].view(np.int64)]})
+
+
+def beside(rows: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows of large regions dealt into blocks, a copy of what is ``given`` for a region beside each of its blocks, and the keys."""
+    blocks = F.ceil(F.col("m") / CHUNK)
+    counts = rows.select("region", blocks.alias("blocks")).distinct()
+    copies = given.join(counts, "region").withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).drop("blocks")
+    copies = copies.select(*(F.col(c).alias(c) for c in copies.columns))
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(10)), blocks)), copies, ["region", "block"]
+
+
+def choose_pivots(rows: DataFrame, scratch: Scratch, name: str, width: int, share: int) -> DataFrame:
+    """(region, pivot, text, central): of each large region the document nearest to the core of a sample, and a few by a hash."""
+
+    def cores(frame: pd.DataFrame) -> pd.DataFrame:
+        return core(frame, width)
+
+    def nearness(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        middle = np.array(right["core"].iloc[0] if len(right) else [], np.int64).view(np.uint64)
+        if not len(left) or not len(middle):
+            return pd.DataFrame({"region": [], "doc_id": [], "apart": []})
         shingles = Shingles()
-        sets = [shingles.of(t, width) for t in [*right["pivot_text"], *left["text"]]]
-        region, p = Region(sets, share), len(right)
-        others = np.arange(p, len(sets))
-        apart = np.array([region.distances(i, others) for i in range(p)]) if p else np.zeros((1, len(left)))
-        names = right["pivot"].to_numpy() if p else np.array([-1])
-        nearest = apart.argmin(0)
-        for k, name in enumerate(names):
-            near = (apart[k] <= apart.min(0) + 2 * (1 - share / 100) + 1e-9)
-            out.append(left[near].assign(region=name, native=(nearest == k)[near]))
-        return pd.concat(out)[["family", "region", "native", "doc_id", "text", "m"]]
-
-    placed = large.withColumn("block", block).groupBy("family", "block").cogroup(copied.groupBy("family", "block")).applyInPandas(assign, "family long, region long, native boolean, doc_id long, text string, m long")
-    chunks = F.ceil(F.col("m") / REGION)
-    everywhere = placed.filter("native").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    once = placed.filter("NOT native").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(11)), chunks))
-    return everywhere.unionByName(once).select("family", "region", "chunk", "native", "doc_id", "text")
+        apart, _ = distance_to(middle, [shingles.of(t, width) for t in left["text"]], share)
+        return left[["region", "doc_id"]].assign(apart=apart).sort_values(["apart", "doc_id"]).head(1)
+
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) * F.col("m")
+    middles = scratch.write(rows.filter(turn < 1_000_000 * SAMPLED).groupBy("region").applyInPandas(cores, "region long, core array<long>"), f"core-{name}")
+    left, right, keys = beside(rows, middles)
+    nearest = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(nearness, "region long, doc_id long, apart double")
+    central = nearest.groupBy("region").agg(F.min_by("doc_id", F.struct("apart", "doc_id")).alias("central"))
+    chosen = rows.join(scratch.write(central, f"central-{name}"), "region", "left").withColumn("is_central", F.coalesce(F.col("doc_id") == F.col("central"), F.lit(False)))
+    chosen = chosen.filter(F.col("is_central") | (turn < 1_000_000 * DRAWN))
+    return scratch.write(chosen.groupBy("region", F.col("doc_id").alias("pivot")).agg(F.min("text").alias("text"), F.max("is_central").alias("central")), f"pivots-{name}")
+
+
+def split(left: pd.DataFrame, right: pd.DataFrame, width: int, share: int) -> pd.DataFrame:
+    """A block of a large region's documents in the regions of its pivots. Pivots so near to an earlier one that windows would cover
+    both regions are left out."""
+    import xxhash
+
+    columns = ["region", "native", "near", "pivot", "doc_id", "text", "weight", "of"]
+    if not len(left):
+        return pd.DataFrame(columns=columns)
+    shingles, radius = Shingles(), 1 - share / 100
+    sets, kept, names, apart, near = [shingles.of(t, width) for t in left["text"]], [], [], [], []
+    for name, text in right.sort_values(["central", "pivot"], ascending=[False, True])[["pivot", "text"]].itertuples(index=False):
+        pivot = shingles.of(text, width)
+        if not kept or distance_to(pivot, kept, share)[0].min() > 4 * radius:
+            kept.append(pivot)
+            names.append(name)
+            for held, found in zip((apart, near), distance_to(pivot, sets, share), strict=True):
+                held.append(found)
+    own, reached = voronoi(np.array(apart).reshape(-1, len(sets)), radius)
+    near.append(np.zeros(len(sets), bool))
+    out = []
+    for k, pivot in enumerate([*names, None]):
+        region = xxhash.xxh64_intdigest(f"{left['region'].iloc[0]}/{pivot}") >> 1
+        if reached[k].any():
+            some = left[reached[k]].rename(columns={"m": "of"})
+            out.append(some.assign(pivot=pivot, near=near[k][reached[k]], region=region, native=some["native"] & (own == k)[reached[k]]))
+    return pd.concat(out)[columns].astype({"pivot": "Int64"})
+
+
+def without_lone(rows: DataFrame, width: int, share: int) -> DataFrame:
+    """Rows of regions, (region, near, doc_id, text and more), without those that hold so many shingles which no other document of
+    the region holds that they can link with none. Rows that link with a pivot stay."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in zip(*_twice(batches, width), strict=True):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sets.column(0)], ["region", "text_id", "shingles"])
+
+    text_id = F.xxhash64("text")
+    exploded = rows.select("region", "text", text_id.alias("text_id")).mapInArrow(listed, "region long, text_id long, shingles array<long>")
+    exploded = exploded.select("region", "text_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    once = exploded.groupBy("region", "shingle").agg(F.count("*").alias("times"), F.max("text_id").alias("text_id"), F.max("n").alias("n")).filter("times = 1")
+    lone = once.groupBy("region", "text_id").agg(F.count("*").alias("own"), F.max("n").alias("n")).filter(100 * (F.col("n") - F.col("own")) < share * F.col("n"))
+    lone = lone.select("region", "text_id", F.lit(True).alias("lone"))
+    return rows.withColumn("text_id", text_id).join(lone, ["region", "text_id"], "left").filter("near OR lone IS NULL").drop("lone", "text_id")
+
+
+def _twice(batches: Iterator[pa.RecordBatch], width: int) -> tuple[Iterator[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Batches (region, text, ...) and the shingles of their texts."""
+    one, two = tee(batches)
+    return one, _listed((b.select([1]) for b in two), width)
+
+
+def in_chunks(rows: DataFrame) -> DataFrame:
+    """Regions that pivots cannot split, as pairs of chunks. Rows that link with the region's pivot are connected already and meet no
+    other such; the rest meets these and itself. In a pair the first chunk's rows are native."""
+    rows = rows.withColumn("part", F.col("near").cast("int"))
+    sums = rows.groupBy("region").agg(*(F.ceil(F.sum(F.when(F.col("near") == near, F.col("weight")).otherwise(0)) / CHUNK).cast("long").alias(c) for near, c in ((False, "open"), (True, "closed"))))
+    dealt = rows.join(sums, "region").filter("open > 0").withColumn("c", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.when(F.col("near"), F.col("closed")).otherwise(F.col("open"))))
+    first = dealt.filter("NOT near").withColumn("i", F.col("c")).withColumn("j", F.explode(F.expr("sequence(c, open + closed - 1)"))).withColumn("native", F.lit(True))
+    second = dealt.filter("near OR c > 0").withColumn("j", F.when(F.col("near"), F.col("c") + F.col("open")).otherwise(F.col("c")))
+    second = second.withColumn("i", F.explode(F.when(F.col("near"), F.expr("sequence(0L, open - 1)")).otherwise(F.expr("sequence(0L, c - 1)")))).withColumn("native", F.lit(False))
+    return first.unionByName(second).select(F.xxhash64("region", "i", "j").alias("region"), "native", "near", "doc_id", "text")
+
+
+def links_of_large(large: DataFrame, scratch: Scratch, width: int, share: int) -> list[DataFrame]:
+    """Links (a, b) that connect what belongs together in regions (region, native, doc_id, text, weight, m) of more than CHUNK.
+
+    Each round splits all of them by pivots. Regions that are connected or without natives are done, small ones are joined in a task,
+    large ones that shrank go on, and those that did not are joined chunk by chunk.
+    """
+
+    def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return split(left, right, width, share)
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        return join_packed(frame, width, share)
+
+    columns, links, level = ["region", "native", "near", "doc_id", "text"], [], 0
+    while not large.isEmpty():
+        level += 1
+        left, right, keys = beside(large, choose_pivots(large, scratch, str(level), width, share))
+        schema = "region long, native boolean, near boolean, pivot long, doc_id long, text string, weight long, of long"
+        placed = scratch.write(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cut, schema), f"placed-{level}")
+        links.append(placed.filter("near AND doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        sizes = placed.groupBy("region").agg(F.sum("weight").alias("m"), F.max("of").alias("before"), F.max("native").alias("any_native"), F.min("near").alias("whole"), F.count("*").alias("rows"))
+        sizes = scratch.write(sizes.filter("any_native AND NOT whole AND rows > 1").select("region", "m", "before"), f"sizes-{level}")
+        fits, shrank = F.col("m") <= CHUNK, F.col("m") <= SHRUNK * F.col("before")
+        placed = placed.drop("of")
+        small = sizes.filter(fits).select("region", "m")
+        links.append(packed(placed.join(small, "region").select(columns), small).groupBy("pack").applyInPandas(joined, "a long, b long"))
+        stuck = placed.join(sizes.filter(~fits & ~shrank).select("region"), "region").select(*columns, "weight")
+        stuck = scratch.write(without_lone(stuck, width, share), f"stuck-{level}")
+        links.append(in_chunks(stuck).groupBy("region").applyInPandas(joined, "a long, b long"))
+        large = scratch.write(placed.join(sizes.filter(~fits & shrank).select("region", "m"), "region").select("region", "native", "doc_id", "text", "weight", "m"), f"large-{level}")
+    return links
 
 
 def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80) -> DataFrame:
@@ -391,18 +415,19 @@ def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80
     copies = scratch.write(matched.select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copies")
 
     standing = usable.select("doc_id", "h1").join(copies.select(F.col("a").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
-    placed = standing.join(families.hint("merge"), "h1").select("family", "doc_id").distinct()
-    members = scratch.write(texts.join(placed.hint("merge"), "doc_id").select("family", "doc_id", "text"), "members")
-    sizes = scratch.write(members.groupBy("family").agg(F.count("*").alias("m")).filter(F.col("m") > REGION), "sizes")
-    small = members.join(sizes, "family", "left_anti").select("family", F.lit(0).cast("long").alias("region"), F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("native"), "doc_id", "text")
-    large = members.join(sizes, "family")
-    regions = small if sizes.isEmpty() else small.unionByName(voronoi(large, scratch, width, share))
-
-    def linked(frame: pd.DataFrame) -> pd.DataFrame:
-        return join_region(frame, width, share)
-
-    links = regions.groupBy("family", "region", "chunk").applyInPandas(linked, "a long, b long")
-    roots = components(copies.unionByName(links), scratch, "linked")
+    placed = standing.join(families.hint("merge"), "h1").select(F.col("family").alias("region"), "doc_id").distinct()
+    weight = (F.length("text") / CHARACTERS + 1).cast("long").alias("weight")
+    members = scratch.write(texts.join(placed.hint("merge"), "doc_id").select("region", F.lit(True).alias("native"), F.lit(False).alias("near"), "doc_id", "text", weight), "members")
+    sizes = scratch.write(members.groupBy("region").agg(F.sum("weight").alias("m"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "sizes")
+
+    def joined(frame: pd.DataFrame) -> pd.DataFrame:
+        return join_packed(frame, width, share)
+
+    small = sizes.filter(F.col("m") <= CHUNK)
+    links = [copies, packed(members.join(small.select("region"), "region"), small).groupBy("pack").applyInPandas(joined, "a long, b long")]
+    large = scratch.write(members.drop("near").join(sizes.filter(F.col("m") > CHUNK), "region"), "large-0")
+    links += links_of_large(large, scratch, width, share)
+    roots = components(reduce(DataFrame.unionByName, links), scratch, "linked")
     scratch.tidy("sets", "linked")
     told = sets.select("doc_id", F.col("n").alias("n_shingles")).join(roots.hint("merge"), F.col("doc_id") == F.col("v"), "left")
     return told.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

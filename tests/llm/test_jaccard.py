@@ -37,10 +37,10 @@ def noisy(draw, base, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize(("width", "share", "region"), [(3, 90, 3000), (5, 80, 3000), (3, 90, 12)])
-def test_like_brute_force(spark, monkeypatch, width, share, region):
-    """Families of copies with few and many edits, short texts, and (third case) families split by pivots."""
-    monkeypatch.setattr(jaccard, "REGION", region)
+@pytest.mark.parametrize(("width", "share", "chunk"), [(3, 90, 250), (5, 80, 250), (3, 90, 6), (5, 80, 6)])
+def test_like_brute_force(spark, monkeypatch, width, share, chunk):
+    """Families of copies with few and many edits, short texts, and (last cases) families that Spark splits."""
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     draw = random.Random(width * share)
     rows = []
     for size in (9, 10, 12, 20, 40, 150, 400):
