@@ -3,8 +3,8 @@
 A bounded sample of labelled text per language becomes a suffix automaton, which accepts every substring of the sample. A text
 is parsed greedily into the longest phrases that the automaton accepts; the fewer phrases it needs, the nearer the language.
 Phrases are normalised as c * log2(N) / n, with N the sample's length and n the text's, so samples of unequal length compare.
-Texts are parsed whole, in segments of ``SEGMENT`` characters that start a new phrase each, so that many segments step through
-an automaton together and a very long text costs no more than many short ones.
+Texts are parsed whole. So that many steps are taken together, a text is cut into segments that step side by side; a segment
+starts in the state that the characters before it most often lead to, and steps again from the right one where that was wrong.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from tallyforge.llm.common import Scratch
 
 #: Sample bounds: documents read a language, and pieces of a document and their characters. No bound depends on the number of languages.
 DOCUMENTS, PIECES, PIECE = 150, 6, 100
-SEGMENT = 256
+#: Characters of a segment, and of the one before it from which its first state is guessed; neither changes a result.
+SEGMENT, WARM = 256, 48
 #: Segments that step together.
 LANES = 8192
 
@@ -111,24 +112,42 @@ class Alphabet:
 
 
 class Parser:
-    """One language's automaton with steps that never fail: a missing arc leads to where the root would go, and counts."""
+    """One language's automaton with steps that never fail: a missing arc opens a phrase, which counts, and leads to where the root
+    would go. A letter that the sample lacks is a phrase of its own; it leads to a state without arcs, in which texts also start."""
 
     def __init__(self, language: str, letters: int, slots: np.ndarray, alphabet: Alphabet):
         self.language, self.log_letters, self.padding = language, float(np.log2(max(letters, 2))), alphabet.padding
-        self.slots = slots
+        self.start = len(slots)
+        self.slots = np.append(slots, np.full(alphabet.width, -1, np.int64))
         root = slots[: alphabet.width]
-        self.root = np.where(root >> 32 == 0, root & 0xFFFFFFFF, 0)
+        self.root = np.where(root >> 32 == 0, root & 0xFFFFFFFF, self.start)
 
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane of (SEGMENT x lanes) codes. Padding stands at the end only and has no arcs."""
-        state = np.zeros(lanes.shape[1], np.int64)
-        count = 1 - (lanes == self.padding).sum(axis=0, dtype=np.int32)
+    def step(self, lanes: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after each lane of (steps x lanes) codes, and the phrases that opened in it."""
+        count = np.zeros(lanes.shape[1], np.int32)
         for row in lanes:
             arc = self.slots.take(state + row)
             missed = arc >> 32 != state
             count += missed
             state = np.where(missed, self.root.take(row), arc & 0xFFFFFFFF)
-        return count
+        return state, count
+
+    def phrases(self, lanes: np.ndarray, goes_on: np.ndarray, state: int | None = None) -> tuple[np.ndarray, int]:
+        """Phrases that open in each lane, and the last lane's last state. ``goes_on`` marks lanes that continue the lane before them; for
+        the first lane ``state`` says where that ended. Padding stands at the end only."""
+        begin = np.full(lanes.shape[1], self.start, np.int64)
+        if goes_on[0]:
+            begin[0] = state
+        later = np.flatnonzero(goes_on[1:]) + 1
+        if len(later):
+            begin[later], _ = self.step(np.ascontiguousarray(lanes[-WARM:, later - 1]), np.zeros(len(later), np.int64))
+        end, count = self.step(lanes, begin)
+        while True:
+            wrong = later[begin[later] != end[later - 1]]
+            if not len(wrong):
+                return count - (lanes == self.padding).sum(axis=0, dtype=np.int32), int(end[-1])
+            begin[wrong] = end[wrong - 1]
+            end[wrong], count[wrong] = self.step(np.ascontiguousarray(lanes[:, wrong]), begin[wrong])
 
 
 class Model:
@@ -152,6 +171,8 @@ class Model:
                 end += 1
             if pieces:
                 total = np.zeros((len(self.parsers), end - start))
+                states: list[int | None] = [None] * len(self.parsers)
+                same = np.append(False, np.diff(owners) == 0)
                 for first in range(0, len(pieces), LANES):
                     some = pieces[first : first + LANES]
                     lanes = np.full((len(some), SEGMENT), self.alphabet.padding, np.int32)
@@ -160,7 +181,8 @@ class Model:
                     lanes = np.ascontiguousarray(lanes.T)
                     at = np.array(owners[first : first + LANES]) - start
                     for k, parser in enumerate(self.parsers):
-                        total[k] += np.bincount(at, parser.phrases(lanes), minlength=end - start)
+                        opened, states[k] = parser.phrases(lanes, same[first : first + LANES], states[k])
+                        total[k] += np.bincount(at, opened, minlength=end - start)
                 total *= np.array([[p.log_letters] for p in self.parsers])
                 for i in range(start, end):
                     if lengths[i]:

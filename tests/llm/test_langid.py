@@ -23,10 +23,39 @@ def test_parser_finds_longest_phrases():
     sample = draw.integers(0, 4, 300).tolist()
     parser = langid.Parser("x", len(sample), langid.automaton(sample, alphabet.width), alphabet)
     for n in (1, 2, 50, 200):
-        codes = draw.integers(0, 4, n)
+        codes = draw.integers(0, 5, n)
         lanes = np.full((langid.SEGMENT, 1), alphabet.padding, np.int32)
         lanes[:n, 0] = codes
-        assert parser.phrases(lanes)[0] == longest_phrases(codes.tolist(), sample)
+        assert parser.phrases(lanes, np.array([False]))[0][0] == longest_phrases(codes.tolist(), sample)
+
+
+def brute(model, samples, text):
+    """Language and score of a text, with phrases found by search in the samples."""
+    codes = model.alphabet.codes(text or "").tolist()
+    if not codes:
+        return "und", 0.0
+    found = sorted((longest_phrases(codes, s) * np.log2(len(s)), name) for name, s in samples.items())
+    return found[0][1], found[1][0] / (found[0][0] + found[1][0])
+
+
+def test_whole_query_like_search_in_the_samples(spark, monkeypatch):
+    """Short texts, texts of many segments that go on over a group of lanes, and wide scripts."""
+    monkeypatch.setattr(langid, "LANES", 3)
+    monkeypatch.setattr(langid, "WARM", 2)
+    draw = np.random.default_rng(9)
+    wide = lambda first, n: "".join(chr(0x4E00 + first + k) for k in draw.integers(0, 300, n))
+    rows = [(i, prose("no", i, 200), "no") for i in range(6)] + [(50 + i, prose("ni", i, 200), "ni") for i in range(6)]
+    rows += [(100 + i, wide(0, 400) + prose("no", 70 + i, 5), "aa") for i in range(6)] + [(150 + i, wide(200, 400), "zz") for i in range(6)]
+    scratch = Scratch(spark, "t")
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), scratch)
+    taken = spark.read.parquet(f"{scratch.root}/sample").toPandas().sort_values("turn", kind="stable")
+    samples = {name: model.alphabet.codes(" ".join(some["piece"])).tolist() for name, some in taken.groupby("lang")}
+    texts = [None, "", "12 !", "é", prose("no", 1, 3), prose("ni", 2, 900), wide(0, 30), wide(200, 3000), wide(100, 700) + " " + prose("no", 1, 300), "ж" * 600 + prose("no", 3, 90)]
+    texts += [rows[0][1], rows[3][1] + rows[9][1], *(prose(s, 500 + k, 40 * k + 1) for k in range(5) for s in ("no", "ni", "nu"))]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), model).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        language, score = brute(model, samples, text)
+        assert row.lang_pred == language and abs(row.score - score) < 1e-12
 
 
 def test_languages(spark, corpus, nothing):
