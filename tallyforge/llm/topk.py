@@ -4,24 +4,29 @@ Vectors are dealt into blocks. In a block, the rows whose component j falls on q
 For a query, a segment's impact is the most that its level can add to a score. Segments are processed in waves of descending
 impact; every row has a bound: what its processed segments add at most, plus the current impact for each component not yet
 seen. Processing stops only when the rows whose bounds reach the k-th best exact score so far are few (or segments have run
-out); those possible members are rescored exactly. Blocks' results are merged by rank.
+out); those possible members are rescored exactly. A query meets one block first; the k-th score it has from there is the least that
+counts in the others. A task holds one block's index at a time and its queries stream past. Results are merged by rank.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block and queries of a chunk; a task holds one of each.
-BLOCK, CHUNK = 16_384, 1024
+#: Rows of a block.
+BLOCK = 16_384
 #: Components are scaled by this and floored.
 SCALE = 1024
 #: Values of a quantised level.
 STEP = 32
 #: Share of a block's postings that a wave processes, and possible members that may be rescored.
 WAVE, FEW = 16, 128
+#: A score may be this large at most, so that sums of products stay whole.
+LARGEST = 1 << 62
 
 
 class Index:
@@ -42,8 +47,8 @@ class Index:
         self.component = self.starts // max(rows, 1)
         self.low = sorted_levels.ravel()[self.starts] * STEP
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of all rows that can be among the k best of the block, its own row left out."""
+    def search(self, query: np.ndarray, own: int, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best of the block, its own row left out, of those that score ``least`` at least."""
         n = len(self.ids)
         weights = query[self.component]
         impact = np.maximum(weights * self.low, weights * (self.low + STEP - 1))
@@ -68,20 +73,50 @@ class Index:
                 break
             best = np.argpartition(-bounds, k - 1)[:k]
             worst = (self.vectors[best] @ query).min()
+            worst = worst if least is None else max(worst, least)
             members = np.flatnonzero(bounds >= worst)
             if len(members) <= FEW:
                 break
         members = members[others[members]]
-        return self.ids[members], self.vectors[members] @ query
-
-
-def _best(query: int, ids: np.ndarray, scores: np.ndarray, k: int) -> pd.DataFrame:
-    order = np.lexsort((ids, -scores))[:k]
-    return pd.DataFrame({"query_id": query, "vec_id": ids[order], "score": scores[order]})
-
-
-def whole_numbers(frame: pd.DataFrame) -> np.ndarray:
-    return np.floor(np.stack(frame["embedding"].to_list()).astype(np.float64) * SCALE).astype(np.int64)
+        ids, scores = self.ids[members], self.vectors[members] @ query
+        if least is not None:
+            ids, scores = ids[scores >= least], scores[scores >= least]
+        order = np.lexsort((ids, -scores))[:k]
+        return ids[order], scores[order]
+
+
+def whole_numbers(column: pa.ListArray, width: int) -> np.ndarray:
+    """A list column's vectors as scaled whole numbers. Vectors too large for exact scores are an error."""
+    found = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width) * SCALE)
+    if len(found) and np.abs(found).max() ** 2 * width > LARGEST:
+        raise ValueError("components are too large for exact 64-bit scores")
+    return found.astype(np.int64)
+
+
+def _answers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, twin, vec_id, score) from rows (width, block, twin, least, vec_id, embedding) in which each block's vectors, twin null,
+    come before its queries."""
+    key, ids, vectors, index = None, [], [], None
+    for batch in batches:
+        width, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        asks = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, (width[1:] != width[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1]))[: len(width)])
+        found = []
+        for start, end in zip(starts, [*starts[1:], len(width)], strict=True):
+            if key != (width[start], block[start]):
+                key, ids, vectors, index = (width[start], block[start]), [], [], None
+            some = batch.slice(start, end - start)
+            numbers = whole_numbers(some.column(5), int(key[0]))
+            if not asks[start]:
+                ids.append(some.column(4).to_numpy())
+                vectors.append(numbers)
+            elif vectors:
+                index = index or Index(np.concatenate(ids), np.concatenate(vectors))
+                for query, twin, least, vector in zip(some.column(4).to_pylist(), some.column(2).to_pylist(), some.column(3).to_pylist(), numbers, strict=True):
+                    best, scores = index.search(vector, query, k, least)
+                    found.append((np.full(len(best), query), np.full(len(best), twin), best, scores))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "twin", "vec_id", "score"])
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -90,34 +125,35 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.filter("vec_id IS NOT NULL AND size(embedding) > 0").filter(~bad).select("vec_id", "embedding", F.size("embedding").alias("width"))
 
 
+def dealt(of: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k best vectors of equal width by integer inner product, all if fewer.
 
-    Both tables have vec_id and embedding. Rows with the query's own id are left out; equal scores go to the smaller id, then to
-    the earlier of repeated rows. Null ids, null or empty vectors, and null or non-finite components take no part. Components
-    must stay below 2^20 in size. An empty table gives no rows.
+    Both tables have vec_id and embedding. Rows with the query's own id are left out; equal scores go to the smaller id. Candidate rows
+    that repeat an id count each. Query rows that repeat an id and its vector are one query; with other vectors of that id
+    each is a query of its own, so the id has several rows of each rank. Null ids, null or empty vectors, and null or non-finite
+    components take no part. Components so large that a score could exceed 62 bits are an error. An empty table gives no rows.
     """
-    vectors, queries = usable(vectors), usable(queries)
-    counts = vectors.agg(F.count("*")).first()[0], queries.agg(F.count("*")).first()[0]
-    blocks, chunks = (max(1, -(-n // size)) for n, size in zip(counts, (BLOCK, CHUNK), strict=True))
-
-    def dealt(of: str, n: int):
-        return F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
-
-    left = vectors.withColumn("block", dealt("vec_id", blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = queries.withColumn("chunk", dealt("vec_id", chunks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["width", "block", "chunk"]
-
-    def meet(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(vectors) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        index = Index(vectors["vec_id"].to_numpy(), whole_numbers(vectors))
-        found = [_best(i, *index.search(q, i, k), k) for i, q in zip(queries["vec_id"], whole_numbers(queries), strict=True)]
-        return pd.concat(found)
-
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return partial.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    vectors, queries = usable(vectors), usable(queries).withColumn("twin", F.xxhash64("embedding")).dropDuplicates(["vec_id", "twin"])
+    blocks = max(1, -(-vectors.count() // BLOCK))
+    stored = vectors.select("width", dealt("vec_id", blocks).alias("block"), F.lit(None).cast("long").alias("twin"), F.lit(None).cast("long").alias("least"), "vec_id", "embedding")
+    columns = stored.columns
+    same, home = ["query_id", "twin"], dealt("twin", blocks)
+
+    def answered(asked: DataFrame) -> DataFrame:
+        rows = stored.unionByName(asked.select(columns)).repartition("width", "block").sortWithinPartitions("width", "block", F.col("twin").asc_nulls_first())
+        return rows.mapInArrow(lambda batches: _answers(batches, k), "query_id long, twin long, vec_id long, score long")
+
+    found = answered(queries.withColumn("block", home).withColumn("least", F.lit(None).cast("long")))
+    if blocks > 1:
+        least = found.groupBy(*same).agg(F.when(F.count("*") >= k, F.min("score")).alias("least")).withColumnRenamed("query_id", "vec_id")
+        elsewhere = F.filter(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: b != home)
+        found = found.unionByName(answered(queries.join(least, ["vec_id", "twin"], "left").withColumn("block", F.explode(elsewhere))))
+    rank = F.row_number().over(Window.partitionBy(*same).orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
