@@ -34,7 +34,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.verdicts(table(spark, sf_dir, "pages"))
+    return urls.verdicts(table(spark, sf_dir, "pages"), Scratch(spark, "op4"))
 
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
