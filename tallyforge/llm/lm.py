@@ -4,20 +4,24 @@ Counting: each task turns its texts into sorted distinct bigrams with counts and
 it gets and writes the sorted 64-bit bigram hashes with their counts to the shared folder. What it knows of each context (its total and how
 many of its bigrams occur once, twice, more often) and of each word (its distinct predecessors) is dealt out by word in the same
 way, and those shards write sorted word tables. Hot words and contexts are summed in the task that meets them, so each arrives as
-one number per task. Scoring: workers map the shard files and look up sorted batches of hashes; mapped pages are shared and may
-be dropped, so memory stays bounded however large the model is. Every training text is counted whole and nothing is pruned.
+one number per task. A shard is one file a table, and each shard goes to a partition of its own. Scoring: workers map shard files, a
+bounded number at a time, and look up sorted batches of hashes; mapped pages are shared and may be dropped, so memory stays bounded
+however large the model is. Every training text is counted whole and nothing is pruned.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tallyforge.llm.common import Scratch
 
@@ -25,31 +29,30 @@ from tallyforge.llm.common import Scratch
 HELD, BATCH = 800_000, 300_000
 #: Text bytes that a shard stands for, and the fewest shards.
 SHARD_BYTES, FEWEST_BITS = 12 << 20, 4
-#: Remembered words a worker.
-MEMORY = 200_000
-#: Word numbers keep so many bits of the hash where bigrams are counted.
-LOW = np.uint64(24)
+#: Words that a task remembers, and files that a task maps at a time.
+MEMORY, MAPS = 200_000, 2_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-_words: dict[bytes, int] = {}
 
+class Words:
+    """A task's memory of words' hashes."""
 
-def _new_word(word: bytes) -> int:
-    import xxhash
-
-    if len(_words) >= MEMORY:
-        _words.clear()
-    made = xxhash.xxh64_intdigest(word)
-    if len(word) <= 64:
-        _words[word] = made
-    return made
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
 
+    def new(self, word: bytes) -> int:
+        if len(self.known) >= MEMORY:
+            self.known.clear()
+        made = _xxh(word)
+        if len(word) <= 64:
+            self.known[word] = made
+        return made
 
-def tokens(text: str | None) -> list[int]:
-    """Hashes of the text's words and of the end; white space is ASCII, A-Z lower-cased."""
-    known = _words.get
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return [known(w) or _new_word(w) for w in words] + [END]
+    def of(self, text: str | None) -> list[int]:
+        """Hashes of the text's words and of the end; white space is ASCII, A-Z lower-cased."""
+        known = self.known.get
+        words = (text or "").encode("utf-8", "replace").lower().split()
+        return [known(w) or self.new(w) for w in words] + [END]
 
 
 def _xxh(data: bytes) -> int:
@@ -71,20 +74,37 @@ def before(numbers: np.ndarray) -> np.ndarray:
 
 
 def pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Bigram hashes from the words' numbers (hashes without their low bits)."""
+    """Bigram hashes from the words' hashes."""
     x = (context * P) ^ (word + Q)
     x = (x ^ (x >> np.uint64(31))) * Q
     return x ^ (x >> np.uint64(29))
 
 
-def pack5(numbers: np.ndarray) -> bytes:
-    """40-bit numbers in five bytes each, the high bytes first as a block."""
-    return (numbers >> np.uint64(32)).astype(np.uint8).tobytes() + numbers.astype(np.uint32).tobytes()
+def small(numbers: np.ndarray) -> bytes:
+    """Counts in a byte each; 255 stands for those that follow, in full, after them."""
+    return np.minimum(numbers, 255).astype(np.uint8).tobytes() + numbers[numbers >= 255].astype(np.int64).tobytes()
+
+
+def read_small(data: bytes, n: int) -> np.ndarray:
+    found = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    found[found == 255] = np.frombuffer(data, np.int64, -1, n)
+    return found
+
 
+def hashes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
-def unpack5(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return (np.frombuffer(data[:n], np.uint8).astype(np.uint64) << np.uint64(32)) | np.frombuffer(data[n:], np.uint32)
+
+def spelled(context: np.ndarray, word: np.ndarray) -> tuple[bytes, bytes]:
+    """Bigrams as the sorted hashes they use, and places among these: all contexts', then all words'."""
+    names, at = np.unique(np.concatenate([context, word]), return_inverse=True)
+    return names.tobytes(), at.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32).tobytes()
+
+
+def read_spelled(names: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    known = hashes(names)
+    at = np.frombuffer(places, np.uint16 if len(known) <= 1 << 16 else np.uint32)
+    return known[at[: len(at) // 2]], known[at[len(at) // 2 :]]
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -101,16 +121,16 @@ PARTS = pa.schema([("kind", pa.string()), ("shard", pa.int32()), *((c, pa.binary
 SCHEMA = "kind string, shard int, a binary, b binary, c binary, d binary, e binary"
 
 
-def cut(kind: str, shards: np.ndarray, *columns) -> Iterator[tuple]:
-    """Rows (kind, shard, packed columns) of entries whose shard numbers rise; a column is (array, how to pack it)."""
+def cut(kind: str, shards: np.ndarray, packed: Callable) -> Iterator[tuple]:
+    """Rows (kind, shard, packed columns) of entries whose shard numbers rise; ``packed`` gives the columns of a range of entries."""
     starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(shards) else []
     for start, end in zip(starts, [*starts[1:], len(shards)], strict=True):
-        packed = [pack(array[start:end]) for array, pack in columns]
-        yield (kind, int(shards[start]), *packed, *[b""] * (5 - len(packed)))
+        columns = packed(slice(start, end))
+        yield (kind, int(shards[start]), *columns, *[b""] * (5 - len(columns)))
 
 
-def whole(kind: type):
-    return lambda x: x.astype(kind).tobytes()
+def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -122,24 +142,23 @@ def count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 
     def dealt(held: list[int]) -> pa.RecordBatch:
         numbers = np.array(held, np.uint64)
-        context, word = before(numbers) >> LOW, numbers >> LOW
-        keys = pair(context, word)
+        context = before(numbers)
+        keys = pair(context, numbers)
         order = np.argsort(keys)
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        counts = np.diff(np.append(starts, len(keys)))
-        first = order[starts]
-        context, word, shards = context[first], word[first], (keys[starts] >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.lexsort((context, shards))
-        rows = list(cut("pair", shards[order], (context[order], pack5), (word[order], pack5), (counts[order], whole(np.uint32))))
+        counts, first = np.diff(np.append(starts, len(keys))), order[starts]
+        context, word = context[first], numbers[first]
+        rows = list(cut("pair", shard_of(keys[starts], bits), lambda r: (*spelled(context[r], word[r]), small(counts[r]))))
         found, times = np.unique(numbers, return_counts=True)
-        rows += cut("word", (found >> np.uint64(64 - bits)).astype(np.int64), (found, whole(np.uint64)), (times, whole(np.uint32)))
+        rows += cut("word", shard_of(found, bits), lambda r: (found[r].tobytes(), small(times[r])))
         return as_batch(rows)
 
+    words = Words()
     held: list[int] = []
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            held += tokens(text)
+            held += words.of(text)
             if len(held) >= HELD:
                 yield dealt(held)
                 held = []
@@ -147,12 +166,30 @@ def count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield dealt(held)
 
 
-def keep(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array under its final name in one step; a task that runs again writes the same."""
+def keep(folder: str, name: str, columns: dict[str, np.ndarray]) -> None:
+    """Write columns to one file, with a line at its start that says where each is. The file gets its final name in one step; a task
+    that runs again writes the same."""
     os.makedirs(folder, exist_ok=True)
-    rough = f"{folder}/.{name}-{os.getpid()}-{np.random.default_rng().integers(1 << 40)}.npy"
-    np.save(rough, array)
-    os.replace(rough, f"{folder}/{name}.npy")
+    sizes = np.array([len(x) * x.itemsize + -len(x) * x.itemsize % 8 for x in columns.values()])
+    heads = [[name, x.dtype.str, len(x), int(at)] for (name, x), at in zip(columns.items(), np.cumsum(sizes) - sizes, strict=True)]
+    head = json.dumps(heads).encode()
+    head += b" " * (-(len(head) + 1) % 8) + b"\n"
+    rough = f"{folder}/.{name}-{os.getpid()}-{np.random.default_rng().integers(1 << 40)}"
+    with open(rough, "wb") as file:
+        file.write(head)
+        for x in columns.values():
+            file.write(x.tobytes() + bytes(-len(x) * x.itemsize % 8))
+    os.replace(rough, f"{folder}/{name}")
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The columns of a file that ``keep`` wrote, as views of its mapped bytes; none if it does not exist."""
+    if not os.path.exists(path):
+        return {}
+    data = np.memmap(path, np.uint8, "r")
+    with open(path, "rb") as file:
+        head = file.readline()
+    return {name: data[len(head) + at :][: n * np.dtype(kind).itemsize].view(kind) for name, kind, n, at in json.loads(head)}
 
 
 def of_counts(counts: np.ndarray) -> np.ndarray:
@@ -166,29 +203,28 @@ def merge_pairs(frame: pd.DataFrame, folder: str, bits: int) -> pd.DataFrame:
     rows = []
     words = frame[frame["kind"] == "word"]
     if len(words):
-        found, times = summed(np.concatenate([np.frombuffer(x, np.uint64) for x in words["a"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in words["b"]]).astype(np.int64))
-        rows.append(("word", shard, found.tobytes(), times.tobytes(), b"", b"", b""))
+        parts = [hashes(x) for x in words["a"]]
+        found, times = summed(np.concatenate(parts), np.concatenate([read_small(x, len(p)) for x, p in zip(words["b"], parts, strict=True)]))
+        rows.append(("word", shard, found.tobytes(), small(times), b"", b"", b""))
     pairs = frame[frame["kind"] == "pair"]
     if len(pairs):
-        context = np.concatenate([unpack5(x) for x in pairs["a"]])
-        word = np.concatenate([unpack5(x) for x in pairs["b"]])
+        parts = [read_spelled(a, b) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
+        context, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+        counts = np.concatenate([read_small(x, len(p[0])) for x, p in zip(pairs["c"], parts, strict=True)])
         keys = pair(context, word)
         order = np.argsort(keys)
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        times = np.add.reduceat(np.concatenate([np.frombuffer(x, np.uint32) for x in pairs["c"]]).astype(np.int64)[order], starts)
+        times = np.add.reduceat(counts[order], starts)
         keys, order = keys[starts], order[starts]
         context, word = context[order], word[order]
-        keep(folder, f"pair-{shard}", keys)
-        keep(folder, f"pair-count-{shard}", np.minimum(times, 255).astype(np.uint8))
         large = times >= 255
-        keep(folder, f"pair-large-{shard}", keys[large])
-        keep(folder, f"pair-large-count-{shard}", times[large])
+        keep(folder, f"pair-{shard}", {"key": keys, "count": np.minimum(times, 255).astype(np.uint8), "large": keys[large], "large_count": times[large]})
         rows.append(("stats", -1, of_counts(times).astype(np.int64).tobytes(), b"", b"", b"", b""))
-        found, total, once, twice, more = summed(context, times, (times == 1).astype(np.int64), (times == 2).astype(np.int64), (times > 2).astype(np.int64))
-        rows += cut("context", (found >> np.uint64(40 - bits)).astype(np.int64), (found, pack5), (total, whole(np.uint64)), *((x, whole(np.uint32)) for x in (once, twice, more)))
-        found, preceded = summed(word, np.ones(len(word), np.int64))
-        rows += cut("preceded", (found >> np.uint64(40 - bits)).astype(np.int64), (found, pack5), (preceded, whole(np.uint32)))
+        found, *held = summed(context, times, (times == 1).astype(np.int64), (times == 2).astype(np.int64), (times > 2).astype(np.int64))
+        rows += cut("context", shard_of(found, bits), lambda r: (found[r].tobytes(), *(small(x[r]) for x in held)))
+        names, preceded = summed(word, np.ones(len(word), np.int64))
+        rows += cut("preceded", shard_of(names, bits), lambda r: (names[r].tobytes(), small(preceded[r])))
     return pd.DataFrame(rows, columns=PARTS.names)
 
 
@@ -203,24 +239,18 @@ def merge_words(frame: pd.DataFrame, folder: str) -> pd.DataFrame:
         return pd.DataFrame([[0] * 8 + np.sum([np.frombuffer(x, np.int64) for x in frame["a"]], 0).tolist()], columns=SUMS)
     parts = {kind: some for kind, some in frame.groupby("kind")}
 
-    def joined(kind: str, column: str, read, kind_of: type) -> np.ndarray:
-        found = [read(x) for x in parts[kind][column]] if kind in parts else []
-        return np.concatenate(found).astype(kind_of) if found else np.zeros(0, kind_of)
-
-    def plain(of: type):
-        return lambda x: np.frombuffer(x, of)
-
-    words, times = summed(joined("word", "a", plain(np.uint64), np.uint64), joined("word", "b", plain(np.int64), np.int64))
-    names, preceded = summed(joined("preceded", "a", unpack5, np.uint64), joined("preceded", "b", plain(np.uint32), np.int64))
-    keep(folder, f"word-{shard}", words)
-    keep(folder, f"word-count-{shard}", times)
-    keep(folder, f"name-{shard}", names)
-    keep(folder, f"name-preceded-{shard}", preceded)
-    contexts, total, once, twice, more = summed(joined("context", "a", unpack5, np.uint64), joined("context", "b", plain(np.uint64), np.int64), *(joined("context", c, plain(np.uint32), np.int64) for c in "cde"))
-    keep(folder, f"context-{shard}", contexts)
-    keep(folder, f"context-total-{shard}", total)
-    for name, counts in (("once", once), ("twice", twice), ("more", more)):
-        keep(folder, f"context-{name}-{shard}", counts.astype(np.uint32))
+    def merged(kind: str, columns: str) -> tuple[np.ndarray, ...]:
+        if kind not in parts:
+            return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in columns)
+        names = [hashes(x) for x in parts[kind]["a"]]
+        counts = [np.concatenate([read_small(x, len(n)) for x, n in zip(parts[kind][c], names, strict=True)]) for c in columns]
+        return summed(np.concatenate(names), *counts)
+
+    words, times = merged("word", "b")
+    names, preceded = merged("preceded", "b")
+    contexts, total, *held = merged("context", "bcde")
+    columns = {"word": words, "times": times, "name": names, "preceded": preceded, "context": contexts, "total": total}
+    keep(folder, f"word-{shard}", columns | {c: x.astype(np.uint32) for c, x in zip(("once", "twice", "more"), held, strict=True)})
     ones, twos, threes, fours = map(int, of_counts(preceded))
     return pd.DataFrame([[int(times.sum()), len(words), int(preceded.sum()), len(names), ones, twos, threes, fours, 0, 0, 0, 0]], columns=SUMS)
 
@@ -241,34 +271,36 @@ class Model:
 
     def __init__(self, folder: str, bits: int, high: list[float], low: list[float], sums: dict[str, int]):
         self.folder, self.bits, self.high, self.low, self.sums = folder, bits, high, low, sums
-        self.maps: dict[str, np.ndarray | None] = {}
+        self.maps: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
         spared = low[0] * sums["n1"] + low[1] * sums["n2"] + low[2] * (sums["names"] - sums["n1"] - sums["n2"])
         self.floor = (spared / sums["pairs"] if sums["pairs"] else 1.0) / (sums["words"] + 1)
 
     def __getstate__(self):
-        return self.__dict__ | {"maps": {}}
+        return self.__dict__ | {"maps": OrderedDict()}
 
-    def map(self, name: str) -> np.ndarray | None:
+    def map(self, name: str) -> dict[str, np.ndarray]:
+        """A file's columns. The file that has not been used for longest is let go."""
         if name not in self.maps:
-            path = f"{self.folder}/{name}.npy"
-            self.maps[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            while len(self.maps) >= MAPS:
+                self.maps.popitem(last=False)
+            self.maps[name] = mapped(f"{self.folder}/{name}")
+        self.maps.move_to_end(name)
         return self.maps[name]
 
-    def look_up(self, keys: np.ndarray, width: int, table: str, columns: list[str]) -> list[np.ndarray]:
+    def look_up(self, keys: np.ndarray, table: str, key: str, columns: list[str]) -> list[np.ndarray]:
         """Values of sorted keys in a table's columns, 0 where it lacks the key."""
         found = [np.zeros(len(keys)) for _ in columns]
-        shards = (keys >> np.uint64(width - self.bits)).astype(np.int64)
+        shards = shard_of(keys, self.bits)
         starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(keys) else []
         for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
-            shard = shards[start]
-            stored = self.map(f"{table}-{shard}")
-            if stored is None or not len(stored):
+            stored = self.map(f"{table}-{shards[start]}")
+            if key not in stored or not len(stored[key]):
                 continue
             some = keys[start:end]
-            at = np.minimum(np.searchsorted(stored, some), len(stored) - 1)
-            there = np.flatnonzero(stored[at] == some)
+            at = np.minimum(np.searchsorted(stored[key], some), len(stored[key]) - 1)
+            there = np.flatnonzero(stored[key][at] == some)
             for out, column in zip(found, columns, strict=True):
-                out[start + there] = self.map(f"{column}-{shard}")[at[there]]
+                out[start + there] = stored[column][at[there]]
         return found
 
     @staticmethod
@@ -278,15 +310,14 @@ class Model:
     def per_token(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: whether training has it, base log10 and model log10."""
         words, which = np.unique(numbers, return_inverse=True)
-        (times,) = self.look_up(words, 64, "word", ["word-count"])
-        names = words >> LOW
-        (preceded,) = self.look_up(names, 40, "name", ["name-preceded"])
+        (times,) = self.look_up(words, "word", "word", ["times"])
+        (preceded,) = self.look_up(words, "word", "name", ["preceded"])
         lower = self.floor + (preceded - self.discount(preceded, self.low)) / max(self.sums["pairs"], 1)
         base = np.log10((times + 0.5) / (self.sums["tokens"] + 0.5 * (self.sums["words"] + 1)))
-        contexts, of_context = np.unique(before(numbers) >> LOW, return_inverse=True)
-        total, *held = self.look_up(contexts, 40, "context", ["context-total", "context-once", "context-twice", "context-more"])
+        contexts, of_context = np.unique(before(numbers), return_inverse=True)
+        total, *held = self.look_up(contexts, "word", "context", ["total", "once", "twice", "more"])
         spare = np.where(total > 0, sum(d * n for d, n in zip(self.high, held, strict=True)) / np.maximum(total, 1), 1.0)
-        keys = pair(contexts[of_context], names[which])
+        keys = pair(contexts[of_context], words[which])
         order = np.argsort(keys)
         met = np.empty(len(keys))
         met[order] = self.counts_of(keys[order])
@@ -294,13 +325,39 @@ class Model:
         return times[which] > 0, base[which], np.log10(np.maximum(chance, 1e-300))
 
     def counts_of(self, keys: np.ndarray) -> np.ndarray:
-        (met,) = self.look_up(keys, 64, "pair", ["pair-count"])
+        (met,) = self.look_up(keys, "pair", "key", ["count"])
         large = np.flatnonzero(met == 255)
         if len(large):
-            (met[large],) = self.look_up(keys[large], 64, "pair-large", ["pair-large-count"])
+            (met[large],) = self.look_up(keys[large], "pair", "large", ["large_count"])
         return met
 
 
+def by_shard(batches: Iterator[pa.RecordBatch], merge: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Apply ``merge`` to the rows of each shard of a partition, which are sorted by shard."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        shards = batch.column(1).to_numpy()
+        starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(shards) else []
+        for start, end in zip(starts, [*starts[1:], len(shards)], strict=True):
+            if held and held[0].column(1)[0].as_py() != shards[start]:
+                yield merge(pa.Table.from_batches(held).to_pandas())
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield merge(pa.Table.from_batches(held).to_pandas())
+
+
+def merged(rows: DataFrame, shards: int, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: pa.Schema) -> DataFrame:
+    """``merge`` of each shard's rows. Every shard has a partition of its own, and what goes with none (-1) has one more."""
+    dealt = rows.repartitionById(shards + 1, F.col("shard") + 1).sortWithinPartitions("shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in by_shard(batches, merge):
+            yield pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+
+    return dealt.mapInArrow(run, from_arrow_schema(schema))
+
+
 def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Model:
     """Count the column ``text`` (null: empty) of all rows and write the model to the shared folder, which must be mounted."""
     volume = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -316,8 +373,8 @@ def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Model:
     def words(frame: pd.DataFrame) -> pd.DataFrame:
         return merge_words(frame, folder)
 
-    merged = texts.select(text).mapInArrow(counted, SCHEMA).groupBy("shard").applyInPandas(pairs, SCHEMA)
-    sums = merged.groupBy("shard").applyInPandas(words, ", ".join(f"{c} long" for c in SUMS))
+    of_pairs = merged(texts.select(text).mapInArrow(counted, SCHEMA), 1 << bits, pairs, PARTS)
+    sums = merged(of_pairs, 1 << bits, words, pa.schema([(c, pa.int64()) for c in SUMS]))
     totals = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS)).first().asDict()
     high, low = (discounts_of(*(totals[f"{c}{k}"] for k in range(1, 5))) for c in "mn")
     return Model(folder, bits, high, low, totals)
@@ -341,10 +398,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([*rows.columns, *columns], [*rows.schema.names, *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             held, lengths, start = [], [], 0
             for i, text in enumerate(batch.column(position).to_pylist()):
-                some = tokens(text)
+                some = words.of(text)
                 held += some
                 lengths.append(len(some))
                 if len(held) >= BATCH or i == batch.num_rows - 1:
