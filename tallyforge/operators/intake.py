@@ -30,12 +30,15 @@ ROLES = ["date", "narration", "debit", "credit", "balance"]
 
 
 def grid(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, cells) of a CSV file, short rows padded to the widest. One statement is one file and one partition."""
+    """(row_no, cells) of a CSV file, short rows padded to the widest. One statement is one file and one partition. Blank lines are
+    rows; a quoted cell must not hold a line break."""
     lines = spark.read.option("encoding", "UTF-8").text(path, wholetext=False).withColumn("row_no", F.monotonically_increasing_id())
     text = F.regexp_replace("value", "^\uFEFF", "")
     wide = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 0
-    cells = F.from_csv(text, F.lit(", ".join(f"c{k} string" for k in range(wide)))) if wide else F.struct(F.lit(""))
-    return lines.withColumn("c", cells).select("row_no", F.array(*(F.trim(F.coalesce(F.col(f"c.c{k}"), F.lit(""))) for k in range(wide))).alias("cells"))
+    cells = F.from_csv(text, F.lit(", ".join(f"c{k} string" for k in range(wide))), {"nullValue": "\u0000", "emptyValue": "", "quote": '"', "escape": '"'}) if wide else F.struct(F.lit(""))
+    found = lines.withColumn("c", cells).select("row_no", F.array(*(F.col(f"c.c{k}") for k in range(wide))).alias("c"))
+    held = found.agg(F.max(F.size(F.filter("c", lambda x: x.isNotNull())))).first()[0] or 0
+    return found.select("row_no", F.transform(F.slice("c", 1, held), lambda x: F.trim(F.coalesce(x, F.lit("")))).alias("cells"))
 
 
 def roles(spark: SparkSession, mapping: Mapping) -> DataFrame:
@@ -119,8 +122,87 @@ def validate(spark: SparkSession, cells: DataFrame, mapping: Mapping) -> DataFra
 
 
 def apply(spark: SparkSession, cells: DataFrame, mapping: Mapping, world_id: int = 0) -> DataFrame:
-    """Canonical bank rows of a proved layout, numbered across its periods."""
+    """Canonical bank rows of a proved layout, numbered across its periods: within a period by a window, plus the rows that the layout
+    says the earlier periods have."""
     t = parsed(cells, mapping).join(roles(spark, mapping).filter("kind = 'transaction'"), "row_no")
-    turn = F.row_number().over(Window.orderBy("period", "row_no"))
+    sizes = [len(p["transaction_rows"]) for p in mapping.periods]
+    earlier = F.array(*(F.lit(sum(sizes[:k])) for k in range(len(sizes))))
+    turn = F.row_number().over(Window.partitionBy("period").orderBy("row_no")) + F.get(earlier, F.col("period"))
     ident: Column = F.concat(F.lit("REAL"), F.lpad(turn.cast("string"), 6, "0"))
     return t.select(F.lit(world_id).cast("long").alias("world_id"), "row_no", ident.alias("txn_id"), F.col("day").alias("value_date"), "narration", F.col("reference").alias("ref_no"), F.when(F.col("has_credit"), F.col("credit")).otherwise(0).alias("credit_paise"), F.when(F.col("has_debit"), F.col("debit")).otherwise(0).alias("debit_paise"), F.col("balance").alias("balance_paise"), "period")
+
+
+def warnings(spark: SparkSession, cells: DataFrame, mapping: Mapping) -> DataFrame:
+    """(code, row_no) of what a person should know of a proved layout: several periods, and a reference recipe that fits few rows."""
+    t = parsed(cells, mapping).join(roles(spark, mapping).filter("kind = 'transaction'"), "row_no")
+    told = [spark.createDataFrame([("W_PERIOD_GAP", -1)] if len(mapping.periods) > 1 else [], "code string, row_no long")]
+    if mapping.token_regex:
+        few = t.agg(F.count_if(F.col("reference") != "").alias("n"), F.count("*").alias("rows")).filter("n > 0 AND n < floor(rows / 2)")
+        told.append(few.select(F.lit("W_LOW_RECIPE_YIELD").alias("code"), F.lit(-1).cast("long").alias("row_no")))
+    return reduce(DataFrame.unionByName, told)
+
+
+def reproved(spark: SparkSession, rows: DataFrame, cells: DataFrame, mapping: Mapping) -> DataFrame:
+    """Canonical rows whose stated balance is not the period's opening balance plus all movements so far; empty if the rows prove it."""
+    opening = parsed(cells, mapping).join(roles(spark, mapping).filter("kind = 'opening'"), "row_no").select("period", F.col("balance").alias("opening"))
+    sofar = F.sum(F.col("credit_paise") - F.col("debit_paise")).over(Window.partitionBy("period").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0))
+    told = rows.join(opening, "period", "left").withColumn("implied", F.col("opening") + sofar)
+    return told.filter(~F.col("implied").eqNullSafe(F.col("balance_paise"))).select("txn_id", "balance_paise", "implied")
+
+
+#: Banks with their names, the first letters of their branch codes, and of their files' names.
+BANKS = [
+    ("HDFC Bank", "HDFC BANK", "HDFC0", "hdfc"),
+    ("ICICI Bank", "ICICI BANK", "ICIC0", "icici"),
+    ("State Bank of India", "STATE BANK OF INDIA", "SBIN0", "sbi"),
+    ("Axis Bank", "AXIS BANK", "UTIB0", "axis"),
+    ("Kotak Mahindra Bank", "KOTAK MAHINDRA", "KKBK0", "kotak"),
+]
+#: Rows in which a statement names its bank, folders that hold no statements, and the endings of statements.
+HEAD_ROWS, OTHER_FOLDERS, ENDINGS = 40, ["world", "golden"], ["csv", "xlsx"]
+
+
+def banks(grids: DataFrame) -> DataFrame:
+    """(file, bank) for grids (file, row_no, cells) of many statements: a bank's name counts more than a branch code and an earlier row
+    more than a later one, as counterparties' banks stand further down; with neither, the file's name tells."""
+    marks = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("place"), F.lit(b[0]).alias("bank"), F.lit(b[kind]).alias("mark")) for kind in (1, 2) for k, b in enumerate(BANKS)))
+    text = F.upper(F.array_join("cells", " "))
+    seen = grids.filter(F.col("row_no") < HEAD_ROWS).select("file", "row_no", F.explode(F.filter(marks, lambda m: F.contains(text, m["mark"]))).alias("m"))
+    named = seen.groupBy("file").agg(F.min_by("m.bank", F.struct("m.kind", "row_no", "m.place")).alias("bank"))
+    name = F.lower(F.element_at(F.split("file", "/"), -1))
+    of_name = reduce(lambda made, b: made.when(name.startswith(b[3]), b[0]), BANKS, F.when(F.lit(False), ""))
+    return grids.select("file").distinct().join(named, "file", "left").select("file", F.coalesce("bank", of_name, F.lit("unknown")).alias("bank"))
+
+
+def statement_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file) of all statements under a folder, however deep, but for those under folders of other use."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("file"))
+    parts = F.split(F.substring_index("file", folder.rstrip("/"), -1), "/")
+    return files.filter(F.lower(F.element_at(F.split("file", r"\."), -1)).isin(ENDINGS) & ~F.arrays_overlap(parts, F.array(*map(F.lit, OTHER_FOLDERS))))
+
+
+def role_issues(spark: SparkSession, mapping: Mapping, golden: Mapping) -> DataFrame:
+    """(role, got, expected) where an accepted layout departs from the labelled one."""
+    rows = lambda m: sum(len(p["transaction_rows"]) for p in m.periods)
+    pairs = [("header", mapping.header_row, golden.header_row), *((r, mapping.columns.get(r), golden.columns.get(r)) for r in ROLES if golden.columns.get(r) is not None)]
+    listed = lambda m: sorted(r for p in m.periods for r in p["transaction_rows"])
+    if listed(mapping) != listed(golden):
+        pairs.append(("transactions", rows(mapping), rows(golden)))
+    return spark.createDataFrame([p for p in pairs if p[0] == "transactions" or p[1] != p[2]], "role string, got int, expected int")
+
+
+def batch(spark: SparkSession, layouts: dict[str, Mapping]) -> DataFrame:
+    """(file, bank, rows, result, faults) of statements with a given layout each: passed if the layout is proved and its rows prove it again."""
+    grids = {path: grid(spark, path) for path in layouts}
+    told = []
+    for path, mapping in layouts.items():
+        faults = [r.code for r in validate(spark, grids[path], mapping).select("code").distinct().orderBy("code").limit(10).collect()]
+        if not faults and not reproved(spark, apply(spark, grids[path], mapping), grids[path], mapping).isEmpty():
+            faults = ["E_REPROOF"]
+        told.append((path, grids[path].count(), "failed" if faults else "passed", ",".join(faults)))
+    named = banks(reduce(DataFrame.unionByName, [g.withColumn("file", F.lit(path)) for path, g in grids.items()]))
+    return spark.createDataFrame(told, "file string, rows long, result string, faults string").join(named, "file")
+
+
+def batch_summary(results: DataFrame) -> DataFrame:
+    return results.groupBy("result").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A journey's breaks in ``breaks`` below are result values too.
 MATCHED = ["matched", "matched_split", "matched_merged", "matched_with_discrepancy"]
 
 

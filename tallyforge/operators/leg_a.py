@@ -83,8 +83,8 @@ def pass_1(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one, several = told.filter("n = 1"), told.filter("n > 1")
     name = "pass1_exact_utr"
     label = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))[F.col("why")]
-    repeated = candidate(F.col("sid"), net, "settlement already fully covered; this posting repeats it")
-    unequal = candidate(F.col("sid"), net, "credits share this reference but neither equal nor sum to the net")
+    repeated = candidate(F.col("sid"), net, "posted once more after the whole amount had arrived")
+    unequal = candidate(F.col("sid"), net, "several postings name it, and their amounts do not add up to it")
     split = several.filter("NOT equal AND total = net").groupBy("world_id", "sid", "net").agg(F.transform(F.array_sort(F.collect_list(F.struct("value_date", "tid"))), lambda x: x["tid"]).alias("tids"), F.sum("amount").alias("amount"))
     made = [
         decision(one.filter(amount == net), "match", "matched", sid, tid, late("amount_exact"), name, "exact", net, amount, F.lit(0)),
@@ -168,7 +168,7 @@ def pass_3(pending: DataFrame, left: Open, store: Store) -> tuple[DataFrame, Dat
     whole = F.col("net") + F.col("rest")
     merged = decision(one, "match", "matched_merged", F.array("sid", "partner"), F.array("tid"), rules("utr_exact", "merge_residual_exact"), "pass3_merge", "high", whole, F.col("amount"), F.lit(0))
     many = kept.filter("n > 1").groupBy("world_id", "sid", "net", "tid", "amount").agg(F.array_sort(F.collect_list(F.struct("p_no", F.col("partner").alias("record_id"), F.col("rest").alias("amount_paise")))).alias("ps"))
-    reason = "residual after the certain portion equals this settlement's net"
+    reason = "what the credit holds beyond its named settlement is this amount"
     others = F.transform("ps", lambda x: candidate(x["record_id"], x["amount_paise"], reason))
     tied = decision(many, "exception", "ambiguous_abstain", None, F.array("tid"), rules("utr_exact"), "pass3_merge", received=F.col("amount"), candidates=F.concat(F.array(candidate(F.col("sid"), F.col("net"), reason)), others))
     return merged.unionByName(tied), alive.join(kept.select("world_id", "sid").distinct(), ["world_id", "sid"], "left_anti")
@@ -184,11 +184,11 @@ def pass_4(left: Open, store: Store) -> DataFrame:
     rival = tied.select("world_id", "tid", F.col("sid").alias("rival"))
     rivals = tied.join(rival, ["world_id", "tid"]).filter("sid <> rival").groupBy("world_id", "sid").agg(F.array_sort(F.collect_set("rival")).alias("rivals"))
     per_s = tied.groupBy("world_id", "sid", "net").agg(F.array_sort(F.collect_list(F.struct("c_no", "tid"))).alias("cs")).join(rivals, ["world_id", "sid"], "left")
-    of_credits = F.transform("cs", lambda x: candidate(x["tid"], net, "equals the net, but other settlements claim the same amount"))
-    of_rivals = F.transform(F.coalesce("rivals", F.array().cast("array<string>")), lambda x: candidate(x, net, "rival settlement with the same net and an overlapping window"))
+    of_credits = F.transform("cs", lambda x: candidate(x["tid"], net, "same amount, wanted by more than one settlement"))
+    of_rivals = F.transform(F.coalesce("rivals", F.array().cast("array<string>")), lambda x: candidate(x, net, "waits for the same amount in the same days"))
     s_side = decision(per_s, "exception", "ambiguous_abstain", F.array("sid"), None, rules("amount_tie"), name, expected=net, candidates=F.concat(of_credits, of_rivals))
     per_c = tied.groupBy("world_id", "tid", "net").agg(F.array_sort(F.collect_list(F.struct("s_no", "sid"))).alias("ss"))
-    of_settlements = F.transform("ss", lambda x: candidate(x["sid"], net, "identical net and overlapping window"))
+    of_settlements = F.transform("ss", lambda x: candidate(x["sid"], net, "expects this amount in these days"))
     c_side = decision(per_c, "exception", "ambiguous_abstain", None, F.array("tid"), rules("amount_tie"), name, received=net, candidates=of_settlements)
     return unique.unionByName(s_side).unionByName(c_side)
 
@@ -220,15 +220,15 @@ def pass_5(pending: DataFrame, left: Open, debits: DataFrame, store: Store) -> D
     near = near.withColumn("turn", F.row_number().over(Window.partitionBy("world_id", "sid").orderBy(F.abs(gap), "c_no"))).filter("turn <= 3")
     near = near.groupBy("world_id", "sid").agg(F.array_sort(F.collect_list(F.struct("turn", "tid", "amount"))).alias("near"))
     missing = rest.s.join(near, ["world_id", "sid"], "left")
-    found = F.transform("near", lambda x: candidate(x["tid"], x["amount"], "nearest open credit in the window"))
-    nothing = F.array(candidate(F.lit(""), F.lit(0), "no unclaimed settlement-shaped credit in window"))
+    found = F.transform("near", lambda x: candidate(x["tid"], x["amount"], "among the closest amounts that arrived in its days"))
+    nothing = F.array(candidate(F.lit(""), F.lit(0), "nothing open in its days looks like a settlement"))
     no_bank = decision(missing, "exception", "exception_missing_bank", F.array("sid"), None, rules("no_credit_found"), name, expected=F.col("net"), candidates=F.coalesce(found, nothing))
     other = decision(rest.c.filter("NOT shaped"), "exception", "non_settlement_credit", None, F.array("tid"), rules("not_settlement_shaped"), name, received=F.col("amount"))
     sides = rest.s.select("world_id", F.lit(0).alias("side"), F.col("s_no").alias("no"), F.col("sid").alias("id"), F.col("net").alias("amount")).unionByName(rest.c.filter("shaped").select("world_id", F.lit(1).alias("side"), F.col("c_no").alias("no"), F.col("tid").alias("id"), "amount"))
     close = sides.groupBy("world_id").applyInPandas(nearest, "world_id long, tid string, turn int, sid string, net long").groupBy("world_id", "tid").agg(F.array_sort(F.collect_list(F.struct("turn", "sid", "net"))).alias("near"))
     strangers = rest.c.filter("shaped").join(close, ["world_id", "tid"], "left")
-    found = F.transform("near", lambda x: candidate(x["sid"], x["net"], "nearest open settlement; the reference differs"))
-    nothing = F.array(candidate(F.lit(""), F.lit(0), "no open settlement to compare against"))
+    found = F.transform("near", lambda x: candidate(x["sid"], x["net"], "among the closest amounts still awaited, under another reference"))
+    nothing = F.array(candidate(F.lit(""), F.lit(0), "every settlement is accounted for"))
     no_settlement = decision(strangers, "exception", "exception_missing_settlement", None, F.array("tid"), rules("no_settlement_found"), name, received=F.col("amount"), candidates=F.coalesce(found, nothing))
     outside = decision(debits, "out_of_scope", "out_of_scope", None, F.array("tid"), rules("debit"), "pass0_scope")
     return reduce(DataFrame.unionByName, [review, no_bank, other, no_settlement, outside])

@@ -67,21 +67,56 @@ def running_balance(bank_rows: DataFrame, opening: int = 10_000_000) -> DataFram
     return bank_rows.withColumn("balance_paise", F.sum(F.col("credit_paise") - F.col("debit_paise")).over(order) + opening)
 
 
-def queue(items: DataFrame, decisions_a: DataFrame, decisions_b: DataFrame) -> DataFrame:
-    """Units that the queue lacks, has twice or has without cause, and wrong severities or money; from the decisions alone."""
-    severe = {"exception_missing_bank": 1, "duplicate_credit": 1, "ambiguous_abstain": 2, "exception_missing_settlement": 2, "exception_amount_mismatch": 2, "exception_duplicate_payment": 2, "needs_review": 3, "exception_unpaid_order": 3, "exception_payment_no_order": 3}
-    level = F.create_map(*(F.lit(x) for kv in severe.items() for x in kv))
-    status = F.when(F.col("confidence") == "needs_review", "needs_review").otherwise(F.col("status"))
-    a = decisions_a.select("world_id", status.alias("status"), F.array_join(F.array_sort(F.concat("settlement_ids", "bank_txn_ids")), ";").alias("unit")).filter(F.col("status").isin(*severe))
-    pairs = decisions_b.filter("status = 'exception_amount_mismatch' AND record_type = 'order'").select("world_id", "status", "record_id", "counterparty_ids")
+#: How severe each status is that a queue must show.
+SEVERE = {
+    "exception_missing_bank": 1, "duplicate_credit": 1,
+    "ambiguous_abstain": 2, "exception_missing_settlement": 2, "exception_amount_mismatch": 2, "exception_duplicate_payment": 2,
+    "needs_review": 3, "exception_unpaid_order": 3, "exception_payment_no_order": 3,
+}
+
+
+def amounts_of(settlements: DataFrame, bank_rows: DataFrame, order_book: DataFrame, payments: DataFrame) -> DataFrame:
+    """(world_id, id, kind, amount) of all records, from the sources alone."""
+    sides = [(settlements, "settlement_id", "amount_paise", "s"), (bank_rows, "txn_id", "credit_paise", "c"), (order_book, "order_id", "amount_paise", "o"), (payments, "payment_id", "amount_paise", "p")]
+    return reduce(DataFrame.unionByName, [df.select("world_id", F.col(i).alias("id"), F.lit(kind).alias("kind"), F.col(n).alias("amount")) for df, i, n, kind in sides])
+
+
+def due_items(decisions_a: DataFrame, decisions_b: DataFrame, amounts: DataFrame) -> DataFrame:
+    """(world_id, status, unit, due, due_money): what a queue must show, from the decisions and the sources' amounts."""
+    unit = lambda *ids: F.array_join(F.array_sort(F.concat(*ids)), ";").alias("unit")
+    sums = lambda *kinds: [F.sum(F.when(F.col("kind") == k, F.col("amount"))).alias(k) for k in kinds]
+    status = F.when(F.col("confidence") == "needs_review", "needs_review").otherwise(F.col("status")).alias("status")
+    a = decisions_a.select("world_id", status, unit("settlement_ids", "bank_txn_ids"), F.explode(F.concat("settlement_ids", "bank_txn_ids")).alias("id")).filter(F.col("status").isin(*SEVERE))
+    a = a.join(amounts, ["world_id", "id"]).groupBy("world_id", "status", "unit").agg(*sums("s", "c"), (F.count("*") / F.count_distinct("id")).cast("long").alias("due"))
+    money = F.when(F.col("status") == "needs_review", F.abs(F.col("c") - F.col("s"))).when(F.col("status") == "exception_missing_bank", F.col("s"))
+    a = a.select("world_id", "status", "unit", "due", money.when(F.col("status") == "ambiguous_abstain", F.coalesce("s", "c")).otherwise(F.col("c")).alias("due_money"))
+
+    mismatch = F.col("status") == "exception_amount_mismatch"
+    pairs = decisions_b.filter(mismatch & (F.col("record_type") == "order")).select("world_id", "status", "record_id", "counterparty_ids")
     fused = pairs.select("world_id", F.explode("counterparty_ids").alias("record_id"))
-    single = decisions_b.filter(F.col("status").isin(*severe) & ~((F.col("status") == "exception_amount_mismatch") & (F.col("record_type") == "order"))).join(fused, ["world_id", "record_id"], "left_anti").select("world_id", "status", "record_id", "counterparty_ids")
-    b = pairs.unionByName(single).select("world_id", "status", F.array_join(F.array_sort(F.concat(F.array("record_id"), "counterparty_ids")), ";").alias("unit"))
-    expected = a.unionByName(b).groupBy("world_id", "status", "unit").agg(F.count("*").alias("due"))
-    there = items.groupBy("world_id", "status", F.array_join(F.array_sort("record_ids"), ";").alias("unit")).agg(F.count("*").alias("shown"), F.max("severity").alias("severity"), F.min("money_at_risk_paise").alias("least"))
-    both = expected.join(there, ["world_id", "status", "unit"], "full_outer")
+    lines = pairs.select("world_id", "status", unit(F.array("record_id"), "counterparty_ids"), F.explode(F.concat(F.array("record_id"), "counterparty_ids")).alias("id"))
+    fused_items = lines.join(amounts, ["world_id", "id"]).groupBy("world_id", "status", "unit").agg(*sums("o", "p"))
+    fused_items = fused_items.select("world_id", "status", "unit", F.lit(1).cast("long").alias("due"), F.abs(F.coalesce("p", F.lit(0)) - F.col("o")).alias("due_money"))
+    single = decisions_b.filter(F.col("status").isin(*SEVERE) & ~(mismatch & (F.col("record_type") == "order"))).join(fused, ["world_id", "record_id"], "left_anti")
+    single = single.select("world_id", "status", unit(F.array("record_id"), "counterparty_ids"), F.col("record_id").alias("id")).join(amounts, ["world_id", "id"])
+    return a.unionByName(fused_items).unionByName(single.groupBy("world_id", "status", "unit").agg(F.count("*").alias("due"), F.sum("amount").alias("due_money")))
+
+
+def queue(items: DataFrame, due: DataFrame) -> DataFrame:
+    """Units that the queue lacks, has twice or has without cause, and wrong severities or money; ``due`` is from ``due_items``."""
+    level = F.create_map(*(F.lit(x) for kv in SEVERE.items() for x in kv))
+    there = items.groupBy("world_id", "status", F.array_join(F.array_sort("record_ids"), ";").alias("unit"))
+    there = there.agg(F.count("*").alias("shown"), F.max("severity").alias("severity"), F.sum("money_at_risk_paise").alias("money"))
+    both = due.join(there, ["world_id", "status", "unit"], "full_outer")
     unit = F.concat_ws(":", "status", "unit")
     return reduce(DataFrame.unionByName, [
         _told(both.filter("shown IS NULL"), "missing_item", unit), _told(both.filter("due IS NULL"), "unfounded_item", unit), _told(both.filter("shown <> due"), "item_count", unit),
-        _told(both.filter(F.col("severity") != level[F.col("status")]), "severity", unit), _told(both.filter("least < 0"), "negative_money", unit),
+        _told(both.filter(F.col("severity") != level[F.col("status")]), "severity", unit), _told(both.filter("money <> due_money"), "money", unit),
     ])
+
+
+def order(shown: DataFrame) -> DataFrame:
+    """Places of a shown queue, (world_id, place, the sort columns), at which an item should stand before the one above it."""
+    rank = F.struct("severity", -F.col("money_at_risk_paise"), "source", "status", F.get("record_ids", F.lit(0)))
+    above = F.lag(rank).over(Window.partitionBy("world_id").orderBy("place"))
+    return _told(shown.withColumn("above", above).filter(F.col("above") > rank), "order", F.col("place"))

@@ -4,23 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
 from tallyforge.functions.grammar import money_spans
-from tallyforge.operators import baselines, close, grade, graph, journey, leg_a, leg_b, proposals, triage, verify
+from tallyforge.operators import audit, baselines, close, explain, grade, graph, journey, leg_a, leg_b, proposals, search, triage, verify
 from tallyforge.plans import twins
 from tallyforge.sources.world import world
 
 
-GOLDEN = """SELECT world_id, 'settlement' AS record_type, settlement_id AS record_id, CASE WHEN row_no % 24 IN (5, 6) THEN 'ambiguous_abstain' WHEN row_no % 24 = 15 THEN 'exception_missing_bank'
-  WHEN row_no % 24 = 17 THEN 'matched_split' WHEN row_no % 24 IN (18, 19, 20) THEN 'matched_with_discrepancy' WHEN row_no % 24 IN (22, 23) THEN 'matched_merged' ELSE 'matched' END AS expected,
-  CASE WHEN row_no % 24 = 15 THEN '' WHEN row_no % 24 = 17 THEN concat('BANK', lpad(cast(row_no * 4 as varchar(20)), 12, '0'), ';BANK', lpad(cast(row_no * 4 + 1 as varchar(20)), 12, '0'))
-  WHEN row_no % 24 IN (6, 23) THEN concat('BANK', lpad(cast((row_no - 1) * 4 as varchar(20)), 12, '0')) ELSE concat('BANK', lpad(cast(row_no * 4 as varchar(20)), 12, '0')) END AS counterparties,
-  concat('class_', lpad(cast(row_no % 24 as varchar(20)), 2, '0')) AS scenario FROM {settlements}"""
-
-
 class Results:
     """What the queries of one folder share: leg A runs once, and so does every step that others read."""
 
@@ -45,6 +38,10 @@ class Results:
     def dates(self) -> DataFrame:
         return triage.close_dates(self.world.bank_rows)
 
+    def due(self) -> DataFrame:
+        w = self.world
+        return self.once("due", lambda: verify.due_items(self.leg_a(), self.leg_b(), verify.amounts_of(w.settlements, w.bank_rows, w.order_book, w.payments)))
+
     def overdue(self) -> DataFrame:
         return triage.overdue(self.world.settlements, self.leg_a(), self.dates())
 
@@ -54,7 +51,7 @@ class Results:
     def actions(self) -> DataFrame:
         """A log of operators' actions made from ``events``: each names an unpaid order's item."""
         e = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
-        order = F.concat(F.lit("order_"), F.lpad(((F.col("user_id") * 20 + 3) % 15000).cast("string"), 14, "0"))
+        order = F.concat(F.lit("order_"), F.lpad((F.floor(F.col("event_id") / 13) * 20 + 3).cast("string"), 14, "0"))
         action = F.when(F.col("event_type") == "purchase", "resolve").when(F.col("event_type") == "click", "assign").when(F.col("event_type") == "error", "snooze").otherwise("note")
         log = e.select(X.item_id(F.lit("recon_leg_b"), F.array(order)).alias("item_id"), F.col("event_id").alias("seq"), action.alias("action"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("by"), F.concat(F.lit("note "), F.col("event_id").cast("string")).alias("note"))
         log = log.join(self.queue().select("item_id", "status"), "item_id")
@@ -62,9 +59,25 @@ class Results:
 
     def golden(self) -> DataFrame:
         """The answers that the scenario classes imply, for settlements."""
-        df = self.spark.sql(GOLDEN.format(settlements="{settlements}"), settlements=self.world.settlements)
+        df = self.spark.sql(twins.GOLDEN.format(settlements="{settlements}"), settlements=self.world.settlements)
         return df.withColumn("counterparties", F.filter(F.split("counterparties", ";"), lambda x: x != ""))
 
+    def golden_queue(self) -> DataFrame:
+        """What the scenario classes imply for the queue: settlements, credits, orders and payments with the money at stake."""
+        w = self.world
+        return self.spark.sql(twins.GOLDEN_QUEUE.format(s="{s}", b="{b}", o="{o}", p="{p}"), s=w.settlements, b=w.bank_rows, o=w.order_book, p=w.payments)
+
+    def naive_queue(self) -> DataFrame:
+        """The same queue over the naive matcher, without overdue settlements."""
+        w = self.world
+        return triage.queue(triage.items_from_leg_a(self.naive(), self.overdue().limit(0)), triage.items_from_leg_b(self.leg_b(), w.order_book, w.payments))
+
+    def claimed(self) -> DataFrame:
+        return self.leg_a().filter("kind = 'match' AND confidence <> 'needs_review'").select("world_id", F.explode(F.concat("settlement_ids", "bank_txn_ids")).alias("record_id"))
+
+    def questions(self, part: str) -> DataFrame:
+        return self.spark.sql(twins.QUESTIONS[part], dates=self.dates())
+
     def graded(self, name: str) -> DataFrame:
         made = {"engine": self.leg_a, "naive": self.naive, "reference": self.reference_baseline}[name]
         return self.once(f"graded_{name}", lambda: grade.graded(self.golden(), made()))
@@ -79,8 +92,7 @@ class Results:
         """What the matcher left to people: items of settlements and credits, and the records that it has claimed."""
         view = proposals.View(self.world.settlements, self.world.bank_rows)
         left = self.queue().filter("source = 'recon_leg_a' AND status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')")
-        done = self.leg_a().filter("kind = 'match' AND confidence <> 'needs_review'").select("world_id", F.explode(F.concat("settlement_ids", "bank_txn_ids")).alias("record_id"))
-        return view, left.select("world_id", "item_id", "record_ids"), done
+        return view, left.select("world_id", "item_id", "record_ids"), self.claimed()
 
     def overlay(self) -> DataFrame:
         return close.overlay(self.queue(), close.fold_actions(self.actions()))
@@ -106,7 +118,40 @@ FLAT = "world_id, kind, status, array_to_string(sids, ';') AS settlement_ids, ar
 
 
 def flat_queue(q: DataFrame) -> DataFrame:
-    return q.withColumn("record_ids", F.array_join("record_ids", ";"))
+    return q.select("world_id", "source", "status", "severity", "money_at_risk_paise", F.array_join("record_ids", ";").alias("record_ids"), "due_date", "days_overdue", "item_id")
+
+
+def damaged_decisions(d: DataFrame) -> DataFrame:
+    """Decisions with one fault each in a share of them, by the number of their first record."""
+    h = F.when(F.col("kind") == "match", F.substring(F.get("settlement_ids", F.lit(0)), -6, 6).cast("int") % 40).otherwise(F.lit(-1))
+    bare = (F.col("status") == "duplicate_credit") & (F.substring(F.get("bank_txn_ids", F.lit(0)), -6, 6).cast("int") % 3 == 0)
+    off = lambda c, k, n: (F.col(c) + F.when(F.col("h") == k, n).otherwise(0)).alias(c)
+    d = d.withColumn("h", h).filter("h <> 3")
+    return d.withColumns({
+        "settlement_ids": F.when(F.col("h") == 6, F.array(F.lit("setl_unknown"))).otherwise(F.col("settlement_ids")),
+        "confidence": F.when(F.col("h") == 4, "sure").otherwise(F.col("confidence")),
+        "expected_paise": off("expected_paise", 0, 1), "received_paise": off("received_paise", 1, -1), "discrepancy_paise": off("discrepancy_paise", 2, 5),
+        "rules": F.when(F.col("h") == 5, F.array().cast("array<string>")).otherwise(F.col("rules")),
+        "candidates": F.when(bare, F.array().cast(leg_a.CANDIDATE)).otherwise(F.col("candidates")),
+        "bank_txn_ids": F.when(F.col("h") == 7, F.concat("bank_txn_ids", "bank_txn_ids")).otherwise(F.col("bank_txn_ids")),
+    }).drop("h")
+
+
+def damaged_queue(q: DataFrame) -> DataFrame:
+    """A queue with one fault each in a share of its items, by their ids."""
+    q = q.withColumn("h", F.conv(F.substring("item_id", 1, 2), 16, 10).cast("int")).filter("h <> 0")
+    q = q.withColumns({
+        "severity": F.col("severity") + F.when(F.col("h") == 1, 1).otherwise(0), "record_ids": F.when(F.col("h") == 4, F.concat("record_ids", F.array(F.lit("zzz")))).otherwise(F.col("record_ids")),
+        "money_at_risk_paise": F.when(F.col("h") == 3, F.floor(F.col("money_at_risk_paise") / 2)).otherwise(F.col("money_at_risk_paise")),
+    })
+    return q.unionByName(q.filter("h = 2")).drop("h")
+
+
+def placed_queue(q: DataFrame) -> DataFrame:
+    """A queue as shown, each world's items numbered, with every 50th item moved down three places."""
+    keys = ["severity", F.desc("money_at_risk_paise"), "source", "status", F.get("record_ids", F.lit(0))]
+    place = F.row_number().over(Window.partitionBy("world_id").orderBy(*keys))
+    return q.withColumn("place", place * 10 + F.when(place % 50 == 0, 35).otherwise(0))
 
 
 QUEUE = "world_id, source, status, severity, money_at_risk_paise::BIGINT AS money_at_risk_paise, array_to_string(ids, ';') AS record_ids, due_date, days_overdue, item_id"
@@ -208,7 +253,8 @@ def _leg_a() -> dict[str, Query]:
         "confidence_counts": (lambda r: r.leg_a().groupBy("confidence").agg(F.count("*").alias("n"), F.sum("received_paise").alias("received_paise")), "SELECT confidence, count(*) AS n, sum(received_paise)::BIGINT AS received_paise FROM leg_a GROUP BY ALL"),
         "leg_a_summary": (lambda r: close.leg_a_summary(r.leg_a()), f"SELECT world_id, count(*) FILTER (status NOT IN ('out_of_scope', 'non_settlement_credit')) AS in_scope, count(*) FILTER (status IN {twins.FAMILY}) AS matched, coalesce(sum(received_paise) FILTER (status IN {twins.FAMILY}), 0)::BIGINT AS matched_paise, count(*) FILTER (confidence = 'needs_review') AS needs_review, count(*) FILTER (kind = 'exception') AS exceptions FROM leg_a GROUP BY ALL"),
         "overview": (lambda r: close.overview(r.leg_a()), f"SELECT world_id, coalesce(sum(received_paise) FILTER (status IN {twins.FAMILY}), 0)::BIGINT AS reconciled_paise, coalesce(sum(coalesce(nullif(expected_paise, 0), received_paise, 0)) FILTER (kind = 'exception' AND status <> 'non_settlement_credit'), 0)::BIGINT AS exception_paise FROM leg_a GROUP BY ALL"),
-        "verify_leg_a": (lambda r: verify.leg_a(r.world.settlements, r.world.bank_rows, r.leg_a()), "SELECT 0::BIGINT AS world_id, '' AS code, '' AS record WHERE false"),
+        "verify_leg_a": (lambda r: verify.leg_a(r.world.settlements, r.world.bank_rows, r.leg_a()), twins.broken_decisions("leg_a")),
+        "verify_leg_a_damaged": (lambda r: verify.leg_a(r.world.settlements, r.world.bank_rows, damaged_decisions(r.leg_a())), twins.broken_decisions("dd")),
     }
 
 
@@ -273,16 +319,23 @@ def _close() -> dict[str, Query]:
         "snapshot_delta": (before, f"""SELECT coalesce(b.world_id, n.world_id) AS world_id, coalesce(b.item_id, n.item_id) AS item_id, b.status AS status_before, b.money AS money_before, n.status AS status_now, n.money AS money_now,
   CASE WHEN b.item_id IS NULL THEN 'new' WHEN n.item_id IS NULL THEN 'gone' ELSE 'carried' END AS change
   FROM (SELECT world_id, item_id, status, (money_at_risk_paise + severity)::BIGINT AS money FROM queue WHERE {bits} % 3 <> 0) b FULL OUTER JOIN (SELECT world_id, item_id, status, money_at_risk_paise::BIGINT AS money FROM queue WHERE {bits} % 5 <> 0) n ON b.item_id = n.item_id AND b.world_id = n.world_id"""),
-        "verify_queue": (lambda r: verify.queue(r.queue(), r.leg_a(), r.leg_b()), "SELECT 0::BIGINT AS world_id, '' AS code, '' AS record WHERE false"),
+        "verify_queue": (lambda r: verify.queue(r.queue(), r.due()), twins.broken_queue("queue")),
+        "verify_queue_damaged": (lambda r: verify.queue(damaged_queue(r.queue()), r.due()), twins.broken_queue("qd")),
+        "verify_queue_order": (lambda r: verify.order(placed_queue(r.queue())), twins.QUEUE_ORDER),
     }
 
 
+def graded_sql(decisions: str) -> str:
+    """Golden rows with what the named decisions make of them."""
+    return f"""SELECT g.*, coalesce(a.status, 'unreported') AS got, coalesce(a.status = g.expected AND CASE WHEN g.expected IN {twins.FAMILY} THEN array_to_string(list_sort(a.tids), ';') = g.counterparties
+WHEN g.expected = 'ambiguous_abstain' THEN contains(';' || a.candidates || ';', ';' || g.counterparties || ';') ELSE true END, false) AS correct,
+coalesce(a.status IN {twins.FAMILY}, false) AS is_match, coalesce(a.status IN {twins.FAMILY} AND a.confidence IN ('exact', 'high', 'medium'), false) AS auto
+FROM ({twins.GOLDEN.format(settlements="settlements")}) g LEFT JOIN (SELECT sid, status, tids, candidates, confidence FROM (SELECT unnest(sids) AS sid, status, tids, candidates, confidence, pass_name FROM {decisions})
+QUALIFY row_number() OVER (PARTITION BY sid ORDER BY pass_name, status) = 1) a ON g.record_id = a.sid"""
+
+
 def _evaluation() -> dict[str, Query]:
-    graded = f"""SELECT g.*, coalesce(a.status, 'unreported') AS got, coalesce(a.status = g.expected AND CASE WHEN g.expected IN {twins.FAMILY} THEN array_to_string(list_sort(a.tids), ';') = g.counterparties
-  WHEN g.expected = 'ambiguous_abstain' THEN contains(';' || a.candidates || ';', ';' || g.counterparties || ';') ELSE true END, false) AS correct,
-  coalesce(a.status IN {twins.FAMILY}, false) AS is_match, coalesce(a.status IN {twins.FAMILY} AND a.confidence IN ('exact', 'high', 'medium'), false) AS auto
-  FROM ({GOLDEN.format(settlements="settlements")}) g LEFT JOIN (SELECT sid, status, tids, candidates, confidence FROM (SELECT unnest(sids) AS sid, status, tids, candidates, confidence, pass_name FROM leg_a)
-  QUALIFY row_number() OVER (PARTITION BY sid ORDER BY pass_name, status) = 1) a ON g.record_id = a.sid"""
+    graded = graded_sql("leg_a")
     due = f"expected IN {twins.FAMILY}"
     counts = f"""count(*) AS n_rows, count(*) FILTER ({due}) AS matchable, count(*) FILTER ({due} AND correct) AS tp, count(*) FILTER (is_match AND NOT ({due} AND correct)) AS fp, count(*) FILTER ({due} AND NOT correct) AS fn,
   count(*) FILTER (correct) AS n_correct, count(*) FILTER (expected = 'ambiguous_abstain') AS ambiguous, count(*) FILTER (expected = 'ambiguous_abstain' AND correct) AS abstained, count(*) FILTER (auto) AS auto_resolved"""
@@ -290,8 +343,8 @@ def _evaluation() -> dict[str, Query]:
     def scenario(r: Results) -> DataFrame:
         return grade.summary(r.graded("engine"), "scenario")
 
-    def baseline(name: str) -> Query:
-        return (lambda r: grade.summary(r.graded(name), "scenario")), ""
+    def baseline(name: str, decisions: str) -> Query:
+        return (lambda r: grade.summary(r.graded(name), "scenario")), f"SELECT scenario, {counts} FROM ({graded_sql(decisions)}) GROUP BY ALL"
 
     def linked(r: Results) -> DataFrame:
         d = r.leg_a()
@@ -314,15 +367,15 @@ def _evaluation() -> dict[str, Query]:
 
     edges = """SELECT x.a, y.b FROM (SELECT unnest(sids) AS a, list_concat(tids, string_split(candidates, ';')) AS bs FROM leg_a) x, LATERAL (SELECT unnest(x.bs) AS b) y WHERE y.b <> ''"""
     return {
-        "golden": (lambda r: r.golden().withColumn("counterparties", F.array_join("counterparties", ";")), GOLDEN.format(settlements="settlements")),
+        "golden": (lambda r: r.golden().withColumn("counterparties", F.array_join("counterparties", ";")), twins.GOLDEN.format(settlements="settlements")),
         "grade_leg_a": (lambda r: grade.summary(r.graded("engine")), f"SELECT {counts} FROM ({graded})"),
         "grade_leg_a_by_scenario": (scenario, f"SELECT scenario, {counts} FROM ({graded}) GROUP BY ALL"),
         "grade_scenario_and_exception_sets": (lambda r: grade.scenario_table(r.graded("engine")), f"SELECT 'scenario' AS kind, scenario AS name, count(*) AS n, count(*) FILTER (correct) AS n_correct FROM ({graded}) GROUP BY ALL UNION ALL SELECT 'exception', expected, count(*), count(*) FILTER (correct) FROM ({graded}) WHERE expected NOT IN {twins.FAMILY} GROUP BY ALL"),
         "grade_categories": (lambda r: grade.categories(r.graded("engine")), f"SELECT scenario, count(*) FILTER (auto AND correct) AS auto_correct, count(*) FILTER (auto AND NOT correct) AS auto_wrong, count(*) FILTER (NOT auto AND expected NOT IN {twins.FAMILY}) AS rightly_left, count(*) FILTER (NOT auto AND {due}) AS wrongly_left FROM ({graded}) GROUP BY ALL"),
-        "baseline_naive": (lambda r: flat_decisions(r.naive()), ""),
-        "baseline_reference_then_amount": (lambda r: flat_decisions(r.reference_baseline()), ""),
-        "grade_baseline_naive": baseline("naive"),
-        "grade_baseline_reference": baseline("reference"),
+        "baseline_naive": (lambda r: flat_decisions(r.naive()), f"SELECT {FLAT} FROM naive"),
+        "baseline_reference_then_amount": (lambda r: flat_decisions(r.reference_baseline()), f"SELECT {FLAT} FROM by_reference"),
+        "grade_baseline_naive": baseline("naive", "naive"),
+        "grade_baseline_reference": baseline("reference", "by_reference"),
         "components": (linked, f"WITH RECURSIVE e AS ({edges}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, x.b FROM reach r JOIN both_ways x ON r.other = x.a) SELECT id, min(other) AS component FROM reach GROUP BY ALL"),
         "solver": (solved, ""),
         "verify_proposals": (checked, ""),
@@ -330,13 +383,77 @@ def _evaluation() -> dict[str, Query]:
     }
 
 
+def _search() -> dict[str, Query]:
+    """Questions to the records that the matcher left open, and texts for people."""
+
+    def ranged(part: str, rows: Callable[[Results], DataFrame]) -> Callable[[Results], DataFrame]:
+        return lambda r: search.ranged(r.questions(part), search.unclaimed(rows(r), r.claimed()))
+
+    def anchored(r: Results) -> DataFrame:
+        s, c = search.settlements_of(r.world.settlements), search.credits_of(r.world.bank_rows)
+        left = r.leg_a().filter("status = 'exception_missing_bank'").select("world_id", F.get("settlement_ids", F.lit(0)).alias("record_id"))
+        items = left.join(s, ["world_id", "record_id"]).select("world_id", F.col("record_id").alias("question"), F.lit("settlement").alias("side"), F.col("day").alias("anchor"))
+        return search.item_context(items, search.unclaimed(s, r.claimed()), search.unclaimed(c, r.claimed()))
+
+    def texts(r: Results) -> DataFrame:
+        notes = F.array_join(F.filter(F.transform("candidates", lambda x: x["id"]), lambda x: x != ""), ";")
+        return r.queue().select("world_id", "item_id", "title", "suggested_action", "detail", F.array_join("evidence", ",").alias("evidence"), notes.alias("candidates"))
+
+    def explained(r: Results) -> DataFrame:
+        d = explain.attach(r.leg_a())
+        return d.select("world_id", "status", F.array_join("settlement_ids", ";").alias("settlement_ids"), F.array_join("bank_txn_ids", ";").alias("bank_txn_ids"), "explanation")
+
+    def urgent(r: Results) -> DataFrame:
+        return flat_queue(triage.ordered(r.queue().filter("severity = 1 AND days_overdue IS NOT NULL")))
+
+    return {
+        "search_settlements": (ranged("ranged", lambda r: search.settlements_of(r.world.settlements)), twins.ranged("so")),
+        "search_credits": (ranged("ranged", lambda r: search.credits_of(r.world.bank_rows)), twins.ranged("co")),
+        "search_narrations": (lambda r: search.looked_up(r.questions("named"), r.world.bank_rows, r.claimed()), twins.LOOKED_UP),
+        "search_decisions": (lambda r: search.mentions(r.questions("needles"), r.leg_a(), r.leg_b()), twins.MENTIONS),
+        "search_statement_window": (lambda r: search.statement_window(r.questions("windows"), r.world.bank_rows), twins.WINDOWS),
+        "item_context": (anchored, twins.CONTEXT),
+        "leg_a_explanations": (explained, f"SELECT world_id, status, array_to_string(sids, ';') AS settlement_ids, array_to_string(tids, ';') AS bank_txn_ids, {twins.explanation()} AS explanation FROM leg_a"),
+        "queue_texts": (texts, twins.queue_texts()),
+        "queue_urgent": (urgent, f"SELECT {QUEUE} FROM queue WHERE severity = 1 AND days_overdue IS NOT NULL"),
+    }
+
+
+def _audit() -> dict[str, Query]:
+    """Queues against labels, and systems against each other."""
+    def systems(r: Results) -> dict[str, DataFrame]:
+        return {"engine": audit.state(r.leg_a()), "naive": audit.state(r.naive()), "reference": audit.state(r.reference_baseline())}
+
+    def solved(r: Results) -> DataFrame:
+        view, items, done = r.open_items()
+        told = r.once("solved", lambda: proposals.solve(view, items, done, r.world.store)).filter("verdict = 'match'")
+        return audit.with_proposals(audit.state(r.leg_a()), told.select("world_id", "settlement_ids", "bank_row_ids"))
+
+    amounts = lambda r: r.world.settlements.select("world_id", F.col("settlement_id").alias("record_id"), "amount_paise")
+    rates = lambda name: audit.over_worlds(audit.queue_rates(name), ["queue_recall", "money_recall", "queue_precision"])
+    return {
+        "golden_queue": (lambda r: r.golden_queue(), twins.GOLDEN_QUEUE.format(s="settlements", b="bank_rows", o="order_book", p="payments")),
+        "audit_queue": (lambda r: audit.queue(r.queue(), r.golden_queue()), twins.audited("queue")),
+        "audit_naive_queue": (lambda r: audit.queue(r.naive_queue(), r.golden_queue()), twins.audited("nqueue")),
+        "audit_queue_missed": (lambda r: audit.missed(r.naive_queue(), r.golden_queue()), twins.missed("nqueue")),
+        "audit_rates": (lambda r: rates(audit.queue(r.queue(), r.golden_queue())), twins.over_worlds(f"SELECT *, surfaced / worthy::DOUBLE AS queue_recall, surfaced_paise / stake_paise::DOUBLE AS money_recall, justified / gradable::DOUBLE AS queue_precision FROM ({twins.audited('queue')})", ["queue_recall", "money_recall", "queue_precision"])),
+        "benchmark_strategies": (lambda r: audit.strategies({n: r.graded(n) for n in ("engine", "naive", "reference")}), twins.benchmark(graded_sql)),
+        "evaluate_systems": (lambda r: audit.boxes(systems(r), r.golden()), twins.BOXES),
+        "evaluate_with_solver": (lambda r: audit.boxes({"engine_solver": solved(r)}, r.golden()), ""),
+        "worst_failures": (lambda r: audit.worst(r.golden(), systems(r)["naive"], amounts(r)), twins.WORST),
+        "false_matches_by_tier": (lambda r: audit.false_by_tier(r.golden(), systems(r)["naive"]), "SELECT coalesce(tier, 'none') AS tier, count(*) AS n FROM boxed WHERE system = 'naive' AND box = 'auto_wrong' GROUP BY ALL"),
+        "gross_captured_per_month": (lambda r: r.world.payments.filter("status = 'captured'").groupBy(F.date_trunc("month", F.timestamp_seconds("created_s")).cast("date").cast("string").alias("month")).agg(F.sum("amount_paise").alias("gross_paise"), F.count("*").alias("n")), "SELECT date_trunc('month', make_timestamp(created_s * 1000000))::DATE::VARCHAR AS month, sum(amount_paise)::BIGINT AS gross_paise, count(*) AS n FROM payments WHERE status = 'captured' GROUP BY ALL"),
+    }
+
+
 def registered() -> dict[str, Query]:
-    return _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
+    return _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
 
 
 #: Columns of type date; results show them as ISO text, which both engines write alike.
 DATES = {
     "world_settlements": ["created", "settled"], "world_bank_rows": ["value_date"], "scalar_dates": ["back", "rolled", "iso"], "gross_per_month": ["month"],
+    "search_settlements": ["day"], "search_credits": ["day"], "search_narrations": ["day"], "search_statement_window": ["day"], "item_context": ["day"], "queue_urgent": ["due_date"],
     "overdue": ["expected_date"], "queue": ["due_date"], "queue_leg_a_items": ["due_date"], "queue_leg_b_items": ["due_date"], "queue_top": ["due_date"],
     "cash": ["first_date", "close_date"], "cash_as_of": ["first_date", "close_date"], "snapshot": ["close_date"],
 }

@@ -9,12 +9,12 @@ from tallyforge.functions import scalars as X
 
 #: Columns of each table, in their order in the files.
 COLUMNS = {
-    "payments": "payment_id order_id method amount_paise fee_paise tax_paise status created_at settlement_id".split(),
-    "settlements": "settlement_id amount_paise fees_paise tax_paise utr payment_count status created_at settled_at".split(),
-    "bank_statement": "txn_id txn_date value_date narration ref_no debit_amount credit_amount balance".split(),
-    "order_book": "order_id receipt amount_paise status created_at".split(),
-    "golden": "record_type record_id expected_disposition counterparty_ids scenario_tag expected_discrepancy_paise notes".split(),
-    "settlement_merchants": "settlement_id merchant_name".split(),
+    "payments": ["payment_id", "order_id", "method", "amount_paise", "fee_paise", "tax_paise", "status", "created_at", "settlement_id"],
+    "settlements": ["settlement_id", "amount_paise", "fees_paise", "tax_paise", "utr", "payment_count", "status", "created_at", "settled_at"],
+    "bank_statement": ["txn_id", "txn_date", "value_date", "narration", "ref_no", "debit_amount", "credit_amount", "balance"],
+    "order_book": ["order_id", "receipt", "amount_paise", "status", "created_at"],
+    "golden": ["record_type", "record_id", "expected_disposition", "counterparty_ids", "scenario_tag", "expected_discrepancy_paise", "notes"],
+    "settlement_merchants": ["settlement_id", "merchant_name"],
 }
 ACTIONS = ("resolve", "assign", "snooze", "note")
 

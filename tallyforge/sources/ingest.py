@@ -10,7 +10,8 @@ from tallyforge.functions import scalars as X
 SETTLEMENT = "id string, entity string, amount long, status string, fees long, tax long, utr string, created_at long"
 PAYMENT = "id string, entity string, amount long, currency string, status string, order_id string, method string, captured boolean, fee long, tax long, created_at long"
 ORDER = "id string, entity string, amount long, amount_paid long, currency string, receipt string, status string, created_at long"
-REPORT = "entity_id type debit credit amount currency fee tax on_hold settled created_at settled_at settlement_id credit_type description settlement_utr order_id method".split()
+#: Columns of the settlement report.
+REPORT = ["entity_id", "type", "debit", "credit", "amount", "currency", "fee", "tax", "on_hold", "settled", "created_at", "settled_at", "settlement_id", "credit_type", "description", "settlement_utr", "order_id", "method"]
 #: The processor's order statuses in our words.
 ORDER_STATUS = {"paid": "paid", "created": "created", "attempted": "created"}
 

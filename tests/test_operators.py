@@ -1,10 +1,11 @@
 import datetime
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import baselines, close, graph, intake, leg_b, proposals, triage
+from tallyforge.operators import audit, baselines, close, graph, intake, leg_b, proposals, search, triage
 from tallyforge.sources.scratch import Store
 
 DAY = datetime.date(2025, 6, 10)
@@ -24,7 +25,7 @@ def test_leg_b(spark):
 def test_queue_rules(spark):
     schema = "world_id long, status string, confidence string, expected_paise long, received_paise long, discrepancy_paise long, settlement_ids array<string>, bank_txn_ids array<string>"
     rows = [("exception_missing_bank", "", 500, None, None, ["s1"], []), ("ambiguous_abstain", "", None, 7, None, [], ["t1"]), ("ambiguous_abstain", "", 0, 9, None, ["s2"], []), ("matched_with_discrepancy", "needs_review", 5, 2, -3, ["s3"], ["t3"]), ("matched", "exact", 5, 5, 0, ["s4"], ["t4"]), ("duplicate_credit", "", None, 11, None, [], ["t5"])]
-    d = spark.createDataFrame([(0, *r) for r in rows], schema)
+    d = spark.createDataFrame([(0, *r) for r in rows], schema).selectExpr("*", "array('rule') AS rules", "CAST(array() AS array<struct<record_id:string,amount_paise:bigint,reason:string>>) AS candidates", "CAST(array() AS array<struct<label:string,amount_paise:bigint>>) AS discrepancy_breakdown")
     late = spark.createDataFrame([(0, "s1", DAY, 8), (0, "s9", DAY, 1)], "world_id long, settlement_id string, expected_date date, days_overdue int")
     got = {tuple(r.record_ids): (r.status, r.severity, r.money_at_risk_paise, r.days_overdue) for r in triage.items_from_leg_a(d, late).collect()}
     assert got == {("s1",): ("exception_missing_bank", 1, 500, 8), ("t1",): ("ambiguous_abstain", 2, 7, None), ("s2",): ("ambiguous_abstain", 2, 0, None), ("s3", "t3"): ("needs_review", 3, 3, None), ("t5",): ("duplicate_credit", 1, 11, None)}
@@ -97,14 +98,28 @@ def test_baselines_in_credit_order(spark):
     assert pairs(baselines.reference_then_amount(s, b, Store(spark))) == expected_ref
 
 
+def test_explaining_sets_like_all_sets():
+    draw = random.Random(3)
+    for _ in range(200):
+        pool = {f"r{k}": draw.randrange(1, 9) for k in range(draw.randrange(0, 9))}
+        required = tuple(sorted(draw.sample(sorted(pool), min(len(pool), draw.randrange(3)))))
+        target, most = draw.randrange(1, 25), draw.randrange(1, 6)
+        every = [sorted(c) for n in range(1, most + 1) for c in itertools.combinations(sorted(pool), n)]
+        expected = sorted(c for c in every if set(required) <= set(c) and sum(pool[i] for i in c) == target)
+        if len(required) <= most:
+            assert sorted(proposals.explaining_sets(pool, target, most, required, proposals.Allowance(10**6))) == expected
+
+
 def test_subsets():
-    pool = [(3, "a"), (5, "b"), (8, "c"), (8, "d"), (2, "e")]
-    assert sorted(proposals.subsets(pool, 8, 6, (), [1000])) == [["a", "b"], ["c"], ["d"]]
-    assert proposals.subsets(pool, 10, 2, ("c",), [1000]) == [["c", "e"]]
-    assert proposals.subsets(pool, 8, 6, ("c",), [1000]) == [["c"]]
-    budget = [2]
-    proposals.subsets(pool, 26, 6, (), budget)
-    assert budget[0] < 0
+    pool = {"a": 3, "b": 5, "c": 8, "d": 8, "e": 2}
+    enough = proposals.Allowance(1000)
+    assert sorted(proposals.explaining_sets(pool, 8, 6, (), enough)) == [["a", "b"], ["c"], ["d"]]
+    assert proposals.explaining_sets(pool, 10, 2, ("c",), enough) == [["c", "e"]]
+    assert proposals.explaining_sets(pool, 8, 6, ("c",), enough) == [["c"]]
+    assert not enough.short
+    little = proposals.Allowance(2)
+    proposals.explaining_sets(pool, 26, 6, (), little)
+    assert little.short
 
 
 @pytest.fixture(scope="module")
@@ -150,7 +165,7 @@ def test_solver(spark, view):
 
 def test_solver_abstains_if_cut_off_without_a_hit(spark):
     """Sums of even amounts never make an odd one, and there are too many to look at all."""
-    s = [(0, k, f"setl_{k}", 100_000 + 2 * k, f"UTIB25090000{k:04}", DAY) for k in range(70)]
+    s = [(0, k, f"setl_{k}", 100_000 + 2 * k, f"UTIB25090000{k:04}", DAY) for k in range(100)]
     c = [(0, 0, "t1", DAY + datetime.timedelta(2), "RZP payout", "", 500_301), (0, 1, "t2", DAY + datetime.timedelta(2), "RZP payout", "", 7)]
     settlements = spark.createDataFrame(s, "world_id long, row_no long, settlement_id string, amount_paise long, utr string, created date")
     rows = spark.createDataFrame(c, "world_id long, row_no long, txn_id string, value_date date, narration string, ref_no string, credit_paise long")
@@ -194,4 +209,40 @@ def test_intake_rows(spark, tmp_path):
     got = intake.apply(spark, cells, layout()).orderBy("txn_id").collect()
     assert [(r.txn_id, r.credit_paise, r.debit_paise, r.balance_paise, r.ref_no) for r in got] == [("REAL000001", 50000, 0, 150000, "ABC123"), ("REAL000002", 0, 20000, 130000, "ABC124"), ("REAL000003", 20000, 0, 150000, "ABC124"), ("REAL000004", 0, 160000, -10000, "")]
     read = [r.cells for r in intake.grid(spark, str(path)).orderBy("row_no").collect()]
-    assert [r[:5] for r in read] == GRID
+    assert read == GRID
+    assert intake.reproved(spark, intake.apply(spark, cells, layout()), cells, layout()).collect() == []
+    wrong = intake.apply(spark, cells, layout()).withColumn("credit_paise", F.col("credit_paise") + (F.col("row_no") == 4).cast("long"))
+    assert [r.txn_id for r in intake.reproved(spark, wrong, cells, layout()).orderBy("txn_id").collect()] == ["REAL000003", "REAL000004"]
+
+
+def test_batch_of_statements(spark, tmp_path):
+    lines = [",".join(f'"{c}"' if "," in c else c for c in r) for r in GRID]
+    (tmp_path / "deep" / "golden").mkdir(parents=True)
+    for name, extra in (("a.csv", "AXIS BANK,HDFC0001234,,,"), ("deep/kotak_b.csv", ",,,,"), ("deep/c.csv", "IFSC ICIC0000012,,,,"), ("deep/golden/d.csv", ""), ("deep/e.txt", "")):
+        (tmp_path / name).write_text("\n".join([*lines, extra]) + "\n", encoding="utf-8")
+    found = sorted(r.file for r in intake.statement_files(spark, str(tmp_path)).collect())
+    assert [f.rsplit("/", 1)[-1] for f in found] == ["a.csv", "c.csv", "kotak_b.csv"]
+    layouts = {f: layout(noise_rows=[5, 8]) for f in found} | {found[0]: layout(noise_rows=[8], periods=[{"opening_row": 1, "closing_row": 7, "transaction_rows": [2, 3, 4, 5, 6]}])}
+    got = {r.file.rsplit("/", 1)[-1]: (r.bank, r.rows, r.result, r.faults) for r in intake.batch(spark, layouts).collect()}
+    assert got["c.csv"] == ("ICICI Bank", 9, "passed", "") and got["kotak_b.csv"] == ("Kotak Mahindra Bank", 9, "passed", "")
+    assert got["a.csv"][:3] == ("Axis Bank", 9, "failed") and "E_DATE_PARSE" in got["a.csv"][3]
+    assert {(r.result, r.files) for r in intake.batch_summary(intake.batch(spark, layouts)).collect()} == {("passed", 2), ("failed", 1)}
+    assert {tuple(r) for r in intake.role_issues(spark, layout(), layout(header_row=1, noise_rows=[])).collect()} == {("header", 0, 1)}
+    cells = intake.grid(spark, found[0])
+    assert [r.code for r in intake.warnings(spark, cells, layout(token_regex="ABC123")).collect()] == ["W_LOW_RECIPE_YIELD"]
+
+
+def test_capped_search_and_grid(spark):
+    cells = spark.createDataFrame([(k, [f"Row {k}", "NEFT" if k % 2 else "UPI"]) for k in range(60)], "row_no long, cells array<string>")
+    got = search.grid_search(cells, "neft").collect()
+    assert [r.row_no for r in got] == list(range(1, 41, 2)) and all(r.truncated for r in got)
+    assert [r.row_no for r in search.grid_peek(cells, 10, 3).collect()] == [10, 11, 12]
+
+
+def test_proposals_take_the_place_of_decisions(spark):
+    before = spark.createDataFrame([(0, "s1", "human", ["s1"], "", True), (0, "t1", "human", ["t1"], "", True), (0, "s2", "match", ["s2", "t2"], "exact", True)], "world_id long, record_id string, kind string, members array<string>, tier string, explained boolean")
+    accepted = spark.createDataFrame([(0, ["s1"], ["t1"])], "world_id long, settlement_ids array<string>, bank_row_ids array<string>")
+    after = audit.with_proposals(before, accepted)
+    golden = spark.createDataFrame([(0, "s1", "matched", ["t1"], "x"), (0, "s2", "matched", ["t9"], "x"), (0, "s3", "exception_missing_bank", [], "x")], "world_id long, record_id string, expected string, counterparties array<string>, scenario string")
+    assert {r.record_id: r.box for r in audit.categorised(golden, after).collect()} == {"s1": "auto_correct", "s2": "auto_wrong", "s3": "rightly_left"}
+    assert {r.record_id: r.box for r in audit.categorised(golden, before).collect()}["s1"] == "wrongly_left"
