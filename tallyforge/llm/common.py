@@ -18,6 +18,26 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: Bits of a sorted row's number that number the rows of its partition.
+ROW_BITS = 33
+
+
+def numbered(df: DataFrame, order: list[Column], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` with ``rank``, each row's place from 0 in a total order, over all partitions. Rows are sorted by range and numbered within their
+    partition; what reaches the driver is the number of rows of each partition."""
+    lined = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    lined = scratch.write(lined, name)
+    part = F.shiftright("at", ROW_BITS).alias("part")
+    counts = sorted(map(tuple, lined.groupBy(part).count().collect()))
+    starts, before = [], 0
+    for number, rows in counts:
+        starts.append((number, before))
+        before += rows
+    starts = df.sparkSession.createDataFrame(starts, "part long, start long")
+    rank = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    return lined.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("rank", rank).drop("part", "start", "at")
+
+
 class Scratch:
     """Tables written to the folder that driver and executors share.
 
@@ -29,10 +49,13 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.written: list[str] = []
+        self.tables: dict[str, str] = {}
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet under ``name`` (which must be new) and read it back."""
@@ -42,8 +65,19 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, buckets: int, keys: list[str]) -> DataFrame:
+        """Write ``df`` as a table of ``buckets`` buckets, each sorted by ``keys``; joins on these read it without moving it. If the
+        partitions of ``df`` are the buckets, each is one file."""
+        table = f"{self.root.rsplit('/', 1)[-1]}_{name}".replace("-", "_")
+        self.written.append(name)
+        self.tables[name] = table
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.root}/{name}").option("parquet.block.size", 16 << 20).saveAsTable(table)
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
+        if name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of line hashes, sorted, in which each line stands once, with the number of documents that held it and the
-largest of their ids. A new batch of documents is merge-anti-joined with the runs: its unseen lines become a run of their own,
-its other lines go to the table of repeats, so runs never share a line and their merging needs no sums. When a level has
-``FAN_IN`` runs, they are merged into one run of the next level. Few lines ever repeat; only those are summed at the end.
+A run is a table of line hashes, bucketed and sorted by them, in which each line stands once, with the number of documents that held it
+and the largest of their ids. A new batch of documents is dealt to the same buckets once and merge-anti-joined with run after run, none
+of which moves: its unseen lines become a run of their own, its other lines go to the table of repeats, so runs never share a
+line and their merging needs no sums. When a level has ``FAN_IN`` runs, they are merged bucket by bucket into one run of the next level.
+Few lines ever repeat; only those are summed at the end.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from tallyforge.llm.common import Scratch
 
 #: Runs of a level that are merged into one of the next.
 FAN_IN = 2
-#: Batches into which a whole table is dealt.
-BATCHES = 4
+#: Batches into which a whole table is dealt; lines that a bucket is for, and how few and many buckets there may be.
+BATCHES, BUCKET, FEWEST, MOST = 4, 4_000_000, 8, 100_000
+#: Tasks that the documents of one line are dealt to.
+SALTS = 16
 KEY = ["h1", "h2"]
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,29 +49,30 @@ def line_hashes(documents: DataFrame, shortest: int) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of all batches so far."""
+    """The runs of all batches so far, in ``buckets`` buckets each."""
 
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
+    def __init__(self, scratch: Scratch, buckets: int = FEWEST):
+        self.scratch, self.buckets = scratch, buckets
         self.levels: list[list[tuple[str, DataFrame]]] = []
         self.repeats: list[DataFrame] = []
         self.made = 0
 
     def _write(self, kind: str, df: DataFrame) -> tuple[str, DataFrame]:
+        """Write rows whose partitions are buckets; each becomes one sorted file."""
         self.made += 1
-        name = f"{kind}-{self.made}"
-        return name, self.scratch.write(df.sortWithinPartitions(*KEY), name)
+        return f"{kind}-{self.made}", self.scratch.bucketed(df, f"{kind}-{self.made}", self.buckets, KEY)
 
     def runs(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [t for level in self.levels for _, t in level])
 
     def add(self, batch: DataFrame) -> None:
         """Take in (h1, h2, docs, last), one row per line of the batch."""
-        if any(self.levels):
-            seen = self.runs().select(*KEY).hint("merge")
-            self.repeats.append(self._write("again", batch.join(seen, KEY, "left_semi"))[1])
-            batch = batch.join(seen, KEY, "left_anti")
-        self._settle(0, self._write("run", batch))
+        dealt = batch.repartition(self.buckets, *KEY)
+        runs = [t.select(*KEY).hint("merge") for level in self.levels for _, t in level]
+        if runs:
+            seen = [dealt.join(run, KEY, "left_semi") for run in runs]
+            self.repeats.append(self._write("again", reduce(DataFrame.unionByName, seen).repartition(self.buckets, *KEY))[1])
+        self._settle(0, self._write("run", reduce(lambda left, run: left.join(run, KEY, "left_anti"), runs, dealt)))
 
     def _settle(self, level: int, run: tuple[str, DataFrame]) -> None:
         """Put a run on its level; a full level is compacted into one run of the next."""
@@ -77,11 +81,18 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) >= FAN_IN:
             old, self.levels[level] = self.levels[level], []
-            merged = self._write("run", reduce(DataFrame.unionByName, [t for _, t in old]).repartition(*KEY))
+            merged = self._write("run", reduce(self._merged, [t for _, t in old]))
             for name, _ in old:
                 self.scratch.drop(name)
             self._settle(level + 1, merged)
 
+    @staticmethod
+    def _merged(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Two runs as one. They share no line, so a full join of their buckets only puts them in order."""
+        right = right.withColumnsRenamed({"docs": "other_docs", "last": "other_last"})
+        both = left.join(right.hint("merge"), KEY, "full_outer")
+        return both.select(*KEY, F.coalesce("docs", "other_docs").alias("docs"), F.coalesce("last", "other_last").alias("last"))
+
     def frequent(self, least: int) -> DataFrame:
         """(h1, h2, docs, last) of the lines that at least ``least`` documents hold."""
         runs = self.runs()
@@ -101,7 +112,7 @@ def frequent_lines(documents: DataFrame, shortest: int, least: int, scratch: Scr
     deal = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).alias("batch")
     counted = held.groupBy(deal, *KEY).agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
     batches = scratch.write(counted, "batches", partition_by=["batch"])
-    store = LineRuns(scratch)
+    store = LineRuns(scratch, min(MOST, max(FEWEST, -(-held.count() // BUCKET))))
     for k in range(BATCHES):
         store.add(batches.filter(F.col("batch") == k).drop("batch"))
     return held, scratch.write(store.frequent(least), "frequent")
@@ -116,7 +127,9 @@ def dedup_lines(documents: DataFrame, scratch: Scratch, shortest: int = 40, leas
     and keep alike. A row without an id is not counted and loses nothing. Columns already named like the added ones are replaced.
     """
     held, frequent = frequent_lines(documents, shortest, least, scratch)
-    lost = held.join(frequent.select(*KEY, "last").hint("merge"), KEY).filter(F.col("doc_id") != F.col("last"))
+    copies = frequent.select(*KEY, "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    lost = salted.join(copies.hint("merge"), [*KEY, "salt"]).filter(F.col("doc_id") != F.col("last"))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct(*KEY)).alias("lost"))
     lost = scratch.write(lost, "lost")
     scratch.tidy("lost")
