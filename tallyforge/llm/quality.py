@@ -1,9 +1,9 @@
 """Quality classifier: naive Bayes features under a linear support vector machine.
 
-Features say which n-grams a text has: its words, and runs of one to four word shapes (case, ending, digits, equality with the
-word before). Each present feature has the value of its log-count ratio between the classes, and a linear model with
-hinge loss is fitted on these by dual coordinate descent. Scores are the margins put through a logistic curve fitted to the
-same rows. The fit uses a bounded sample of the labelled rows; scoring reads every whole text.
+Features say which n-grams a text has: its words, pairs of words, and runs of one to four word shapes (case, ending, digits, equality
+with the word before). Each present feature has the value of its log-count ratio between the classes, and a linear model with
+hinge loss is fitted on these by dual coordinate descent. Scores are the margins put through a logistic curve that is fitted to
+rows which the model has not seen. The fit uses a bounded sample of the labelled rows; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 
 #: The fit takes about this many labelled rows at most, chosen by a hash of their ids; with fewer, all.
 MOST_FITTED = 12_000
-#: Features: words are hashed to the lower part of the space, shape n-grams to the upper.
-WORD_BITS, SHAPE_BITS = 17, 16
-SIZE = (1 << WORD_BITS) + (1 << SHAPE_BITS)
+#: Features: words are hashed to the lower part of the space, then come pairs of words and shape n-grams.
+WORD_BITS, PAIR_BITS, SHAPE_BITS = 17, 17, 16
+PAIRS, SHAPES = 1 << WORD_BITS, (1 << WORD_BITS) + (1 << PAIR_BITS)
+SIZE = SHAPES + (1 << SHAPE_BITS)
+#: Of the fitted rows, one in so many is kept for the curve.
+KEPT = 5
 ORDER = 4
 COST, EPOCHS, SMOOTHING = 0.1, 12, 1.0
 #: Words that a task remembers, and rows that it scores together.
@@ -63,13 +66,14 @@ class Features:
         hashed = np.array([h for h, _ in pairs], np.uint64)
         codes = np.array([s for _, s in pairs], np.uint64) * np.uint64(2)
         codes[1:] += (hashed[1:] == hashed[:-1]).astype(np.uint64)
-        found = [(hashed * MIX >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
+        pairs = (hashed[1:] ^ hashed[:-1] * MIX) * MIX
+        found = [(hashed * MIX >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64) + PAIRS]
         grams = codes + np.uint64(1)
         for n in range(ORDER):
             if n:
                 grams = grams[:-1] * np.uint64(128) + codes[n:]
             mixed = (grams + np.uint64(n + 1)) * MIX
-            found.append((((mixed ^ (mixed >> np.uint64(29))) * MIX) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS))
+            found.append((((mixed ^ (mixed >> np.uint64(29))) * MIX) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64) + SHAPES)
             if len(grams) < 2:
                 break
         return np.unique(np.concatenate(found))
@@ -129,10 +133,14 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["doc_id", "label"], kind="stable")
     rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in frame["row"]]
     labels = np.where(frame["label"].to_numpy() > 0, 1.0, -1.0)
-    ratios = log_count_ratios(rows, labels)
-    weights = descend(rows, labels, ratios)
-    margins = np.array([float(weights[r] @ scaled(r, ratios)) for r in rows])
-    slope, offset = logistic(margins, labels)
+    seen = np.arange(len(rows)) % KEPT != 0
+    if len(set(labels[seen])) < 2 or len(set(labels[~seen])) < 2:
+        seen[:] = True
+    learned, unseen = np.flatnonzero(seen), np.flatnonzero(~seen) if not seen.all() else np.arange(len(rows))
+    ratios = log_count_ratios([rows[i] for i in learned], labels[learned])
+    weights = descend([rows[i] for i in learned], labels[learned], ratios)
+    margins = np.array([float(weights[rows[i]] @ scaled(rows[i], ratios)) for i in unseen])
+    slope, offset = logistic(margins, labels[unseen])
     used = np.flatnonzero((weights != 0) | (ratios != ratios[0]))
     return pd.DataFrame({"feature": [-1, *used], "ratio": [slope, *ratios[used]], "weight": [offset, *weights[used]], "unseen": float(np.median(ratios))})
 
@@ -166,7 +174,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Model:
     """Fit on the labelled documents: (doc_id, text) and (doc_id, label 0 or 1). Null labels and texts of null ids are left out.
 
-    With more than ``most`` labels, a share of them chosen by a hash of doc_id is used, so the fit's memory is bounded. Without
+    Labels that repeat an id count each, also where they differ. With more than ``most`` labels, a share of them chosen by a hash of doc_id is used, so the fit's memory is bounded. Without
     labels of both kinds every score is 0.5.
     """
     labels = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))

@@ -39,3 +39,52 @@ def test_descent_reaches_the_optimum():
         alpha = np.clip(alpha - 0.02 * (kernel @ alpha - 1), 0, costs)
     primal = lambda w: 0.5 * w @ w + (costs * np.maximum(0, 1 - labels * (x @ w))).sum()
     assert primal(weights[:60]) <= primal((x * labels[:, None]).T @ alpha) * 1.05 + 1e-6
+
+
+def plain_features(text):
+    """A text's features by single steps on Python's own numbers."""
+    import xxhash
+
+    cap, mix = 1 << 64, int(quality.MIX)
+    words = (text or "").encode().split()
+    hashed = [xxhash.xxh64_intdigest(w) for w in words]
+    codes = [2 * quality.shape(w.decode()) + (i > 0 and hashed[i] == hashed[i - 1]) for i, w in enumerate(words)]
+    found = {(h * mix % cap) >> (64 - quality.WORD_BITS) for h in hashed}
+    found |= {quality.PAIRS + (((b ^ (a * mix % cap)) * mix % cap) >> (64 - quality.PAIR_BITS)) for a, b in zip(hashed, hashed[1:], strict=False)}
+    for n in range(1, quality.ORDER + 1):
+        for i in range(len(codes) - n + 1):
+            gram = 1 + codes[i]
+            for c in codes[i + 1 : i + n]:
+                gram = (gram * 128 + c) % cap
+            mixed = (gram + n) * mix % cap
+            found.add(quality.SHAPES + (((mixed ^ (mixed >> 29)) * mix % cap) >> (64 - quality.SHAPE_BITS)))
+    return sorted(found)
+
+
+def test_whole_query_like_plain_steps(spark):
+    """Features, ratios, weights, curve and scores, on texts of all kinds, against plain accounts of each."""
+    import random
+
+    draw = random.Random(4)
+    some = lambda words, n: " ".join(draw.choice(words) for _ in range(n))
+    good, bad = ["The", "house", "walks,", "evening.", "12", "über", "and"], ["BUY!!", "NOW", "cheap$$", "x9x9", "and", "WOW!"]
+    rows = [(i, some(good if i % 3 else bad, draw.randrange(1, 30)), i % 3 > 0) for i in range(90)]
+    texts = [None, "", " \n", "one", "one one one", "é" * 5000, some(good, 3000), some(bad, 8), *(t for _, t, _ in rows)]
+    features = quality.Features()
+    assert all(features.of(t).tolist() == plain_features(t) for t in texts)
+
+    df = spark.createDataFrame([(i, t, int(lab)) for i, t, lab in rows], "doc_id long, text string, label int")
+    model = quality.train(df.select("doc_id", "text"), df.select("doc_id", "label"))
+    fitted = [(plain_features(t), lab) for i, (_, t, lab) in enumerate(rows) if i % quality.KEPT]
+    counts = {lab: {f: sum(f in x for x, own in fitted if own == lab) + 1 for f in {f for x, _ in fitted for f in x}} for lab in (True, False)}
+    totals = {lab: sum(c.values()) + quality.SIZE - len(c) for lab, c in counts.items()}
+    ratio = {f: np.log(counts[True][f] / totals[True]) - np.log(counts[False][f] / totals[False]) for f in counts[True]}
+    assert all(abs(model.ratios[f] - r) < 1e-9 for f, r in ratio.items())
+    got = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        found = plain_features(text)
+        values = [model.ratios[f] for f in found]
+        length = max(sum(v * v for v in values) ** 0.5, 1e-9)
+        margin = sum(model.weights[f] * v / length for f, v in zip(found, values, strict=True))
+        assert abs(row.score - 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30)))) < 1e-9
+    assert got[6].score > 0.7 > 0.3 > got[7].score
