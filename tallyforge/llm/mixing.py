@@ -7,10 +7,10 @@ shuffled, so a source with a third of all rows costs no more than another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch
+from tallyforge.llm.common import Scratch, numbered
 
 SEED = "mix-1"
 
@@ -25,11 +25,10 @@ def draw(doc_id: str, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def cycled_weights(totals: DataFrame, weights: list[int]) -> DataFrame:
+def cycled_weights(totals: DataFrame, weights: list[int], scratch: Scratch) -> DataFrame:
     """Give ``totals`` (one row per source) the weights in turn, sources in order of code points, null last."""
-    position = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    turn = F.element_at(F.array(*map(F.lit, weights)), (position % len(weights) + 1).cast("int"))
-    return totals.withColumn("weight", turn.cast("double"))
+    turn = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    return numbered(totals, [F.col("source").asc_nulls_last()], scratch, "lined").withColumn("weight", turn.cast("double")).drop("rank")
 
 
 def targets(totals: DataFrame, share: float, most: float) -> DataFrame:
@@ -65,7 +64,7 @@ def plan(sized: DataFrame, weights: list[int], share: float, most: float, scratc
     """
     sized = sized.drop("source_size", "target", "rate", "weight", "copies")
     totals = scratch.write(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
-    aims = scratch.write(targets(scratch.write(cycled_weights(totals, weights), "weighted"), share, most).withColumnRenamed("source", "aim_source"), "aims")
+    aims = scratch.write(targets(scratch.write(cycled_weights(totals, weights, scratch), "weighted"), share, most).withColumnRenamed("source", "aim_source"), "aims")
     joined = sized.join(aims, F.col("source").eqNullSafe(F.col("aim_source")))
     copies = F.floor("rate") + (draw("doc_id") < F.col("rate") - F.floor("rate")).cast("long")
     return joined.withColumn("copies", copies).drop("aim_source", "weight", "rate")

@@ -23,7 +23,7 @@ def fill(sizes, weights, share=1.5, most=2.0):
 def test_targets_like_plain_filling(spark):
     sizes = {"a": 1000, "b": 10, "c": 5000, "d": 0, None: 300}
     rows = [(i, s, n) for i, (s, n) in enumerate(sizes.items())]
-    totals = mixing.cycled_weights(spark.createDataFrame(rows, "i int, source string, source_size long"), [3, 1, 2])
+    totals = mixing.cycled_weights(spark.createDataFrame(rows, "i int, source string, source_size long"), [3, 1, 2], Scratch(spark, "t"))
     weights = {r.source: r.weight for r in totals.collect()}
     assert weights == {"a": 3, "b": 1, "c": 2, "d": 3, None: 1}
     got = {r.source: r.target for r in mixing.targets(totals, 1.5, 2.0).collect()}
