@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import Scratch
 
 
+#: Tasks that a component's vertices are dealt to when they take its smallest id.
+SALTS = 32
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(v, root) for each vertex of ``edges`` (a, b, both long): root is the smallest vertex of v's component, v itself included.
 
@@ -45,4 +49,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         named = picks.join(later, "pick", "left").select("v", F.coalesce("root", "pick").alias("root"))
     named = scratch.write(named, f"{name}-named")
     least = named.groupBy("root").agg(F.min("v").alias("least"))
-    return scratch.write(named.join(least, "root").select("v", F.col("least").alias("root")), name)
+    dealt = named.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return scratch.write(dealt.join(least, ["root", "salt"]).select("v", F.col("least").alias("root")), name)

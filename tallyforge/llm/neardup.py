@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch
+from tallyforge.llm.common import Scratch, numbered
 from tallyforge.llm.components import components
 
 #: Passes, bits of a key, and ranks of the first window.
@@ -27,13 +27,11 @@ PASSES, BITS, WINDOW = 10, 63, 48
 #: Ranks that a task takes as rows, at least WINDOW, and ranks from which it takes wider vectors.
 SPAN, ASKING = 256, 1024
 #: Rows of a block of the count.
-BLOCK = 500
-#: Bits of a row's number that number the rows of its partition.
-ROW_BITS = 33
+BLOCK = 256
 
 
 def unit(vectors: list) -> np.ndarray:
-    found = np.stack([np.asarray(v, np.float64) for v in vectors])
+    found = np.stack(vectors).astype(np.float64)
     found /= np.abs(found).max(axis=1, keepdims=True)
     return found / np.linalg.norm(found, axis=1, keepdims=True)
 
@@ -85,18 +83,22 @@ def told(a: np.ndarray, b: np.ndarray, wide: pd.DataFrame) -> pd.DataFrame:
 TOLD = "c long, other long, run long, rank long, side int"
 
 
+def alike(left: pd.Series, right: pd.Series, least: float) -> np.ndarray:
+    """(left x right) whether vectors are of one width and near."""
+    widths = left.map(len).to_numpy(), right.map(len).to_numpy()
+    near = np.zeros((len(left), len(right)), bool)
+    for w in np.intersect1d(*widths):
+        some, others = (x[n == w].to_list() for x, n in zip((left, right), widths, strict=True))
+        near[np.ix_(widths[0] == w, widths[1] == w)] = unit(some) @ unit(others).T >= least
+    return near
+
+
 def near_in_window(rows: pd.DataFrame, block: int, least: float) -> pd.DataFrame:
     """Links of a block's rows with their followers."""
     rows = rows.sort_values("rank", kind="stable")
     rank, run, c = rows["rank"].to_numpy(), rows["run"].to_numpy(), rows["c"].to_numpy()
     own = rank // SPAN == block
-    near = np.zeros((int(own.sum()), len(rows)), bool)
-    width = rows["embedding"].map(len).to_numpy()
-    for w in np.unique(width):
-        at = np.flatnonzero(width == w)
-        vectors = unit([rows["embedding"].iloc[i] for i in at])
-        mine = own[at]
-        near[np.ix_(at[mine], at)] = vectors[mine] @ vectors.T >= least
+    near = alike(rows["embedding"][own], rows["embedding"], least)
     ahead = rank[None, :] - rank[own][:, None]
     near &= (ahead > 0) & (ahead <= WINDOW) & (run[own][:, None] == run[None, :])
     i, j = np.nonzero(near)
@@ -109,11 +111,7 @@ def near_beyond(asking: pd.DataFrame, rows: pd.DataFrame, reach: int, least: flo
     """Links of vectors with the rows that are more than ``reach`` ranks off, but not more than twice that, on the side they ask for."""
     off = (rows["rank"].to_numpy()[None, :] - asking["rank"].to_numpy()[:, None]) * asking["side"].to_numpy()[:, None]
     meets = (off > reach) & (off <= 2 * reach) & (asking["run"].to_numpy()[:, None] == rows["run"].to_numpy()[None, :])
-    near = np.zeros(meets.shape, bool)
-    widths = asking["embedding"].map(len).to_numpy(), rows["embedding"].map(len).to_numpy()
-    for w in np.intersect1d(*widths):
-        some, others = (np.flatnonzero(x == w) for x in widths)
-        near[np.ix_(some, others)] = unit([asking["embedding"].iloc[i] for i in some]) @ unit([rows["embedding"].iloc[i] for i in others]).T >= least
+    near = alike(asking["embedding"], rows["embedding"], least)
     i, j = np.nonzero(near & meets)
     wide = asking.iloc[np.unique(i[off[i, j] > reach + reach // 2])]
     return told(asking["c"].to_numpy()[i], rows["c"].to_numpy()[j], wide)
@@ -125,17 +123,10 @@ def beyond(reach: int, least: float):
 
 def ranked(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     """(c, run, rank): the rank of each vector in each pass, over all passes, labels and widths; a run is one of these."""
-    order = ["pass", "label", "width", "key", "c"]
     keyed = vectors.select("c", "label", "width", "embedding").mapInArrow(_keyed, "c long, label long, width int, keys array<long>")
     keyed = keyed.select("c", "label", "width", F.posexplode("keys").alias("pass", "key"))
-    lined = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    lined = scratch.write(lined.select("c", F.xxhash64("pass", "label", "width").alias("run"), "at"), "lined")
-    part = F.shiftright("at", ROW_BITS).alias("part")
-    counts = sorted(map(tuple, lined.groupBy(part).count().collect()))
-    before = np.cumsum([0, *(n for _, n in counts)]).tolist()
-    starts = vectors.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(counts, before, strict=False)], "part long, start long")
-    rank = F.col("start") + F.col("at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    return lined.withColumn("part", part).join(F.broadcast(starts), "part").select("c", "run", rank.alias("rank"))
+    lined = numbered(keyed, [F.col(c) for c in ("pass", "label", "width", "key", "c")], scratch, "lined")
+    return lined.select("c", F.xxhash64("pass", "label", "width").alias("run"), "rank")
 
 
 def block_of(rank: Column | str) -> Column:
@@ -178,7 +169,7 @@ def _near(frame: pd.DataFrame, least: float) -> pd.DataFrame:
         right = left
     if not len(left) or not len(right):
         return pd.DataFrame({"c": [], "near": []})
-    near = unit(left["embedding"]) @ unit(right["embedding"]).T >= least
+    near = alike(left["embedding"], right["embedding"], least)
     if alone:
         np.fill_diagonal(near, True)
     counted = [pd.DataFrame({"c": left["c"], "near": near @ right["copies"].to_numpy()})]
