@@ -1,7 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped for scoring.
 
-Counting: each task turns its texts into sorted distinct bigrams with counts and deals them out by hash range; a shard merges what
-it gets and writes the sorted 64-bit bigram hashes with their counts to the shared folder. What it knows of each context (its total and how
+Counting: each task turns its texts into distinct bigrams with counts and deals them out by the context's hash, or by the bigram's
+where the context is frequent, so that no shard holds all of a hot one; a shard merges what it gets and writes the sorted 64-bit bigram
+hashes with their counts to the shared folder. What it knows of each context (its total and how
 many of its bigrams occur once, twice, more often) and of each word (its distinct predecessors) is dealt out by word in the same
 way, and those shards write sorted word tables. Hot words and contexts are summed in the task that meets them, so each arrives as
 one number per task. A shard is one file a table, and each shard goes to a partition of its own. Scoring: workers map shard files, a
@@ -26,9 +27,11 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from tallyforge.llm.common import Scratch
 
 #: Tokens that a counting task holds before it deals them out, and tokens of a scoring batch.
-HELD, BATCH = 800_000, 300_000
+HELD, BATCH = 1_600_000, 300_000
 #: Text bytes that a shard stands for, and the fewest shards.
 SHARD_BYTES, FEWEST_BITS = 12 << 20, 4
+#: Texts in which frequent contexts are looked for.
+SAMPLE = 2_000
 #: Words that a task remembers, and files that a task maps at a time.
 MEMORY, MAPS = 200_000, 2_000
 P, Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -129,6 +132,13 @@ def cut(kind: str, shards: np.ndarray, packed: Callable) -> Iterator[tuple]:
         yield (kind, int(shards[start]), *columns, *[b""] * (5 - len(columns)))
 
 
+def dealt_by(context: np.ndarray, keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What decides about each bigram's shard."""
+    if not len(hot):
+        return context
+    return np.where(hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context, keys, context)
+
+
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -137,31 +147,34 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 
 
-def count(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def count(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Bigram and word counts of a task's texts, dealt to shards."""
 
-    def dealt(held: list[int]) -> pa.RecordBatch:
-        numbers = np.array(held, np.uint64)
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        numbers = np.concatenate(held)
         context = before(numbers)
         keys = pair(context, numbers)
         order = np.argsort(keys)
         keys = keys[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         counts, first = np.diff(np.append(starts, len(keys))), order[starts]
-        context, word = context[first], numbers[first]
-        rows = list(cut("pair", shard_of(keys[starts], bits), lambda r: (*spelled(context[r], word[r]), small(counts[r]))))
+        shards = shard_of(dealt_by(context[first], keys[starts], hot), bits)
+        order = np.argsort(shards, kind="stable")
+        context, word, counts, shards = context[first][order], numbers[first][order], counts[order], shards[order]
+        rows = list(cut("pair", shards, lambda r: (*spelled(context[r], word[r]), small(counts[r]))))
         found, times = np.unique(numbers, return_counts=True)
         rows += cut("word", shard_of(found, bits), lambda r: (found[r].tobytes(), small(times[r])))
         return as_batch(rows)
 
     words = Words()
-    held: list[int] = []
+    held, n = [], 0
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            held += words.of(text)
-            if len(held) >= HELD:
+            held.append(np.array(words.of(text), np.uint64))
+            n += len(held[-1])
+            if n >= HELD:
                 yield dealt(held)
-                held = []
+                held, n = [], 0
     if held:
         yield dealt(held)
 
@@ -269,7 +282,8 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 class Model:
     """Where the shard files are, and the sums that all lookups share."""
 
-    def __init__(self, folder: str, bits: int, high: list[float], low: list[float], sums: dict[str, int]):
+    def __init__(self, folder: str, bits: int, hot: np.ndarray, high: list[float], low: list[float], sums: dict[str, int]):
+        self.hot = hot
         self.folder, self.bits, self.high, self.low, self.sums = folder, bits, high, low, sums
         self.maps: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
         spared = low[0] * sums["n1"] + low[1] * sums["n2"] + low[2] * (sums["names"] - sums["n1"] - sums["n2"])
@@ -287,10 +301,10 @@ class Model:
         self.maps.move_to_end(name)
         return self.maps[name]
 
-    def look_up(self, keys: np.ndarray, table: str, key: str, columns: list[str]) -> list[np.ndarray]:
-        """Values of sorted keys in a table's columns, 0 where it lacks the key."""
+    def look_up(self, keys: np.ndarray, table: str, key: str, columns: list[str], shards: np.ndarray | None = None) -> list[np.ndarray]:
+        """Values of keys in a table's columns, 0 where it lacks the key. Keys are sorted by shard, and within one."""
         found = [np.zeros(len(keys)) for _ in columns]
-        shards = shard_of(keys, self.bits)
+        shards = shard_of(keys, self.bits) if shards is None else shards
         starts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(keys) else []
         for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
             stored = self.map(f"{table}-{shards[start]}")
@@ -318,17 +332,19 @@ class Model:
         total, *held = self.look_up(contexts, "word", "context", ["total", "once", "twice", "more"])
         spare = np.where(total > 0, sum(d * n for d, n in zip(self.high, held, strict=True)) / np.maximum(total, 1), 1.0)
         keys = pair(contexts[of_context], words[which])
-        order = np.argsort(keys)
+        shards = shard_of(dealt_by(contexts, np.zeros(0, np.uint64), self.hot[:0]), self.bits)[of_context]
+        shards = np.where(np.isin(contexts, self.hot)[of_context], shard_of(keys, self.bits), shards)
+        order = np.lexsort((keys, shards))
         met = np.empty(len(keys))
-        met[order] = self.counts_of(keys[order])
+        met[order] = self.counts_of(keys[order], shards[order])
         chance = (met - self.discount(met, self.high)) / np.maximum(total, 1)[of_context] + spare[of_context] * lower[which]
         return times[which] > 0, base[which], np.log10(np.maximum(chance, 1e-300))
 
-    def counts_of(self, keys: np.ndarray) -> np.ndarray:
-        (met,) = self.look_up(keys, "pair", "key", ["count"])
+    def counts_of(self, keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
+        (met,) = self.look_up(keys, "pair", "key", ["count"], shards)
         large = np.flatnonzero(met == 255)
         if len(large):
-            (met[large],) = self.look_up(keys[large], "pair", "large", ["large_count"])
+            (met[large],) = self.look_up(keys[large], "pair", "large", ["large_count"], shards[large])
         return met
 
 
@@ -358,14 +374,34 @@ def merged(rows: DataFrame, shards: int, merge: Callable[[pd.DataFrame], pd.Data
     return dealt.mapInArrow(run, from_arrow_schema(schema))
 
 
+def frequent_contexts(texts: DataFrame, rows: int, shards: int, scratch: Scratch) -> np.ndarray:
+    """Sorted hashes of contexts that make more than a shard's share of a sample's tokens, fewer than there are shards; the begin is always one. The choice
+    spreads the work and changes no result."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            found, times = np.unique(np.array([w for t in batch.column(0).to_pylist() for w in words.of(t)], np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["word", "n"])
+
+    turn = F.pmod(F.xxhash64(F.col(texts.columns[0])), F.lit(1_000_000))
+    counted = texts.filter(turn < int(1_000_000 * min(1.0, SAMPLE / max(1, rows)))).mapInArrow(counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = scratch.write(counted, "sampled")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = [r.word for r in counted.filter(F.col("n") * shards > total).select("word").collect()]
+    return np.unique(np.append(np.array(found, np.int64).view(np.uint64), np.array([BEGIN], np.uint64)))
+
+
 def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Model:
     """Count the column ``text`` (null: empty) of all rows and write the model to the shared folder, which must be mounted."""
-    volume = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    volume, rows = texts.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count("*")).first()
     bits = max(FEWEST_BITS, int(np.ceil(np.log2(max(1, volume / SHARD_BYTES)))))
     folder = scratch.posix("model")
 
+    hot = frequent_contexts(texts.select(text), rows, 1 << bits, scratch)
+
     def counted(batches):
-        return count(batches, bits)
+        return count(batches, bits, hot)
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         return merge_pairs(frame, folder, bits)
@@ -377,7 +413,7 @@ def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Model:
     sums = merged(of_pairs, 1 << bits, words, pa.schema([(c, pa.int64()) for c in SUMS]))
     totals = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS)).first().asDict()
     high, low = (discounts_of(*(totals[f"{c}{k}"] for k in range(1, 5))) for c in "mn")
-    return Model(folder, bits, high, low, totals)
+    return Model(folder, bits, hot, high, low, totals)
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:

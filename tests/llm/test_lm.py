@@ -72,3 +72,16 @@ def test_no_training_and_no_documents(spark, corpus, nothing):
     model = lm.train(nothing, Scratch(spark, "t"))
     assert {(r.n_known, r.score) for r in lm.score(corpus, model).collect()} == {(0, 0.0)}
     assert lm.score(nothing, model).collect() == []
+
+
+def test_frequent_contexts_and_few_maps(spark, monkeypatch):
+    """Hot contexts that are dealt over all shards, counts above a byte, and files mapped one at a time."""
+    monkeypatch.setattr(lm, "MAPS", 1)
+    texts = [" ".join(["the"] + [f"w{(k * j) % 97}" for k in range(60)] + ["the", f"x{j}"]) for j in range(150)] + ["a b " * 700]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, plain = lm.train(rows, Scratch(spark, "t")), Plain(texts)
+    assert len(model.hot) > 1
+    for r in lm.score(rows, model).collect():
+        n, known, base, score = plain.told(r.text)
+        assert (r.n_tokens, r.n_known) == (n, known)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
