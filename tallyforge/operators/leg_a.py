@@ -104,10 +104,11 @@ class Open:
     s: DataFrame
     c: DataFrame
 
-    def after(self, decisions: DataFrame, store: Store) -> Open:
+    def after(self, decisions: DataFrame) -> Open:
+        """What ``decisions``, a written table, leave open. At most one anti join a pass stands in a plan."""
         sids = decisions.select("world_id", F.explode("settlement_ids").alias("sid"))
         tids = decisions.select("world_id", F.explode("bank_txn_ids").alias("tid"))
-        return Open(store.cut(self.s.join(sids, ["world_id", "sid"], "left_anti"), "open_s"), store.cut(self.c.join(tids, ["world_id", "tid"], "left_anti"), "open_c"))
+        return Open(self.s.join(sids, ["world_id", "sid"], "left_anti"), self.c.join(tids, ["world_id", "tid"], "left_anti"))
 
 
 def fuzzy(found: Column, utr: Column) -> Column:
@@ -214,7 +215,7 @@ def pass_5(pending: DataFrame, left: Open, debits: DataFrame, store: Store) -> D
     alive = pending.join(left.s.select("world_id", "sid"), ["world_id", "sid"], "left_semi").join(left.c.select("world_id", "tid"), ["world_id", "tid"], "left_semi")
     first = store.cut(alive.withColumn("turn", F.row_number().over(Window.partitionBy("world_id", "tid").orderBy("s_no"))).filter("turn = 1"), "pending5")
     review = decision(first, "match", "matched_with_discrepancy", F.array("sid"), F.array("tid"), rules("utr_exact", "unexplained_residual"), name, "needs_review", F.col("net"), F.col("amount"), gap, F.array(F.struct(F.lit("unexplained").alias("label"), gap.alias("amount_paise"))))
-    rest = left.after(review, store)
+    rest = left.after(review)
     days = rest.s.select("world_id", "sid", "net", F.explode(F.transform(F.sequence(F.lit(0), F.lit(X.WINDOW_DAYS)), lambda n: F.date_add("created", n))).alias("value_date"))
     near = days.join(rest.c.filter("shaped").select("world_id", "value_date", "tid", "c_no", "amount"), ["world_id", "value_date"])
     near = near.withColumn("turn", F.row_number().over(Window.partitionBy("world_id", "sid").orderBy(F.abs(gap), "c_no"))).filter("turn <= 3")
@@ -240,12 +241,12 @@ def reconcile(settlements: DataFrame, bank_rows: DataFrame, store: Store) -> Dat
     everything = Open(store.cut(s, "s"), store.cut(c, "c"))
     first, pending = pass_1(store.cut(references(everything.s, everything.c), "refs"))
     first, pending = store.cut(first, "pass1"), store.cut(pending, "pending")
-    left = everything.after(first, store)
+    left = everything.after(first)
     second = store.cut(pass_2(left, store), "pass2")
-    left = left.after(second, store)
+    left = left.after(second)
     third, pending = pass_3(pending, left, store)
     third, pending = store.cut(third, "pass3"), store.cut(pending, "pending3")
-    left = left.after(third, store)
+    left = left.after(third)
     fourth = store.cut(pass_4(left, store), "pass4")
-    left = left.after(fourth, store)
+    left = left.after(fourth)
     return reduce(DataFrame.unionByName, [first, second, third, fourth, pass_5(pending, left, debits, store)])
