@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,14 +12,15 @@ from tallyforge.functions import scalars as X
 from tallyforge.functions.grammar import money_spans
 from tallyforge.operators import audit, baselines, close, explain, grade, graph, journey, leg_a, leg_b, proposals, search, triage, verify
 from tallyforge.plans import twins
-from tallyforge.sources.world import world
+from tallyforge.sources.world import World, as_of, stamp, world
 
 
 class Results:
     """What the queries of one folder share: leg A runs once, and so does every step that others read."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.world = spark, sf_dir, world(spark, sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, of: World | None = None):
+        self.spark, self.sf_dir, self.world = spark, sf_dir, of or world(spark, sf_dir)
+        self.slices: dict[str, Results] = {}
         self.made: dict[str, DataFrame] = {}
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -26,6 +28,17 @@ class Results:
             self.made[name] = self.world.store.cut(make(), name)
         return self.made[name]
 
+    def as_of(self, day: str) -> Results:
+        """The same over all sources as they stood at the end of a day."""
+        if day not in self.slices:
+            self.slices[day] = Results(self.spark, self.sf_dir, as_of(self.world, day))
+        return self.slices[day]
+
+    def golden_b(self) -> DataFrame:
+        """The answers that the scenario classes imply for orders and payments."""
+        df = self.spark.sql(twins.GOLDEN_B.format(o="{o}", p="{p}"), o=self.world.order_book, p=self.world.payments)
+        return df.withColumn("counterparties", F.filter(F.split("counterparties", ";"), lambda x: x != ""))
+
     def leg_a(self) -> DataFrame:
         return self.once("leg_a", lambda: leg_a.reconcile(self.world.settlements, self.world.bank_rows, self.world.store))
 
@@ -98,11 +111,11 @@ class Results:
         return close.overlay(self.queue(), close.fold_actions(self.actions()))
 
 
-_results: dict[tuple[str, str], Results] = {}
+_results: dict[tuple, Results] = {}
 
 
 def results(spark: SparkSession, sf_dir: str) -> Results:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, f"{sf_dir}/orders.parquet"), stamp(spark, f"{sf_dir}/events.parquet"))
     if key not in _results:
         _results[key] = Results(spark, sf_dir)
     return _results[key]
@@ -446,13 +459,65 @@ def _audit() -> dict[str, Query]:
     }
 
 
+#: The day of the as-of close.
+DAY = "2025-04-20"
+
+
+def _as_of() -> dict[str, Query]:
+    """A close as it stood on an earlier day, over all sources, and what a person reads of a close."""
+    at = lambda make: (lambda r: make(r.as_of(DAY)))
+    accuracy = lambda r: grade.leg_b(r.golden_b(), r.leg_b()).groupBy("scenario").agg(F.count("*").alias("n_rows"), F.count_if("correct").alias("n_correct"))
+    parts = lambda r: [("orders", r.world.order_book), ("payments", r.world.payments), ("settlements", r.world.settlements), ("bank_rows", r.world.bank_rows)]
+
+    def records(r: Results) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df.groupBy("world_id").agg(F.count("*").alias("n")).withColumn("part", F.lit(name)) for name, df in parts(r)])
+
+    def apart(r: Results) -> DataFrame:
+        nets = Window.partitionBy("world_id").orderBy("amount_paise", "settlement_id")
+        s = r.world.settlements.withColumn("gap", F.lead("amount_paise").over(nets) - F.col("amount_paise"))
+        return s.groupBy("world_id").agg(F.count_if(F.col("gap") <= 100).alias("close_pairs"), F.min("gap").alias("least_gap"))
+
+    def stated(r: Results) -> DataFrame:
+        return verify.running_balance(r.world.bank_rows).groupBy("world_id").agg(F.max_by("balance_paise", "row_no").alias("balance_paise"), F.max("value_date").alias("close_date"))
+
+    def checked(r: Results) -> DataFrame:
+        faults = verify.queue(damaged_queue(r.queue()), r.due()).groupBy("world_id").agg(F.count("*").alias("violations"))
+        return close.rollup(r.queue()).join(faults, "world_id", "left").fillna(0, ["violations"])
+
+    def resolver(r: Results) -> DataFrame:
+        left = r.leg_a().filter("status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')")
+        side = F.when(F.size("bank_txn_ids") > 0, "credit").otherwise("settlement")
+        anchor = F.coalesce(F.get("bank_txn_ids", F.lit(0)), F.get("settlement_ids", F.lit(0)))
+        days = r.world.settlements.select("world_id", F.col("settlement_id").alias("anchor"), F.col("created").alias("day")).unionByName(r.world.bank_rows.select("world_id", F.col("txn_id").alias("anchor"), F.col("value_date").alias("day")))
+        items = left.select("world_id", side.alias("side"), anchor.alias("anchor"), "status").join(days, ["world_id", "anchor"])
+        place = F.row_number().over(Window.partitionBy("world_id").orderBy(F.when(F.col("side") == "credit", 0).otherwise(1), "day", "anchor", "status"))
+        return items.withColumn("place", place)
+
+    ordered = "row_number() OVER (PARTITION BY world_id ORDER BY CASE side WHEN 'credit' THEN 0 ELSE 1 END, day, anchor, status)::INTEGER AS place"
+    return {
+        "as_of_leg_a": (at(lambda r: close.counted(r.leg_a(), "pass_name", "kind", "status", "confidence")), "SELECT pass_name, kind, status, confidence, count(*) AS n FROM leg_a GROUP BY ALL"),
+        "as_of_leg_b": (at(lambda r: close.counted(r.leg_b(), "record_type", "status")), "SELECT record_type, status, count(*) AS n FROM leg_b GROUP BY ALL"),
+        "as_of_queue": (at(lambda r: flat_queue(r.queue())), f"SELECT {QUEUE} FROM queue"),
+        "as_of_cash": (at(lambda r: close.cash(r.world.bank_rows)), "SELECT world_id, count(*) AS n_rows, sum(credit_paise - debit_paise)::BIGINT AS movement_paise, min(value_date) AS first_date, max(value_date) AS close_date, (max(value_date) - min(value_date))::INTEGER AS span_days, max_by(txn_id, row_no) AS last_txn FROM bank_rows GROUP BY ALL"),
+        "as_of_verify": (at(lambda r: verify.leg_a(r.world.settlements, r.world.bank_rows, damaged_decisions(r.leg_a()))), twins.broken_decisions("dd")),
+        "golden_leg_b": (lambda r: r.golden_b().withColumn("counterparties", F.array_join("counterparties", ";")), twins.GOLDEN_B.format(o="order_book", p="payments")),
+        "grade_leg_b": (accuracy, f"SELECT g.scenario, count(*) AS n_rows, count(*) FILTER (b.status = g.expected AND b.other = g.counterparties) AS n_correct FROM ({twins.GOLDEN_B.format(o='order_book', p='payments')}) g LEFT JOIN leg_b b ON g.world_id = b.world_id AND g.record_id = b.record_id AND g.record_type = b.record_type GROUP BY ALL"),
+        "record_counts": (records, " UNION ALL ".join(f"SELECT world_id, count(*) AS n, '{n}' AS part FROM {t} GROUP BY ALL" for n, t in (("orders", "order_book"), ("payments", "payments"), ("settlements", "settlements"), ("bank_rows", "bank_rows")))),
+        "net_separation": (apart, "SELECT world_id, count(*) FILTER (gap <= 100) AS close_pairs, min(gap) AS least_gap FROM (SELECT world_id, lead(amount_paise) OVER (PARTITION BY world_id ORDER BY amount_paise, settlement_id) - amount_paise AS gap FROM settlements) GROUP BY ALL"),
+        "cash_stated": (stated, "SELECT world_id, (10000000 + sum(credit_paise - debit_paise))::BIGINT AS balance_paise, max(value_date) AS close_date FROM bank_rows GROUP BY ALL"),
+        "worlds_rollup": (checked, f"SELECT q.*, coalesce(v.n, 0) AS violations FROM (SELECT world_id, count(*) AS n_items, min(severity) AS worst, sum(money_at_risk_paise)::BIGINT AS money_at_risk_paise, count(days_overdue) AS n_overdue FROM queue GROUP BY ALL) q LEFT JOIN (SELECT world_id, count(*) AS n FROM broken_q GROUP BY ALL) v ON q.world_id = v.world_id"),
+        "resolver_items": (resolver, f"SELECT *, {ordered} FROM (SELECT x.*, coalesce(s.created, b.value_date) AS day FROM (SELECT world_id, CASE WHEN len(tids) > 0 THEN 'credit' ELSE 'settlement' END AS side, coalesce(tids[1], sids[1]) AS anchor, status FROM leg_a WHERE status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')) x LEFT JOIN settlements s ON x.anchor = s.settlement_id LEFT JOIN bank_rows b ON x.anchor = b.txn_id)"),
+    }
+
+
 def registered() -> dict[str, Query]:
-    return _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
+    return _as_of() | _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
 
 
 #: Columns of type date; results show them as ISO text, which both engines write alike.
 DATES = {
     "world_settlements": ["created", "settled"], "world_bank_rows": ["value_date"], "scalar_dates": ["back", "rolled", "iso"], "gross_per_month": ["month"],
+    "as_of_queue": ["due_date"], "as_of_cash": ["first_date", "close_date"], "cash_stated": ["close_date"], "resolver_items": ["day"],
     "search_settlements": ["day"], "search_credits": ["day"], "search_narrations": ["day"], "search_statement_window": ["day"], "item_context": ["day"], "queue_urgent": ["due_date"],
     "overdue": ["expected_date"], "queue": ["due_date"], "queue_leg_a_items": ["due_date"], "queue_leg_b_items": ["due_date"], "queue_top": ["due_date"],
     "cash": ["first_date", "close_date"], "cash_as_of": ["first_date", "close_date"], "snapshot": ["close_date"],
@@ -469,6 +534,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     def shown(name: str, query: str) -> str:
         texts = ", ".join(f"{c}::VARCHAR AS {c}" for c in DATES.get(name, []))
-        return twins.sql(f"SELECT * REPLACE ({texts}) FROM ({query})" if texts else query)
+        return twins.sql(f"SELECT * REPLACE ({texts}) FROM ({query})" if texts else query, DAY if name.startswith("as_of") else None)
 
     return {name: shown(name, query) for name, (_, query) in registered().items() if query}

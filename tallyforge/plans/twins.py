@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 from tallyforge.operators import explain
-from tallyforge.sources.world import tables_sql
+from tallyforge.sources.world import as_of_sql, tables_sql
 
 FAMILY = "('matched', 'matched_split', 'matched_merged', 'matched_with_discrepancy')"
 
@@ -219,6 +219,7 @@ def damaged() -> dict[str, str]:
   discrepancy_paise AS told_paise, label, CASE WHEN h = 5 THEN '' ELSE rules END AS rules, status = 'duplicate_credit' AND right(tids[1], 6)::INTEGER % 3 = 0 AS bare, pass_name FROM (SELECT *, {h} AS h FROM leg_a) WHERE h <> 3""",
         "qd0": "SELECT world_id, source, status, severity + CASE WHEN h = 1 THEN 1 ELSE 0 END AS severity, CASE WHEN h = 3 THEN money_at_risk_paise // 2 ELSE money_at_risk_paise END AS money_at_risk_paise, CASE WHEN h = 4 THEN list_append(ids, 'zzz') ELSE ids END AS ids, h FROM (SELECT *, ('0x' || substr(item_id, 1, 2))::INTEGER AS h FROM queue) WHERE h <> 0",
         "qd": "SELECT * FROM qd0 UNION ALL SELECT * FROM qd0 WHERE h = 2",
+        "broken_q": broken_queue("qd").removeprefix("WITH RECURSIVE ").join(("WITH ", "")),
         "ks": "SELECT world_id, settlement_id AS id, amount_paise AS amount FROM settlements",
         "kc": "SELECT world_id, txn_id AS id, credit_paise AS amount FROM bank_rows WHERE credit_paise > 0",
     }
@@ -268,6 +269,12 @@ UNION ALL SELECT world_id, CASE WHEN row_no % 4 = 1 THEN 'duplicate_credit' ELSE
 UNION ALL SELECT world_id, CASE WHEN row_no % 20 = 7 THEN 'exception_amount_mismatch' ELSE 'exception_unpaid_order' END, order_id, CASE WHEN row_no % 20 = 7 THEN 100 ELSE amount_paise END FROM {o} WHERE row_no % 20 IN (3, 7, 9)
 UNION ALL SELECT world_id, CASE WHEN row_no % 80 = 26 THEN 'exception_duplicate_payment' ELSE 'exception_payment_no_order' END, payment_id, amount_paise FROM {p} WHERE row_no % 80 IN (26, 36)"""
 
+#: The answers for orders and payments by scenario class.
+GOLDEN_B = """SELECT world_id, 'order' AS record_type, order_id AS record_id, CASE row_no % 20 WHEN 4 THEN 'order_cancelled' WHEN 7 THEN 'exception_amount_mismatch' WHEN 8 THEN 'order_refunded' WHEN 3 THEN 'exception_unpaid_order' WHEN 9 THEN 'exception_unpaid_order' ELSE 'order_paid' END AS expected,
+  CASE WHEN row_no % 20 IN (3, 4, 9) THEN '' ELSE concat('pay_', lpad(cast(row_no * 4 as varchar(20)), 14, '0')) END AS counterparties, concat('class_', lpad(cast(row_no % 20 as varchar(20)), 2, '0')) AS scenario FROM {o}
+UNION ALL SELECT world_id, 'payment', payment_id, CASE WHEN row_no % 4 = 1 THEN 'payment_failed' WHEN row_no % 4 = 2 THEN 'exception_duplicate_payment' WHEN row_no % 80 = 28 THEN 'exception_amount_mismatch' WHEN row_no % 80 = 32 THEN 'payment_refunded' WHEN row_no % 80 = 36 THEN 'exception_payment_no_order' ELSE 'payment_applied' END,
+  CASE WHEN row_no % 80 = 36 THEN '' ELSE order_id END, concat('class_', lpad(cast(cast(floor(row_no / 4) as bigint) % 20 as varchar(20)), 2, '0')) FROM {p}"""
+
 _RANGED = """SELECT world_id, 'wide' AS question, CASE WHEN world_id % 2 = 0 THEN close_date - INTERVAL 60 DAY ELSE close_date END AS date_from, CASE WHEN world_id % 2 = 0 THEN close_date ELSE close_date - INTERVAL 60 DAY END AS date_to, 0 AS least_paise, 0 AS most_paise, '' AS contains FROM {dates}
 UNION ALL SELECT world_id, 'named', close_date - INTERVAL 25 DAY, close_date, 50000000, 900000000, ' hdfc ' FROM {dates} UNION ALL SELECT world_id, 'capped', close_date - INTERVAL 20 DAY, close_date - INTERVAL 1 DAY, 0, 100000000000, 'r' FROM {dates}"""
 _NUMBER = "concat('{name}', lpad(cast(world_id * {step} + {plus} as varchar(20)), {width}, '0'))"
@@ -401,9 +408,11 @@ def benchmark(graded: Callable[[str], str]) -> str:
     return over_worlds(" UNION ALL ".join(parts), ["precision", "recall", "accuracy", "auto_rate"], "strategy, ")
 
 
-def sql(query: str) -> str:
-    """A query over the derived worlds, with the named queries that it reaches, each worked out once."""
-    named = tables_sql("duckdb") | leg_a() | leg_b() | journeys() | queue() | baselines() | damaged() | searches() | audits()
+def sql(query: str, day: str | None = None) -> str:
+    """A query over the derived worlds, as they stood at the end of a day if one is given, with the named queries that it reaches, each
+    worked out once."""
+    tables = tables_sql("duckdb")
+    named = (as_of_sql(tables, day) if day else tables) | leg_a() | leg_b() | journeys() | queue() | baselines() | damaged() | searches() | audits()
     more = "WITH RECURSIVE "
     own = query.startswith(more)
     reached, todo = set(), [query]

@@ -10,10 +10,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.sources.scratch import Store
 
 
+FIRST_DAY = "2025-04-01"
+
+
 def tables_sql(dialect: str, orders: str = "orders") -> dict[str, str]:
     """The derivation as named queries, each over the ones before; dialect is ``spark`` or ``duckdb``."""
     spark = dialect == "spark"
@@ -22,7 +26,7 @@ def tables_sql(dialect: str, orders: str = "orders") -> dict[str, str]:
     text = "string" if spark else "varchar"
     pad = lambda x, n: f"lpad(cast({x} as {text}), {n}, '0')"
     div = lambda a, b: f"cast(floor(({a}) / {b}) as bigint)"
-    created = day("DATE '2025-04-01'", div("s % 240", 6))
+    created = day(f"DATE '{FIRST_DAY}'", div("s % 240", 6))
     settled = day("created", 1)
     clean = "concat('NEFT CR-', utr, '-RAZORPAY PAYMENTS')"
     credit = lambda part, amount, narration, ref, days: f"SELECT world_id, s, {part} AS part, {amount} AS credit, {narration} AS narration, {ref} AS ref_no, {days} AS days FROM settlement_base"
@@ -88,6 +92,37 @@ class World:
     store: Store
 
 
+def as_of(w: World, day: str) -> World:
+    """The worlds as they stood at the end of a day: every source up to it. Orders and payments count from the day of their settlement."""
+    before = F.lit(day).cast("date")
+
+    def known(df: DataFrame, step: int) -> DataFrame:
+        settled = F.floor(F.floor(F.col("row_no") / step) % 240 / 6).cast("int")
+        return df.filter(F.date_add(F.lit(FIRST_DAY).cast("date"), settled) <= before)
+
+    return World(known(w.order_book, 8), known(w.payments, 32), w.settlements.filter(F.col("created") <= before), w.bank_rows.filter(F.col("value_date") <= before), w.store)
+
+
+def as_of_sql(named: dict[str, str], day: str) -> dict[str, str]:
+    """The named tables of ``tables_sql("duckdb")`` up to a day."""
+    numbered = lambda step: f"DATE '{FIRST_DAY}' + (row_no // {step} % 240 // 6)::INTEGER"
+    days = {"order_book": numbered(8), "payments": numbered(32), "settlements": "created", "bank_rows": "value_date"}
+    found = {}
+    for name, query in named.items():
+        if name in days:
+            found |= {f"{name}_all": query, name: f"SELECT * FROM {name}_all WHERE {days[name]} <= DATE '{day}'"}
+        else:
+            found[name] = query.replace("FROM payments ", "FROM payments_all ")
+    return found
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, which change when it is written anew."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(where)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def derive(spark: SparkSession, sf_dir: str) -> World:
     """Worlds from ``orders``; each table is written once, as later steps read it several times."""
     store = Store(spark)
@@ -109,12 +144,12 @@ def derive(spark: SparkSession, sf_dir: str) -> World:
     return World(order_book, payments.drop("k"), settlements, store.cut(rows, "bank_rows"), store)
 
 
-_worlds: dict[tuple[str, str], World] = {}
+_worlds: dict[tuple, World] = {}
 
 
 def world(spark: SparkSession, sf_dir: str) -> World:
-    """The derived worlds of a folder, made once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The derived worlds of a folder, made once a session and anew if its orders are."""
+    key = (spark.sparkContext.applicationId, sf_dir, stamp(spark, f"{sf_dir}/orders.parquet"))
     if key not in _worlds:
         _worlds[key] = derive(spark, sf_dir)
     return _worlds[key]
