@@ -147,8 +147,8 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PARTS, strict=True)], schema=PARTS)
 
 
-def count(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Bigram and word counts of a task's texts, dealt to shards."""
+def count(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Bigram and word counts of a task's texts, dealt to shards after every ``most`` tokens."""
 
     def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
         numbers = np.concatenate(held)
@@ -172,7 +172,7 @@ def count(batches: Iterator[pa.RecordBatch], bits: int, hot: np.ndarray) -> Iter
         for text in batch.column(0).to_pylist():
             held.append(np.array(words.of(text), np.uint64))
             n += len(held[-1])
-            if n >= HELD:
+            if n >= most:
                 yield dealt(held)
                 held, n = [], 0
     if held:
@@ -283,7 +283,7 @@ class Model:
     """Where the shard files are, and the sums that all lookups share."""
 
     def __init__(self, folder: str, bits: int, hot: np.ndarray, high: list[float], low: list[float], sums: dict[str, int]):
-        self.hot = hot
+        self.hot, self.most_maps = hot, MAPS
         self.folder, self.bits, self.high, self.low, self.sums = folder, bits, high, low, sums
         self.maps: OrderedDict[str, dict[str, np.ndarray]] = OrderedDict()
         spared = low[0] * sums["n1"] + low[1] * sums["n2"] + low[2] * (sums["names"] - sums["n1"] - sums["n2"])
@@ -295,7 +295,7 @@ class Model:
     def map(self, name: str) -> dict[str, np.ndarray]:
         """A file's columns. The file that has not been used for longest is let go."""
         if name not in self.maps:
-            while len(self.maps) >= MAPS:
+            while len(self.maps) >= self.most_maps:
                 self.maps.popitem(last=False)
             self.maps[name] = mapped(f"{self.folder}/{name}")
         self.maps.move_to_end(name)
@@ -398,10 +398,10 @@ def train(texts: DataFrame, scratch: Scratch, text: str = "text") -> Model:
     bits = max(FEWEST_BITS, int(np.ceil(np.log2(max(1, volume / SHARD_BYTES)))))
     folder = scratch.posix("model")
 
-    hot = frequent_contexts(texts.select(text), rows, 1 << bits, scratch)
+    most, hot = HELD, frequent_contexts(texts.select(text), rows, 1 << bits, scratch)
 
     def counted(batches):
-        return count(batches, bits, hot)
+        return count(batches, bits, hot, most)
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
         return merge_pairs(frame, folder, bits)

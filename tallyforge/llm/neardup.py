@@ -93,16 +93,16 @@ def alike(left: pd.Series, right: pd.Series, least: float) -> np.ndarray:
     return near
 
 
-def near_in_window(rows: pd.DataFrame, block: int, least: float) -> pd.DataFrame:
-    """Links of a block's rows with their followers."""
+def near_in_window(rows: pd.DataFrame, block: int, least: float, span: int, window: int) -> pd.DataFrame:
+    """Links of the rows of a block of ``span`` ranks with their followers."""
     rows = rows.sort_values("rank", kind="stable")
     rank, run, c = rows["rank"].to_numpy(), rows["run"].to_numpy(), rows["c"].to_numpy()
-    own = rank // SPAN == block
+    own = rank // span == block
     near = alike(rows["embedding"][own], rows["embedding"], least)
     ahead = rank[None, :] - rank[own][:, None]
-    near &= (ahead > 0) & (ahead <= WINDOW) & (run[own][:, None] == run[None, :])
+    near &= (ahead > 0) & (ahead <= window) & (run[own][:, None] == run[None, :])
     i, j = np.nonzero(near)
-    outer = ahead[i, j] > WINDOW // 2
+    outer = ahead[i, j] > window // 2
     wide = pd.concat([rows.iloc[np.unique(x[outer])][["c", "run", "rank"]].assign(side=side) for x, side in ((i, 1), (j, -1))])
     return told(c[i], c[j], wide)
 
@@ -117,6 +117,10 @@ def near_beyond(asking: pd.DataFrame, rows: pd.DataFrame, reach: int, least: flo
     return told(asking["c"].to_numpy()[i], rows["c"].to_numpy()[j], wide)
 
 
+def within(span: int, window: int, least: float):
+    return lambda key, rows: near_in_window(rows, key[0], least, span, window)
+
+
 def beyond(reach: int, least: float):
     return lambda asking, rows: near_beyond(asking, rows, reach, least)
 
@@ -139,11 +143,9 @@ def edges_of(vectors: DataFrame, scratch: Scratch, least: float) -> DataFrame:
     placed = ranks.join(vectors.select("c", "embedding"), "c")
     blocks = F.when(F.col("rank") % SPAN < WINDOW, F.array(block_of("rank"), block_of("rank") - 1)).otherwise(F.array(block_of("rank")))
 
-    def window(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return near_in_window(rows, key[0], least)
-
-    found = [scratch.write(placed.withColumn("block", F.explode(blocks)).groupBy("block").applyInPandas(window, TOLD), "met-0")]
     reach = WINDOW
+
+    found = [scratch.write(placed.withColumn("block", F.explode(blocks)).groupBy("block").applyInPandas(within(SPAN, WINDOW, least), TOLD), "met-0")]
     while True:
         wide = found[-1].filter("side <> 0").select("c", "run", "rank", "side").distinct()
         if wide.isEmpty():

@@ -71,3 +71,55 @@ def test_copies_near_one_base_only(spark):
     links = (held @ held.T >= 0.98).sum(axis=1) - 1
     assert links[0] == 2500 and np.median(links[1:]) < 10
     assert [got[i] for i in range(2501)] == [(n, 0) for n in links]
+
+
+def planted(seed):
+    """Groups of many sizes, widths and labels: stars whose copies only the base links, dense groups, lone pairs, and noise."""
+    draw = np.random.default_rng(seed)
+    rows = []
+
+    def near(base, cosine, n):
+        base = base / np.linalg.norm(base)
+        off = draw.standard_normal((n, len(base)))
+        off -= np.outer(off @ base, base)
+        off /= np.linalg.norm(off, axis=1, keepdims=True)
+        return cosine * base + np.sqrt(1 - cosine**2) * off
+
+    for width in (16, 64):
+        for label in range(3):
+            found = [draw.standard_normal((150, width))]
+            for size, cosine in ((150, 0.982), (40, 0.995), (12, 0.985)):
+                base = draw.standard_normal(width)
+                found += [base[None, :], near(base, cosine, size)]
+            for _ in range(25):
+                base = draw.standard_normal(width)
+                found += [base[None, :], near(base, 0.9805, 1)]
+            rows += [(v.tolist(), label) for v in np.concatenate(found)]
+    draw.shuffle(rows)
+    return [(i, v, lab) for i, (v, lab) in enumerate(rows)]
+
+
+def test_recall_and_same_rows_for_any_partitioning(spark, monkeypatch):
+    """Small windows and blocks, so that borders and widening count; the rows do not depend on the number of partitions."""
+    for name, value in (("WINDOW", 8), ("SPAN", 16), ("ASKING", 32), ("BLOCK", 20)):
+        monkeypatch.setattr(neardup, name, value)
+    rows, told = planted(3), []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("4", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        told.append({r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df.repartition(int(n)), Scratch(spark, "t")).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert told[0] == told[1]
+    expected = brute(rows)
+    assert all(told[0][i][0] <= expected[i][0] for i in expected)
+    found, due = sum(v[0] for v in told[0].values()), sum(v[0] for v in expected.values())
+    assert due > 5000 and found >= 0.95 * due
+    assert sum(told[0][i] == expected[i] for i in expected) >= 0.95 * len(expected)
+
+
+def test_each_row_of_a_repeated_id_is_a_vector(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (5, [1.0, 0.0], 1), (7, [0.0, 2.0], 1), (9, [1.0, 0.05], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in neardup.near_duplicates(df, Scratch(spark, "t")).collect())
+    assert got == [(5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (7, 1, 5, False), (9, 2, 5, False)]
