@@ -316,7 +316,11 @@ def split(left: pd.DataFrame, right: pd.DataFrame, width: int, share: int) -> pd
 
 def without_lone(rows: DataFrame, width: int, share: int) -> DataFrame:
     """Rows of regions, (region, near, doc_id, text and more), without those that hold so many shingles which no other document of
-    the region holds that they can link with none. Rows that link with a pivot stay."""
+    the region holds that they can link with none. Rows that link with a pivot stay.
+
+    A partner holds at most the c shingles that are not a document's own, and no fewer shingles in all than the smallest
+    size in the region that a partner can have; with those the similarity is at its highest.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in zip(*_twice(batches, width), strict=True):
@@ -325,8 +329,12 @@ def without_lone(rows: DataFrame, width: int, share: int) -> DataFrame:
     text_id = F.xxhash64("text")
     exploded = rows.select("region", "text", text_id.alias("text_id")).mapInArrow(listed, "region long, text_id long, shingles array<long>")
     exploded = exploded.select("region", "text_id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    reach = f"RANGE BETWEEN {1e-9 - float(np.log(share / 100))!r}D PRECEDING AND CURRENT ROW"
+    sizes = exploded.select("region", "n").distinct().selectExpr("region", "n", f"min(n) OVER (PARTITION BY region ORDER BY ln(n) {reach}) AS smallest")
     once = exploded.groupBy("region", "shingle").agg(F.count("*").alias("times"), F.max("text_id").alias("text_id"), F.max("n").alias("n")).filter("times = 1")
-    lone = once.groupBy("region", "text_id").agg(F.count("*").alias("own"), F.max("n").alias("n")).filter(100 * (F.col("n") - F.col("own")) < share * F.col("n"))
+    lone = once.groupBy("region", "text_id").agg(F.count("*").alias("own"), F.max("n").alias("n")).join(sizes, ["region", "n"])
+    held = F.col("n") - F.col("own")
+    lone = lone.filter(100 * held < share * (F.col("n") + F.greatest("smallest", held) - held))
     lone = lone.select("region", "text_id", F.lit(True).alias("lone"))
     return rows.withColumn("text_id", text_id).join(lone, ["region", "text_id"], "left").filter("near OR lone IS NULL").drop("lone", "text_id")
 
