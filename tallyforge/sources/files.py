@@ -74,8 +74,8 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, seq: str = "seq") -> D
     """Rows of both by key: the last value wins, the first position stays. ``new`` is ordered by ``seq``."""
     values = [c for c in existing.columns if c not in (key, "row_no")]
     old = existing.select(key, F.struct(*values).alias("value"), F.col("row_no").alias("place"), F.lit(-1).cast("long").alias("turn"))
-    top = existing.agg(F.coalesce(F.max("row_no"), F.lit(-1)).alias("top"))
-    fresh = new.crossJoin(F.broadcast(top)).select(key, F.struct(*values).alias("value"), (F.col("top") + 1 + F.col(seq)).alias("place"), F.col(seq).cast("long").alias("turn"))
+    top = existing.agg(F.coalesce(F.max("row_no"), F.lit(-1))).first()[0]
+    fresh = new.select(key, F.struct(*values).alias("value"), (F.lit(top + 1) + F.col(seq)).alias("place"), F.col(seq).cast("long").alias("turn"))
     merged = old.unionByName(fresh).groupBy(key).agg(F.max_by("value", "turn").alias("value"), F.min("place").alias("row_no"))
     return merged.select(key, *(F.col("value")[c].alias(c) for c in values), "row_no")
 
