@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import Scratch
 
-#: Components of the vectors that the centres are fitted on, about (65,536 vectors of 64); rounds of fitting.
-SAMPLE, ROUNDS = 1 << 22, 8
+#: Components of the vectors that the centres are fitted on, about (131,072 vectors of 64); rounds of fitting.
+SAMPLE, ROUNDS = 1 << 23, 8
 #: Lists of a width: at least, at most, the rows of one that are aimed at, and the rows of the sample for each.
-LEAST, MOST, ROWS, FITTED = 64, 4096, 4096, 16
+LEAST, MOST, ROWS, FITTED = 64, 2048, 4096, 48
 #: Rows of a part of a list, and rows that are scanned before the bound is set anew.
 PART, CHUNK = 2048, 512
 #: Dimensions of a block.
