@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import ann, bpe, jaccard, langid, lines, lm, mixing, neardup, quality, runs, topk, urls
+from tallyforge.llm import ann, bpe, jaccard, langid, lines, lm, mixing, neardup, quality, repair, runs, topk, urls
 from tallyforge.llm.common import Scratch, remainder, table
 
 
@@ -78,9 +78,13 @@ def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(embeddings, embeddings.filter("vec_id % 50 = 0"), Scratch(spark, "op12"))
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(table(spark, sf_dir, "conversations"), Scratch(spark, "op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid, "op7_jaccard": op7_jaccard, "op8_topk": op8_topk, "op9_lm": op9_lm, "op10_neardup": op10_neardup, "op11_runs": op11_runs, "op12_nearest": op12_nearest}
+    return {"op1_bpe": op1_bpe, "op2_mix": op2_mix, "op3_quality": op3_quality, "op4_urls": op4_urls, "op5_lines": op5_lines, "op6_langid": op6_langid, "op7_jaccard": op7_jaccard, "op8_topk": op8_topk, "op9_lm": op9_lm, "op10_neardup": op10_neardup, "op11_runs": op11_runs, "op12_nearest": op12_nearest, "op13_repair": op13_repair}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.ORACLE, "op4_urls": urls.ORACLE, "op5_lines": lines.ORACLE, "op8_topk": topk.ORACLE, "op10_neardup": neardup.ORACLE}
+    return {"op2_mix": mixing.ORACLE, "op4_urls": urls.ORACLE, "op5_lines": lines.ORACLE, "op8_topk": topk.ORACLE, "op10_neardup": neardup.ORACLE, "op13_repair": repair.ORACLE}
