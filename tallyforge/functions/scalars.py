@@ -143,20 +143,32 @@ def amount_cell(cell: Column) -> Column:
     return F.when(fits, F.struct(paise(F.when(fits, inner).otherwise(F.lit("0"))).alias("paise"), F.nullif(side, F.lit("")).alias("side")))
 
 
+#: strptime's letters and what Java calls them.
 STRPTIME = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%H": "HH", "%M": "mm", "%S": "ss"}
 
 
-def date_cell(cell: Column, pattern: str) -> Column:
-    """A date cell read with a strptime pattern; null if it does not fit."""
+def date_at(cell: Column, pattern: Column) -> Column:
+    """A date cell read with a column of strptime patterns; null if it does not fit."""
     for python, java in STRPTIME.items():
-        pattern = pattern.replace(python, java)
-    return F.to_date(F.try_to_timestamp(F.trim(cell), F.lit(pattern)))
+        pattern = F.replace(pattern, F.lit(python), F.lit(java))
+    return F.to_date(F.try_to_timestamp(F.trim(cell), pattern))
+
+
+def date_cell(cell: Column, pattern: str) -> Column:
+    """A date cell read with one strptime pattern."""
+    return date_at(cell, F.lit(pattern))
+
+
+def reference_at(narration: Column, delimiter: Column, index: Column, token: Column) -> Column:
+    """The narration's part at ``index`` if the whole of it matches ``token``, else an empty text, as where ``token`` is empty."""
+    part = F.trim(F.get(F.split(narration, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))), index))
+    fits = F.coalesce((token != "") & F.rlike(part, F.concat(F.lit("^(?:"), token, F.lit(")$"))), F.lit(False))
+    return F.when(fits, part).otherwise(F.lit(""))
 
 
 def reference_of(narration: Column, delimiter: str, index: int, token: str) -> Column:
-    """The narration's part at ``index`` if the whole of it matches ``token``, else an empty text."""
-    part = F.trim(F.get(F.split(narration, f"\\Q{delimiter}\\E"), F.lit(index)))
-    return F.when(part.rlike(f"^(?:{token})$"), part).otherwise(F.lit(""))
+    """As ``reference_at``, with one recipe."""
+    return reference_at(narration, F.lit(delimiter), F.lit(index), F.lit(token))
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> Column:

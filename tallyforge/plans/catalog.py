@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as X
 from tallyforge.functions.grammar import money_spans
 from tallyforge.operators import audit, baselines, close, explain, grade, graph, journey, leg_a, leg_b, proposals, search, triage, verify
-from tallyforge.plans import twins
+from tallyforge.plans import statements, twins
 from tallyforge.sources.world import World, as_of, stamp, world
 
 
@@ -107,6 +107,11 @@ class Results:
         left = self.queue().filter("source = 'recon_leg_a' AND status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')")
         return view, left.select("world_id", "item_id", "record_ids"), self.claimed()
 
+    def statements(self) -> statements.Statements:
+        if "statements" not in self.made:
+            self.made["statements"] = statements.Statements(self.world.bank_rows, self.world.store)
+        return self.made["statements"]
+
     def overlay(self) -> DataFrame:
         return close.overlay(self.queue(), close.fold_actions(self.actions()))
 
@@ -511,13 +516,13 @@ def _as_of() -> dict[str, Query]:
 
 
 def registered() -> dict[str, Query]:
-    return _as_of() | _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
+    return statements.queries() | _as_of() | _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
 
 
 #: Columns of type date; results show them as ISO text, which both engines write alike.
 DATES = {
     "world_settlements": ["created", "settled"], "world_bank_rows": ["value_date"], "scalar_dates": ["back", "rolled", "iso"], "gross_per_month": ["month"],
-    "as_of_queue": ["due_date"], "as_of_cash": ["first_date", "close_date"], "cash_stated": ["close_date"], "resolver_items": ["day"],
+    "statement_rows": ["value_date"], "as_of_queue": ["due_date"], "as_of_cash": ["first_date", "close_date"], "cash_stated": ["close_date"], "resolver_items": ["day"],
     "search_settlements": ["day"], "search_credits": ["day"], "search_narrations": ["day"], "search_statement_window": ["day"], "item_context": ["day"], "queue_urgent": ["due_date"],
     "overdue": ["expected_date"], "queue": ["due_date"], "queue_leg_a_items": ["due_date"], "queue_leg_b_items": ["due_date"], "queue_top": ["due_date"],
     "cash": ["first_date", "close_date"], "cash_as_of": ["first_date", "close_date"], "snapshot": ["close_date"],

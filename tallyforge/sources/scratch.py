@@ -20,6 +20,10 @@ class Store:
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
+    def folder(self, name: str) -> str:
+        """A new folder's path, for files that are no tables."""
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df``, which ends its lineage, and read it back."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"

@@ -199,20 +199,21 @@ def layout(**change):
 def test_layouts_are_proved(spark, change, edit, codes):
     rows = [[edit.get((i, k), c) for k, c in enumerate(r)] for i, r in enumerate(GRID)]
     cells = spark.createDataFrame(list(enumerate(rows)), "row_no long, cells array<string>")
-    assert {r.code for r in intake.validate(spark, cells, layout(**change)).collect()} == codes
+    assert {r.code for r in intake.one(spark, cells, layout(**change)).faults.collect()} == codes
 
 
 def test_intake_rows(spark, tmp_path):
     path = tmp_path / "statement.csv"
     path.write_text("﻿" + "\n".join(",".join(f'"{c}"' if "," in c else c for c in r) for r in GRID) + "\n", encoding="utf-8")
     cells = spark.createDataFrame(list(enumerate(GRID)), "row_no long, cells array<string>")
-    got = intake.apply(spark, cells, layout()).orderBy("txn_id").collect()
+    proof = intake.one(spark, cells, layout())
+    got = proof.canonical().orderBy("txn_id").collect()
     assert [(r.txn_id, r.credit_paise, r.debit_paise, r.balance_paise, r.ref_no) for r in got] == [("REAL000001", 50000, 0, 150000, "ABC123"), ("REAL000002", 0, 20000, 130000, "ABC124"), ("REAL000003", 20000, 0, 150000, "ABC124"), ("REAL000004", 0, 160000, -10000, "")]
     read = [r.cells for r in intake.grid(spark, str(path)).orderBy("row_no").collect()]
     assert read == GRID
-    assert intake.reproved(spark, intake.apply(spark, cells, layout()), cells, layout()).collect() == []
-    wrong = intake.apply(spark, cells, layout()).withColumn("credit_paise", F.col("credit_paise") + (F.col("row_no") == 4).cast("long"))
-    assert [r.txn_id for r in intake.reproved(spark, wrong, cells, layout()).orderBy("txn_id").collect()] == ["REAL000003", "REAL000004"]
+    assert proof.reproved(proof.canonical()).collect() == []
+    wrong = proof.canonical().withColumn("credit_paise", F.col("credit_paise") + (F.col("row_no") == 4).cast("long"))
+    assert [r.txn_id for r in proof.reproved(wrong).orderBy("txn_id").collect()] == ["REAL000003", "REAL000004"]
 
 
 def test_batch_of_statements(spark, tmp_path):
@@ -227,9 +228,10 @@ def test_batch_of_statements(spark, tmp_path):
     assert got["c.csv"] == ("ICICI Bank", 9, "passed", "") and got["kotak_b.csv"] == ("Kotak Mahindra Bank", 9, "passed", "")
     assert got["a.csv"][:3] == ("Axis Bank", 9, "failed") and "E_DATE_PARSE" in got["a.csv"][3]
     assert {(r.result, r.files) for r in intake.batch_summary(intake.batch(spark, layouts)).collect()} == {("passed", 2), ("failed", 1)}
-    assert {tuple(r) for r in intake.role_issues(spark, layout(), layout(header_row=1, noise_rows=[])).collect()} == {("header", 0, 1)}
+    of = lambda **change: intake.layouts_of(spark, {"f": layout(**change)})
+    assert {tuple(r) for r in intake.role_issues(of(), of(header_row=1, noise_rows=[])).collect()} == {("f", "header", 0, 1)}
     cells = intake.grid(spark, found[0])
-    assert [r.code for r in intake.warnings(spark, cells, layout(token_regex="ABC123")).collect()] == ["W_LOW_RECIPE_YIELD"]
+    assert [r.code for r in intake.one(spark, cells, layout(token_regex="ABC123", noise_rows=[5, 8], reversal_pairs=[])).warnings().collect()] == ["W_LOW_RECIPE_YIELD"]
 
 
 def test_capped_search_and_grid(spark):
