@@ -4,40 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
+from tallyforge.operators.claims import served
 from tallyforge.operators.leg_a import COLUMNS, candidate, decision, rules
 from tallyforge.sources.scratch import Store
 
 TOLERANCE, DAYS = 100, 3
 
 
-def first_come(edges: pd.DataFrame) -> pd.DataFrame:
-    """In credit order, each credit takes the best of its settlements that is still open."""
-    taken, out = set(), []
-    for _, mine in edges.sort_values(["c_no", "rank_1", "rank_2"], kind="stable").groupby("c_no", sort=True):
-        left = mine[~mine["sid"].isin(taken)]
-        if len(left):
-            taken.add(left["sid"].iloc[0])
-            out.append(left.iloc[:1])
-    return pd.concat(out) if out else edges.iloc[:0]
-
-
-def served(edges: DataFrame, store: Store) -> DataFrame:
-    """The pairs that serving credits in order makes. Credits whose settlements no other credit wants take their best at once;
-    the rest of a world, where claims can collide, is replayed."""
-    edges = store.cut(edges, "wants")
-    wanted = edges.withColumn("n", F.count("*").over(Window.partitionBy("world_id", "sid")))
-    busy = wanted.filter("n > 1").select("world_id", "tid").distinct()
-    calm = edges.join(busy, ["world_id", "tid"], "left_anti")
-    best = calm.withColumn("turn", F.row_number().over(Window.partitionBy("world_id", "tid").orderBy("rank_1", "rank_2"))).filter("turn = 1").drop("turn")
-    tangled = store.cut(edges.join(busy, ["world_id", "tid"], "left_semi"), "tangled")
-    return best.unionByName(tangled.groupBy("world_id").applyInPandas(first_come, tangled.schema))
-
-
 def sides(settlements: DataFrame, bank_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = settlements.select("world_id", F.col("settlement_id").alias("sid"), F.col("row_no").alias("s_no"), F.col("amount_paise").alias("net"), "utr", "created", "settled")
     c = bank_rows.filter("credit_paise > 0").select("world_id", F.col("txn_id").alias("tid"), F.col("row_no").alias("c_no"), F.col("credit_paise").alias("amount"), "value_date", F.upper(F.concat_ws(" ", "narration", "ref_no")).alias("text"))

@@ -6,8 +6,8 @@
 4. Equal amounts within the window, if unique on both sides; ties abstain with their rivals.
 5. What is left becomes an exception with its nearest candidates.
 
-All keys include world_id. Amounts meet by hash joins, references by joins on substrings. Only groups in which one
-pass's claims collide are replayed in source order.
+All keys include world_id. Amounts meet by hash joins, references by joins on substrings. Claims that collide are served in source order
+by rounds (pass 3) or replayed within their amount (pass 2).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
+from tallyforge.operators import claims, neighbours
 from tallyforge.sources.scratch import Store
 
 CANDIDATE = "array<struct<record_id:string,amount_paise:bigint,reason:string>>"
@@ -78,23 +79,29 @@ def pass_1(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = refs.withColumn("n", F.count("*").over(per_s)).withColumn("equal", F.min(F.col("amount") == F.col("net")).over(per_s)).withColumn("total", F.sum("amount").over(per_s))
     told = told.withColumn("turn", F.row_number().over(per_s.orderBy("value_date", "tid"))).withColumn("why", X.decompose(F.col("net"), F.col("amount")))
     told = told.withColumn("late", ~X.in_window(F.col("created"), F.col("value_date")))
-    sid, tid, net, amount, gap = F.array("sid"), F.array("tid"), F.col("net"), F.col("amount"), F.col("amount") - F.col("net")
+    net, amount, gap = F.col("net"), F.col("amount"), F.col("amount") - F.col("net")
     late = lambda *names: F.when(F.col("late"), rules("utr_exact", *names, "late_settlement")).otherwise(rules("utr_exact", *names))
-    one, several = told.filter("n = 1"), told.filter("n > 1")
-    name = "pass1_exact_utr"
+    name, none = "pass1_exact_utr", F.array().cast("array<string>")
+    case = F.when((F.col("n") == 1) & (amount == net), "whole").when((F.col("n") == 1) & F.col("why").isNotNull(), "explained").when(F.col("n") == 1, "pending")
+    case = case.when(F.col("equal") & (F.col("turn") == 1), "first").when(F.col("equal"), "again").when(F.col("total") == net, "part").otherwise("odd")
+    told = told.withColumn("case", case)
+    within = lambda *cases: F.col("case").isin(*cases)
     label = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))[F.col("why")]
     repeated = candidate(F.col("sid"), net, "posted once more after the whole amount had arrived")
     unequal = candidate(F.col("sid"), net, "several postings name it, and their amounts do not add up to it")
-    split = several.filter("NOT equal AND total = net").groupBy("world_id", "sid", "net").agg(F.transform(F.array_sort(F.collect_list(F.struct("value_date", "tid"))), lambda x: x["tid"]).alias("tids"), F.sum("amount").alias("amount"))
-    made = [
-        decision(one.filter(amount == net), "match", "matched", sid, tid, late("amount_exact"), name, "exact", net, amount, F.lit(0)),
-        decision(one.filter((amount != net) & F.col("why").isNotNull()), "match", "matched_with_discrepancy", sid, tid, late("decomposed_discrepancy"), name, "high", net, amount, gap, F.array(F.struct(label.alias("label"), gap.alias("amount_paise")))),
-        decision(several.filter("equal AND turn = 1"), "match", "matched", sid, tid, rules("utr_exact", "amount_exact", "earliest_value_date"), name, "exact", net, amount, F.lit(0)),
-        decision(several.filter("equal AND turn > 1"), "exception", "duplicate_credit", None, tid, rules("utr_exact", "duplicate_posting"), name, received=amount, candidates=F.array(repeated)),
-        decision(split, "match", "matched_split", sid, F.col("tids"), rules("utr_exact", "sum_exact_parts"), name, "high", net, amount, F.lit(0)),
-        decision(several.filter("NOT equal AND total <> net"), "exception", "ambiguous_abstain", None, tid, rules("utr_exact"), name, received=amount, candidates=F.array(unequal)),
-    ]
-    return reduce(DataFrame.unionByName, made), one.filter((amount != net) & F.col("why").isNull()).select("world_id", "sid", "s_no", "net", "tid", "amount", "value_date")
+    is_match = within("whole", "explained", "first")
+    alone = decision(
+        told.filter(within("whole", "explained", "first", "again", "odd")), F.when(is_match, "match").otherwise("exception"),
+        F.when(within("whole", "first"), "matched").when(within("explained"), "matched_with_discrepancy").when(within("again"), "duplicate_credit").otherwise("ambiguous_abstain"),
+        F.when(is_match, F.array("sid")).otherwise(none), F.array("tid"),
+        F.when(within("whole"), late("amount_exact")).when(within("explained"), late("decomposed_discrepancy")).when(within("first"), rules("utr_exact", "amount_exact", "earliest_value_date")).when(within("again"), rules("utr_exact", "duplicate_posting")).otherwise(rules("utr_exact")),
+        name, F.when(within("whole", "first"), "exact").when(within("explained"), "high").otherwise(""), F.when(is_match, net), amount, F.when(is_match, gap),
+        F.when(within("explained"), F.array(F.struct(label.alias("label"), gap.alias("amount_paise")))).otherwise(F.array().cast(BREAKDOWN)),
+        F.when(within("again"), F.array(repeated)).when(within("odd"), F.array(unequal)).otherwise(F.array().cast(CANDIDATE)),
+    )
+    parts = told.filter("case = 'part'").groupBy("world_id", "sid", "net").agg(F.transform(F.array_sort(F.collect_list(F.struct("value_date", "tid"))), lambda x: x["tid"]).alias("tids"), F.sum("amount").alias("amount"))
+    split = decision(parts, "match", "matched_split", F.array("sid"), F.col("tids"), rules("utr_exact", "sum_exact_parts"), name, "high", net, amount, F.lit(0))
+    return alone.unionByName(split), told.filter("case = 'pending'").select("world_id", "sid", "s_no", "net", "tid", "amount", "value_date")
 
 
 @dataclass
@@ -137,34 +144,14 @@ def pass_2(left: Open, store: Store) -> DataFrame:
     return decision(hits, "match", "matched", F.array("sid"), F.array("tid"), rules("utr_fuzzy", "amount_exact"), "pass2_fuzzy_utr", "high", F.col("net"), F.col("net"), F.lit(0))
 
 
-def replay_pass_3(rows: pd.DataFrame) -> pd.DataFrame:
-    """In pending order: one open partner merges, several abstain and take the credit only, none leaves the pair pending."""
-    s_taken, c_taken, out = set(), set(), []
-    for _, mine in rows.sort_values(["s_no", "p_no"]).groupby("s_no", sort=True):
-        sid, tid = mine["sid"].iloc[0], mine["tid"].iloc[0]
-        if sid in s_taken or tid in c_taken:
-            continue
-        left = mine[~mine["partner"].isin(s_taken)]
-        if len(left):
-            c_taken.add(tid)
-            if len(left) == 1:
-                s_taken |= {sid, left["partner"].iloc[0]}
-            out.append(left)
-    return pd.concat(out) if out else rows.iloc[:0]
-
-
 def pass_3(pending: DataFrame, left: Open, store: Store) -> tuple[DataFrame, DataFrame]:
     """Decisions, and the pairs still pending. Pairs of which a side is taken are dropped."""
     alive = pending.join(left.s.select("world_id", "sid"), ["world_id", "sid"], "left_semi").join(left.c.select("world_id", "tid"), ["world_id", "tid"], "left_semi")
     partner = left.s.select("world_id", F.col("sid").alias("partner"), F.col("s_no").alias("p_no"), F.col("net").alias("rest"), F.col("created").alias("p_created"))
     met = alive.withColumn("rest", F.col("amount") - F.col("net")).filter("rest > 0").join(partner, ["world_id", "rest"])
     met = met.filter((F.col("sid") != F.col("partner")) & X.in_window(F.col("p_created"), F.col("value_date"), X.WINDOW_DAYS + X.MERGE_EXTRA_DAYS))
-    met = store.cut(met.select("world_id", "sid", "s_no", "net", "tid", "amount", "partner", "p_no", "rest"), "merges")
-    used = met.select("world_id", "s_no", F.col("sid").alias("used")).unionByName(met.select("world_id", "s_no", F.col("partner").alias("used"))).unionByName(met.select("world_id", "s_no", F.col("tid").alias("used"))).distinct()
-    clash = used.withColumn("n", F.count("*").over(Window.partitionBy("world_id", "used"))).filter("n > 1").select("world_id", "s_no").distinct()
-    calm = met.join(clash, ["world_id", "s_no"], "left_anti")
-    replayed = met.join(clash, ["world_id", "s_no"], "left_semi").groupBy("world_id").applyInPandas(replay_pass_3, met.schema)
-    kept = calm.unionByName(replayed).withColumn("n", F.count("*").over(Window.partitionBy("world_id", "s_no")))
+    kept = claims.merged(met.select("world_id", "sid", "s_no", "net", "tid", "amount", "partner", "p_no", "rest"), store)
+    kept = kept.withColumn("n", F.count("*").over(Window.partitionBy("world_id", "s_no")))
     one = kept.filter("n = 1")
     whole = F.col("net") + F.col("rest")
     merged = decision(one, "match", "matched_merged", F.array("sid", "partner"), F.array("tid"), rules("utr_exact", "merge_residual_exact"), "pass3_merge", "high", whole, F.col("amount"), F.lit(0))
@@ -194,22 +181,6 @@ def pass_4(left: Open, store: Store) -> DataFrame:
     return unique.unionByName(s_side).unionByName(c_side)
 
 
-def nearest(group: pd.DataFrame) -> pd.DataFrame:
-    """Of each credit the three open settlements of its world nearest in amount, the earlier first at equal distance."""
-    import numpy as np
-
-    s = group[group["side"] == 0].sort_values(["amount", "no"], kind="stable")
-    amounts, numbers, ids = s["amount"].to_numpy(), s["no"].to_numpy(), s["id"].to_numpy()
-    out = []
-    for tid, amount in group[group["side"] == 1][["id", "amount"]].itertuples(index=False):
-        low, high = np.searchsorted(amounts, amount), np.searchsorted(amounts, amount, "right")
-        first = amounts[max(low - 3, 0)] if low else 0
-        reach = np.arange(np.searchsorted(amounts, first) if low else 0, min(high + 3, len(amounts)))
-        order = reach[np.lexsort((numbers[reach], np.abs(amounts[reach] - amount)))][:3]
-        out += [(group["world_id"].iloc[0], tid, k, ids[i], int(amounts[i])) for k, i in enumerate(order)]
-    return pd.DataFrame(out, columns=["world_id", "tid", "turn", "sid", "net"])
-
-
 def pass_5(pending: DataFrame, left: Open, debits: DataFrame, store: Store) -> DataFrame:
     name, gap = "pass5_residuals", F.col("amount") - F.col("net")
     alive = pending.join(left.s.select("world_id", "sid"), ["world_id", "sid"], "left_semi").join(left.c.select("world_id", "tid"), ["world_id", "tid"], "left_semi")
@@ -225,8 +196,9 @@ def pass_5(pending: DataFrame, left: Open, debits: DataFrame, store: Store) -> D
     nothing = F.array(candidate(F.lit(""), F.lit(0), "nothing open in its days looks like a settlement"))
     no_bank = decision(missing, "exception", "exception_missing_bank", F.array("sid"), None, rules("no_credit_found"), name, expected=F.col("net"), candidates=F.coalesce(found, nothing))
     other = decision(rest.c.filter("NOT shaped"), "exception", "non_settlement_credit", None, F.array("tid"), rules("not_settlement_shaped"), name, received=F.col("amount"))
-    sides = rest.s.select("world_id", F.lit(0).alias("side"), F.col("s_no").alias("no"), F.col("sid").alias("id"), F.col("net").alias("amount")).unionByName(rest.c.filter("shaped").select("world_id", F.lit(1).alias("side"), F.col("c_no").alias("no"), F.col("tid").alias("id"), "amount"))
-    close = sides.groupBy("world_id").applyInPandas(nearest, "world_id long, tid string, turn int, sid string, net long").groupBy("world_id", "tid").agg(F.array_sort(F.collect_list(F.struct("turn", "sid", "net"))).alias("near"))
+    asking = rest.c.filter("shaped").select("world_id", F.col("tid").alias("asker"), "amount")
+    close = neighbours.nearest(asking, rest.s.select("world_id", F.col("sid").alias("id"), F.col("s_no").alias("no"), F.col("net").alias("amount")), 3, store)
+    close = close.groupBy("world_id", F.col("asker").alias("tid")).agg(F.array_sort(F.collect_list(F.struct("turn", F.col("id").alias("sid"), F.col("amount").alias("net")))).alias("near"))
     strangers = rest.c.filter("shaped").join(close, ["world_id", "tid"], "left")
     found = F.transform("near", lambda x: candidate(x["sid"], x["net"], "among the closest amounts still awaited, under another reference"))
     nothing = F.array(candidate(F.lit(""), F.lit(0), "every settlement is accounted for"))
