@@ -54,7 +54,7 @@ def quoted(source: str | None, quote: str | None, paise: int) -> bool:
 @F.pandas_udf(SPAN)
 def money_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for some in texts:
-        yield some.map(lambda t: [{"paise": v, "first": a, "last": b} for v, a, b in spans(t or "")])
+        yield some.map(lambda t: [{"paise": v, "first": a, "last": b} for v, a, b in spans(squeeze(t))])
 
 
 @F.pandas_udf(T.BooleanType())

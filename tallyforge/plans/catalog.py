@@ -376,7 +376,7 @@ def _evaluation() -> dict[str, Query]:
 
     def checked(r: Results) -> DataFrame:
         view, items, done = r.open_items()
-        found = r.once("explanations", lambda: proposals.explanations(view, items, done))
+        found = r.once("explanations", lambda: proposals.explanations(view, items, done, r.world.store))
         return proposals.verify(view, found, done, r.world.store)
 
     def figures(r: Results) -> DataFrame:

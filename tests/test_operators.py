@@ -98,28 +98,22 @@ def test_baselines_in_credit_order(spark):
     assert pairs(baselines.reference_then_amount(s, b, Store(spark))) == expected_ref
 
 
-def test_explaining_sets_like_all_sets():
-    draw = random.Random(3)
-    for _ in range(200):
-        pool = {f"r{k}": draw.randrange(1, 9) for k in range(draw.randrange(0, 9))}
-        required = tuple(sorted(draw.sample(sorted(pool), min(len(pool), draw.randrange(3)))))
-        target, most = draw.randrange(1, 25), draw.randrange(1, 6)
-        every = [sorted(c) for n in range(1, most + 1) for c in itertools.combinations(sorted(pool), n)]
-        expected = sorted(c for c in every if set(required) <= set(c) and sum(pool[i] for i in c) == target)
-        if len(required) <= most:
-            assert sorted(proposals.explaining_sets(pool, target, most, required, proposals.Allowance(10**6))) == expected
-
-
-def test_subsets():
-    pool = {"a": 3, "b": 5, "c": 8, "d": 8, "e": 2}
-    enough = proposals.Allowance(1000)
-    assert sorted(proposals.explaining_sets(pool, 8, 6, (), enough)) == [["a", "b"], ["c"], ["d"]]
-    assert proposals.explaining_sets(pool, 10, 2, ("c",), enough) == [["c", "e"]]
-    assert proposals.explaining_sets(pool, 8, 6, ("c",), enough) == [["c"]]
-    assert not enough.short
-    little = proposals.Allowance(2)
-    proposals.explaining_sets(pool, 26, 6, (), little)
-    assert little.short
+def test_sums_like_all_sets(spark):
+    draw, asks, pool, expected = random.Random(3), [], [], []
+    for ask in range(150):
+        amounts = {f"r{k}": draw.randrange(1, 9) for k in range(draw.randrange(0, 10))}
+        need, slots = draw.randrange(1, 30), draw.randrange(1, 7)
+        asks.append((0, "i", ask, need, slots))
+        pool += [(0, "i", ask, i, a) for i, a in amounts.items()]
+        every = [c for n in range(1, slots + 1) for c in itertools.combinations(sorted(amounts), n)]
+        expected += [(ask, *c) for c in every if sum(amounts[i] for i in c) == need]
+    asks = spark.createDataFrame(asks, "world_id long, item_id string, ask int, need long, slots int")
+    pool = spark.createDataFrame(pool, "world_id long, item_id string, ask int, id string, amount long")
+    sets, cut_off = proposals.summing(asks, pool, Store(spark), 10**9)
+    assert sorted((r.ask, *r.ids) for r in sets.collect()) == sorted(expected) and cut_off.collect() == []
+    sets, cut_off = proposals.summing(asks, pool, Store(spark), 400)
+    few = {(r.ask, *r.ids) for r in sets.collect()}
+    assert few and few < set(expected) and max(f[0] for f in few) < 75 and [r.item_id for r in cut_off.collect()] == ["i"]
 
 
 @pytest.fixture(scope="module")
@@ -172,7 +166,7 @@ def test_solver_abstains_if_cut_off_without_a_hit(spark):
     items = spark.createDataFrame([(0, "cut", ["t1"]), (0, "whole", ["t2"])], "world_id long, item_id string, record_ids array<string>")
     view, none = proposals.View(settlements, rows), spark.createDataFrame([], CLAIMED)
     assert {r.item_id: r.verdict for r in proposals.solve(view, items, none, Store(spark)).collect()} == {"cut": "abstain", "whole": "exception"}
-    assert proposals.explanations(view, items, none).count() == 0
+    assert proposals.explanations(view, items, none, Store(spark)).count() == 0
 
 
 GRID = [
