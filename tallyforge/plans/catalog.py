@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as X
 from tallyforge.functions.grammar import money_spans
 from tallyforge.operators import audit, baselines, close, explain, grade, graph, journey, leg_a, leg_b, proposals, search, triage, verify
-from tallyforge.plans import statements, twins
+from tallyforge.plans import proposal_twins, statements, twins
 from tallyforge.sources.world import World, as_of, stamp, world
 
 
@@ -395,8 +395,8 @@ def _evaluation() -> dict[str, Query]:
         "grade_baseline_naive": baseline("naive", "naive"),
         "grade_baseline_reference": baseline("reference", "by_reference"),
         "components": (linked, f"WITH RECURSIVE e AS ({edges}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, x.b FROM reach r JOIN both_ways x ON r.other = x.a) SELECT id, min(other) AS component FROM reach GROUP BY ALL"),
-        "solver": (solved, ""),
-        "verify_proposals": (checked, ""),
+        "solver": (solved, proposal_twins.SOLVER),
+        "verify_proposals": (checked, proposal_twins.VERIFIED),
         "money_figures": (figures, "SELECT order_id, amount_paise::VARCHAR AS figures FROM order_book"),
     }
 

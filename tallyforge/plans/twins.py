@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 from tallyforge.operators import explain
-from tallyforge.plans import statements
+from tallyforge.plans import proposal_twins, statements
 from tallyforge.sources.world import as_of_sql, tables_sql
 
 FAMILY = "('matched', 'matched_split', 'matched_merged', 'matched_with_discrepancy')"
@@ -413,7 +413,7 @@ def sql(query: str, day: str | None = None) -> str:
     """A query over the derived worlds, as they stood at the end of a day if one is given, with the named queries that it reaches, each
     worked out once."""
     tables = tables_sql("duckdb")
-    named = (as_of_sql(tables, day) if day else tables) | leg_a() | leg_b() | journeys() | queue() | baselines() | damaged() | searches() | audits() | statements.twins()
+    named = (as_of_sql(tables, day) if day else tables) | leg_a() | leg_b() | journeys() | queue() | baselines() | damaged() | searches() | audits() | statements.twins() | proposal_twins.tables()
     more = "WITH RECURSIVE "
     own = query.startswith(more)
     reached, todo = set(), [query]
