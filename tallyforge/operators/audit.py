@@ -68,16 +68,36 @@ def state(decisions: DataFrame) -> DataFrame:
     return first.select("world_id", "record_id", "d.kind", "d.members", "d.tier", "d.explained")
 
 
+def apart(accepted: DataFrame) -> DataFrame:
+    """Proposals (world_id, settlement_ids, bank_row_ids) of which no other of their world names a record."""
+    numbered = accepted.withColumn("members", F.array_sort(F.concat("settlement_ids", "bank_row_ids")))
+    shared = numbered.select("world_id", F.explode("members").alias("record_id")).groupBy("world_id", "record_id").count().filter("count > 1")
+    clash = numbered.select("world_id", "members", F.explode("members").alias("record_id")).join(shared, ["world_id", "record_id"], "left_semi")
+    return numbered.join(clash.select("world_id", "members").distinct(), ["world_id", "members"], "left_anti").select(accepted.columns)
+
+
 def with_proposals(before: DataFrame, accepted: DataFrame) -> DataFrame:
-    """A state in which accepted proposals (world_id, settlement_ids, bank_row_ids) take the place of what was decided about their records."""
-    members = F.array_sort(F.concat("settlement_ids", "bank_row_ids")).alias("proposed")
-    new = accepted.select("world_id", F.explode(F.concat("settlement_ids", "bank_row_ids")).alias("record_id"), members).dropDuplicates(["world_id", "record_id"])
+    """A state in which accepted proposals (world_id, settlement_ids, bank_row_ids, place if there is an order) take the place of what was decided
+    about their records. Of two that name a record the later counts for it; without places, the greater by its records."""
+    members = F.array_sort(F.concat("settlement_ids", "bank_row_ids"))
+    place = F.col("place") if "place" in accepted.columns else F.lit(0)
+    named = accepted.select("world_id", F.struct(place.alias("place"), members.alias("members")).alias("p"), F.explode(members).alias("record_id"))
+    new = named.groupBy("world_id", "record_id").agg(F.max("p")["members"].alias("proposed"))
     both = before.join(new, ["world_id", "record_id"], "full_outer")
     fresh = F.col("proposed").isNotNull()
     pick = lambda value, old: F.when(fresh, value).otherwise(F.col(old)).alias(old)
     return both.select("world_id", "record_id", pick(F.lit("match"), "kind"), pick(F.col("proposed"), "members"), pick(F.lit("proposal"), "tier"), pick(F.lit(True), "explained"))
 
 
+def wrong_proposals(golden: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(keys, wrong) of proposals (keys, settlement_ids, bank_row_ids): wrong if the label of one of its settlements is no match, or a match of other
+    records."""
+    members = F.array_sort(F.concat("settlement_ids", "bank_row_ids"))
+    due = golden_groups(golden).select("world_id", "record_id", F.when(F.col("expected").isin(MATCHED), F.col("due")).alias("due"))
+    of = proposals.select("world_id", "item_id", members.alias("members"), F.explode("settlement_ids").alias("record_id")).join(due, ["world_id", "record_id"], "left")
+    return of.groupBy("world_id", "item_id").agg((~F.bool_and(F.coalesce(F.col("due") == F.col("members"), F.lit(False)))).alias("wrong"))
+
+
 def golden_groups(golden: DataFrame) -> DataFrame:
     """Golden rows with ``due``: all records that belong to the row's match; rows with the same counterparties are one match."""
     together = golden.filter(F.col("expected").isin(MATCHED)).groupBy("world_id", "counterparties").agg(F.collect_list("record_id").alias("ids"))

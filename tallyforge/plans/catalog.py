@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
 from tallyforge.functions.grammar import money_spans
-from tallyforge.operators import audit, baselines, close, explain, grade, graph, journey, leg_a, leg_b, proposals, search, triage, verify
+from tallyforge.operators import audit, baselines, close, explain, grade, graph, journey, leg_a, leg_b, proposals, resolve, search, triage, verify
 from tallyforge.plans import proposal_twins, statements, twins
-from tallyforge.sources.world import World, as_of, stamp, world
+from tallyforge.sources.world import World, as_of, hard, stamp, world
 
 
 class Results:
@@ -34,6 +34,25 @@ class Results:
             self.slices[day] = Results(self.spark, self.sf_dir, as_of(self.world, day))
         return self.slices[day]
 
+    def hard(self) -> Results:
+        """The same over bank rows that only a search over sums explains."""
+        if "hard" not in self.slices:
+            self.slices["hard"] = Results(self.spark, self.sf_dir, hard(self.world))
+        return self.slices["hard"]
+
+    def solved(self) -> DataFrame:
+        view, items, done = self.open_items()
+        return self.once("solved", lambda: proposals.solve(view, items, done, self.world.store))
+
+    def explanations(self) -> DataFrame:
+        view, items, done = self.open_items()
+        return self.once("explanations", lambda: proposals.explanations(view, items, done, self.world.store))
+
+    def hard_golden(self) -> DataFrame:
+        """The answers for settlements that the hard bank rows imply."""
+        df = self.spark.sql(proposal_twins.HARD_GOLDEN.format(golden=twins.GOLDEN.format(settlements="{settlements}")), settlements=self.world.settlements)
+        return df.withColumn("counterparties", F.filter(F.split("counterparties", ";"), lambda x: x != ""))
+
     def golden_b(self) -> DataFrame:
         """The answers that the scenario classes imply for orders and payments."""
         df = self.spark.sql(twins.GOLDEN_B.format(o="{o}", p="{p}"), o=self.world.order_book, p=self.world.payments)
@@ -370,14 +389,33 @@ def _evaluation() -> dict[str, Query]:
         return graph.components(edges, r.world.store)
 
     def solved(r: Results) -> DataFrame:
-        view, items, done = r.open_items()
-        told = proposals.solve(view, items, done, r.world.store)
-        return told.withColumns({c: F.array_join(c, ";") for c in ("settlement_ids", "bank_row_ids")})
+        return r.solved().withColumns({c: F.array_join(c, ";") for c in ("settlement_ids", "bank_row_ids")})
 
     def checked(r: Results) -> DataFrame:
+        view, _, done = r.open_items()
+        return proposals.verify(view, r.explanations(), done, r.world.store)
+
+    def resolved(r: Results) -> DataFrame:
+        """Items in order, what became of them, and of those proposed whether the rules accept and the labels contradict them."""
         view, items, done = r.open_items()
-        found = r.once("explanations", lambda: proposals.explanations(view, items, done, r.world.store))
-        return proposals.verify(view, found, done, r.world.store)
+        told = r.once("outcomes", lambda: resolve.outcomes(resolve.placed(view, items), r.solved(), r.world.store))
+        asked = r.solved().join(told.filter("outcome = 'proposed'"), ["world_id", "item_id"])
+        asked = asked.join(items, ["world_id", "item_id"]).select("world_id", F.col("item_id").alias("proposal_id"), "item_id", "verdict", "settlement_ids", "bank_row_ids", "deduction_paise", "record_ids")
+        same = ["world_id", "item_id", "settlement_ids", "bank_row_ids", "deduction_paise"]
+        asked = asked.join(r.explanations().select(*same, "deduction_evidence"), same).withColumnRenamed("record_ids", "item_records")
+        verdicts = proposals.verify(view, asked, done, r.world.store).select("world_id", F.col("proposal_id").alias("item_id"), "accepted", "codes")
+        wrong = audit.wrong_proposals(r.hard_golden(), asked)
+        measure = r.explanations().groupBy("world_id", "item_id").agg(F.count("*").alias("measure"))
+        key = ["world_id", "item_id"]
+        return told.join(verdicts, key, "left").join(wrong, key, "left").join(measure, key, "left").fillna(0, ["measure"])
+
+    in_order = proposal_twins.resolved(twins.GOLDEN.format(settlements="settlements"))
+    in_hard = lambda make: (lambda r: make(r.hard()))
+
+    def reordered(r: Results) -> DataFrame:
+        """The engine's answers with those of the proposals that the rules accept, over hard bank rows."""
+        accepted = resolved(r).filter("accepted").join(r.solved(), ["world_id", "item_id"])
+        return audit.boxes({"engine": audit.state(r.leg_a()), "engine_resolver": audit.with_proposals(audit.state(r.leg_a()), accepted)}, r.hard_golden())
 
     def figures(r: Results) -> DataFrame:
         text = F.concat(F.lit("paid Rs."), X.rupees(F.col("amount_paise")), F.lit("/- fee 5% on 12/05/2025 ref A"), F.col("order_id"))
@@ -397,6 +435,11 @@ def _evaluation() -> dict[str, Query]:
         "components": (linked, f"WITH RECURSIVE e AS ({edges}), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, x.b FROM reach r JOIN both_ways x ON r.other = x.a) SELECT id, min(other) AS component FROM reach GROUP BY ALL"),
         "solver": (solved, proposal_twins.SOLVER),
         "verify_proposals": (checked, proposal_twins.VERIFIED),
+        "hard_solver": (in_hard(solved), proposal_twins.SOLVER),
+        "hard_verify_proposals": (in_hard(checked), proposal_twins.VERIFIED),
+        "hard_resolver": (in_hard(resolved), in_order["items"]),
+        "hard_proposal_stats": (in_hard(lambda r: resolve.proposal_stats(resolved(r), r.world.store)), in_order["stats"]),
+        "hard_evaluate_resolver": (in_hard(reordered), in_order["boxes"]),
         "money_figures": (figures, "SELECT order_id, amount_paise::VARCHAR AS figures FROM order_book"),
     }
 
@@ -443,9 +486,8 @@ def _audit() -> dict[str, Query]:
         return {"engine": audit.state(r.leg_a()), "naive": audit.state(r.naive()), "reference": audit.state(r.reference_baseline())}
 
     def solved(r: Results) -> DataFrame:
-        view, items, done = r.open_items()
-        told = r.once("solved", lambda: proposals.solve(view, items, done, r.world.store)).filter("verdict = 'match'")
-        return audit.with_proposals(audit.state(r.leg_a()), told.select("world_id", "settlement_ids", "bank_row_ids"))
+        told = r.solved().filter("verdict = 'match'")
+        return audit.with_proposals(audit.state(r.leg_a()), audit.apart(told.select("world_id", "settlement_ids", "bank_row_ids")))
 
     amounts = lambda r: r.world.settlements.select("world_id", F.col("settlement_id").alias("record_id"), "amount_paise")
     rates = lambda name: audit.over_worlds(audit.queue_rates(name), ["queue_recall", "money_recall", "queue_precision"])
@@ -457,7 +499,8 @@ def _audit() -> dict[str, Query]:
         "audit_rates": (lambda r: rates(audit.queue(r.queue(), r.golden_queue())), twins.over_worlds(f"SELECT *, surfaced / worthy::DOUBLE AS queue_recall, surfaced_paise / stake_paise::DOUBLE AS money_recall, justified / gradable::DOUBLE AS queue_precision FROM ({twins.audited('queue')})", ["queue_recall", "money_recall", "queue_precision"])),
         "benchmark_strategies": (lambda r: audit.strategies({n: r.graded(n) for n in ("engine", "naive", "reference")}), twins.benchmark(graded_sql)),
         "evaluate_systems": (lambda r: audit.boxes(systems(r), r.golden()), twins.BOXES),
-        "evaluate_with_solver": (lambda r: audit.boxes({"engine_solver": solved(r)}, r.golden()), ""),
+        "evaluate_with_solver": (lambda r: audit.boxes({"engine_solver": solved(r)}, r.golden()), proposal_twins.evaluated(twins.GOLDEN.format(settlements="settlements"))),
+        "hard_evaluate_with_solver": (lambda r: audit.boxes({"engine_solver": solved(r.hard())}, r.hard().hard_golden()), proposal_twins.evaluated(proposal_twins.HARD_GOLDEN.format(golden=twins.GOLDEN.format(settlements="settlements")))),
         "worst_failures": (lambda r: audit.worst(r.golden(), systems(r)["naive"], amounts(r)), twins.WORST),
         "false_matches_by_tier": (lambda r: audit.false_by_tier(r.golden(), systems(r)["naive"]), "SELECT coalesce(tier, 'none') AS tier, count(*) AS n FROM boxed WHERE system = 'naive' AND box = 'auto_wrong' GROUP BY ALL"),
         "gross_captured_per_month": (lambda r: r.world.payments.filter("status = 'captured'").groupBy(F.date_trunc("month", F.timestamp_seconds("created_s")).cast("date").cast("string").alias("month")).agg(F.sum("amount_paise").alias("gross_paise"), F.count("*").alias("n")), "SELECT date_trunc('month', make_timestamp(created_s * 1000000))::DATE::VARCHAR AS month, sum(amount_paise)::BIGINT AS gross_paise, count(*) AS n FROM payments WHERE status = 'captured' GROUP BY ALL"),
@@ -539,6 +582,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     def shown(name: str, query: str) -> str:
         texts = ", ".join(f"{c}::VARCHAR AS {c}" for c in DATES.get(name, []))
-        return twins.sql(f"SELECT * REPLACE ({texts}) FROM ({query})" if texts else query, DAY if name.startswith("as_of") else None)
+        return twins.sql(f"SELECT * REPLACE ({texts}) FROM ({query})" if texts else query, DAY if name.startswith("as_of") else None, name.startswith("hard_"))
 
     return {name: shown(name, query) for name, (_, query) in registered().items() if query}

@@ -96,3 +96,68 @@ def tables() -> dict[str, str]:
 
 SOLVER = "SELECT world_id, item_id, verdict, array_to_string(sids, ';') AS settlement_ids, array_to_string(tids, ';') AS bank_row_ids, ded AS deduction_paise FROM solved"
 VERIFIED = "SELECT * FROM px_told"
+
+#: Labels of settlements over hard bank rows, from those over the plain ones. One text for both engines.
+HARD_GOLDEN = """SELECT world_id, record_type, record_id, CASE WHEN c IN (0, 1, 25, 26, 27) THEN 'matched_merged' WHEN c = 4 THEN 'matched_split' WHEN c = 7 THEN 'matched_with_discrepancy' ELSE expected END AS expected,
+  CASE WHEN c IN (0, 1) THEN concat('BANK', lpad(cast((s - c) * 4 as varchar(20)), 12, '0')) WHEN c IN (25, 26, 27) THEN concat('BANK', lpad(cast((s - c + 25) * 4 as varchar(20)), 12, '0'))
+  WHEN c = 4 THEN concat('BANK', lpad(cast(s * 4 as varchar(20)), 12, '0'), ';BANK', lpad(cast(s * 4 + 1 as varchar(20)), 12, '0')) ELSE counterparties END AS counterparties, scenario
+  FROM (SELECT *, cast(substring(record_id, 6, 12) as bigint) AS s, cast(substring(record_id, 6, 12) as bigint) % 48 AS c FROM ({golden}))"""
+
+#: Items in order, one after the other, with the records that matches have taken so far.
+_PLACED = """placed AS (SELECT world_id, item_id, ids, row_number() OVER (PARTITION BY world_id ORDER BY CASE WHEN tid IS NULL THEN 1 ELSE 0 END, day, coalesce(tid, sid), item_id) AS place FROM (
+  SELECT i.*, t.tid, s.sid, coalesce(c.value_date, x.created) AS day FROM (SELECT world_id, item_id, ids, list_filter(ids, lambda r: starts_with(r, 'BANK')) AS ts, list_filter(ids, lambda r: NOT starts_with(r, 'BANK')) AS ss FROM pi) i,
+  LATERAL (SELECT i.ts[1] AS tid) t, LATERAL (SELECT i.ss[1] AS sid) s LEFT JOIN pc c ON c.world_id = i.world_id AND c.tid = t.tid LEFT JOIN ps x ON x.world_id = i.world_id AND x.sid = s.sid)),
+asked AS (SELECT p.*, v.verdict, v.sids, v.tids, v.ded FROM placed p JOIN solved v ON v.world_id = p.world_id AND v.item_id = p.item_id),
+walk AS (SELECT DISTINCT world_id, 0::BIGINT AS place, []::VARCHAR[] AS taken, '' AS item_id, '' AS outcome FROM pi
+  UNION ALL SELECT a.world_id, a.place, CASE WHEN NOT list_has_any(w.taken, a.ids) AND a.verdict = 'match' THEN list_concat(w.taken, list_concat(a.sids, a.tids)) ELSE w.taken END, a.item_id,
+  CASE WHEN list_has_any(w.taken, a.ids) THEN 'dedupe_skip' WHEN a.verdict = 'exception' THEN 'prefilter_skip' WHEN a.verdict = 'match' THEN 'proposed' ELSE 'abstained' END
+  FROM walk w JOIN asked a ON a.world_id = w.world_id AND a.place = w.place + 1),
+sent AS (SELECT a.* FROM asked a JOIN walk w ON w.world_id = a.world_id AND w.item_id = a.item_id AND w.outcome = 'proposed'),
+crowded AS (SELECT world_id, r FROM (SELECT world_id, unnest(list_concat(sids, tids)) AS r FROM sent) GROUP BY ALL HAVING count(*) > 1),
+clash AS (SELECT DISTINCT s.world_id, s.item_id FROM (SELECT world_id, item_id, unnest(list_concat(sids, tids)) AS r FROM sent) s JOIN crowded c ON c.world_id = s.world_id AND c.r = s.r),
+hgold AS ({golden}),
+hdues AS (SELECT world_id, counterparties, list_sort(list_concat(list(record_id), any_value(list_filter(string_split(counterparties, ';'), lambda x: x <> '')))) AS due FROM hgold WHERE expected IN ('matched', 'matched_with_discrepancy', 'matched_split', 'matched_merged') GROUP BY ALL),
+wrongs AS (SELECT s.world_id, s.item_id, NOT bool_and(coalesce(d.due = list_sort(list_concat(s.sids, s.tids)) AND g.expected LIKE 'matched%', false)) AS wrong FROM (SELECT *, unnest(sids) AS sid FROM sent) s
+  LEFT JOIN hgold g ON g.world_id = s.world_id AND g.record_id = s.sid LEFT JOIN hdues d ON d.world_id = g.world_id AND d.counterparties = g.counterparties GROUP BY ALL),
+numbers AS (SELECT world_id, item_id, count(*) AS measure FROM px GROUP BY ALL),
+told AS (SELECT w.world_id, w.item_id, w.place::INTEGER AS place, w.outcome, CASE WHEN w.outcome = 'proposed' THEN c.item_id IS NULL END AS accepted, CASE WHEN w.outcome = 'proposed' THEN CASE WHEN c.item_id IS NULL THEN '' ELSE 'conflict' END END AS codes,
+  x.wrong, coalesce(n.measure, 0) AS measure FROM walk w LEFT JOIN clash c ON c.world_id = w.world_id AND c.item_id = w.item_id LEFT JOIN wrongs x ON x.world_id = w.world_id AND x.item_id = w.item_id
+  LEFT JOIN numbers n ON n.world_id = w.world_id AND n.item_id = w.item_id WHERE w.place > 0)"""
+
+
+def _resolved(golden: str, query: str) -> str:
+    return f"WITH RECURSIVE {_PLACED.format(golden=HARD_GOLDEN.format(golden=golden))}\n{query}"
+
+
+def _state(name: str, accepted: str, golden: str) -> str:
+    """(system, world_id, record_id, box, scenario): labelled settlements by what the engine, overridden by accepted proposals, makes of them."""
+    family = "('matched', 'matched_with_discrepancy', 'matched_split', 'matched_merged')"
+    return f"""SELECT '{name}' AS system, g.scenario, CASE WHEN s.kind = 'match' AND g.expected IN {family} AND s.ms = d.due AND s.explained THEN 'auto_correct' WHEN coalesce(s.kind, 'human') <> 'human' THEN 'auto_wrong' WHEN g.expected IN {family} THEN 'wrongly_left' ELSE 'rightly_left' END AS box
+  FROM ({golden}) g LEFT JOIN (SELECT world_id, counterparties, list_sort(list_concat(list(record_id), any_value(list_filter(string_split(counterparties, ';'), lambda x: x <> '')))) AS due FROM ({golden}) WHERE expected IN {family} GROUP BY ALL) d ON d.world_id = g.world_id AND d.counterparties = g.counterparties AND g.expected IN {family}
+  LEFT JOIN (SELECT coalesce(p.world_id, e.world_id) AS world_id, coalesce(p.sid, e.sid) AS sid, CASE WHEN p.sid IS NOT NULL THEN 'match' ELSE e.kind END AS kind, coalesce(p.ms, e.ms) AS ms, p.sid IS NOT NULL OR e.explained AS explained
+    FROM (SELECT * FROM systems WHERE system = 'engine') e FULL OUTER JOIN ({accepted}) p ON p.world_id = e.world_id AND p.sid = e.sid) s ON s.world_id = g.world_id AND s.sid = g.record_id"""
+
+
+def _counted(rows: str) -> str:
+    return f"SELECT system, scenario, box, count(*) AS n FROM ({rows}) GROUP BY ALL UNION ALL SELECT system, NULL, box, count(*) FROM ({rows}) GROUP BY ALL"
+
+
+def evaluated(golden: str) -> str:
+    """The engine with all answers of the solver that share no record with another."""
+    alone = """SELECT world_id, unnest(sids) AS sid, list_sort(list_concat(sids, tids)) AS ms FROM (SELECT DISTINCT world_id, sids, tids FROM solved v WHERE verdict = 'match'
+      AND NOT EXISTS (SELECT 1 FROM solved o WHERE o.world_id = v.world_id AND o.item_id <> v.item_id AND o.verdict = 'match' AND list_has_any(list_concat(o.sids, o.tids), list_concat(v.sids, v.tids))))"""
+    return _counted(_state("engine_solver", alone, golden))
+
+
+
+def resolved(golden: str) -> dict[str, str]:
+    """The queries over items taken in order: each item, statistics by world, and what becomes of labelled settlements."""
+    accepted = "SELECT s.world_id, unnest(s.sids) AS sid, list_sort(list_concat(s.sids, s.tids)) AS ms FROM sent s JOIN told t ON t.world_id = s.world_id AND t.item_id = s.item_id AND t.accepted"
+    none = "SELECT 0 AS world_id, '' AS sid, []::VARCHAR[] AS ms WHERE false"
+    counted = """SELECT t.world_id, count(*) FILTER (outcome = 'proposed') AS match_proposals, count(*) FILTER (outcome = 'proposed' AND NOT accepted) AS rejected, count(*) FILTER (outcome = 'proposed' AND accepted AND wrong) AS wrong_accepted,
+  count(*) FILTER (outcome IN ('proposed', 'abstained')) AS items_asked, median(measure) FILTER (outcome IN ('proposed', 'abstained')) AS median_measure FROM told t GROUP BY ALL"""
+    return {
+        "items": _resolved(golden, "SELECT * FROM told"),
+        "stats": _resolved(golden, counted),
+        "boxes": _resolved(golden, _counted(_state("engine", none, "SELECT * FROM hgold") + " UNION ALL " + _state("engine_resolver", accepted, "SELECT * FROM hgold"))),
+    }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from tallyforge.operators import explain
 from tallyforge.plans import proposal_twins, statements
-from tallyforge.sources.world import as_of_sql, tables_sql
+from tallyforge.sources.world import as_of_sql, hard_sql, tables_sql
 
 FAMILY = "('matched', 'matched_split', 'matched_merged', 'matched_with_discrepancy')"
 
@@ -409,11 +409,11 @@ def benchmark(graded: Callable[[str], str]) -> str:
     return over_worlds(" UNION ALL ".join(parts), ["precision", "recall", "accuracy", "auto_rate"], "strategy, ")
 
 
-def sql(query: str, day: str | None = None) -> str:
-    """A query over the derived worlds, as they stood at the end of a day if one is given, with the named queries that it reaches, each
-    worked out once."""
+def sql(query: str, day: str | None = None, hard: bool = False) -> str:
+    """A query over the derived worlds, as they stood at the end of a day if one is given, or with the hard bank rows, and with the named
+    queries that it reaches, each worked out once."""
     tables = tables_sql("duckdb")
-    named = (as_of_sql(tables, day) if day else tables) | leg_a() | leg_b() | journeys() | queue() | baselines() | damaged() | searches() | audits() | statements.twins() | proposal_twins.tables()
+    named = (as_of_sql(tables, day) if day else hard_sql(tables) if hard else tables) | leg_a() | leg_b() | journeys() | queue() | baselines() | damaged() | searches() | audits() | statements.twins() | proposal_twins.tables()
     more = "WITH RECURSIVE "
     own = query.startswith(more)
     reached, todo = set(), [query]
