@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import scalars as X
 from tallyforge.functions.grammar import money_spans
 from tallyforge.operators import audit, baselines, close, explain, grade, graph, journey, leg_a, leg_b, proposals, resolve, search, triage, verify
-from tallyforge.plans import proposal_twins, statements, twins
+from tallyforge.plans import feeds, proposal_twins, statements, twins
 from tallyforge.sources.world import World, as_of, hard, stamp, world
 
 
@@ -126,6 +126,9 @@ class Results:
         left = self.queue().filter("source = 'recon_leg_a' AND status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')")
         return view, left.select("world_id", "item_id", "record_ids"), self.claimed()
 
+    def damaged(self) -> DataFrame:
+        return damaged_decisions(self.leg_a())
+
     def statements(self) -> statements.Statements:
         if "statements" not in self.made:
             self.made["statements"] = statements.Statements(self.world.bank_rows, self.world.store)
@@ -559,11 +562,11 @@ def _as_of() -> dict[str, Query]:
 
 
 def registered() -> dict[str, Query]:
-    return statements.queries() | _as_of() | _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
+    return feeds.queries(twins.GOLDEN.format(settlements="settlements"), twins.missed("nqueue")) | statements.queries() | _as_of() | _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
 
 
 #: Columns of type date; results show them as ISO text, which both engines write alike.
-DATES = {
+DATES = feeds.DATES | {
     "world_settlements": ["created", "settled"], "world_bank_rows": ["value_date"], "scalar_dates": ["back", "rolled", "iso"], "gross_per_month": ["month"],
     "statement_rows": ["value_date"], "as_of_queue": ["due_date"], "as_of_cash": ["first_date", "close_date"], "cash_stated": ["close_date"], "resolver_items": ["day"],
     "search_settlements": ["day"], "search_credits": ["day"], "search_narrations": ["day"], "search_statement_window": ["day"], "item_context": ["day"], "queue_urgent": ["due_date"],

@@ -223,6 +223,7 @@ def damaged() -> dict[str, str]:
         "broken_q": broken_queue("qd").removeprefix("WITH RECURSIVE ").join(("WITH ", "")),
         "ks": "SELECT world_id, settlement_id AS id, amount_paise AS amount FROM settlements",
         "kc": "SELECT world_id, txn_id AS id, credit_paise AS amount FROM bank_rows WHERE credit_paise > 0",
+        "broken_dd": broken_decisions("dd").removeprefix("WITH RECURSIVE ").join(("WITH ", "")),
     }
 
 

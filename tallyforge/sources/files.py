@@ -19,43 +19,44 @@ COLUMNS = {
 ACTIONS = ("resolve", "assign", "snooze", "note")
 
 
-def read_csv(spark: SparkSession, path: str, table: str, world_id: int = 0) -> DataFrame:
-    """All columns as text, with world_id and row_no (the file's order). Each file is one partition, so the order holds."""
+def read_csv(spark: SparkSession, path: str, table: str, world_id: int | None = 0) -> DataFrame:
+    """All columns as text, with world_id and row_no (the file's order). Each file is one partition, so the order holds. Without a world_id,
+    ``path`` holds a folder ``world_id=N`` for each world, as ``write_csv`` makes them."""
     schema = ", ".join(f"{c} string" for c in COLUMNS[table])
-    df = spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=True)
-    filled = df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in COLUMNS[table]))
-    return filled.select(F.lit(world_id).cast("long").alias("world_id"), F.monotonically_increasing_id().alias("row_no"), "*")
+    df = spark.read.csv(path, header=True, schema=schema if world_id is not None else f"{schema}, world_id long", quote='"', escape='"', multiLine=True)
+    world = F.col("world_id") if world_id is None else F.lit(world_id).cast("long").alias("world_id")
+    return df.select(world, F.monotonically_increasing_id().alias("row_no"), *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in COLUMNS[table]))
 
 
-def settlements(spark: SparkSession, path: str, world_id: int = 0) -> DataFrame:
+def settlements(spark: SparkSession, path: str, world_id: int | None = 0) -> DataFrame:
     df = read_csv(spark, path, "settlements", world_id)
     numbers = {c: F.col(c).cast("long") for c in ("amount_paise", "fees_paise", "tax_paise", "payment_count")}
     return df.withColumns(numbers).withColumn("created", X.iso_date(F.col("created_at"))).withColumn("settled", X.iso_date(F.col("settled_at")))
 
 
-def bank_rows(spark: SparkSession, path: str, world_id: int = 0) -> DataFrame:
+def bank_rows(spark: SparkSession, path: str, world_id: int | None = 0) -> DataFrame:
     df = read_csv(spark, path, "bank_statement", world_id)
     paise = {new: X.optional_paise(F.col(old)) for new, old in (("debit_paise", "debit_amount"), ("credit_paise", "credit_amount"), ("balance_paise", "balance"))}
     return df.withColumns(paise).withColumn("txn_date", X.bank_date(F.col("txn_date"))).withColumn("value_date", X.bank_date(F.col("value_date"))).drop("debit_amount", "credit_amount", "balance")
 
 
-def payments(spark: SparkSession, path: str, world_id: int = 0) -> DataFrame:
+def payments(spark: SparkSession, path: str, world_id: int | None = 0) -> DataFrame:
     df = read_csv(spark, path, "payments", world_id)
     numbers = {c: F.col(c).cast("long") for c in ("amount_paise", "fee_paise", "tax_paise")}
     return df.withColumns(numbers).withColumn("created_s", F.unix_timestamp(X.iso_timestamp(F.col("created_at")).cast("timestamp")))
 
 
-def order_book(spark: SparkSession, path: str, world_id: int = 0) -> DataFrame:
+def order_book(spark: SparkSession, path: str, world_id: int | None = 0) -> DataFrame:
     return read_csv(spark, path, "order_book", world_id).withColumn("amount_paise", F.col("amount_paise").cast("long"))
 
 
-def golden(spark: SparkSession, path: str, world_id: int = 0) -> DataFrame:
+def golden(spark: SparkSession, path: str, world_id: int | None = 0) -> DataFrame:
     """Labelled answers; the id list becomes a sorted set."""
     ids = F.array_sort(F.array_distinct(F.filter(F.split("counterparty_ids", ";"), lambda x: x != "")))
     return read_csv(spark, path, "golden", world_id).select("world_id", "record_type", "record_id", F.col("expected_disposition").alias("expected"), ids.alias("counterparties"), F.col("scenario_tag").alias("scenario"))
 
 
-def optional(spark: SparkSession, path: str, table: str, world_id: int = 0) -> DataFrame:
+def optional(spark: SparkSession, path: str, table: str, world_id: int | None = 0) -> DataFrame:
     """A table whose file may be absent: then an empty one."""
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -67,7 +68,7 @@ def optional(spark: SparkSession, path: str, table: str, world_id: int = 0) -> D
 
 def write_csv(df: DataFrame, path: str, columns: list[str], order: str = "row_no") -> None:
     """One CSV file per world folder in the stated column order. The rows of one business's file are written by one task, in order."""
-    df.repartition("world_id").sortWithinPartitions("world_id", order).select("world_id", *columns).write.partitionBy("world_id").mode("overwrite").csv(path, header=True, lineSep="\n", emptyValue="")
+    df.repartition("world_id").sortWithinPartitions("world_id", order).select("world_id", *columns).write.partitionBy("world_id").mode("overwrite").csv(path, header=True, lineSep="\n", emptyValue="", quote='"', escape='"')
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, seq: str = "seq") -> DataFrame:
@@ -92,6 +93,15 @@ def write_snapshot(snapshot: DataFrame, path: str) -> None:
         spark.conf.set(conf, before)
 
 
+def read_actions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The action log, empty where nothing has been written yet."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return spark.read.schema(schema).parquet(path)
+    return spark.createDataFrame([], schema)
+
+
 def append_actions(log: DataFrame, path: str) -> None:
     """Append actions; an unknown action stops the write, and the commit protocol makes it all or nothing."""
     known = F.col("action").isin(*ACTIONS)
