@@ -312,7 +312,7 @@ def _leg_b() -> dict[str, Query]:
         "journeys": (lambda r: r.journeys(), "SELECT * FROM journeys"),
         "journey_breaks": (lambda r: close.counted(r.journeys(), "world_id", "first_break", money="order_amount_paise"), "SELECT world_id, first_break, count(*) AS n, sum(order_amount_paise)::BIGINT AS total_paise FROM journeys GROUP BY ALL"),
         "payments_per_status": (lambda r: close.counted(r.world.payments, "world_id", "status", money="amount_paise"), "SELECT world_id, status, count(*) AS n, sum(amount_paise)::BIGINT AS total_paise FROM payments GROUP BY ALL"),
-        "gross_per_month": (lambda r: r.world.settlements.groupBy(F.trunc("created", "month").alias("month")).agg(F.sum("amount_paise").alias("net_paise"), F.sum("fees_paise").alias("fees_paise"), F.sum("tax_paise").alias("tax_paise")), "SELECT date_trunc('month', created)::DATE AS month, sum(amount_paise)::BIGINT AS net_paise, sum(fees_paise)::BIGINT AS fees_paise, sum(tax_paise)::BIGINT AS tax_paise FROM settlements GROUP BY ALL"),
+        "net_per_month": (lambda r: r.world.settlements.groupBy(F.trunc("created", "month").alias("month")).agg(F.sum("amount_paise").alias("net_paise"), F.sum("fees_paise").alias("fees_paise"), F.sum("tax_paise").alias("tax_paise")), "SELECT date_trunc('month', created)::DATE AS month, sum(amount_paise)::BIGINT AS net_paise, sum(fees_paise)::BIGINT AS fees_paise, sum(tax_paise)::BIGINT AS tax_paise FROM settlements GROUP BY ALL"),
     }
 
 
@@ -567,7 +567,7 @@ def registered() -> dict[str, Query]:
 
 #: Columns of type date; results show them as ISO text, which both engines write alike.
 DATES = feeds.DATES | {
-    "world_settlements": ["created", "settled"], "world_bank_rows": ["value_date"], "scalar_dates": ["back", "rolled", "iso"], "gross_per_month": ["month"],
+    "world_settlements": ["created", "settled"], "world_bank_rows": ["value_date"], "scalar_dates": ["back", "rolled", "iso"], "net_per_month": ["month"],
     "statement_rows": ["value_date"], "as_of_queue": ["due_date"], "as_of_cash": ["first_date", "close_date"], "cash_stated": ["close_date"], "resolver_items": ["day"],
     "search_settlements": ["day"], "search_credits": ["day"], "search_narrations": ["day"], "search_statement_window": ["day"], "item_context": ["day"], "queue_urgent": ["due_date"],
     "overdue": ["expected_date"], "queue": ["due_date"], "queue_leg_a_items": ["due_date"], "queue_leg_b_items": ["due_date"], "queue_top": ["due_date"],

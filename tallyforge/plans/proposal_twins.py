@@ -26,6 +26,8 @@ def tables() -> dict[str, str]:
     choose = {0: "1", 1: "n", 2: "n * (n - 1) // 2", 3: "n * (n - 1) // 2 * (n - 2) // 3"}
     halves = {1: (1, 0), 2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (3, 2), 6: (3, 3)}
     cost = "CASE size " + " ".join(f"WHEN {k} THEN {choose[a]} + {choose[b]}" for k, (a, b) in halves.items()) + " END"
+    longer = """SELECT x.world_id, x.item_id, x.ask, x.a, y.a AS z, x.total + y.total AS total, list_concat(x.ids, y.ids) AS ids, x.need, x.largest FROM {of} x JOIN p_1 y
+  ON x.world_id = y.world_id AND x.item_id = y.item_id AND x.ask = y.ask WHERE x.largest >= {least} AND y.a > x.z AND x.total + y.total <= x.need"""
     own = "SELECT world_id, item_id, proposal_id, unnest({0}) AS {1} FROM px"
     return {
         "pi": "SELECT world_id, item_id, ids FROM queue WHERE source = 'recon_leg_a' AND status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')",
@@ -52,10 +54,15 @@ def tables() -> dict[str, str]:
   UNION ALL SELECT a.world_id, a.item_id, a.ask, a.need, a.slots, c.tid, c.amount FROM p_asks a JOIN pc_open c ON c.world_id = a.world_id AND c.value_date - a.day BETWEEN 0 AND 10 WHERE a.kind = 'split') WHERE need > 0 AND slots > 0 AND amount BETWEEN 1 AND need""",
         "p_sizes": f"""SELECT *, sum({cost}) OVER (PARTITION BY world_id, item_id ORDER BY ask, size ROWS UNBOUNDED PRECEDING) AS spent FROM (
   SELECT world_id, item_id, ask, n, unnest(range(1, least(n, slots) + 1)) AS size FROM (SELECT world_id, item_id, ask, slots, count(*) AS n FROM p_free GROUP BY ALL))""",
-        "p_sets_go": """SELECT f.world_id, f.item_id, f.ask, place, amount AS total, [id] AS ids, need, largest FROM p_free f JOIN (SELECT world_id, item_id, ask, max(size) AS largest FROM p_sizes WHERE spent <= 200000 GROUP BY ALL) z
-  ON z.world_id = f.world_id AND z.item_id = f.item_id AND z.ask = f.ask
-  UNION ALL SELECT g.world_id, g.item_id, g.ask, f.place, g.total + f.amount, list_append(g.ids, f.id), g.need, g.largest FROM p_sets_go g JOIN p_free f ON f.world_id = g.world_id AND f.item_id = g.item_id AND f.ask = g.ask AND f.place > g.place AND g.total + f.amount <= g.need AND len(g.ids) < g.largest""",
-        "p_found": """SELECT a.world_id, a.item_id, a.kind, a.anchor, a.tid, a.figure, a.text, a.must, s.ids FROM p_asks a JOIN (SELECT world_id, item_id, ask, ids FROM p_sets_go WHERE total = need UNION ALL SELECT world_id, item_id, ask, [] FROM p_asks WHERE need = 0 AND len(must) > 0) s
+        "p_1": """SELECT f.world_id, f.item_id, f.ask, place AS a, place AS z, amount AS total, [id] AS ids, need, largest FROM p_free f JOIN (SELECT world_id, item_id, ask, max(size) AS largest FROM p_sizes WHERE spent <= 200000 GROUP BY ALL) z
+  ON z.world_id = f.world_id AND z.item_id = f.item_id AND z.ask = f.ask""",
+        "p_2": longer.format(of="p_1", least=3),
+        "p_3": longer.format(of="p_2", least=5),
+        "p_sets": "SELECT world_id, item_id, ask, ids FROM p_1 WHERE total = need" + "".join(
+            f" UNION ALL SELECT x.world_id, x.item_id, x.ask, list_concat(x.ids, y.ids) FROM p_{early} x JOIN p_{late} y ON x.world_id = y.world_id AND x.item_id = y.item_id AND x.ask = y.ask AND y.total = x.need - x.total WHERE x.largest >= {k} AND y.a > x.z"
+            for k, (early, late) in list(halves.items())[1:]
+        ),
+        "p_found": """SELECT a.world_id, a.item_id, a.kind, a.anchor, a.tid, a.figure, a.text, a.must, s.ids FROM p_asks a JOIN (SELECT world_id, item_id, ask, ids FROM p_sets UNION ALL SELECT world_id, item_id, ask, [] FROM p_asks WHERE need = 0 AND len(must) > 0) s
   ON s.world_id = a.world_id AND s.item_id = a.item_id AND s.ask = a.ask WHERE a.kind = 'merged' OR len(s.ids) > 1""",
         "px": """SELECT *, item_id || ':' || (row_number() OVER (PARTITION BY world_id, item_id ORDER BY sids, tids, ded) - 1) AS proposal_id FROM (
   SELECT world_id, item_id, CASE WHEN kind = 'split' THEN [anchor] ELSE list_sort(list_concat(must, ids)) END AS sids, CASE WHEN kind = 'split' THEN list_sort(ids) ELSE [tid] END AS tids, figure AS ded, min(text) AS text FROM p_found GROUP BY ALL)""",

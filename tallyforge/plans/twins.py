@@ -215,14 +215,14 @@ def damaged() -> dict[str, str]:
     """Decisions and a queue with the faults that the catalogue puts into its own, and all records' amounts."""
     h = "CASE WHEN kind = 'match' THEN right(sids[1], 6)::INTEGER % 40 ELSE -1 END"
     return {
+        "ks": "SELECT world_id, settlement_id AS id, amount_paise AS amount FROM settlements",
+        "kc": "SELECT world_id, txn_id AS id, credit_paise AS amount FROM bank_rows WHERE credit_paise > 0",
         "dd": f"""SELECT world_id, kind, status, CASE WHEN h = 6 THEN ['setl_unknown'] ELSE sids END AS sids, CASE WHEN h = 7 THEN list_concat(tids, tids) ELSE tids END AS tids, CASE WHEN h = 4 THEN 'sure' ELSE confidence END AS confidence,
   expected_paise + CASE WHEN h = 0 THEN 1 ELSE 0 END AS expected_paise, received_paise - CASE WHEN h = 1 THEN 1 ELSE 0 END AS received_paise, discrepancy_paise + CASE WHEN h = 2 THEN 5 ELSE 0 END AS discrepancy_paise,
   discrepancy_paise AS told_paise, label, CASE WHEN h = 5 THEN '' ELSE rules END AS rules, status = 'duplicate_credit' AND right(tids[1], 6)::INTEGER % 3 = 0 AS bare, pass_name FROM (SELECT *, {h} AS h FROM leg_a) WHERE h <> 3""",
         "qd0": "SELECT world_id, source, status, severity + CASE WHEN h = 1 THEN 1 ELSE 0 END AS severity, CASE WHEN h = 3 THEN money_at_risk_paise // 2 ELSE money_at_risk_paise END AS money_at_risk_paise, CASE WHEN h = 4 THEN list_append(ids, 'zzz') ELSE ids END AS ids, h FROM (SELECT *, ('0x' || substr(item_id, 1, 2))::INTEGER AS h FROM queue) WHERE h <> 0",
         "qd": "SELECT * FROM qd0 UNION ALL SELECT * FROM qd0 WHERE h = 2",
         "broken_q": broken_queue("qd").removeprefix("WITH RECURSIVE ").join(("WITH ", "")),
-        "ks": "SELECT world_id, settlement_id AS id, amount_paise AS amount FROM settlements",
-        "kc": "SELECT world_id, txn_id AS id, credit_paise AS amount FROM bank_rows WHERE credit_paise > 0",
         "broken_dd": broken_decisions("dd").removeprefix("WITH RECURSIVE ").join(("WITH ", "")),
     }
 
@@ -252,7 +252,16 @@ m AS (SELECT d.*, coalesce(x.total, 0) AS es, coalesce(y.total, 0) AS rs, string
 def broken_queue(shown: str) -> str:
     """How the named queue departs from the true one."""
     unit = "status || ':' || array_to_string(list_sort(ids), ';')"
-    return f"""WITH RECURSIVE due AS (SELECT world_id, {unit} AS record, status, count(*) AS n, sum(money_at_risk_paise) AS money FROM queue GROUP BY ALL),
+    joined = "array_to_string(list_sort({0}), ';')"
+    mismatch = "status = 'exception_amount_mismatch'"
+    return f"""WITH RECURSIVE due_a AS (SELECT * FROM (SELECT world_id, CASE WHEN confidence = 'needs_review' THEN 'needs_review' ELSE status END AS status, {joined.format('list_concat(sids, tids)')} AS unit, unnest(list_concat(sids, tids)) AS id FROM leg_a) WHERE {SEVERITY} IS NOT NULL),
+sums_a AS (SELECT d.world_id, d.status, d.unit, sum(x.amount) AS s, sum(y.amount) AS c, count(*) // count(DISTINCT d.id) AS n FROM due_a d LEFT JOIN ks x ON x.id = d.id LEFT JOIN kc y ON y.id = d.id GROUP BY ALL),
+mixed AS (SELECT world_id, record_id AS o, other AS p FROM leg_b WHERE {mismatch} AND record_type = 'order'),
+due_b AS (SELECT m.world_id, '{mismatch.split("'")[1]}' AS status, {joined.format("list_filter([m.o, m.p], lambda x: x <> '')")} AS unit, abs(coalesce(p.amount_paise, 0) - o.amount_paise) AS money FROM mixed m JOIN order_book o ON o.order_id = m.o LEFT JOIN payments p ON p.payment_id = m.p
+  UNION ALL SELECT b.world_id, b.status, {joined.format("list_filter([b.record_id, b.other], lambda x: x <> '')")}, coalesce(o.amount_paise, p.amount_paise) FROM leg_b b LEFT JOIN order_book o ON o.order_id = b.record_id AND b.record_type = 'order' LEFT JOIN payments p ON p.payment_id = b.record_id
+  WHERE {SEVERITY.replace('status', 'b.status')} IS NOT NULL AND NOT (b.{mismatch} AND b.record_type = 'order') AND b.record_id NOT IN (SELECT p FROM mixed)),
+due AS (SELECT world_id, status || ':' || unit AS record, status, n, CASE status WHEN 'needs_review' THEN abs(c - s) WHEN 'exception_missing_bank' THEN s WHEN 'ambiguous_abstain' THEN coalesce(s, c) ELSE c END AS money FROM sums_a
+  UNION ALL SELECT world_id, status || ':' || unit, status, count(*), sum(money) FROM due_b GROUP BY ALL),
 there AS (SELECT world_id, {unit} AS record, status, count(*) AS n, sum(money_at_risk_paise) AS money, max(severity) AS severity FROM {shown} GROUP BY ALL),
 pairs AS (SELECT coalesce(d.world_id, t.world_id) AS world_id, coalesce(d.record, t.record) AS record, d.n AS due, t.n AS shown, d.money AS due_money, t.money, t.severity, coalesce(d.status, t.status) AS status
   FROM due d FULL OUTER JOIN there t ON d.world_id = t.world_id AND d.record = t.record)
