@@ -16,14 +16,17 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm.common import Scratch
 
-#: Sample bounds: documents read a language, and pieces of a document and their characters. No bound depends on the number of languages.
-DOCUMENTS, PIECES, PIECE = 150, 6, 100
+#: Bounds of a language's sample of rows: about so many are drawn by a hash, and of these, whole texts are taken in the hash's order until they
+#: have so many characters. No bound depends on the number of languages.
+DOCUMENTS, LETTERS = 150, 80_000
+#: Values of the hash that rows are drawn by.
+DRAWS = 1 << 50
 #: Characters of a segment, and of the one before it from which its first state is guessed; neither changes a result.
 SEGMENT, WARM = 256, 48
 #: Segments that step together.
@@ -194,15 +197,6 @@ class Model:
         return languages, scores
 
 
-def pieces(text: Column, turn: Column) -> Column:
-    """The text whole if it is no longer than all pieces together, else one piece of each of its ``PIECES`` equal stretches, by a hash."""
-    share = lambda k: F.pmod(F.xxhash64(turn, k), F.lit(1_000_000)) / F.lit(1_000_000)
-    number = F.ceil(F.length(text) / PIECE)
-    at = lambda k: F.floor((k + share(k)) * number / PIECES) * PIECE + 1
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: text.substr(at(k).cast("int"), F.lit(PIECE)))
-    return F.when(F.length(text) <= PIECES * PIECE, text).otherwise(F.array_join(drawn, " "))
-
-
 def _letters(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"letters": ["".join(sorted(c for c in set().union(*frame["piece"]) if c.isalpha()))]})
 
@@ -217,15 +211,18 @@ def _build(frame: pd.DataFrame, alphabet: Alphabet) -> pd.DataFrame:
 def train(labelled: DataFrame, scratch: Scratch) -> Model:
     """Learn from (doc_id, text, lang); rows with a null text or lang are left out.
 
-    The sample is bounded: of each language about ``DOCUMENTS`` documents, chosen by a hash, and of each document its letters if
-    they are few, else pieces from all over it. All that is drawn is used. There is one row per language in what reaches the driver.
+    The sample is bounded in rows: of each language about ``DOCUMENTS``, drawn by a hash, and of these as many as hold ``LETTERS``
+    characters, the last one whole too. A text that is longer than that alone is taken only after all others. What is taken is
+    learnt whole. There is one row per language in what reaches the driver.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     turn = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(6))
-    drawn = rows.join(F.broadcast(counts), "lang").filter(F.pmod(turn, F.lit(1_000_000)) * F.col("n") < F.lit(1_000_000 * DOCUMENTS))
-    words = drawn.select("lang", turn.alias("turn"), F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " ")).alias("words"))
-    sample = scratch.write(words.select("lang", "turn", pieces(F.col("words"), F.col("turn")).alias("piece")), "sample")
+    drawn = rows.join(F.broadcast(counts), "lang").filter(F.pmod(turn, F.lit(DRAWS)) * F.col("n").cast("double") < F.lit(float(DRAWS) * DOCUMENTS))
+    words = drawn.select("lang", turn.alias("turn"), F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", " ")).alias("piece"))
+    order = Window.partitionBy("lang").orderBy(F.length("piece") > LETTERS, "turn", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("piece")).over(order), F.lit(0))
+    sample = scratch.write(words.withColumn("before", before).filter(F.col("before") < LETTERS).drop("before"), "sample")
     spelled = sample.groupBy("lang").applyInPandas(_letters, "letters string").collect()
     alphabet = Alphabet("".join(sorted(set().union(*(r.letters for r in spelled)))))
 
