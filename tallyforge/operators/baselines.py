@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
 from tallyforge.operators.claims import served
+from tallyforge.operators.containment import meets
 from tallyforge.operators.leg_a import COLUMNS, candidate, decision, rules
 from tallyforge.sources.scratch import Store
 
@@ -48,10 +49,9 @@ def reference_then_amount(settlements: DataFrame, bank_rows: DataFrame, store: S
     """A reference in the credit's text first, whatever the amount; then an equal amount within ten days, earliest settlement first."""
     s, c, debits = sides(settlements, bank_rows)
     name = "utr_then_amount"
-    lengths = [r[0] for r in s.filter("utr <> ''").select(F.length("utr")).distinct().collect()]
-    grams = [c.select("world_id", "tid", "c_no", "amount", F.explode(X.grams(F.col("text"), n)).alias("needle")) for n in lengths] or [c.limit(0).withColumn("needle", F.lit(""))]
-    named = reduce(DataFrame.unionByName, [g.select("world_id", "tid", "c_no", "amount", "needle") for g in grams])
-    met = named.join(s.withColumn("needle", F.upper("utr")), ["world_id", "needle"]).select("world_id", "tid", "c_no", "sid", "net", "amount", F.col("s_no").alias("rank_1"), F.lit(0).cast("long").alias("rank_2"))
+    pairs = meets(c.select("world_id", "tid", "text"), "text", s.select("world_id", "sid", F.upper("utr").alias("needle")), "needle")
+    met = pairs.join(c.select("world_id", "tid", "c_no", "amount", "text"), ["world_id", "tid"]).join(s.select("world_id", "sid", "net", "s_no"), ["world_id", "sid"]).filter(F.contains("text", F.col("needle")))
+    met = met.select("world_id", "tid", "c_no", "sid", "net", "amount", F.col("s_no").alias("rank_1"), F.lit(0).cast("long").alias("rank_2"))
     first = store.cut(served(met, store), "by_reference")
     left_s, left_c = s.join(first.select("world_id", "sid"), ["world_id", "sid"], "left_anti"), c.join(first.select("world_id", "tid"), ["world_id", "tid"], "left_anti")
     met = left_c.join(left_s.withColumn("amount", F.col("net")), ["world_id", "amount"]).filter(X.in_window(F.col("created"), F.col("value_date")))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
 from tallyforge.operators import claims, neighbours
+from tallyforge.operators.containment import meets
 from tallyforge.sources.scratch import Store
 
 CANDIDATE = "array<struct<record_id:string,amount_paise:bigint,reason:string>>"
@@ -63,14 +64,9 @@ def prepare(settlements: DataFrame, bank_rows: DataFrame) -> tuple[DataFrame, Da
 
 
 def references(s: DataFrame, c: DataFrame) -> DataFrame:
-    """Pairs whose credit carries the settlement's reference. For each length of references the credits' substrings of that length
-    meet them by an equality join. Settlements without a reference meet nothing."""
-    lengths = [r[0] for r in s.filter("utr <> ''").select(F.length("utr").alias("n")).distinct().collect()]
-    if not lengths:
-        return s.join(c, "world_id").limit(0)
-    grams = [c.select("world_id", "tid", F.explode(X.grams(F.col("strip"), n)).alias("utr")) for n in lengths]
-    pairs = reduce(DataFrame.unionByName, grams).join(s.select("world_id", "sid", "utr"), ["world_id", "utr"]).select("world_id", "sid", "tid").distinct()
-    return pairs.join(s, ["world_id", "sid"]).join(c, ["world_id", "tid"])
+    """Pairs whose credit carries the settlement's reference. Settlements without a reference meet nothing."""
+    pairs = meets(c.select("world_id", "tid", "strip"), "strip", s.select("world_id", "sid", "utr"), "utr").select("world_id", "sid", "tid")
+    return pairs.join(s, ["world_id", "sid"]).join(c, ["world_id", "tid"]).filter(F.contains("strip", F.col("utr")))
 
 
 def pass_1(refs: DataFrame) -> tuple[DataFrame, DataFrame]:
