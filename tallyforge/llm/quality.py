@@ -129,7 +129,9 @@ def logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
-    """One row per feature with a weight; feature -1 holds the curve's slope and offset."""
+    """One row per feature with a weight; feature -1 holds the curve's slope and offset. No rows if all labels are of one kind."""
+    if (frame["label"] > 0).nunique() < 2:
+        return pd.DataFrame({c: [] for c in ("feature", "ratio", "weight", "unseen")})
     frame = frame.sort_values(["doc_id", "label"], kind="stable")
     rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in frame["row"]]
     labels = np.where(frame["label"].to_numpy() > 0, 1.0, -1.0)
@@ -174,8 +176,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Model:
     """Fit on the labelled documents: (doc_id, text) and (doc_id, label 0 or 1). Null labels and texts of null ids are left out.
 
-    Labels that repeat an id count each, also where they differ. With more than ``most`` labels, a share of them chosen by a hash of doc_id is used, so the fit's memory is bounded. Without
-    labels of both kinds every score is 0.5.
+    Labels that repeat an id count each, also where they differ. With more than ``most`` labels, a share of them chosen by a hash of doc_id is used, so the fit's memory is bounded. Unless
+    labels of both kinds belong to documents, every score is 0.5.
     """
     labels = labels.filter("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
     n = labels.count()
@@ -183,9 +185,6 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> M
         labels = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most / n))
     taken = documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "label", "text")
     rows = taken.mapInArrow(_rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("row", T.BinaryType())]))
-    kinds = labels.agg(F.count_distinct(F.col("label") > 0)).first()[0]
-    if kinds < 2:
-        return Model(pd.DataFrame())
     fitted = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_fit, "feature int, ratio double, weight double, unseen double")
     return Model(fitted.toPandas())
 

@@ -88,3 +88,9 @@ def test_whole_query_like_plain_steps(spark):
         margin = sum(model.weights[f] * v / length for f, v in zip(found, values, strict=True))
         assert abs(row.score - 1 / (1 + np.exp(-np.clip(model.slope * margin + model.offset, -30, 30)))) < 1e-9
     assert got[6].score > 0.7 > 0.3 > got[7].score
+
+
+def test_labels_of_one_kind_among_the_documents_score_half(spark):
+    docs = spark.createDataFrame([(k, f"good words {k} and more of them") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 if k < 20 else 0) for k in range(40)], "doc_id long, label int")
+    assert {r.score for r in quality.score(docs, quality.train(docs, labels)).collect()} == {0.5}
