@@ -65,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = scratch.write(docs, f"stage-{number}")
+            if number > 1:
+                scratch.drop(f"stage-{number - 1}")
     return docs
