@@ -71,7 +71,7 @@ def overlay(items: DataFrame, folded: DataFrame) -> DataFrame:
 
 
 def snapshot(items: DataFrame, dates: DataFrame) -> DataFrame:
-    return items.join(dates, "world_id").select("world_id", "close_date", "item_id", "severity", "status", "source", "money_at_risk_paise")
+    return items.join(dates, "world_id").select("world_id", "close_date", "item_id", "severity", "status", "source", "title", "money_at_risk_paise")
 
 
 def delta(before: DataFrame, now: DataFrame) -> DataFrame:

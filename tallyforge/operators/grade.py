@@ -77,3 +77,13 @@ def categories(rows: DataFrame) -> DataFrame:
     box = F.when(F.col("auto") & F.col("correct"), "auto_correct").when(F.col("auto"), "auto_wrong").when(F.col("expected").isin(MATCHED), "wrongly_left").otherwise("rightly_left")
     boxes = ["auto_correct", "auto_wrong", "rightly_left", "wrongly_left"]
     return rows.withColumn("box", box).groupBy("scenario").pivot("box", boxes).count().fillna(0, boxes)
+
+
+def credits(golden: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Labelled bank rows (world_id, record_id, expected) with what the decisions make of them: the status of the earliest decision that names a row,
+    and whether it is the label, any kind of match standing for a matched row."""
+    named = decisions.select("world_id", F.explode("bank_txn_ids").alias("record_id"), F.struct("pass_name", "status").alias("d"))
+    got = named.groupBy("world_id", "record_id").agg(F.min("d")["status"].alias("got"))
+    rows = golden.join(got, ["world_id", "record_id"], "left").withColumn("got", F.coalesce("got", F.lit("unreported")))
+    same = F.when(F.col("expected") == "matched", F.col("got").isin(MATCHED)).otherwise(F.col("got") == F.col("expected"))
+    return rows.withColumn("correct", same)

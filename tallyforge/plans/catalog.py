@@ -336,7 +336,7 @@ def _close() -> dict[str, Query]:
         day = F.lit("2025-04-15").cast("date")
         return close.cash(close.as_of(r.world.bank_rows, "value_date", day))
 
-    snap = "SELECT q.world_id, d.close_date, q.item_id, q.severity, q.status, q.source, q.money_at_risk_paise FROM queue q JOIN dates d ON q.world_id = d.world_id"
+    snap = f"SELECT q.world_id, d.close_date, q.item_id, q.severity, q.status, q.source, {twins.title('q.status')} AS title, q.money_at_risk_paise FROM queue q JOIN dates d ON q.world_id = d.world_id"
     cash = "SELECT world_id, count(*) AS n_rows, sum(credit_paise - debit_paise)::BIGINT AS movement_paise, min(value_date) AS first_date, max(value_date) AS close_date, (max(value_date) - min(value_date))::INTEGER AS span_days, max_by(txn_id, row_no) AS last_txn FROM bank_rows"
     bits = "('0x' || substr(item_id, 1, 2))::INTEGER"
     return {
@@ -498,7 +498,7 @@ def _audit() -> dict[str, Query]:
         "golden_queue": (lambda r: r.golden_queue(), twins.GOLDEN_QUEUE.format(s="settlements", b="bank_rows", o="order_book", p="payments")),
         "audit_queue": (lambda r: audit.queue(r.queue(), r.golden_queue()), twins.audited("queue")),
         "audit_naive_queue": (lambda r: audit.queue(r.naive_queue(), r.golden_queue()), twins.audited("nqueue")),
-        "audit_queue_missed": (lambda r: audit.missed(r.naive_queue(), r.golden_queue()), twins.missed("nqueue")),
+        "audit_queue_missed": (lambda r: audit.missed(r.naive_queue(), r.golden_queue()), twins.missed("nqueue"), twins.title("status")),
         "audit_rates": (lambda r: rates(audit.queue(r.queue(), r.golden_queue())), twins.over_worlds(f"SELECT *, surfaced / worthy::DOUBLE AS queue_recall, surfaced_paise / stake_paise::DOUBLE AS money_recall, justified / gradable::DOUBLE AS queue_precision FROM ({twins.audited('queue')})", ["queue_recall", "money_recall", "queue_precision"])),
         "benchmark_strategies": (lambda r: audit.strategies({n: r.graded(n) for n in ("engine", "naive", "reference")}), twins.benchmark(graded_sql)),
         "evaluate_systems": (lambda r: audit.boxes(systems(r), r.golden()), twins.BOXES),
@@ -562,7 +562,7 @@ def _as_of() -> dict[str, Query]:
 
 
 def registered() -> dict[str, Query]:
-    return feeds.queries(twins.GOLDEN.format(settlements="settlements"), twins.missed("nqueue")) | statements.queries() | _as_of() | _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
+    return feeds.queries(twins.GOLDEN.format(settlements="settlements"), twins.missed("nqueue"), twins.title("status")) | statements.queries() | _as_of() | _search() | _audit() | _world() | _scalars() | _leg_a() | _leg_b() | _close() | _evaluation()
 
 
 #: Columns of type date; results show them as ISO text, which both engines write alike.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as X
-from tallyforge.operators import audit, document, verify
+from tallyforge.operators import audit, close, document, grade, verify
 from tallyforge.sources import files, ingest
 from tallyforge.streaming import workflow
 
@@ -103,8 +103,30 @@ def upserted(r) -> DataFrame:
     return merged.select("order_id", "amount_paise", "status", (F.col("row_no") < 10_000_000_000).alias("kept_place"))
 
 
-def queries(golden: str, missed: str) -> dict:
-    """Queries by name, of a folder's results, and their twins; ``golden`` is SQL for labels, ``missed`` for the labels that a queue lacks."""
+def new_urgent(r, most: int = 5) -> DataFrame:
+    """Of each world the most costly items to act on today that an earlier snapshot, here without a third of the items, did not have."""
+    snap = close.snapshot(r.queue(), r.dates())
+    earlier = snap.filter(F.conv(F.substring("item_id", 1, 2), 16, 10).cast("int") % 3 != 0)
+    new = close.delta(earlier, snap).filter("change = 'new'").select("world_id", "item_id")
+    urgent = snap.filter("severity = 1").join(new, ["world_id", "item_id"], "left_semi").select("world_id", "item_id", "status", "title", "money_at_risk_paise")
+    return document.first(urgent, most, F.desc("money_at_risk_paise"), F.col("item_id"))
+
+
+def credit_labels(r) -> DataFrame:
+    """The answers that the scenario classes imply for bank rows."""
+    part, c = F.col("row_no") % 4, F.floor(F.col("row_no") / 4) % 24
+    expected = F.when(part == 2, "out_of_scope").when(part == 3, "exception_missing_settlement").when((part == 1) & (c == 16), "duplicate_credit")
+    expected = expected.when(c == 5, "ambiguous_abstain").when(c == 23, "non_settlement_credit").otherwise("matched")
+    return r.world.bank_rows.select("world_id", F.col("txn_id").alias("record_id"), expected.alias("expected"))
+
+
+def credit_grades(r) -> DataFrame:
+    return grade.credits(credit_labels(r), r.leg_a()).groupBy("world_id", "expected", "got", "correct").agg(F.count("*").alias("n"))
+
+
+def queries(golden: str, missed: str, title: str) -> dict:
+    """Queries by name, of a folder's results, and their twins; ``golden`` is SQL for labels, ``missed`` for the labels that a queue lacks,
+    ``title`` for an item's title."""
     source = lambda table, read: (lambda r: numbered(read(r.spark, written(r, table), None)))
     place = "row_number() OVER (PARTITION BY world_id ORDER BY row_no)::INTEGER AS place"
     rank = "CASE status WHEN 'ambiguous_abstain' THEN 0 WHEN 'exception_missing_bank' THEN 1 WHEN 'exception_missing_settlement' THEN 2 WHEN 'duplicate_credit' THEN 3 WHEN 'non_settlement_credit' THEN 4 ELSE 9 END"
@@ -130,6 +152,10 @@ def queries(golden: str, missed: str) -> dict:
   JOIN (SELECT world_id, count(*) AS queue_total, count(*) FILTER (severity = 1) AS s1, count(*) FILTER (severity = 2) AS s2, count(*) FILTER (severity = 3) AS s3 FROM queue GROUP BY ALL) q ON q.world_id = w.world_id
   JOIN {tally('queue', 'source')} qs ON qs.world_id = w.world_id LEFT JOIN (SELECT world_id, count(*) AS n FROM broken_dd GROUP BY ALL) v ON v.world_id = w.world_id"""),
         "close_document_queue": (document_queue, "SELECT world_id, (row_number() OVER (PARTITION BY world_id ORDER BY severity, money_at_risk_paise DESC, source, status, ids[1], item_id) - 1)::INTEGER AS place, source, status, severity, money_at_risk_paise::BIGINT AS money_at_risk_paise, array_to_string(ids, ';') AS record_ids, item_id, strftime(due_date, '%Y-%m-%d') AS due_date FROM queue"),
+        "queue_new_urgent": (new_urgent, f"SELECT world_id, item_id, status, title, money_at_risk_paise::BIGINT AS money_at_risk_paise, place FROM (SELECT *, {title} AS title, row_number() OVER (PARTITION BY world_id ORDER BY money_at_risk_paise DESC, item_id)::INTEGER AS place FROM queue WHERE severity = 1 AND ('0x' || substr(item_id, 1, 2))::INTEGER % 3 = 0) WHERE place <= 5"),
+        "grade_credits": (credit_grades, f"""SELECT world_id, expected, got, CASE WHEN expected = 'matched' THEN got IN {family} ELSE got = expected END AS correct, count(*) AS n FROM (
+  SELECT b.world_id, CASE WHEN row_no % 4 = 2 THEN 'out_of_scope' WHEN row_no % 4 = 3 THEN 'exception_missing_settlement' WHEN row_no % 4 = 1 AND row_no // 4 % 24 = 16 THEN 'duplicate_credit' WHEN row_no // 4 % 24 = 5 THEN 'ambiguous_abstain' WHEN row_no // 4 % 24 = 23 THEN 'non_settlement_credit' ELSE 'matched' END AS expected,
+    coalesce(d.status, 'unreported') AS got FROM bank_rows b LEFT JOIN (SELECT world_id, tid, min_by(status, (pass_name, status)) AS status FROM (SELECT world_id, unnest(tids) AS tid, status, pass_name FROM leg_a) GROUP BY ALL) d ON d.world_id = b.world_id AND d.tid = b.txn_id) GROUP BY ALL"""),
         "violation_samples": (lambda r: document.first(verify.leg_a(r.world.settlements, r.world.bank_rows, r.damaged()), document.SAMPLES, "code", "record"), "SELECT *, row_number() OVER (PARTITION BY world_id ORDER BY code, record)::INTEGER AS place FROM broken_dd QUALIFY place <= 10"),
         "missed_samples": (lambda r: document.first(audit.missed(r.naive_queue(), r.golden_queue()).select("world_id", "status", "record_id"), document.MISSED, "status", "record_id"), f"SELECT world_id, status, record_id, row_number() OVER (PARTITION BY world_id ORDER BY status, record_id)::INTEGER AS place FROM ({missed}) QUALIFY place <= 20"),
         "exceptions_shown": (lambda r: document.display_order(r.leg_a()).select("world_id", "place", "status", F.array_join(F.concat("settlement_ids", "bank_txn_ids"), ";").alias("records")), f"SELECT world_id, row_number() OVER (PARTITION BY world_id ORDER BY {rank}, array_to_string(list_concat(sids, tids), ';'))::INTEGER AS place, status, array_to_string(list_concat(sids, tids), ';') AS records FROM leg_a WHERE kind = 'exception' AND status <> 'out_of_scope'"),

@@ -359,6 +359,11 @@ def explanation() -> str:
     return "CASE status " + " ".join(f"WHEN '{k}' THEN {text(t)}" for k, t in explain.EXPLANATIONS.items()) + " END"
 
 
+def title(status: str) -> str:
+    """An item's title by its status."""
+    return f"CASE {status} " + " ".join(f"WHEN '{k}' THEN {quoted(t[0])}" for k, t in explain.TITLES.items()) + " END"
+
+
 def queue_texts() -> str:
     pick = lambda k: "CASE s " + " ".join(f"WHEN '{status}' THEN {quoted(t[k])}" for status, t in explain.TITLES.items()) + " END"
     rules = {"exception_unpaid_order": "no_capture", "exception_amount_mismatch": "amount_mismatch", "exception_duplicate_payment": "duplicate_capture", "exception_payment_no_order": "unknown_order"}

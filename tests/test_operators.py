@@ -242,3 +242,30 @@ def test_proposals_take_the_place_of_decisions(spark):
     golden = spark.createDataFrame([(0, "s1", "matched", ["t1"], "x"), (0, "s2", "matched", ["t9"], "x"), (0, "s3", "exception_missing_bank", [], "x")], "world_id long, record_id string, expected string, counterparties array<string>, scenario string")
     assert {r.record_id: r.box for r in audit.categorised(golden, after).collect()} == {"s1": "auto_correct", "s2": "auto_wrong", "s3": "rightly_left"}
     assert {r.record_id: r.box for r in audit.categorised(golden, before).collect()}["s1"] == "wrongly_left"
+
+
+def test_layouts_from_documents(spark, tmp_path):
+    import json
+
+    golden = {"header_row": 5, "columns": {"date": 1, "narration": 2, "debit": 4, "credit": None, "balance": 6, "amount": 5}, "date_format": "%d-%b-%Y", "periods": [{"opening_row": 6, "closing_row": None, "transaction_rows": [7, 8]}]}
+    mapping = golden | {"columns": {"date": 1, "narration": 2, "debit": 4, "credit": 3, "balance": 6}, "periods": [{"opening_row": 6, "closing_row": 9, "transaction_rows": [8, 7]}], "noise_rows": [0], "reference_recipe": {"kind": "delimited", "delimiter": "/", "index": 2, "token_regex": "[0-9]+"}, "reversal_pairs": [[7, 8]]}
+    (tmp_path / "axis_1.json").write_text(json.dumps(golden))
+    (tmp_path / "axis_2.json").write_text(json.dumps(mapping))
+    read = {r.statement: r for r in intake.read_layouts(spark, str(tmp_path)).collect()}
+    assert read["axis_1"].noise_rows == [] and read["axis_1"].token_regex == "" and read["axis_2"].token_index == 2 and read["axis_2"].reversal_pairs == [[7, 8]]
+    of = intake.read_layouts(spark, str(tmp_path)).withColumnRenamed("statement", "file")
+    assert {tuple(r) for r in intake.layout_limits(of).collect()} == {("axis_1", "one amount column with a Dr/Cr marker"), ("axis_1", "closing balance only in a summary line")}
+    one, two = (of.filter(F.col("file") == f).withColumn("file", F.lit("x")) for f in ("axis_1", "axis_2"))
+    assert intake.role_issues(two, one).collect() == []  # what the label does not say is no issue, nor is the order of rows
+    assert {(r.role, r.got, r.expected) for r in intake.role_issues(one, two).collect()} == {("credit", None, 3)}
+
+
+def test_statements_of_a_folder_are_one_job(spark):
+    """Faults of one file do not touch another, and a file without a grid fails."""
+    good, bad = layout(), layout(columns={"date": 0, "narration": 1, "debit": 3, "credit": 2, "balance": 4})
+    cells = spark.createDataFrame([(f, k, row) for f in ("a", "b") for k, row in enumerate(GRID)], "file string, row_no long, cells array<string>")
+    proof = intake.Proof(cells, intake.layouts_of(spark, {"a": good, "b": bad, "gone": good}), Store(spark))
+    got = {r.file: (r.rows, r.transactions, r.result, r.faults) for r in proof.results().collect()}
+    assert got["a"] == (8, 4, "passed", "") and got["b"][2:] == ("failed", "E_BALANCE_CHAIN_BREAK") and got["gone"][:3] == (0, 0, "failed")
+    assert {r.file for r in proof.canonical().collect()} == {"a"}
+    assert {(r.file, r.chain_ok, r.closing_paise) for r in proof.periods().collect()} == {("a", True, -10000), ("b", False, None)}
