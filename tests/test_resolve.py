@@ -68,3 +68,26 @@ def test_wrong_proposals(spark):
     golden = spark.createDataFrame([(0, "s1", "matched_merged", ["t1"]), (0, "s2", "matched_merged", ["t1"]), (0, "s3", "exception_missing_bank", [])], "world_id long, record_id string, expected string, counterparties array<string>")
     p = spark.createDataFrame([(0, "whole", ["s1", "s2"], ["t1"]), (0, "half", ["s1"], ["t1"]), (0, "none", ["s3"], ["t1"])], "world_id long, item_id string, settlement_ids array<string>, bank_row_ids array<string>")
     assert {r.item_id: r.wrong for r in audit.wrong_proposals(golden, p).collect()} == {"whole": False, "half": True, "none": True}
+
+
+def test_sums_leave_no_partial_sums_behind(spark, tmp_path):
+    """What a search writes are its pools; sets come in blocks however many there are."""
+    import itertools
+    import math
+    import os
+
+    import numpy as np
+
+    from tallyforge.operators import proposals
+
+    blocks = list(proposals.sets_of(np.full(28, 7, np.int64), 42, 6))
+    assert sum(map(len, blocks)) == math.comb(28, 6) and max(map(len, blocks)) <= 2 * proposals.BLOCK
+    assert len({tuple(row) for block in blocks for row in block.tolist()}) == math.comb(28, 6)
+    amounts = np.array([5, 1, 4, 2, 3, 9, 8, 7], np.int64)
+    got = sorted(tuple(row) for block in proposals.sets_of(amounts, 15, 5) for row in block.tolist())
+    assert got == sorted(c for n in range(1, 6) for c in itertools.combinations(range(8), n) if amounts[list(c)].sum() == 15)
+    store = Store(spark)
+    asks = spark.createDataFrame([(0, "i", 0, 1500, 6)], "world_id long, item_id string, ask int, need long, slots int")
+    pool = spark.createDataFrame([(0, "i", 0, f"r{k:02}", 200 + k) for k in range(40)], "world_id long, item_id string, ask int, id string, amount long")
+    assert proposals.summing(asks, pool, store)[0].count() > 0
+    assert {name.rsplit("-", 1)[0] for name in os.listdir(store.root.removeprefix("file://"))} == {"pool", "sizes"}
