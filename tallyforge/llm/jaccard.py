@@ -47,6 +47,8 @@ RING = 1.25
 HELD, SAMPLE, MOST_COMMON = 2, 8000, 500_000
 #: Words that a task remembers.
 MEMORY = 50_000
+#: Pairs of signature and set that a task sorts, few enough to need no disk.
+SORTED = 1_500_000
 
 A, B, C, M = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
@@ -128,11 +130,14 @@ def parts_of(found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def signatures_of_ring(rare: np.ndarray, common: np.ndarray, ring: int, share: int) -> np.ndarray:
-    """Linked sets in a ring differ in at most D shingles, so in at most D parts. Parts with what they hold have one order for all
+    """Linked sets in a ring differ in at most D shingles, so in at most D parts; D is a set's own, by the largest size that its partners in
+    the ring have. Parts with what they hold have one order for all
     sets: rare before common, then those that hold most. Of the first part that is the same in two linked sets, at most D filled
     parts stand before it in either, so a set with more than D filled parts enters the regions of the first D + 1 only. A set
     with D or less enters those of all its parts, the empty ones too: of two such sets, some part is the same in both."""
-    apart, k = parts_in(ring, share)
+    most, k = parts_in(ring, share)
+    n = len(rare) + len(common)
+    apart = min(most, most_apart(n, min(n * 100 // share, int(np.ceil(RING ** (ring + 1)))), share))
     of_rare, of_common = parts_of(rare, k), parts_of(common, k)
     parts, content, held = (np.append(x, y) for x, y in zip(of_rare, of_common, strict=True))
     is_common = np.arange(len(parts)) >= len(of_rare[0])
@@ -376,17 +381,20 @@ def links_of_large(large: DataFrame, scratch: Scratch, width: int, share: int) -
         left, right, keys = beside(large, choose_pivots(large, scratch, str(level), width, share))
         schema = "region long, native boolean, near boolean, pivot long, doc_id long, text string, weight long, of long"
         placed = scratch.write(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cut, schema), f"placed-{level}")
-        links.append(placed.filter("near AND doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        found = [placed.filter("near AND doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b"))]
         sizes = placed.groupBy("region").agg(F.sum("weight").alias("m"), F.max("of").alias("before"), F.max("native").alias("any_native"), F.min("near").alias("whole"), F.count("*").alias("rows"))
         sizes = scratch.write(sizes.filter("any_native AND NOT whole AND rows > 1").select("region", "m", "before"), f"sizes-{level}")
         fits, shrank = F.col("m") <= CHUNK, F.col("m") <= SHRUNK * F.col("before")
         placed = placed.drop("of")
         small = sizes.filter(fits).select("region", "m")
-        links.append(packed(placed.join(small, "region").select(columns), small).groupBy("pack").applyInPandas(joined, "a long, b long"))
+        found.append(packed(placed.join(small, "region").select(columns), small).groupBy("pack").applyInPandas(joined, "a long, b long"))
         stuck = placed.join(sizes.filter(~fits & ~shrank).select("region"), "region").select(*columns, "weight")
         stuck = scratch.write(without_lone(stuck, width, share), f"stuck-{level}")
-        links.append(in_chunks(stuck).groupBy("region").applyInPandas(joined, "a long, b long"))
+        found.append(in_chunks(stuck).groupBy("region").applyInPandas(joined, "a long, b long"))
+        links.append(scratch.write(reduce(DataFrame.unionByName, found), f"links-{level}"))
         large = scratch.write(placed.join(sizes.filter(~fits & shrank).select("region", "m"), "region").select("region", "native", "doc_id", "text", "weight", "m"), f"large-{level}")
+        for gone in (f"placed-{level}", f"stuck-{level}", f"large-{level - 1}"):
+            scratch.drop(gone)
     return links
 
 
@@ -408,7 +416,9 @@ def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80
 
     described = scratch.write(texts.mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, signatures array<long>"), "described")
     order = ["signature", "a"]
-    entries = described.select(F.explode("signatures").alias("signature"), F.col("h1").alias("a")).repartitionByRange(*order).sortWithinPartitions(*order)
+    pairs = described.agg(F.sum(F.size("signatures"))).first()[0] or 0
+    tasks = max(1 + pairs // SORTED, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    entries = described.select(F.explode("signatures").alias("signature"), F.col("h1").alias("a")).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     met = scratch.write(entries.mapInArrow(_meetings, "signature long, a long, b long"), "met")
     sets = scratch.write(described.drop("signatures"), "sets")
     scratch.drop("described")
@@ -433,7 +443,9 @@ def link(documents: DataFrame, scratch: Scratch, width: int = 5, share: int = 80
 
     small = sizes.filter(F.col("m") <= CHUNK)
     links = [copies, packed(members.join(small.select("region"), "region"), small).groupBy("pack").applyInPandas(joined, "a long, b long")]
+    links = [scratch.write(reduce(DataFrame.unionByName, links), "links-0")]
     large = scratch.write(members.drop("near").join(sizes.filter(F.col("m") > CHUNK), "region"), "large-0")
+    scratch.drop("members")
     links += links_of_large(large, scratch, width, share)
     roots = components(reduce(DataFrame.unionByName, links), scratch, "linked")
     scratch.tidy("sets", "linked")

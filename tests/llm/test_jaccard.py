@@ -77,3 +77,24 @@ def test_signatures_meet(part):
                     if gone + new and 100 * both >= share * (len(base) + new):
                         other = np.unique(np.append(draw.permutation(base)[gone:], draw.integers(0, 2**63, new).astype(np.uint64)))
                         assert np.intersect1d(jaccard.signatures(base, share, common), jaccard.signatures(other, share, common)).size
+
+
+def test_a_set_enters_no_more_regions_than_its_own_size_calls_for():
+    """Signatures of 5-word shingles at 80 percent: 0.25 of a set's size in either of two rings and a few more, not the ring's largest set's."""
+    draw = np.random.default_rng(1)
+    for n in range(200, 400, 7):
+        found = np.unique(draw.integers(0, 2**64, n, np.uint64))
+        assert len(jaccard.signatures(found, 80, np.zeros(0, np.uint64))) <= 0.5 * n + 4
+
+
+def test_copies_of_texts_go_round_by_round(spark, monkeypatch):
+    """A round of large regions leaves links behind and no copies of texts."""
+    monkeypatch.setattr(jaccard, "CHUNK", 6)
+    gone, drop = [], Scratch.drop
+    monkeypatch.setattr(Scratch, "drop", lambda self, name: (gone.append(name), drop(self, name))[1])
+    draw = random.Random(2)
+    base = " ".join(f"w{draw.randrange(3000)}" for _ in range(60))
+    rows = [(i, noisy(draw, base, 3)) for i in range(60)]
+    got = {r.doc_id: r.component_id for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t"), 5, 80).collect()}
+    assert got == brute(rows, 5, 80)
+    assert {"members", "large-0", "placed-1", "stuck-1"} <= set(gone) and gone.index("placed-1") < gone.index("members", gone.index("members") + 1)
