@@ -37,3 +37,19 @@ def test_log_that_is_not_there_is_empty(spark, tmp_path):
     assert files.read_actions(spark, f"{tmp_path}/log", schema).collect() == []
     files.append_actions(spark.createDataFrame([("a", 1, "note")], schema), f"{tmp_path}/log")
     assert [tuple(r) for r in files.read_actions(spark, f"{tmp_path}/log", schema).collect()] == [("a", 1, "note")]
+
+
+def test_documents_are_dealt_to_tasks_of_few_worlds(spark):
+    """No part of a document is broadcast, and tasks grow with the worlds."""
+    n = 20 * document.WORLDS
+    world = spark.range(n).selectExpr("id AS world_id")
+    bank = world.selectExpr("world_id", "world_id AS row_no", "'t' AS txn_id", "DATE '2025-06-10' AS value_date", "5L AS credit_paise", "0L AS debit_paise")
+    a = world.selectExpr("world_id", "'match' AS kind", "'matched' AS status", "array('s') AS settlement_ids", "array('t') AS bank_txn_ids", "'exact' AS confidence", "5L AS received_paise", "'p1' AS pass_name")
+    b = world.selectExpr("world_id", "'order' AS record_type", "'o' AS record_id", "'order_paid' AS status")
+    j = world.selectExpr("world_id", "'o' AS order_id", "'' AS first_break")
+    fields = {"severity": "1", "money_at_risk_paise": "5L", "record_ids": "array('s')", "days_overdue": "1"}
+    queue = world.selectExpr("world_id", *(f"{fields.get(c, repr('x'))} AS {c}" for c in document.ITEM))
+    faults = world.selectExpr("world_id", "'code' AS code", "'r' AS record")
+    docs = document.documents(world, bank, a, b, j, queue, faults)
+    assert "Broadcast" not in docs._jdf.queryExecution().executedPlan().toString()
+    assert docs.rdd.getNumPartitions() > n // document.WORLDS and docs.count() == n
