@@ -269,3 +269,9 @@ def test_statements_of_a_folder_are_one_job(spark):
     assert got["a"] == (8, 4, "passed", "") and got["b"][2:] == ("failed", "E_BALANCE_CHAIN_BREAK") and got["gone"][:3] == (0, 0, "failed")
     assert {r.file for r in proof.canonical().collect()} == {"a"}
     assert {(r.file, r.chain_ok, r.closing_paise) for r in proof.periods().collect()} == {("a", True, -10000), ("b", False, None)}
+
+
+def test_a_reference_is_no_branch_code(spark):
+    grids = {"kotak_1.csv": ["NEFT CR-HDFC012345678901-RAZORPAY"], "x.csv": ["RTGS SBIN012345678901", "xHDFC0TEST42"], "y.csv": ["UTIB012345678901", "IFSC:HDFC0TEST42,"]}
+    cells = spark.createDataFrame([(file, n, ["", text]) for file, texts in grids.items() for n, text in enumerate(texts)], "file string, row_no long, cells array<string>")
+    assert {tuple(r) for r in intake.banks(cells).collect()} == {("kotak_1.csv", "Kotak Mahindra Bank"), ("x.csv", "unknown"), ("y.csv", "HDFC Bank")}
