@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.llm.common import frugal
+
 #: Slots of a task's table of known fragments, and ids that it may hold before it starts anew.
 SLOTS_BITS, POOL = 19, 1 << 21
 #: Characters of the texts that are encoded together; a longer text is encoded alone.
@@ -220,6 +222,7 @@ def _mapped(df: DataFrame, source: str, targets: list[T.StructField], weight: Ca
     schema = T.StructType([*(df.schema[c] for c in kept), *targets])
     position = df.columns.index(source)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = None
         for whole in batches:

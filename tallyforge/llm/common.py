@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +22,30 @@ def remainder(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system. Spark's Python workers live on after a task, idle ones too, beside the executor."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def frugal(task: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over batches whose worker gives its memory back when the task ends."""
+
+    @wraps(task)
+    def run(*args, **kwargs) -> Iterator:
+        try:
+            yield from task(*args, **kwargs)
+        finally:
+            give_back()
+
+    return run
+
+
 #: Bits of a sorted row's number that number the rows of its partition.
 ROW_BITS = 33
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import Scratch
+from tallyforge.llm.common import Scratch, frugal
 from tallyforge.llm.components import components
 from tallyforge.llm.regions import connected, voronoi
 
@@ -150,6 +150,7 @@ def signatures_of_ring(rare: np.ndarray, common: np.ndarray, ring: int, share: i
     return made if filled <= apart else made[np.lexsort((made, -held, is_common))[: apart + 1]]
 
 
+@frugal
 def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     shingles = Shingles()
     for batch in batches:
@@ -172,6 +173,7 @@ def common_shingles(documents: DataFrame, width: int) -> np.ndarray:
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
+@frugal
 def _describe(batches: Iterator[pa.RecordBatch], width: int, share: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each text. Of equal sets that a task meets, one lists its signatures."""
     seen: set[tuple[int, int]] = set()
@@ -197,6 +199,7 @@ def _describe(batches: Iterator[pa.RecordBatch], width: int, share: int, common:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "signatures"])
 
 
+@frugal
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(signature, a, b) of a partition's sorted rows (signature, set): each set with the first that has its signature here. The
     partition's first and last signature may go on in its neighbours; the first sets of these are told as a = b, with the signature."""

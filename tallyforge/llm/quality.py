@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyforge.llm.common import frugal, give_back
+
 #: The fit takes about this many labelled rows at most, chosen by a hash of their ids; with fewer, all.
 MOST_FITTED = 12_000
 #: Features: words are hashed to the lower part of the space, then come pairs of words and shape n-grams.
@@ -133,7 +135,7 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     if (frame["label"] > 0).nunique() < 2:
         return pd.DataFrame({c: [] for c in ("feature", "ratio", "weight", "unseen")})
     frame = frame.sort_values(["doc_id", "label"], kind="stable")
-    rows = [np.frombuffer(x, np.int32).astype(np.int64) for x in frame["row"]]
+    rows = [np.frombuffer(x, np.int32) for x in frame["row"]]
     labels = np.where(frame["label"].to_numpy() > 0, 1.0, -1.0)
     seen = np.arange(len(rows)) % KEPT != 0
     if len(set(labels[seen])) < 2 or len(set(labels[~seen])) < 2:
@@ -147,6 +149,13 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"feature": [-1, *used], "ratio": [slope, *ratios[used]], "weight": [offset, *weights[used]], "unseen": float(np.median(ratios))})
 
 
+def _fit_once(frame: pd.DataFrame) -> pd.DataFrame:
+    """The fit, and its memory given back."""
+    fitted = _fit(frame)
+    give_back()
+    return fitted
+
+
 class Model:
     """The fitted arrays, of fixed size, as the scoring tasks get them."""
 
@@ -166,11 +175,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30))))
 
 
+@frugal
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     features = Features()
-    for batch in batches:
-        made = pa.array([features.of(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["doc_id", "label", "row"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(start, ROWS)
+            made = pa.array([features.of(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], ["doc_id", "label", "row"])
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> Model:
@@ -185,10 +197,11 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_FITTED) -> M
         labels = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * most / n))
     taken = documents.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "label", "text")
     rows = taken.mapInArrow(_rows, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("row", T.BinaryType())]))
-    fitted = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_fit, "feature int, ratio double, weight double, unseen double")
+    fitted = rows.groupBy(F.lit(0).alias("all")).applyInPandas(_fit_once, "feature int, ratio double, weight double, unseen double")
     return Model(fitted.toPandas())
 
 
+@frugal
 def _scores(batches: Iterator[pa.RecordBatch], position: int, model) -> Iterator[pa.RecordBatch]:
     features = Features()
     for whole in batches:

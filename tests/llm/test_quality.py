@@ -94,3 +94,24 @@ def test_labels_of_one_kind_among_the_documents_score_half(spark):
     docs = spark.createDataFrame([(k, f"good words {k} and more of them") for k in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, 1 if k < 20 else 0) for k in range(40)], "doc_id long, label int")
     assert {r.score for r in quality.score(docs, quality.train(docs, labels)).collect()} == {0.5}
+
+
+def test_a_task_gives_its_memory_back():
+    """Many small arrays between which one stays would else keep the worker large."""
+    import re
+    from pathlib import Path
+
+    from tallyforge.llm.common import frugal
+
+    def held() -> float:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    def task(batches):
+        for n in batches:
+            some = [np.ones(500) for _ in range(n)]
+            kept.append(some[-1])
+            yield len(some)
+
+    kept, before = [], held()
+    assert list(frugal(task)(iter([60_000]))) == [60_000]
+    assert held() < before + 60
