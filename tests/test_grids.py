@@ -61,3 +61,26 @@ def test_written_statements_read_back_and_folders_of_other_use_do_not(spark, tmp
     assert grids.read(spark, f"{tmp_path}/out/golden").count() == 3
     (tmp_path / "empty").mkdir()
     assert grids.read(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_a_partition_is_a_few_files(spark, tmp_path, monkeypatch):
+    for k in range(130):
+        (tmp_path / f"f{k:03}.csv").write_text("a\nb,c\n")
+    parts = grids.GridReader(str(tmp_path)).partitions()
+    assert [len(p.paths) for p in parts] == [3] * 43 + [1]
+    assert grids.dealt([("a", 1), ("b", grids.BYTES), ("c", 1)]) == [["a"], ["b"], ["c"]]
+    for held in (1, 2, 5):
+        monkeypatch.setattr(grids, "HELD", held)
+        assert [row[1:] for row in grids.GridReader(str(tmp_path)).read(grids.Files([f"{tmp_path}/f000.csv"]))] == [(0, ["a", ""]), (1, ["b", "c"])]
+    assert grids.read(spark, str(tmp_path)).count() == 260
+
+
+def test_layouts_are_compared_without_any_file(spark, monkeypatch):
+    from tallyforge.plans import statements
+    from tallyforge.sources.scratch import Store
+
+    rows = "world_id long, row_no long, txn_id string, value_date date, narration string, ref_no string, credit_paise long, debit_paise long"
+    made = [(2, n, f"t{n}", datetime.date(2025, 4, n), "x", "", 100, 0) for n in range(1, 6)]
+    monkeypatch.setattr(Store, "folder", lambda self, name: 1 / 0)
+    of = statements.Statements(spark.createDataFrame(made, rows), Store(spark))
+    assert {(r.role, r.got, r.expected) for r in statements.queries()["statement_role_issues"][0](type("R", (), {"statements": lambda self: of})()).collect()} == {("debit", 4, 3), ("credit", 3, 4)}
