@@ -104,3 +104,16 @@ def test_stream_of_actions_and_windows(spark, tmp_path):
     source = spark.readStream.schema("item_id string, seq long, action string").parquet(f"{tmp_path}/a")
     inbox.workflow(source).writeStream.format("memory").queryName("flow").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {r.item_id: (r.last_action, r.n_actions) for r in spark.table("flow").collect()} == {"a": ("assign", 2), "b": ("open", 1)}
+
+
+def test_a_large_table_is_not_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyforge.sources import scratch
+
+    monkeypatch.setattr(scratch, "LARGE", 0)
+    store = scratch.Store(spark)
+    one, two = (store.cut(spark.range(100).withColumn(c, F.col("id") % 7), c) for c in ("a", "b"))
+    joined = one.join(two.filter("b < 3").groupBy("id").count(), "id")
+    assert joined.count() == sum(n % 7 < 3 for n in range(100))
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
