@@ -1,6 +1,14 @@
 """Steps that must not be run more often, or hold more, than the input asks for."""
 
+import pytest
+
 from tallyforge.operators import verify
+from tallyforge.plans import catalog
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    return catalog.Results(spark, "/root/testdata/sf0.001")
 
 
 def plan(df):
@@ -23,3 +31,9 @@ def test_amounts_are_read_once_for_all_due_items(spark):
     due = verify.due_items(a, b, amounts)
     assert sum("LogicalRDD" in line and "kind#" in line for line in plan(due).splitlines()) == 1
     assert sorted(map(tuple, due.collect())) == [(1, "duplicate_credit", "c2", 1, 5), (1, "exception_amount_mismatch", "o1;p1", 1, 6), (1, "exception_unpaid_order", "o2", 1, 9), (1, "needs_review", "c1;s1", 1, 3)]
+
+
+@pytest.mark.parametrize("name", ["leg_a_out_of_scope", "worst_failures", "false_matches_by_tier", "audit_naive_queue"])
+def test_queries_that_need_no_leg_a_do_not_run_it(shared, name):
+    catalog.registered()[name][0](shared).collect()
+    assert not {"leg_a", "by_reference"} & set(shared.made)
