@@ -65,10 +65,11 @@ def streamed(r) -> DataFrame:
     if "streamed" not in r.made:
         store, events = r.world.store, events_of(r)
         source, out = store.folder("events"), store.folder("states")
-        half = F.pmod(F.xxhash64("item_id", "seq"), F.lit(3))
+        events = store.cut(events.withColumn("half", F.pmod(F.xxhash64("item_id", "seq"), F.lit(3))), "log")
         for some in ("half <> 0", "half <> 1"):
-            events.withColumn("half", half).filter(some).drop("half").repartition(1).write.mode("append").parquet(source)
-        workflow.stream(r.spark, source, store.folder("checkpoint"), out).awaitTermination()
+            events.filter(some).drop("half").write.mode("append").parquet(source)
+        files = len(r.spark.read.parquet(source).inputFiles())
+        workflow.stream(r.spark, source, store.folder("checkpoint"), out, (files + 1) // 2).awaitTermination()
         r.made["streamed"] = workflow.latest(r.spark, out)
     return r.made["streamed"]
 

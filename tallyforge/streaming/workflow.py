@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -39,36 +38,32 @@ def facts_of(event) -> dict[str, str | None]:
 
 
 class Items(StatefulProcessor):
-    """A value for each item, its facts and number of actions, and the numbers of the actions that were counted, so that a repeated
-    one changes nothing and a late one only what no later one has said."""
+    """A value for each item: its facts, and the numbers of the actions that were counted, so that a repeated one changes nothing and a
+    late one only what no later one has said. It is read and written once a batch, however many events its item has there."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         fields = ", ".join(f"{fact}_seq long, {fact} string" for fact in FACTS)
-        self.facts = handle.getValueState("facts", f"{fields}, n_actions long")
-        self.counted = handle.getMapState("counted", "seq long", "times int")
+        self.facts = handle.getValueState("facts", f"{fields}, counted array<long>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.facts.get() if self.facts.exists() else (*[-1, None] * len(FACTS), 0)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.facts.get() or (*[-1, None] * len(FACTS), [])
         facts = {fact: (held[2 * i], held[2 * i + 1]) for i, fact in enumerate(FACTS)}
-        n_actions = held[-1]
-        for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)
-            for event in frame.itertuples(index=False):
-                if event.action != "status":
-                    if self.counted.containsKey((int(event.seq),)):
-                        continue
-                    self.counted.updateValue((int(event.seq),), (1,))
-                    n_actions += 1
-                for fact, value in facts_of(event).items():
-                    if event.seq > facts[fact][0]:
-                        facts[fact] = (int(event.seq), value)
-        self.facts.update((*(x for fact in FACTS for x in facts[fact]), n_actions))
+        counted = set(held[-1])
+        for event in rows:
+            if event.action != "status":
+                if event.seq in counted:
+                    continue
+                counted.add(event.seq)
+            for fact, value in facts_of(event).items():
+                if event.seq > facts[fact][0]:
+                    facts[fact] = (event.seq, value)
+        self.facts.update((*(x for fact in FACTS for x in facts[fact]), sorted(counted)))
         value = {fact: facts[fact][1] for fact in FACTS}
         move = value["move"] or "open"
         reopened = move == "resolve" and value["status"] is not None and value["seen"] is not None and value["seen"] != value["status"]
         workflow = "open" if reopened else WORKFLOW[move]
-        told = (key[0], move, workflow, value["assignee"], value["snooze"], value["note"], value["seen"], value["status"], reopened, n_actions)
-        yield pd.DataFrame([told], columns=[c.split()[0] for c in STATE.split(", ")])
+        told = (key[0], move, workflow, value["assignee"], value["snooze"], value["note"], value["seen"], value["status"], reopened, len(counted))
+        yield Row(*(c.split()[0] for c in STATE.split(", ")))(*told)
 
     def close(self) -> None:
         pass
@@ -76,14 +71,14 @@ class Items(StatefulProcessor):
 
 def followed(events: DataFrame) -> DataFrame:
     """Item states (``STATE``) from a stream of events (``EVENTS``), in update mode. The session's state store must be RocksDB."""
-    return events.groupBy("item_id").transformWithStateInPandas(Items(), STATE, outputMode="Update", timeMode="None")
+    return events.groupBy("item_id").transformWithState(Items(), STATE, outputMode="Update", timeMode="None")
 
 
-def stream(spark: SparkSession, folder: str, checkpoint: str, out: str) -> StreamingQuery:
-    """Follow Parquet files of events in a folder, one a batch, and write each batch's changed states under ``out`` by batch number. A batch
+def stream(spark: SparkSession, folder: str, checkpoint: str, out: str, files: int = 1) -> StreamingQuery:
+    """Follow Parquet files of events in a folder, ``files`` a batch, oldest first, and write each batch's changed states under ``out`` by batch number. A batch
     that runs again overwrites its own."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder)
 
     def each(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")

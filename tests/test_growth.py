@@ -1,9 +1,11 @@
 """Steps that must not be run more often, or hold more, than the input asks for."""
 
 import pytest
+from pyspark.sql import Row
 
 from tallyforge.operators import verify
 from tallyforge.plans import catalog
+from tallyforge.streaming import workflow
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +39,32 @@ def test_amounts_are_read_once_for_all_due_items(spark):
 def test_queries_that_need_no_leg_a_do_not_run_it(shared, name):
     catalog.registered()[name][0](shared).collect()
     assert not {"leg_a", "by_reference"} & set(shared.made)
+
+
+class Held:
+    """A state that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+
+def test_an_items_state_is_asked_once_a_batch():
+    class Handle:
+        def getValueState(self, name, schema):
+            return Held()
+
+    items = workflow.Items()
+    items.init(Handle())
+    event = Row(*(c.split()[0] for c in workflow.EVENTS.split(", ")))
+    rows = [event("i", k % 40, "assign" if k % 2 else "resolve", "u", None, None, None, "open") for k in range(60)]
+    for _ in range(2):
+        (told,) = items.handleInputRows(("i",), iter(rows), None)
+        assert (told.last_action, told.n_actions, told.seen_status, told.assignee) == ("assign", 40, "open", "u")
+    assert items.facts.calls == 4
