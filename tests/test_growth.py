@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import Row
 
-from tallyforge.operators import verify
+from tallyforge.operators import audit, verify
 from tallyforge.plans import catalog
+from tallyforge.sources import world
 from tallyforge.streaming import workflow
 
 
@@ -41,6 +42,28 @@ def test_queries_that_need_no_leg_a_do_not_run_it(shared, name):
     assert not {"leg_a", "by_reference"} & set(shared.made)
 
 
+@pytest.mark.parametrize("name", ["evaluate_systems", "benchmark_strategies"])
+def test_comparing_systems_writes_no_orders_or_payments(spark, name):
+    w = world.derive(spark, "/root/testdata/sf0.001")
+    catalog.registered()[name][0](catalog.Results(spark, "/root/testdata/sf0.001", w)).collect()
+    assert not {"order_book", "payments"} & set(vars(w))
+
+
+def test_systems_meet_the_golden_rows_in_one_join(spark):
+    columns = "world_id long, status string, confidence string, settlement_ids array<string>, bank_txn_ids array<string>, discrepancy_paise long, discrepancy_breakdown array<struct<label:string,amount_paise:bigint>>, pass_name string"
+    made = lambda *rows: spark.createDataFrame([(0, *r[:4], r[4], [], r[5]) for r in rows], columns)
+    decisions = {
+        "a": made(("matched", "exact", ["s1"], ["t1"], 0, "p1"), ("ambiguous_abstain", "", ["s1", "s2"], [], None, "p4"), ("non_settlement_credit", "", [], ["t3"], None, "p5")),
+        "b": made(("matched", "medium", ["s2"], ["t1"], 0, "p1"), ("matched", "medium", ["s1"], ["t1"], 5, "p1"), ("out_of_scope", "", [], ["s3"], None, "p0")),
+        "c": made(),
+    }
+    golden = spark.createDataFrame([(0, "s1", "matched", ["t1"], "x"), (0, "s2", "exception_missing_bank", [], "x"), (0, "s3", "matched", ["t9"], None)], "world_id long, record_id string, expected string, counterparties array<string>, scenario string")
+    got = audit.compared(decisions, golden)
+    assert plan(got).count("Join") == 2  # the golden rows' groups and the systems
+    told = lambda df: sorted(map(str, df.select("system", "scenario", "box", "n").collect()))
+    assert told(got) == told(audit.boxes({k: audit.state(d) for k, d in decisions.items()}, golden))
+
+
 class Held:
     """A state that counts how often it is asked."""
 
