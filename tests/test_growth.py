@@ -1,9 +1,11 @@
 """Steps that must not be run more often, or hold more, than the input asks for."""
 
+import re
+
 import pytest
 from pyspark.sql import Row
 
-from tallyforge.operators import audit, verify
+from tallyforge.operators import audit, leg_b, verify
 from tallyforge.plans import catalog
 from tallyforge.sources import world
 from tallyforge.streaming import workflow
@@ -64,6 +66,18 @@ def test_systems_meet_the_golden_rows_in_one_join(spark):
     assert told(got) == told(audit.boxes({k: audit.state(d) for k, d in decisions.items()}, golden))
 
 
+def test_payments_are_not_sorted_again_for_an_orders_first_capture(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    payments = spark.createDataFrame([(0, k, f"p{k}", o, 10, s, t) for k, (o, s, t) in enumerate([("o1", "captured", 9), ("o1", "captured", None), ("o1", "failed", 1), ("o2", "captured", 5), ("o2", "captured", 5), ("o3", "refunded", 1)])], "world_id long, row_no long, payment_id string, order_id string, amount_paise long, status string, created_s long")
+    orders = spark.createDataFrame([(0, k, f"o{k}", 10, "paid") for k in (1, 2, 3)], "world_id long, row_no long, order_id string, amount_paise long, status string")
+    told = leg_b.reconcile(payments, orders)
+    physical = str(told._jdf.queryExecution().executedPlan())
+    got = {r["record_id"]: r["status"] for r in told.filter("record_type = 'payment'").collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Sort \[[^\]]*created_s", physical)
+    assert got == {"p0": "exception_duplicate_payment", "p1": "payment_applied", "p2": "payment_failed", "p3": "payment_applied", "p4": "exception_duplicate_payment", "p5": "payment_refunded"}
+
+
 class Held:
     """A state that counts how often it is asked."""
 
