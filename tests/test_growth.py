@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import Row
 
-from tallyforge.operators import audit, leg_b, verify
+from tallyforge.operators import audit, baselines, leg_b, verify
 from tallyforge.plans import catalog
 from tallyforge.sources import world
+from tallyforge.sources.scratch import Store
 from tallyforge.streaming import workflow
 
 
@@ -78,6 +79,16 @@ def test_payments_are_not_sorted_again_for_an_orders_first_capture(spark):
     assert got == {"p0": "exception_duplicate_payment", "p1": "payment_applied", "p2": "payment_failed", "p3": "payment_applied", "p4": "exception_duplicate_payment", "p5": "payment_refunded"}
 
 
+def test_references_of_any_letters_are_found_beside_leg_as(spark):
+    day = "cast('2025-04-01' as date)"
+    refs = ["UTIB000000000001", "hdfc000000000002", "IC-9 17", "", None]
+    s = spark.createDataFrame([(0, f"s{k}", k, 100 + k, u) for k, u in enumerate(refs)], "world_id long, settlement_id string, row_no long, amount_paise long, utr string").selectExpr("*", f"{day} AS created", f"{day} AS settled")
+    texts = [("neft utib000000000001", ""), ("NEFT", "HDFC000000000002"), ("x ic-9 17 y", None), ("UTIB-000000000001", ""), ("none", "")]
+    b = spark.createDataFrame([(0, f"t{k}", k, n, r, 900, 0) for k, (n, r) in enumerate(texts)], "world_id long, txn_id string, row_no long, narration string, ref_no string, credit_paise long, debit_paise long").selectExpr("*", f"{day} AS value_date")
+    found = baselines.reference_then_amount(s, b, Store(spark)).filter("kind = 'match'")
+    assert sorted((*r.settlement_ids, *r.bank_txn_ids) for r in found.collect()) == [("s0", "t0"), ("s1", "t1"), ("s2", "t2")]
+
+
 class Held:
     """A state that counts how often it is asked."""
 
