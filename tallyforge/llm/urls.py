@@ -56,8 +56,9 @@ def ruled(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def beside(left: DataFrame, right: DataFrame, keys: list[str], turn: Column, how: str = "left") -> DataFrame:
-    """Join ``right``, one row per key, to ``left``, whose rows of a key are dealt by ``turn`` so that a frequent key is no single task's."""
-    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Join ``right``, one row per key, to ``left``, whose rows of a key are dealt by ``turn`` so that a frequent key is no single task's. The copies
+    are never broadcast: the planner takes their size for that of ``right`` as compressed, and the driver would hold all of them."""
+    copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return left.withColumn("salt", F.pmod(F.xxhash64(turn), F.lit(SALTS)).cast("int")).join(copies, [*keys, "salt"], how).drop("salt")
 
 
@@ -93,7 +94,7 @@ def grow(paths: DataFrame, level: int, scratch: Scratch) -> tuple[DataFrame, Dat
     paths = advance(paths, level, scratch).withColumn("seg", F.get("segs", F.col("at")))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     children = scratch.write(paths.groupBy("template", "seg").agg(*sums), f"children-{level}")
-    nodes = split_nodes(children).join(children.groupBy("template").agg(F.count("*").alias("kinds")), "template")
+    nodes = split_nodes(children).join(children.groupBy("template").agg(F.count("*").alias("kinds")).hint("merge"), "template")
     known = beside(children, nodes, ["template"], F.col("seg"), "inner")
     frequent = (F.col("n") >= SUPPORT) & (F.col("n") * PARTS >= F.col("pages"))
     alike = F.when(F.col("labelled") == 0, "*").when(F.col("blocked") == F.col("labelled"), "*-").when(F.col("blocked") == 0, "*+").otherwise("*~")
