@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import Row
 
-from tallyforge.operators import audit, baselines, leg_b, verify
-from tallyforge.plans import catalog
+from tallyforge.operators import audit, baselines, intake, leg_b, verify
+from tallyforge.plans import catalog, statements
 from tallyforge.sources import world
 from tallyforge.sources.scratch import Store
 from tallyforge.streaming import workflow
@@ -116,3 +116,18 @@ def test_an_items_state_is_asked_once_a_batch():
         (told,) = items.handleInputRows(("i",), iter(rows), None)
         assert (told.last_action, told.n_actions, told.seen_status, told.assignee) == ("assign", 40, "open", "u")
     assert items.facts.calls == 4
+
+
+def test_rows_that_layouts_list_are_not_broadcast(shared, spark):
+    """A layout's arrays become a row for each number, many times the size that the planner knows."""
+    plans = {}
+
+    class Watched(Store):
+        def cut(self, df, name):
+            plans[name] = str(df._jdf.queryExecution().executedPlan())
+            return super().cut(df, name)
+
+    made = statements.Statements(shared.world.bank_rows, shared.world.store)
+    proof = intake.Proof(made.cells, made.layouts, Watched(spark))
+    assert not [side for name in ("structure", "typed") for side in re.findall(r"BroadcastHashJoin \[file#\d+, row_no#\d+L?\].*", plans[name])]
+    assert proof.reproved(statements.damaged(proof.canonical())).count() > 0
