@@ -1,11 +1,12 @@
 """Steps that must not be run more often, or hold more, than the input asks for."""
 
+import itertools
 import re
 
 import pytest
 from pyspark.sql import Row
 
-from tallyforge.operators import audit, baselines, intake, leg_b, verify
+from tallyforge.operators import audit, baselines, intake, leg_b, proposals, verify
 from tallyforge.plans import catalog, statements
 from tallyforge.sources import world
 from tallyforge.sources.scratch import Store
@@ -131,3 +132,43 @@ def test_rows_that_layouts_list_are_not_broadcast(shared, spark):
     proof = intake.Proof(made.cells, made.layouts, Watched(spark))
     assert not [side for name in ("structure", "typed") for side in re.findall(r"BroadcastHashJoin \[file#\d+, row_no#\d+L?\].*", plans[name])]
     assert proof.reproved(statements.damaged(proof.canonical())).count() > 0
+
+
+@pytest.mark.parametrize("name", ["hard_solver", "hard_proposal_stats", "hard_resolver", "hard_evaluate_resolver", "hard_evaluate_with_solver"])
+def test_searches_over_hard_rows_make_no_queue_and_judge_once(spark, name):
+    w = world.derive(spark, "/root/testdata/sf0.001")
+    named = []
+
+    class Watched(Store):
+        def cut(self, df, name):
+            named.append(name)
+            return super().cut(df, name)
+
+    w.store = Watched(spark)
+    r = catalog.Results(spark, "/root/testdata/sf0.001", w)
+    told = catalog.registered()[name][0](r)
+    assert told.count() > 0 and not {"queue", "leg_b"} & {*r.made, *r.hard().made} and named.count("passed") == 1
+    if name == "hard_solver":
+        hard = r.hard()
+        want = hard.queue().filter("source = 'recon_leg_a' AND status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')")
+        rows = lambda df: sorted(map(str, df.select("world_id", "item_id", "record_ids").collect()))
+        assert rows(hard.open_items()[1]) == rows(want) != []
+
+
+def test_asks_of_a_day_share_its_pool(spark):
+    """A pool is written and shuffled once, whatever asks there are, and no set holds what its ask has already."""
+    asks = [(0, f"i{k}", 1, "merged", 1, 30 + k % 3, 5, [f"r{k % 7}"]) for k in range(40)]
+    pool = [(0, "merged", 1, f"r{k}", 5 + k) for k in range(12)] + [(0, "split", 1, "x", 30)]
+    written = {}
+
+    class Watched(Store):
+        def cut(self, df, name):
+            written[name] = super().cut(df, name)
+            return written[name]
+
+    asks = spark.createDataFrame(asks, "world_id long, item_id string, ask int, kind string, day int, need long, slots int, must array<string>")
+    sets, cut_off = proposals.summing(asks, spark.createDataFrame(pool, "world_id long, kind string, day int, id string, amount long"), Watched(spark))
+    amounts = {f"r{k}": 5 + k for k in range(12)}
+    want = sorted((f"i{k}", *c) for k in range(40) for n in range(1, 6) for c in itertools.combinations(sorted(set(amounts) - {f"r{k % 7}"}), n) if sum(map(amounts.get, c)) == 30 + k % 3)
+    assert sorted((r.item_id, *r.ids) for r in sets.collect()) == want != []
+    assert written["pool"].count() == 2 and written["sizes"].count() == 40 and cut_off.count() == 0
