@@ -148,6 +148,7 @@ def test_searches_over_hard_rows_make_no_queue_and_judge_once(spark, name):
     r = catalog.Results(spark, "/root/testdata/sf0.001", w)
     told = catalog.registered()[name][0](r)
     assert told.count() > 0 and not {"queue", "leg_b"} & {*r.made, *r.hard().made} and named.count("passed") == 1
+    assert named.count("texts") == 1
     if name == "hard_solver":
         hard = r.hard()
         want = hard.queue().filter("source = 'recon_leg_a' AND status IN ('ambiguous_abstain', 'exception_missing_bank', 'exception_missing_settlement')")
